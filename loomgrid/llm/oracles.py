@@ -40,5 +40,44 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
 
+def _le32(x: str) -> str:
+    """The low 32 bits of an integer as hex, little-endian."""
+    return " || ".join(f"printf('%02X', ({x} >> {8 * i}) & 255)" for i in range(4))
+
+
+# The wave header of 8-bit mono at 8,000 samples a second; CRC-32 by its polynomial 0xEDB88320.
+OP1 = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, length(h) // 2 AS n_bytes, h || repeat('00', CAST(greatest(1, (length(h) // 2 + 63) // 64) * 64 - length(h) // 2 AS BIGINT)) AS h FROM d),
+q AS (SELECT *, length(h) // 2 AS n FROM p),
+w AS (SELECT *, '52494646' || {_le32("(n + 36)")} || '57415645666D74201000000001000100401F0000401F00000100080064617461' || {_le32("n")} || h AS m,
+        list_transform(range(n), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS v FROM q)
+SELECT doc_id, n_bytes, n AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+  list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(512), lambda i: (v[n - 63 + i // 8] >> (i % 8)) & 1)),
+    lambda c, b: CASE WHEN xor(c & 1, b) = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) AS c,
+  n + 44 AS media_bytes, sha256(unhex(m)) AS media_sha256,
+  n || ':' || list_sum(v) || ':' || CAST(list_sum(list_transform(v, lambda x: (x - 128) * (x - 128))) AS BIGINT) || ':' ||
+    CAST(list_sum(list_transform(range(1, n), lambda i: CASE WHEN (v[i] >= 128) <> (v[i + 1] >= 128) THEN 1 ELSE 0 END)) AS BIGINT) AS feature
+FROM w
+"""
+OP1 = f"SELECT doc_id, n_bytes, payload_bytes, payload_sha256, CAST(xor(c, 4294967295) AS BIGINT) AS tail_crc32, media_bytes, media_sha256, feature FROM ({OP1})"
+
+OP9 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(i, r)),
+e AS (SELECT *,
+    length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7
+      + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x))), 0) AS escaped
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(role) + 2 + escaped + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": OP2}
+    return {"op1_media_columns": OP1, "op2_secret_scan": OP2, "op9_chat_format": OP9}
