@@ -80,3 +80,17 @@ def tune(spark: SparkSession) -> SparkSession:
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when the counted rows stay below the bound; else leave a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """doc_id as long, text as string, and k1, k2: 96 bits of hash of the text.
+
+    (doc_id, k1, k2) names a row for joins: rows that repeat a doc_id with
+    another text stay apart, and exact repetitions share their result.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
+
+
+def same_row(a: DataFrame, b: DataFrame):
+    """Join condition on doc_id (null matches null), k1 and k2."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
