@@ -62,6 +62,18 @@ FROM w
 """
 OP1 = f"SELECT doc_id, n_bytes, payload_bytes, payload_sha256, CAST(xor(c, 4294967295) AS BIGINT) AS tail_crc32, media_bytes, media_sha256, feature FROM ({OP1})"
 
+OP3 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM later) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM (
+  SELECT a.doc_id, x, p FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) a
+  ANTI JOIN (SELECT doc_id, unnest(ps) AS p FROM gone) g ON a.doc_id = g.doc_id AND a.p = g.p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
 _WORDS7 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 OP7 = f"""
 WITH d AS (SELECT doc_id, {_WORDS7} AS w FROM documents),
@@ -97,4 +109,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_media_columns": OP1, "op2_secret_scan": OP2, "op7_benchmark_decontamination": OP7, "op9_chat_format": OP9}
+    return {"op1_media_columns": OP1, "op2_secret_scan": OP2, "op3_substring_dedup": OP3, "op7_benchmark_decontamination": OP7, "op9_chat_format": OP9}
