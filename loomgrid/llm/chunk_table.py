@@ -7,7 +7,8 @@ a slice of texts becomes ids by gathers.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -38,11 +39,11 @@ class ChunkTable:
         self.length = np.zeros(1 << 14, np.int64)
         self.count = 0
 
-    def lookup(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, start, length) of each chunk; valid until the next call."""
+    def lookup(self, chunks: Iterable[bytes], count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, start, length) of each chunk; valid until the next call, as is ``at``, the places of the chunks."""
         if len(self.places) > self.most or self.held > self.most_bytes:
             self._clear()
-        at = np.fromiter(map(self.places.__getitem__, chunks), np.int64, len(chunks))
+        at = self.at = np.fromiter(map(self.places.__getitem__, chunks), np.int64, count)
         if self.places.fresh:
             self._learn(self.places.fresh)
             self.places.fresh = []
@@ -56,7 +57,7 @@ class ChunkTable:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.count + len(found) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.int32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
         ends = np.cumsum(sizes)
         self.start[self.count : self.count + len(found)] = self.used + ends - sizes
         self.length[self.count : self.count + len(found)] = sizes
@@ -67,7 +68,7 @@ class ChunkTable:
     def texts(self, chunks_of: list[list[bytes]], tail: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by text) of texts given as their chunks, each followed by ``tail``."""
         counts = np.fromiter(map(len, chunks_of), np.int64, len(chunks_of))
-        flat, start, length = self.lookup([c for chunks in chunks_of for c in chunks])
+        flat, start, length = self.lookup(chain.from_iterable(chunks_of), int(counts.sum()))
         sums = np.concatenate([[0], np.cumsum(length)])
         edge = np.concatenate([[0], np.cumsum(counts)])
         per_text = sums[edge[1:]] - sums[edge[:-1]] + len(tail)
