@@ -7,11 +7,14 @@ modulo ``PERIOD`` is in a difference cover: for any two positions some shift
 below the period brings both onto the cover, so two equal windows of
 ANCHOR + PERIOD words or more always share an aligned anchor.
 
+0. A document whose whole text has a smaller doc_id elsewhere repeats as a whole.
+   Such copies are known from narrow rows of text hashes and only marked.
 1. Anchors are shuffled by hash; a stream over each sorted partition keeps those
    that occur at two places or more (constant memory, however often one occurs).
 2. Where documents have repeated anchors, they extend: each window around one
-   is hashed to 128 bits, the first in a group is found by a combining
-   aggregation, and only the firsts come back to their documents.
+   is hashed to 96 bits with its place in corpus order as one integer, the
+   first place of a group is found by a combining aggregation, and only the
+   firsts come back to their documents.
 3. A document drops the words covered by candidate windows that are not firsts.
 
 Each step writes its small result (positions, never text) to the shared folder,
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .workspace import release_shuffles, same_row, tune, with_row_key, write_table
+from .workspace import release_shuffles, tune, with_row_key, write_table
 
 WINDOW, ANCHOR, PERIOD = 20, 8, 13
 # A perfect difference set; every non-zero residue modulo 13 is a difference of two of them.
@@ -52,16 +55,23 @@ def _words(part: pa.RecordBatch):
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher, cover = tb.Hasher(_ANCHOR_HASH), np.isin(np.arange(PERIOD), COVER)
+    seen: set[tuple[int, int]] = set()
     for part in tb.slices(batches):
         data, starts, ends, first = _words(part)
-        long_enough = np.diff(first) >= WINDOW
+        wanted = np.diff(first) >= WINDOW
+        for i, text in enumerate(zip(part.column("k1").to_pylist(), part.column("k2").to_pylist(), strict=True)):
+            if text in seen:  # a text that this task has sent: its other rows are copies
+                wanted[i] = False
+            seen.add(text)
+        if len(seen) > 200_000:
+            seen.clear()
         rows, at = tb.window_rows(first, ANCHOR)
         place = at - first[rows]
-        keep = cover[place % PERIOD] & long_enough[rows]
+        keep = cover[place % PERIOD] & wanted[rows]
         rows, at, place = rows[keep], at[keep], place[keep]
         found = hasher.windows(hasher.words(data, starts, ends), ANCHOR)
         take = pa.array(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(found[at].view(np.int64)), *(part.column(n).take(take) for n in ("doc_id", "k1", "k2")), pa.array(place.astype(np.int32))], names=["h", "doc_id", "k1", "k2", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(found[at].view(np.int64)), *(part.column(n).take(take) for n in ("doc_id", "k1")), pa.array(place.astype(np.int32))], names=["h", "doc_id", "k1", "at"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,11 +91,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twin = same.copy()
         twin[:-1] |= same[1:]
         if len(h) > 1:
-            yield batch.select(["doc_id", "k1", "k2", "at"]).take(pa.array(np.flatnonzero(twin[:-1])))
+            yield batch.select(["doc_id", "k1", "at"]).take(pa.array(np.flatnonzero(twin[:-1])))
             before = int(h[-2])
         held = batch.slice(len(h) - 1)
     if held is not None and before is not None and int(held.column(0)[0].as_py()) == before:
-        yield held.select(["doc_id", "k1", "k2", "at"])
+        yield held.select(["doc_id", "k1", "at"])
 
 
 def _candidates(anchors: np.ndarray, of: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,61 +114,96 @@ def _list_column(part: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarra
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    one, two = tb.Hasher(_FIRST_HASH), tb.Hasher(_SECOND_HASH)
-    for part in tb.slices(batches):
-        data, starts, ends, first = _words(part)
-        rows, start = _candidates(*_list_column(part, "anchors"), np.diff(first))
-        at = first[rows] + start
-        hashes = [h.windows(h.words(data, starts, ends), WINDOW)[at].view(np.int64) for h in (one, two)]
-        # Within the slice only the first of equal windows goes on; the order is that of (doc_id, k1, k2, start).
-        ids = part.column("doc_id").to_numpy()[rows]
-        k1, k2 = part.column("k1").to_numpy()[rows], part.column("k2").to_numpy()[rows]
-        order = np.lexsort((start, k2, k1, ids, hashes[1], hashes[0]))
-        a, b = hashes[0][order], hashes[1][order]
-        lead = order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]] if len(order) else order
-        yield pa.RecordBatch.from_arrays([pa.array(x[lead]) for x in (hashes[0], hashes[1], ids, k1, k2, start.astype(np.int32))], names=["h", "g", "doc_id", "k1", "k2", "at"])
-
-
-def repeated_anchors(keyed: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, anchors): positions of the anchors that occur elsewhere too."""
-    rows = keyed.mapInArrow(_anchors, "h long, doc_id long, k1 long, k2 int, at int")
+def _windows(bits: int):
+    """Texts with their anchors and corpus order to (h, g, place): order << bits | start, for the first of equal windows in a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = tb.Hasher(_FIRST_HASH), tb.Hasher(_SECOND_HASH)
+        for part in tb.slices(batches, most=4 << 20):
+            data, starts, ends, first = _words(part)
+            rows, start = _candidates(*_list_column(part, "anchors"), np.diff(first))
+            at = first[rows] + start
+            h = one.windows(one.words(data, starts, ends), WINDOW)[at].view(np.int64)
+            g = (two.windows(two.words(data, starts, ends), WINDOW)[at] >> np.uint64(33)).astype(np.int32)
+            place = part.column("nth").to_numpy()[rows] << bits | start
+            order = np.lexsort((place, g, h))
+            a, b = h[order], g[order]
+            lead = order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]] if len(order) else order
+            yield pa.RecordBatch.from_arrays([pa.array(x[lead]) for x in (h, g, place)], names=["h", "g", "place"])
+
+    return run
+
+
+_ROW = ("doc_id", "k1")
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & a["k1"].eqNullSafe(b["k1"])
+
+
+def copies(known: DataFrame) -> DataFrame:
+    """(doc_id, k1) of the documents whose whole text has a smaller doc_id elsewhere."""
+    texts = known.select("doc_id", "k1", "k2").distinct()
+    first = texts.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k1").alias("x"), F.col("k2").alias("y"), "first")
+    return texts.join(first, (texts["k1"] == F.col("x")) & (texts["k2"] == F.col("y"))).where(F.col("doc_id") > F.col("first")).select(*_ROW)
+
+
+def repeated_anchors(known: DataFrame) -> DataFrame:
+    """(doc_id, k1, anchors): positions of the anchors that occur elsewhere too."""
+    rows = known.mapInArrow(_anchors, "h long, doc_id long, k1 long, at int")
     sorted_rows = rows.repartition("h").sortWithinPartitions("h")
-    repeated = sorted_rows.mapInArrow(_repeated, "doc_id long, k1 long, k2 int, at int")
-    return repeated.groupBy("doc_id", "k1", "k2").agg(F.collect_list("at").alias("anchors"))
+    repeated = sorted_rows.mapInArrow(_repeated, "doc_id long, k1 long, at int")
+    return repeated.groupBy(*_ROW).agg(F.collect_list("at").alias("anchors"))
+
 
+def in_order(anchors: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with ``nth``, an integer in order of (doc_id, k1), and the bits that a position needs below it."""
+    ordered = anchors.repartitionByRange(*_ROW).sortWithinPartitions(*_ROW).withColumn("id", F.monotonically_increasing_id())
+    ordered, _ = write_table(ordered, "ordered-anchors")
+    within = F.col("id").bitwiseAND((1 << 33) - 1)
+    part, row, at = ordered.agg(F.max(F.shiftright("id", 33)), F.max(within), F.max(F.array_max("anchors"))).first()
+    row_bits, bits = int(row or 0).bit_length(), int(at or 0).bit_length()
+    if int(part or 0).bit_length() + row_bits + bits > 63:
+        raise ValueError("documents too many or too long for places of 63 bits")
+    return ordered.withColumn("nth", F.shiftleft(F.shiftright("id", 33), row_bits).bitwiseOR(within)).drop("id"), bits
 
-def first_windows(keyed: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, firsts): starts of the candidate windows that begin nowhere earlier."""
-    extended = keyed.join(anchors, same_row(keyed, anchors)).select(keyed["doc_id"], keyed["text"], keyed["k1"], keyed["k2"], "anchors")
-    windows = extended.mapInArrow(_windows, "h long, g long, doc_id long, k1 long, k2 int, at int")
-    firsts = windows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "k1", "k2", "at")).alias("first")).select("first.*")
-    return firsts.groupBy("doc_id", "k1", "k2").agg(F.collect_list("at").alias("firsts"))
+
+def first_windows(known: DataFrame, ordered: DataFrame, bits: int) -> DataFrame:
+    """(nth, firsts): starts of the candidate windows that begin nowhere earlier."""
+    extended = known.join(ordered, _same(known, ordered)).select(known["text"], "nth", "anchors")
+    places = extended.mapInArrow(_windows(bits), "h long, g int, place long").groupBy("h", "g").agg(F.min("place").alias("place"))
+    return places.groupBy(F.shiftright("place", bits).alias("nth")).agg(F.collect_list(F.col("place").bitwiseAND((1 << bits) - 1).cast("int")).alias("firsts"))
 
 
 def _covered(part: pa.RecordBatch, first: np.ndarray) -> np.ndarray:
     """True for each word that a candidate window other than a first covers."""
     n_words = np.diff(first)
+    copy = part.column("copy").to_numpy(zero_copy_only=False).astype(bool) & (n_words >= WINDOW)
     rows, start = _candidates(*_list_column(part, "anchors"), n_words)
     values, of = _list_column(part, "firsts")
     gone = ~np.isin(rows << 32 | start, of.astype(np.int64) << 32 | values)
     step = np.zeros(int(first[-1]) + 1, np.int64)
     np.add.at(step, first[rows[gone]] + start[gone], 1)
     np.add.at(step, first[rows[gone]] + start[gone] + WINDOW, -1)
-    return np.cumsum(step)[:-1] > 0
+    return (np.cumsum(step)[:-1] > 0) | np.repeat(copy, n_words)
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """The keyed documents with the positions found for them; two small tables stay in the shared folder."""
+    """The documents with what was found for them; small tables stay in the shared folder."""
     spark = tune(docs.sparkSession)
     keyed = with_row_key(docs)
     known = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    anchors, _ = write_table(repeated_anchors(known), "anchors")
+    copied, _ = write_table(copies(known), "copies")
+    anchors = repeated_anchors(known)
+    ordered, bits = in_order(anchors.join(copied, list(_ROW), "left_anti"))
+    release_shuffles(spark)
+    firsts, _ = write_table(first_windows(known, ordered, bits), "firsts")
     release_shuffles(spark)
-    firsts, _ = write_table(first_windows(known, anchors), "firsts")
+    none = F.lit(None).cast("array<int>")
+    found = ordered.join(firsts, "nth", "left").select(*_ROW, "anchors", "firsts", F.lit(False).alias("copy"))
+    found, _ = write_table(found.unionByName(copied.select(*_ROW, none.alias("anchors"), none.alias("firsts"), F.lit(True).alias("copy"))), "repeats")
     release_shuffles(spark)
-    both = anchors.join(firsts, same_row(anchors, firsts), "left").select(anchors["doc_id"], anchors["k1"], anchors["k2"], "anchors", "firsts")
-    return keyed.join(both, same_row(keyed, both), "left").select(keyed["doc_id"], keyed["text"], "anchors", "firsts")
+    return keyed.join(found, _same(keyed, found), "left").select(keyed["doc_id"], keyed["text"], "anchors", "firsts", F.coalesce("copy", F.lit(False)).alias("copy"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,9 +61,16 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now instead of at some later collection."""
+    """Let Spark drop the shuffle files of finished steps now instead of at some later collection.
+
+    The listeners' queues hold the event of the last query, and with it its
+    plan, until another event comes; so a tiny query runs first.
+    """
     gc.collect()
+    spark.range(1).count()
+    time.sleep(0.2)
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.2)
 
 
 def tune(spark: SparkSession) -> SparkSession:
