@@ -3,15 +3,18 @@
 A document's set holds its distinct 5-word shingles (the whole sequence for
 shorter ones), as 64-bit hashes in one global order: ordinary shingles by hash,
 then those that a mergeable frequency summary over the whole corpus calls
-frequent, rarer first. Two sets that reach the threshold share an element
-among the first n - ceil(t n) + 1 of each (their prefixes).
+frequent, rarer first. Two sets that reach the threshold t share at least l
+elements among the first n - ceil(t n) + l of each, for any l; prefixes here
+take l = n / 8, so sets of linked documents share many of them.
 
 1. One pass gives each document's set size and 128-bit set fingerprint, so that
    equal sets are one class, and the frequency summary.
 2. Prefix elements are shuffled; a stream over each sorted partition links every
    class that shares an element to the smallest such class, its leader. All
    classes with a leader in common form a block: any two that share a prefix
-   element meet in the block of that element's leader.
+   element meet in the block of that element's leader. A class with too few
+   shared elements for any link leaves; others leave the blocks in which they
+   share least, as long as fewer elements are lost than a link has to share.
 3. In a block the sets are stored in a trie. A probe walks it level by level,
    sharing the overlap of common prefixes, and prunes subtrees that cannot reach
    the required overlap with what remains of both sets. Once a probe has joined
@@ -35,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -53,8 +56,12 @@ BLOCK_SETS = 16_384
 _SEED, HIGH = 21, np.uint64(1 << 63)
 
 
+#: Prefixes are longer than needed by this part of the set: links then share as many elements.
+SPARE = 8
+
+
 def prefix_length(n: np.ndarray) -> np.ndarray:
-    return n - -(-NUMERATOR * n // DENOMINATOR) + 1
+    return n - -(-NUMERATOR * n // DENOMINATOR) + np.maximum(1, n // SPARE)
 
 
 def required(n: int, m: np.ndarray) -> np.ndarray:
@@ -174,12 +181,13 @@ def _prefixes(frequent: np.ndarray, rank: np.ndarray):
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (code, p, q): (leader, member) for each set that shares its code with a smaller one."""
-    last, waiting, n = None, [], 0
+    """Of rows sorted by (code, p, q): (leader, member, shared) for the sets of each code that several have; the leader is the first and a member too."""
+    last, waiting, n = None, [], 0  # last: code, leader's p and q, whether it has been counted, last p and q
 
     def flush():
-        pairs = np.unique(np.concatenate(waiting), axis=0)
-        return pa.RecordBatch.from_arrays([_binary(pairs[:, :2].view(np.uint64)), _binary(pairs[:, 2:].view(np.uint64))], names=["leader", "member"])
+        pairs, at = np.unique(np.concatenate([x[:, :4] for x in waiting]), axis=0, return_inverse=True)
+        shared = np.bincount(at.ravel(), np.concatenate([x[:, 4] for x in waiting]), len(pairs)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([_binary(pairs[:, :2].view(np.uint64)), _binary(pairs[:, 2:].view(np.uint64)), pa.array(shared)], names=["leader", "member", "shared"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -190,11 +198,20 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead_p, lead_q = p[head], q[head]
         if head[0] < 0:
             lead_p[head < 0], lead_q[head < 0] = last[1], last[2]
-        last = (code[-1], lead_p[-1], lead_q[-1])
-        other = (lead_p != p) | (lead_q != q)
-        if other.any():
-            waiting.append(np.unique(np.column_stack([lead_p, lead_q, p, q])[other], axis=0))
-            n += len(waiting[-1])
+        again = np.r_[head[0] < 0 and p[0] == last[4] and q[0] == last[5], (p[1:] == p[:-1]) & (q[1:] == q[:-1]) & ~new[1:]]
+        other = ((lead_p != p) | (lead_q != q)) & ~again
+        rows = np.flatnonzero(other)
+        first = rows[np.r_[True, head[rows[1:]] != head[rows[:-1]]]] if len(rows) else rows
+        if len(first) and head[first[0]] < 0 and last[3]:
+            first = first[1:]
+        counted = bool(other[head == head[-1]].any()) or bool(head[-1] < 0 and last[3])
+        last = (code[-1], lead_p[-1], lead_q[-1], counted, p[-1], q[-1])
+        if len(rows):
+            one = np.column_stack([lead_p[rows], lead_q[rows], p[rows], q[rows]])
+            two = np.column_stack([lead_p[first], lead_q[first], lead_p[first], lead_q[first]])
+            pairs, shared = np.unique(np.concatenate([one, two]), axis=0, return_counts=True)
+            waiting.append(np.column_stack([pairs, shared]))
+            n += len(pairs)
             if n > 400_000:
                 yield flush()
                 waiting, n = [], 0
@@ -369,11 +386,26 @@ def surveyed(keyed: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     return each, tokens[ascending], rank[ascending]
 
 
+def memberships(shared: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(leader, member) that links may need.
+
+    ``shared``: (leader, member, shared), the number of the member's prefix
+    elements under that leader; ``sizes``: (print, n). A link shares at least
+    least = max(1, t n / SPARE) prefix elements, whichever of its two sets n is
+    of. So a member with fewer shared elements leaves, and a member may leave
+    its least blocks while it loses at most (least - 1) / 2 elements by that.
+    """
+    all_of = shared.groupBy("leader", "member").agg(F.sum("shared").alias("shared"))
+    known = all_of.join(sizes, all_of["member"] == sizes["print"]).withColumn("least", F.greatest(F.lit(1), F.floor(F.col("n") * NUMERATOR / (DENOMINATOR * SPARE))))
+    own = Window.partitionBy("member")
+    known = known.withColumn("total", F.sum("shared").over(own)).withColumn("lost", F.sum("shared").over(own.orderBy("shared", "leader").rowsBetween(Window.unboundedPreceding, 0)))
+    return known.where((F.col("total") >= F.col("least")) & (2 * F.col("lost") > F.col("least") - 1)).select("leader", "member")
+
+
 def blocks_of(pairs: DataFrame) -> DataFrame:
-    """(leader, member) to (leader, i, j, member): blocks over BLOCK_SETS become all pairs of their parts."""
-    members = pairs.select("leader", "member").unionByName(pairs.select("leader", F.col("leader").alias("member"))).distinct()
-    sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK_SETS).select("leader", F.ceil((F.col("n") + 1) / BLOCK_SETS).cast("int").alias("parts"))
-    dealt = members.join(sizes, "leader", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    """(leader, member) to (leader, i, j, member): blocks over BLOCK_SETS become all pairs of their parts; blocks of one go."""
+    sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leader", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("parts"))
+    dealt = pairs.join(sizes, "leader")
     part = F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")
     dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     alone = (F.col("parts") == 1) | (F.col("part") != F.col("other"))  # a part meets itself in each of its pairs
@@ -386,12 +418,14 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = with_row_key(docs)
     each, frequent, rank = surveyed(keyed)
     rows = keyed.select("text").mapInArrow(_prefixes(frequent, rank), "code long, p long, q long")
-    pairs = rows.repartition("code").sortWithinPartitions("code", "p", "q").mapInArrow(_leaders, "leader binary, member binary")
-    pairs, _ = write_table(pairs.distinct(), "leaders")
+    pairs = rows.repartition("code").sortWithinPartitions("code", "p", "q").mapInArrow(_leaders, "leader binary, member binary, shared long")
+    sizes = each.groupBy("print").agg(F.max("n_shingles").alias("n"))
+    pairs, _ = write_table(memberships(pairs, sizes), "leaders")
     release_shuffles(spark)
     classes = each.groupBy("print").agg(F.min(F.struct(*_KEYS)).alias("one"))
     members = blocks_of(pairs)
     placed = members.join(classes, members["member"] == classes["print"]).select("leader", "i", "j", F.col("one.doc_id").alias("doc_id"), F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2"))
+    placed, _ = write_table(placed, "placed")
     texts = keyed.join(placed, same_row(keyed, placed)).select("leader", "i", "j", keyed["text"])
     blocks = texts.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
     links, _ = write_table(blocks.mapInArrow(_join_blocks(frequent, rank), "a binary, b binary").distinct(), "links")
