@@ -26,13 +26,18 @@ class _Places(dict):
 
 
 class ChunkTable:
-    """``encode``: distinct chunks to a list of id lists. The table starts anew beyond ``most_bytes`` of chunks or ``most`` of them."""
+    """``encode``: distinct chunks to a list of id lists.
+
+    Beyond ``most_bytes`` of chunks or ``most`` of them the table keeps what it
+    has, and further chunks are held for one call only.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], list], most: int = 400_000, most_bytes: int = 32 << 20):
         self.encode, self.most, self.most_bytes = encode, most, most_bytes
-        self._clear()
+        self._start()
 
-    def _clear(self) -> None:
+    def _start(self) -> None:
+        self.passing: tuple[list[bytes], int, int] | None = None  # chunks of the last call that are not kept, and the marks to go back to
         self.places, self.held, self.used = _Places(), 0, 0
         self.flat = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 14, np.int64)
@@ -41,14 +46,26 @@ class ChunkTable:
 
     def lookup(self, chunks: Iterable[bytes], count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat ids, start, length) of each chunk; valid until the next call, as is ``at``, the places of the chunks."""
-        if len(self.places) > self.most or self.held > self.most_bytes:
-            self._clear()
+        if self.passing:
+            for chunk in self.passing[0]:
+                del self.places[chunk]
+            self._back(*self.passing[1:])
+            self.passing = None
+        full = len(self.places) >= self.most or self.held > self.most_bytes
+        marks = (self.count, self.used)
         at = self.at = np.fromiter(map(self.places.__getitem__, chunks), np.int64, count)
         if self.places.fresh:
-            self._learn(self.places.fresh)
-            self.places.fresh = []
+            fresh, self.places.fresh = self.places.fresh, []
+            self._learn(fresh)
+            if full:
+                self.passing = (fresh, *marks)
+            else:
+                self.held += sum(map(len, fresh))
         return self.flat, self.start[at], self.length[at]
 
+    def _back(self, count: int, used: int) -> None:
+        self.count, self.used = count, used
+
     def _learn(self, fresh: list[bytes]) -> None:
         found = self.encode(fresh)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -63,7 +80,6 @@ class ChunkTable:
         self.length[self.count : self.count + len(found)] = sizes
         self.used += total
         self.count += len(found)
-        self.held += sum(map(len, fresh))
 
     def texts(self, chunks_of: list[list[bytes]], tail: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by text) of texts given as their chunks, each followed by ``tail``."""

@@ -133,8 +133,13 @@ class Lattices(ChunkTable):
         self.words = words
         super().__init__(words.encode_chunks, most)
 
-    def _clear(self) -> None:
-        super()._clear()
+    def _back(self, count: int, used: int) -> None:
+        super()._back(count, used)
+        self.n_nodes = int(self.first_node[count])
+        self.n_edges = int(self.first_edge[self.n_nodes])
+
+    def _start(self) -> None:
+        super()._start()
         self.first_node = np.zeros(1 << 14, np.int64)
         self.n_nodes = self.n_edges = 0
         self.first_edge = np.zeros(1 << 16, np.int64)  # by node

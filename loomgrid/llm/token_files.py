@@ -42,13 +42,73 @@ PIECE_IDS = 2 << 20
 _PIECE = "part long, seq long, path string, n_docs long, n_ids long, ids array<int>, counts array<long>"
 
 
-def word_encoder(tokenizer_path: str):
-    """Distinct white-space separated words to ids, by the tokenizers library."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    return lambda words: [x.ids for x in tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+#: A word is letters between ASCII signs; these bytes are the signs, all but the apostrophe (it begins endings like 's).
+_SIGNS = bytes(b for b in range(0x21, 0x7F) if not (chr(b).isalnum() or b == 0x27))
+#: Byte-level vocabularies show each byte as a character: printable Latin-1 ones as they are, the others from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: So many words are kept with their ids.
+_WORDS = 400_000
+
+
+class WordEncoder:
+    """White-space separated chunks to ids by the tokenizers library.
+
+    The tokenizer splits at every change between letters and signs, so most
+    chunks fall into signs, a word and signs, which are asked for once each;
+    words go through the library's normalizer (ASCII ones are left as they are
+    by it) straight to its model, as there is nothing to split in letters alone.
+    Any other chunk goes through the library whole.
+    """
+
+    def __init__(self, tokenizer_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
+        self.known: dict[bytes, list[int]] = {}
+
+    def _part(self, part: bytes) -> list[int]:
+        ids = self.known.get(part)
+        if ids is None:
+            if part.isalpha():  # ASCII letters alone
+                ids = [t.id for t in self.model.tokenize(part.decode())]
+            elif (word := part.decode()).isalpha() and (word := self.tokenizer.normalizer.normalize_str(word)).isalpha():
+                ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SHOWN))]
+            else:
+                ids = self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
+            if len(self.known) >= _WORDS:
+                self.known.clear()
+            self.known[part] = ids
+        return ids
+
+    def __call__(self, chunks: list[bytes]) -> list[list[int]]:
+        out = []
+        for chunk in chunks:
+            chunk = chunk.lower()  # A-Z only; the tokenizer lower-cases too
+            tail = chunk.lstrip(_SIGNS)
+            word = tail.rstrip(_SIGNS)
+            if word and len(word) < 256 and (word.isalpha() or (not word.isascii() and word.decode().isalpha())) and b"<" not in chunk:
+                ids = self._part(word)
+                if len(tail) < len(chunk):
+                    ids = self._part(chunk[: len(chunk) - len(tail)]) + ids
+                if len(word) < len(tail):
+                    ids = ids + self._part(tail[len(word) :])
+                out.append(ids)
+            else:
+                out.append(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids)
+        return out
+
+
+_TABLES: dict[str, ChunkTable] = {}
+
+
+def word_table(tokenizer_path: str) -> ChunkTable:
+    """A Python worker keeps its table from task to task."""
+    if tokenizer_path not in _TABLES:
+        _TABLES[tokenizer_path] = ChunkTable(WordEncoder(tokenizer_path))
+    return _TABLES[tokenizer_path]
 
 
 def _pack(array: np.ndarray) -> bytes:
@@ -81,7 +141,7 @@ def _pieces(folder: str, tokenizer_path: str):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        table = ChunkTable(word_encoder(tokenizer_path))
+        table = word_table(tokenizer_path)
         held: list[tuple] = []
 
         def flush():
@@ -149,6 +209,11 @@ def read_file(folder: str, name: str, table) -> tuple[list, np.ndarray, np.ndarr
     return [None if x else d for d, x in zip(doc.tolist(), null.tolist(), strict=True)], n.astype(np.int64), ids
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for rows that each stand for a file: too few bytes for Spark to see the work in them."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into ``folder``; returns the manifest (part, seq, path, n_docs, n_ids, start)."""
     spark = tune(docs.sparkSession)
@@ -162,7 +227,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str) -> Data
     total[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     lengths = huffman.code_lengths(total)
     _put(folder, "codebook.bin", zlib.compress(lengths.tobytes()))
-    spread = pieces.select("part", "seq", "path", "n_docs", "n_ids").repartition(F.col("path"))
+    spread = pieces.select("part", "seq", "path", "n_docs", "n_ids").repartition(_tasks(spark), F.col("path"))
     manifest, _ = write_table(spread.mapInArrow(_files(raw_folder, folder, lengths), "part long, seq long, path string, n_docs long, n_ids long"), "manifest")
     remove(spark, raw_folder)
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # over files, not documents
@@ -183,7 +248,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                 crcs = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - n), pa.array(n), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("path", "start").repartition(F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "start").repartition(_tasks(spark), F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store_and_read_back(docs: DataFrame, tokenizer_path: str) -> DataFrame:
