@@ -7,12 +7,23 @@ import math
 import numpy as np
 
 
+_LOG_FACTORIALS = np.zeros(1)
+
+
+def log_factorials(n: int) -> np.ndarray:
+    """log k! for k up to n at least."""
+    global _LOG_FACTORIALS
+    if len(_LOG_FACTORIALS) <= n:
+        _LOG_FACTORIALS = np.r_[0.0, np.cumsum(np.log(np.arange(1, 2 * n + 2, dtype=float)))]
+    return _LOG_FACTORIALS
+
+
 def _log_weights(a: int, b: int, c: int, d: int) -> tuple[np.ndarray, np.ndarray]:
     """Support and log weights of the hypergeometric law of a 2x2 table with these margins."""
     m, n, k = a + b, c + d, a + c
     x = np.arange(max(0, k - n), min(k, m) + 1)
-    lg = np.frompyfunc(math.lgamma, 1, 1)
-    w = -(lg(x + 1.0) + lg(m - x + 1.0) + lg(k - x + 1.0) + lg(n - k + x + 1.0)).astype(float)
+    lf = log_factorials(m + n)
+    w = -(lf[x] + lf[m - x] + lf[k - x] + lf[n - k + x])
     return x, w - w.max()
 
 
@@ -27,7 +38,7 @@ def _solve(f, low: float = -60.0, high: float = 60.0) -> float:
     for _ in range(200):
         mid = (low + high) / 2
         low, high = (mid, high) if f(mid) < 0 else (low, mid)
-        if high - low < 1e-12 * max(1.0, abs(mid)):
+        if high - low < 1e-10:
             break
     return (low + high) / 2
 
