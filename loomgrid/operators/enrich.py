@@ -53,11 +53,14 @@ def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFr
 
 
 def with_fisher(rows: DataFrame) -> DataFrame:
+    """p, odds, low and high of each table. The rows are few bytes and much work, so they are spread before."""
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.withColumn("t", _fisher("a", "b", "c", "d")).select("*", "t.*").drop("t")
 
 
 def adjusted(rows: DataFrame, p: str, key: str, name: str = "fdr") -> DataFrame:
-    """Benjamini-Hochberg. Ranks come from the distinct values of p, so only those pass through one task; null p stays null."""
+    """Benjamini-Hochberg. Ranks come from the distinct values of p, so only those pass through one task; null p stays null. ``rows`` is read twice and kept."""
+    rows = rows.cache()
     values = rows.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     up = values.withColumn("__rank", F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)))
     total = values.agg(F.sum("__n").alias("__all"))
