@@ -145,7 +145,7 @@ def uniform(key: np.ndarray, sample: int, purpose: int, chunk: np.ndarray | int,
 class Lattices(ChunkTable):
     """A table of chunks that also holds the lattice of each: nodes by character, edges by node, longer pieces first."""
 
-    def __init__(self, words: Vocabulary, most: int = 350_000):
+    def __init__(self, words: Vocabulary, most: int = 180_000):
         self.words = words
         super().__init__(words.encode_chunks, most)
 
