@@ -103,6 +103,35 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
+_AFTER8 = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+OP8 = rf"""
+WITH u AS (SELECT page_id, url, coalesce({_AFTER8}, '') AS a FROM pages),
+p AS (SELECT page_id, url, translate(regexp_extract(a, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+k AS (SELECT *, string_split(host, '.') AS l FROM p),
+t AS (SELECT page_id, unnest(CASE WHEN host = '' THEN [] ELSE list_distinct(list_concat(['host:' || host],
+    CASE WHEN len(l) >= 2 THEN ['site:' || array_to_string(l[-2:], '.')] ELSE [] END, CASE WHEN len(l) >= 3 THEN ['sub:' || l[1]] ELSE [] END,
+    [('path:' || x) FOR x IN string_split(path, '/') IF x <> '' AND NOT regexp_matches(x, '^[0-9]+$') AND NOT contains(x, '.')],
+    CASE WHEN regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) <> '' THEN ['ext:' || regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)] ELSE [] END,
+    [('key:' || split_part(x, '=', 1)) FOR x IN string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&') IF split_part(x, '=', 1) <> ''],
+    CASE WHEN contains(url, '#') THEN ['fragment'] ELSE [] END)) END) AS tok FROM k),
+m AS (SELECT doc_id, bool_or(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+tl AS (SELECT page_id, tok, bad FROM t JOIN m ON doc_id = page_id),
+n AS (SELECT count(DISTINCT page_id) AS n FROM tl),
+least_n AS (SELECT ceil(least(1.0::DOUBLE, greatest(0.002::DOUBLE, 5.0::DOUBLE / n)) * n) AS c FROM n),
+s AS (SELECT page_id, bad, [tok] AS ts FROM tl
+  UNION ALL SELECT a.page_id, a.bad, [a.tok, b.tok] FROM tl a JOIN tl b ON a.page_id = b.page_id AND a.tok < b.tok
+  UNION ALL SELECT a.page_id, a.bad, [a.tok, b.tok, c.tok] FROM tl a JOIN tl b ON a.page_id = b.page_id AND a.tok < b.tok JOIN tl c ON a.page_id = c.page_id AND b.tok < c.tok),
+r AS (SELECT ts, count(*) FILTER (WHERE bad) / count(*) AS conf FROM s GROUP BY ts HAVING count(*) FILTER (WHERE bad) >= (SELECT c FROM least_n)),
+rules AS (SELECT ts, conf, array_to_string(ts, ' ') AS id FROM r WHERE conf >= 0.6 AND NOT EXISTS (SELECT 1 FROM r o WHERE o.conf >= 0.6 AND o.conf >= r.conf AND len(o.ts) < len(r.ts) AND list_has_all(r.ts, o.ts))),
+pt AS (SELECT page_id, list(tok) AS toks FROM t GROUP BY 1),
+b AS (SELECT page_id, max_by(id, (conf, id)) AS mined_rule FROM pt JOIN rules ON list_has_all(toks, ts) GROUP BY 1),
+v AS (SELECT p.*, mined_rule, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM p LEFT JOIN b USING (page_id))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN mined_rule IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, mined_rule FROM v
+"""
+
 OP9 = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -121,4 +150,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_media_columns": OP1, "op2_secret_scan": OP2, "op3_substring_dedup": OP3, "op5_ngram_jaccard_join": OP5, "op7_benchmark_decontamination": OP7, "op9_chat_format": OP9}
+    return {"op1_media_columns": OP1, "op2_secret_scan": OP2, "op3_substring_dedup": OP3, "op5_ngram_jaccard_join": OP5, "op7_benchmark_decontamination": OP7, "op8_url_filters": OP8, "op9_chat_format": OP9}
