@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 3) -> DataFrame:
-    """``fold``: rows of each label dealt in order of key. Hot labels are ordered by a hash of the key within parts of it."""
+    """``fold``: rows of each label dealt in order of key. A labelled training set is small; a label's rows pass through one task."""
     return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1) % k).cast("int"))
 
 
