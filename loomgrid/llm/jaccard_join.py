@@ -426,7 +426,8 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = blocks_of(pairs)
     placed = members.join(classes, members["member"] == classes["print"]).select("leader", "i", "j", F.col("one.doc_id").alias("doc_id"), F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2"))
     placed, _ = write_table(placed, "placed")
-    texts = keyed.join(placed, same_row(keyed, placed)).select("leader", "i", "j", keyed["text"])
+    # One strategy at every size: a plan that broadcasts small tables only would hide what large ones cost.
+    texts = keyed.join(placed.hint("merge"), same_row(keyed, placed)).select("leader", "i", "j", keyed["text"])
     blocks = texts.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
     links, _ = write_table(blocks.mapInArrow(_join_blocks(frequent, rank), "a binary, b binary").distinct(), "links")
     release_shuffles(spark)
@@ -455,5 +456,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     kept = grouped(docs).select(F.col("first.doc_id").alias("__d"), F.col("first.k1").alias("__a"), F.col("first.k2").alias("__b")).distinct()
     key = [F.col("doc_id").cast("long"), F.xxhash64("text"), F.hash("text")]
     own = docs.withColumns({"__x": key[0], "__y": key[1], "__z": key[2]})
-    staying = own.join(kept, F.col("__x").eqNullSafe(F.col("__d")) & (F.col("__y") == F.col("__a")) & (F.col("__z") == F.col("__b")), "left_semi")
+    staying = own.join(kept.hint("merge"), F.col("__x").eqNullSafe(F.col("__d")) & (F.col("__y") == F.col("__a")) & (F.col("__z") == F.col("__b")), "left_semi")
     return staying.dropDuplicates(["__x", "__y", "__z"]).select(*docs.columns)
