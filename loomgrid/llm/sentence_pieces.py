@@ -86,11 +86,28 @@ class Vocabulary:
         moves = sorted((s * self.kinds + int(self.kind[ord(c)]), to) for s, out in enumerate(children) if s for c, to in out.items())
         self.keys, self.to = np.array([k for k, _ in moves]), np.array([t for _, t in moves], np.int32)
         self.accept = np.array(accept, np.int32)
+        # Moves by the letters of lowest code points (ASCII and Latin-1) as a table; the others are searched in ``keys``.
+        self.near = min(192, self.kinds)
+        self.table = np.zeros((len(children), self.near), np.min_scalar_type(len(children)))
+        low = self.keys % self.kinds < self.near
+        self.table[self.keys[low] // self.kinds, self.keys[low] % self.kinds] = self.to[low]
         self.longest = max(len(m.id_to_piece(i)) for i in range(n))
         self.flat_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.byte_lengths = np.array([len(b) for b in self.bytes_of])
         self.byte_starts = np.cumsum(self.byte_lengths) - self.byte_lengths
 
+    def moved(self, state: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The state after one more letter, 0 for none."""
+        near = kind < self.near
+        if near.all():
+            return self.table[state, kind].astype(np.int32)
+        out = np.zeros(len(state), np.int32)
+        out[near] = self.table[state[near], kind[near]]
+        key = state[~near].astype(np.int64) * self.kinds + kind[~near]
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out[~near] = np.where(self.keys[place] == key, self.to[place], 0)
+        return out
+
     def encode_chunks(self, chunks: list[bytes]) -> list:
         """The library's ids of each chunk.
 
@@ -100,8 +117,8 @@ class Vocabulary:
         """
         out: list = [None] * len(chunks)
         simple = [i for i, c in enumerate(chunks) if c[1:2] not in (b" ", b"")]
-        for a in range(0, len(simple), 500):
-            some = simple[a : a + 500]
+        for a in range(0, len(simple), 2000):
+            some = simple[a : a + 2000]
             ids = self.model.encode(b"".join([chunks[i] for i in some])[1:].decode(), num_threads=1)
             starts = np.flatnonzero(self.spaced[ids]).tolist()
             for i, x, y in zip(some, starts, [*starts[1:], len(ids)], strict=True):
@@ -196,10 +213,9 @@ class Lattices(ChunkTable):
             alive, state = alive[ok], state[ok]
             if not len(alive):
                 break
-            key = state.astype(np.int64) * v.kinds + kind[alive + size - 1]
-            place = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            ok = v.keys[place] == key
-            alive, state = alive[ok], v.to[place[ok]]
+            state = v.moved(state, kind[alive + size - 1])
+            ok = state > 0
+            alive, state = alive[ok], state[ok]
             piece = v.accept[state]
             good = piece >= 0
             found.append((alive[good], piece[good]))
