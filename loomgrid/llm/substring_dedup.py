@@ -8,7 +8,8 @@ below the period brings both onto the cover, so two equal windows of
 ANCHOR + PERIOD words or more always share an aligned anchor.
 
 0. A document whose whole text has a smaller doc_id elsewhere repeats as a whole.
-   Such copies are known from narrow rows of text hashes and only marked.
+   Such copies are known from narrow rows of text hashes and only marked; they
+   take no part in the steps below.
 1. Anchors are shuffled by hash; a stream over each sorted partition keeps those
    that occur at two places or more (constant memory, however often one occurs).
 2. Where documents have repeated anchors, they extend: each window around one
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .workspace import release_shuffles, tune, with_row_key, write_table
+from .workspace import release_shuffles, small_side, tune, with_row_key, write_table
 
 WINDOW, ANCHOR, PERIOD = 20, 8, 13
 # A perfect difference set; every non-zero residue modulo 13 is a difference of two of them.
@@ -55,14 +56,14 @@ def _words(part: pa.RecordBatch):
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher, cover = tb.Hasher(_ANCHOR_HASH), np.isin(np.arange(PERIOD), COVER)
-    seen: set[tuple[int, int]] = set()
+    seen: set[tuple[int, int, int]] = set()
     for part in tb.slices(batches):
         data, starts, ends, first = _words(part)
         wanted = np.diff(first) >= WINDOW
-        for i, text in enumerate(zip(part.column("k1").to_pylist(), part.column("k2").to_pylist(), strict=True)):
-            if text in seen:  # a text that this task has sent: its other rows are copies
+        for i, row in enumerate(zip(*(part.column(n).to_pylist() for n in ("doc_id", "k1", "k2")), strict=True)):
+            if row in seen:  # an exact repetition of a row that this task has sent
                 wanted[i] = False
-            seen.add(text)
+            seen.add(row)
         if len(seen) > 200_000:
             seen.clear()
         rows, at = tb.window_rows(first, ANCHOR)
@@ -194,8 +195,7 @@ def _marked(docs: DataFrame) -> DataFrame:
     keyed = with_row_key(docs)
     known = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     copied, _ = write_table(copies(known), "copies")
-    anchors = repeated_anchors(known)
-    ordered, bits = in_order(anchors.join(copied, list(_ROW), "left_anti"))
+    ordered, bits = in_order(repeated_anchors(known.join(small_side(copied), list(_ROW), "left_anti")))
     release_shuffles(spark)
     firsts, _ = write_table(first_windows(known, ordered, bits), "firsts")
     release_shuffles(spark)

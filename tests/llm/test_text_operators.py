@@ -59,6 +59,20 @@ def test_substring_dedup_edge_cases(spark):
     assert kept == {line, "a\n" + " " * 24 + " b", None}
 
 
+def test_substring_dedup_of_copies_in_any_order(spark, tmp_path):
+    """The smallest doc_id of equal texts is the first one, wherever it stands: in one task and in several files."""
+    words = [f"w{i}" for i in range(90)]
+    text = " ".join([*words[:60], *words[10:40]])
+    rows = [(10, text), (3, text), (20, " ".join(["other", *words[20:55]])), (1, " ".join(["first", *words[:25]])), (7, text)]
+    want = brute.substring_dedup(rows)
+    assert want[3][1] and want[20][1]
+    path = f"{tmp_path}/files"
+    for row in rows:
+        frame(spark, [row]).coalesce(1).write.mode("append").parquet(path)
+    for docs in (frame(spark, rows).coalesce(1), frame(spark, rows[::-1]).coalesce(1), spark.read.parquet(path), spark.read.parquet(path).coalesce(1)):
+        assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.report(docs).collect()} == want
+
+
 def test_difference_cover():
     p, cover = substring_dedup.PERIOD, set(substring_dedup.COVER)
     assert all(any((a + k) % p in cover and (b + k) % p in cover for k in range(p)) for a in range(p) for b in range(p))
