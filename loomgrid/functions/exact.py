@@ -128,8 +128,15 @@ def dip(values: np.ndarray) -> float:
     low, high, best = 0, n - 1, 1.0
 
     def hull(i: int, j: int, sign: int) -> list[int]:
+        left = np.arange(i, j + 1)
+        while len(left) > 64:  # points on the wrong side of their neighbours' chord can't be corners
+            dx, dy = np.diff(x[left]), np.diff(cdf[left])
+            stay = np.r_[True, sign * (dy[:-1] * dx[1:] - dy[1:] * dx[:-1]) < 0, True]
+            if stay.all():
+                break
+            left = left[stay]
         out = [i]
-        for k in range(i + 1, j + 1):
+        for k in left[1:].tolist():
             while len(out) > 1 and sign * ((cdf[out[-1]] - cdf[out[-2]]) * (x[k] - x[out[-1]]) - (cdf[k] - cdf[out[-1]]) * (x[out[-1]] - x[out[-2]])) >= 0:
                 out.pop()
             out.append(k)
@@ -151,8 +158,8 @@ def dip(values: np.ndarray) -> float:
                 gap, new_low, new_high = d, max(c for c in convex if c <= k), k
         if gap <= best or new_low >= new_high:
             break
-        within = max((max(cdf[i : j + 1] - np.interp(x[i : j + 1], x[[i, j]], cdf[[i, j]]) + 1) for i, j in zip(convex, convex[1:]) if j <= new_low), default=1.0)
-        within = max(within, max((max(np.interp(x[i : j + 1], x[[i, j]], cdf[[i, j]]) - cdf[i : j + 1] + 1) for i, j in zip(concave, concave[1:]) if i >= new_high), default=1.0))
+        within = max((np.max(cdf[i : j + 1] - np.interp(x[i : j + 1], x[[i, j]], cdf[[i, j]]) + 1) for i, j in zip(convex, convex[1:]) if j <= new_low), default=1.0)
+        within = max(within, max((np.max(np.interp(x[i : j + 1], x[[i, j]], cdf[[i, j]]) - cdf[i : j + 1] + 1) for i, j in zip(concave, concave[1:]) if i >= new_high), default=1.0))
         best = max(best, within)
         low, high = new_low, new_high
     return max(best, gap) / (2 * n)

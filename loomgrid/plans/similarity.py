@@ -96,11 +96,9 @@ def bootstrap_peaks(spark, sf_dir):
 
 @query()
 def dip_test(spark, sf_dir):
-    import numpy as np
-
     from ..functions.exact import dip_p
 
-    own, p = dip_p(np.array([r.value for r in T.cosine(spark, sf_dir).where("lo < 20").collect()]), draws=50)
+    own, p = dip_p(T.cosine(spark, sf_dir).select("value").toPandas()["value"].to_numpy(), draws=50)
     return spark.createDataFrame([(float(own), p)], "dip double, p double")
 
 

@@ -5,6 +5,8 @@ entity: l_suppkey; feature: l_partkey; presence: distinct pairs of lineitem.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,14 +45,31 @@ def grouped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard(spark, sf_dir).select("lo", "hi", "jaccard", phenotype().alias("phenotype")).join(a, "lo").join(b, "hi")
 
 
+#: Vectors of a block; two blocks meet in one task.
+BLOCK_VECTORS = 512
+
+
 def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(lo, hi, value): cosine of the first 200 vectors, rounded, as a second similarity."""
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 200").select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    v = v.withColumn("x", F.col("x").cast("double"))
-    norm = v.groupBy("vec_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
-    v = v.join(norm, "vec_id").select("vec_id", "i", (F.col("x") / F.col("n")).alias("x"))
-    a, b = v.toDF("lo", "i", "xa"), v.toDF("hi", "i", "xb")
-    return a.join(b, "i").where("lo < hi").groupBy("lo", "hi").agg(F.round(F.sum(F.col("xa") * F.col("xb")), 6).alias("value"))
+    """(lo, hi, value): cosine of all pairs of vectors, rounded, as a second similarity.
+
+    Vectors are dealt into blocks by a hash of their id; each pair of blocks is one product of matrices.
+    """
+    v = table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
+    n = max(1, -(-v.count() // BLOCK_VECTORS))
+    own = v.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    meet = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("vec_id", "x", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def products(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(frame["x"].tolist(), float)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        ids, block = frame["vec_id"].to_numpy(), frame["own"].to_numpy()
+        first, second = np.flatnonzero(block == key[0]), np.flatnonzero(block == key[1])
+        a, b = np.repeat(ids[first], len(second)), np.tile(ids[second], len(first))
+        value = (x[first] @ x[second].T).ravel()
+        keep = a < b if key[0] == key[1] else a != b
+        return pd.DataFrame({"lo": np.minimum(a, b)[keep], "hi": np.maximum(a, b)[keep], "value": value[keep]})
+
+    return meet.groupBy("i", "j").applyInPandas(products, "lo long, hi long, value double").withColumn("value", F.round("value", 6))
 
 
 # The same as SQL, to put before an oracle's own steps.
