@@ -44,3 +44,21 @@ def test_dip_test_sees_all_vectors(spark, vectors):
 
     sf, values = vectors
     assert entry.queries()["dip_test"](spark, sf).first().dip == pytest.approx(exact.dip(values), abs=1e-6)
+
+
+def test_exclusion_and_clustering_take_all_suppliers(spark, tmp_path):
+    keys = np.arange(1, 131)
+    line = [(k, p) for k in keys for p in (1, 2 + k % 7, 20 + k % 11)]
+    sf = write(tmp_path, supplier={"s_suppkey": keys, "s_nationkey": keys % 3}, nation={"n_nationkey": [0, 1, 2], "n_regionkey": [0, 0, 1]}, lineitem={"l_suppkey": [k for k, _ in line], "l_partkey": [p for _, p in line]})
+    found = entry.queries()
+    out = {(r.grp, r.entity) for r in found["min_exclusion"](spark, sf).collect()}
+    grp = {int(k): int(k % 3 == 2) for k in keys}
+    left = [k for k in grp if (grp[k], k) not in out]
+    assert {k for _, k in out} & set(range(101, 131))
+    assert all((a * 7 + b * 13) % 4 < 2 for a in left for b in left if a < b and grp[a] == grp[b])  # no violating pair is left
+    labels = found["relabel"](spark, sf).collect()
+    assert {r.entity for r in labels} == set(grp) and {r.entity for r in labels if r.status in ("New_subgroup", "Singleton")} == {k for _, k in out}
+    assert found["relabel_violations"](spark, sf).count() == 0
+    assert {r.item for r in found["linkage_cut"](spark, sf).collect()} == set(grp)
+    assert found["cluster_blocks"](spark, sf).where("k = 3").selectExpr("max(last) AS n").first().n == 130
+    assert found["newick_tree"](spark, sf).first().tree.count(",") == 129
