@@ -146,7 +146,7 @@ r(reaction, fits) AS (SELECT 'free', NULL), s AS (SELECT strain, bool_or(gene =
 SELECT strain, 'free' AS reaction FROM s UNION ALL SELECT strain, 'both' FROM s WHERE a AND b UNION ALL SELECT strain, 'either' FROM s WHERE a OR (b AND c)""")
 def model_drafts(spark, sf_dir):
     line, s, p = (T.table(spark, sf_dir, x) for x in ("lineitem", "supplier", "part"))
-    g = line.where("l_orderkey % 5 = 0 AND l_quantity > 45").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("s_nationkey").alias("strain")).agg(F.collect_set("p_brand").alias("genes"))
+    g = line.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("s_nationkey").alias("strain")).agg(F.collect_set("p_brand").alias("genes"))
     genes = T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("strain")).join(g, "strain", "left").select("strain", F.coalesce("genes", F.array().cast("array<string>")).alias("genes"))
     rules = spark.createDataFrame([("free", None), ("both", "Brand#11 and Brand#22"), ("either", "Brand#11 or (Brand#22 and Brand#33)")], "reaction string, rule string")
     return Mo.drafts(Mo.with_alternatives(rules), genes)

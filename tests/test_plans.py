@@ -62,3 +62,18 @@ def test_exclusion_and_clustering_take_all_suppliers(spark, tmp_path):
     assert {r.item for r in found["linkage_cut"](spark, sf).collect()} == set(grp)
     assert found["cluster_blocks"](spark, sf).where("k = 3").selectExpr("max(last) AS n").first().n == 130
     assert found["newick_tree"](spark, sf).first().tree.count(",") == 129
+
+
+def test_presence_and_drafts_read_all_of_lineitem(spark, tmp_path):
+    sf = write(
+        tmp_path,
+        lineitem={"l_orderkey": [1, 1, 2], "l_suppkey": [1, 2, 2], "l_partkey": [2, 3, 5], "l_quantity": [1.0, 2.0, 50.0]},
+        supplier={"s_suppkey": [1, 2], "s_nationkey": [0, 1]},
+        part={"p_partkey": [2, 3, 5], "p_brand": ["Brand#11", "Brand#22", "Brand#33"], "p_type": ["SMALL TIN", "LARGE TIN", "PROMO TIN"]},
+        nation={"n_nationkey": [0, 1, 2], "n_regionkey": [0, 0, 0]},
+    )
+    found = entry.queries()
+    wide = {r.nation: {k for k, v in r.asDict().items() if k != "nation" and v} for r in found["presence_wide"](spark, sf).collect()}
+    assert wide == {0: {"SMALL"}, 1: {"LARGE", "PROMO"}, 2: set()}
+    assert {tuple(r) for r in found["presence_long"](spark, sf).collect()} == {(0, "SMALL"), (1, "LARGE"), (1, "PROMO")}
+    assert {(r.strain, r.reaction) for r in found["model_drafts"](spark, sf).collect()} == {(0, "free"), (1, "free"), (2, "free"), (0, "either"), (1, "either")}
