@@ -104,10 +104,11 @@ def verdict_class(text: Column) -> Column:
 
 
 def ordinal_letters(n: Column, first: str = "a") -> Column:
-    """1 to a, 26 to z, 27 to aa and on; ``first`` shifts the case."""
+    """1 to a, 26 to z, 27 to aa, 703 to aaa and on; ``first`` shifts the case."""
     base = ord(first)
-    one = lambda k: F.char((F.lit(base) + k).cast("int"))
-    return F.when(n <= 26, one(n - 1)).otherwise(F.concat(one(F.floor((n - 1) / 26) - 1), one((n - 1) % 26)))
+    start = F.struct(n.cast("long").alias("left"), F.lit("").alias("letters"))
+    step = lambda s, _: F.when(s["left"] > 0, F.struct(F.floor((s["left"] - 1) / 26).alias("left"), F.concat(F.char((F.lit(base) + (s["left"] - 1) % 26).cast("int")), s["letters"]).alias("letters"))).otherwise(s)
+    return F.when(n.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step)["letters"])  # 14 letters name any long
 
 
 def decode_gene_name(product: Column) -> Column:

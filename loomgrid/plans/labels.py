@@ -98,7 +98,7 @@ def ordered_pair_concat(spark, sf_dir):
 
 @query("SELECT p_partkey, p_brand || CASE WHEN rn <= 26 THEN chr(CAST(96 + rn AS INTEGER)) ELSE chr(CAST(96 + (rn - 1) // 26 AS INTEGER)) || chr(CAST(97 + (rn - 1) % 26 AS INTEGER)) END AS label FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) WHERE rn <= 700")
 def family_ids(spark, sf_dir):
-    rows = T.table(spark, sf_dir, "part").withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("rn <= 700")
+    rows = T.table(spark, sf_dir, "part").withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
     return rows.select("p_partkey", F.concat("p_brand", X.ordinal_letters(F.col("rn"))).alias("label"))
 
 
@@ -134,7 +134,7 @@ vp AS (SELECT a.base, a.k AS k_1, b.k AS k_2, 100.0 * (1 - levenshtein(a.name, b
 def _variant_pairs(spark, sf_dir):
     from ..operators.sequence import variant_pairs
 
-    v = T.table(spark, sf_dir, "part").where("p_size <= 3").select(F.col("p_brand").alias("base"), F.col("p_partkey").alias("k"), F.concat("p_name", F.lit("."), F.col("p_size").cast("string")).alias("name"))
+    v = T.table(spark, sf_dir, "part").select(F.col("p_brand").alias("base"), F.col("p_partkey").alias("k"), F.concat("p_name", F.lit("."), F.col("p_size").cast("string")).alias("name"))
     p = variant_pairs(v, "base", "k")
     a, b = F.length("name_1"), F.length("name_2")
     return p.withColumns({"identity": 100.0 * (1 - F.levenshtein("name_1", "name_2") / F.greatest(a, b)), "coverage": 100.0 * F.least(a, b) / F.greatest(a, b)})

@@ -77,3 +77,16 @@ def test_presence_and_drafts_read_all_of_lineitem(spark, tmp_path):
     assert wide == {0: {"SMALL"}, 1: {"LARGE", "PROMO"}, 2: set()}
     assert {tuple(r) for r in found["presence_long"](spark, sf).collect()} == {(0, "SMALL"), (1, "LARGE"), (1, "PROMO")}
     assert {(r.strain, r.reaction) for r in found["model_drafts"](spark, sf).collect()} == {(0, "free"), (1, "free"), (2, "free"), (0, "either"), (1, "either")}
+
+
+def test_labels_and_variant_pairs_take_all_parts(spark, tmp_path):
+    keys = np.arange(1, 801)
+    sf = write(tmp_path, part={"p_partkey": keys, "p_brand": "B", "p_name": "n", "p_size": keys % 50})
+    labels = {r.p_partkey: r.label for r in entry.queries()["family_ids"](spark, sf).collect()}
+    assert len(set(labels.values())) == 800 and [labels[k] for k in (1, 26, 27, 702, 703, 729)] == ["Ba", "Bz", "Baa", "Bzz", "Baaa", "Baba"]
+    sf = write(tmp_path, part={"p_partkey": [1, 2, 3, 4], "p_brand": ["B", "B", "B", "C"], "p_name": ["red bolt"] * 4, "p_size": [1, 20, 49, 3]})
+    found = entry.queries()
+    assert [(r.base, r.n) for r in found["variant_pair_compare"](spark, sf).collect()] == [("B", 3)]
+    assert {(r.vertex, r.representative) for r in found["merge_components"](spark, sf).collect()} == {("B#1", "B#1"), ("B#2", "B#1"), ("B#3", "B#1")}
+    assert [(r.representative, r.n_edges) for r in found["merge_provenance"](spark, sf).collect()] == [("B#1", 3)]
+    assert {(r.k_1, r.k_2) for r in found["sequence_alignment"](spark, sf).collect()} == {(1, 2), (1, 3), (2, 3)}
