@@ -6,7 +6,7 @@ term's offset; a second pass stores the postings (document, position) of those
 rarest terms alone, each with the terms at the offsets around it. A posting and
 a window of the same term then intersect all ten offset-adjusted lists at once:
 the neighbours must be the window's other terms. Proximity matches ask for the
-same terms within the window's length plus a slop, in any order.
+same terms, as often, within the window's length plus a slop, in any order.
 
 No text is shuffled: terms and windows are broadcast when their counted number
 is within a bound, and joined by shuffle else; only matches are grouped.
@@ -28,6 +28,8 @@ from .workspace import same_row, small_side, with_row_key
 # The bytes between words once A-Z are lower-cased, and the window's length.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+#: Words that may stand between the terms of a proximity match.
+SLOP = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,9 +71,9 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
     """(doc_id, k1, k2, start, length, items): every occurrence of a window.
 
-    ``slop`` over 0 gives proximity matches: all terms of the window, in any
-    order, within size + slop words about the rarest; ``start`` and ``length``
-    then name that stretch.
+    ``slop`` over 0 gives proximity matches: all terms of the window, as often as
+    there and in any order, within a stretch of its length + slop words that holds
+    the rarest; ``start`` and ``length`` name each such stretch.
     """
     filed = filed_windows(docs, items, size).cache()
     index = postings(docs, filed.select("term").distinct(), size - 1 + slop)
@@ -81,10 +83,12 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0
         first = F.col("before") - F.col("offset") + 1
         both = both.where((first >= 1) & (F.slice("around", F.greatest(first, F.lit(1)), n) == F.col("terms")))
         return both.select("doc_id", "k1", "k2", (F.col("at") - F.col("offset")).alias("start"), n.alias("length"), "items")
-    first = F.greatest(F.lit(1), F.col("before") - F.col("offset") - slop + 1)
-    near = F.slice("around", first, n + slop)
-    both = both.where(F.size(F.array_except("terms", near)) == 0)
-    return both.select("doc_id", "k1", "k2", (F.col("at") - F.col("before") + first - 1).alias("start"), F.size(near).alias("length"), "items")
+    both = both.where(F.size(F.array_except("terms", "around")) == 0)
+    firsts = F.sequence(F.greatest(F.lit(1), F.col("before") + 2 - n - slop), F.col("before") + 1)
+    both = both.withColumn("first", F.explode(firsts)).withColumn("near", F.slice("around", F.col("first"), n + slop))
+    often = lambda column, term: F.size(F.filter(column, lambda x: x == term))
+    both = both.where(F.size(F.array_except("terms", "near")) == 0).where(F.forall(F.array_distinct("terms"), lambda t: often("near", t) >= often("terms", t)))
+    return both.select("doc_id", "k1", "k2", (F.col("at") - F.col("before") + F.col("first") - 1).alias("start"), F.size("near").alias("length"), "items")
 
 
 def hits(found: DataFrame) -> DataFrame:
@@ -93,15 +97,28 @@ def hits(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "k1", "k2").agg(F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_list"))
 
 
-def report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row for each document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    keyed = with_row_key(docs)
+def _exact(keyed: DataFrame, items: DataFrame) -> DataFrame:
     found = hits(matches(keyed, items))
     counted = keyed.select("doc_id", "k1", "k2", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = counted.join(found, same_row(counted, found), "left")
     listed = F.coalesce(found["item_list"], F.array().cast("array<string>"))
     n_hit = F.coalesce(found["n_hit"], F.lit(0).cast("long"))
-    return out.select(counted["doc_id"], counted["n_words"], n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select(counted["doc_id"], counted["k1"], counted["k2"], counted["n_words"], n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def report(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """One row for each document: n_words, n_hit, n_items, items_sha256, contaminated."""
+    return _exact(with_row_key(docs), items).drop("k1", "k2")
+
+
+def report_near(docs: DataFrame, items: DataFrame, slop: int = SLOP) -> DataFrame:
+    """The report, and from proximity matches n_near_items, near_items_sha256, near."""
+    keyed = with_row_key(docs)
+    exact = _exact(keyed, items)
+    found = matches(keyed, items, slop=slop).groupBy("doc_id", "k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("near_list"))
+    listed = F.coalesce(found["near_list"], F.array().cast("array<string>"))
+    out = exact.join(small_side(found), same_row(exact, found), "left")
+    return out.select(*(exact[c] for c in exact.columns if c not in ("k1", "k2")), F.size(listed).cast("long").alias("n_near_items"), F.sha2(F.array_join(listed, ","), 256).alias("near_items_sha256"), found["near_list"].isNotNull().alias("near"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

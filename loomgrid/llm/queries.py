@@ -43,6 +43,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_benchmark_decontamination with those of proximity matches beside them."""
+    return decontamination.report_near(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 

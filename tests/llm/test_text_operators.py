@@ -141,6 +141,34 @@ def test_proximity_matches(spark):
     assert decontamination.matches(docs, bench).count() == 0
 
 
+def test_proximity_matches_every_stretch(spark):
+    """Any shift about the rarest term, any order, terms as often as in the window: against brute force."""
+    from collections import Counter
+
+    rng = random.Random(9)
+    item = "a b c d e f g h i j".split()
+    rows = [(1, "p q r s a b c d e f x g h i j t u"), (2, "f"), (3, " ".join(["p", "q", "r", *item[::-1], "s"])), (4, "p q r s a x b y c z d e f g h i j"), (5, "a a b c d e f g h i j j x"), (6, "u u v w v u w v u w v v"), (7, "p p u v w v w u v w v w w")]
+    for d in range(8, 60):
+        words = [*item, *(rng.choice("xyzf") for _ in range(rng.randint(0, 3)))]
+        rng.shuffle(words)
+        rows.append((d, " ".join([*"pqrs"[: rng.randint(0, 4)], *words, *"tuvw"[: rng.randint(0, 4)]])))
+    items = [(1, " ".join(item)), (2, "u u u v v v w w v v"), (3, "a b c d"), (None, "x y z f")]
+    want = {}
+    for d, text in rows:
+        w, found, near = text.split(), set(), False
+        for name, t in items:
+            t = t.split()
+            for s in range(max(1, len(w) - len(t) - 1)):
+                if not Counter(t) - Counter(w[s : s + len(t) + 2]):
+                    near = True
+                    found |= {str(name)} - {"None"}
+        want[d] = (len(found), brute.sha(",".join(sorted(found))), near)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in decontamination.report_near(frame(spark, rows), bench).collect()}
+    assert {d: r[5:] for d, r in got.items()} == want and want[1][2] and want[3][2] and not want[2][2]
+    assert {d: r[:5] for d, r in got.items()} == brute.decontamination(rows, items)
+
+
 def test_media_round_trip_and_member_retry(spark, tmp_path):
     rows = [(1, "abc"), (2, None), (3, "x" * 64), (3, "x" * 64), (None, "é" * 40), (4, "tail\x00\x00"), (5, "y" * 300_000)]
     got = sorted((tuple(r)[:3] for r in media.store_and_read_back(frame(spark, rows)).collect()), key=str)
