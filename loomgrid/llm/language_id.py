@@ -145,12 +145,12 @@ def declared_likelihoods(rows: DataFrame, n: int, langs: list[str]) -> DataFrame
 
 
 def decide(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
-    """doc_id, k1, k2, lang, confidence, text_lang, declared, host_lang, kept for every row of ``docs`` (doc_id, text, source)."""
+    """doc_id, k1, k2, lang, confidence, text_lang, declared, host_lang, kept for every row of ``docs`` (doc_id, text, source). The declared language is read from the column ``markup`` where there is one, else from the text."""
     tune(docs.sparkSession)
     names, n = F.array(*(F.lit(x) for x in [*langs, UNKNOWN])), len(langs) + 1
     host = address_host(F.col("source").cast("string"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), host.alias("host"))
-    evidence = keyed.withColumn("suffix", address_suffix(F.col("host"))).withColumn("declared", declared_language(F.col("text")))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), host.alias("host"), declared_language(F.col("markup" if "markup" in docs.columns else "text").cast("string")).alias("declared"))
+    evidence = keyed.withColumn("suffix", address_suffix(F.col("host")))
     rows, _ = write_table(scored(evidence, langs, logp), "language-scores")
     priors = host_priors(rows, n).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "k1"), F.lit(SALT)).cast("int"))
@@ -171,6 +171,17 @@ def report(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     return decide(docs, *fit(docs.select("doc_id", "text", "lang"), sample_rows)).drop("k1", "k2")
 
 
+def page_text(html: Column) -> Column:
+    """Text of a page: scripts, styles, comments and tags become spaces."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+
+
+def page_report(pages: DataFrame, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The report for each page (page_id, url, html) by models fitted on ``docs``: the host is that of the url, the declared language that of the html."""
+    rows = pages.select(F.col("page_id").alias("doc_id"), page_text(F.col("html")).alias("text"), F.col("url").alias("source"), F.col("html").alias("markup"))
+    return decide(rows, *fit(docs.select("doc_id", "text", "lang"), sample_rows)).drop("k1", "k2").withColumnRenamed("doc_id", "page_id")
+
+
 def keep_known(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents in a known language, with all their columns."""
     verdicts, _ = write_table(decide(docs, *fit(docs.select("doc_id", "text", "lang"), sample_rows)).where("NOT kept").select(F.col("doc_id").alias("__d"), F.col("k1").alias("__a"), F.col("k2").alias("__b")).distinct(), "rejected")

@@ -29,6 +29,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, where markup and address suffix speak, by the models of the documents."""
+    return language_id.page_report(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(_table(spark, sf_dir, "documents"))
 

@@ -262,6 +262,20 @@ def test_language_edge_cases_and_evidence(spark):
     assert language_id.keep_known(docs).columns == docs.columns and language_id.keep_known(docs).count() == len(rows) - 3
 
 
+def test_language_of_pages_uses_markup_and_suffix(spark):
+    import __spark_entry__ as entry
+
+    pages = spark.read.parquet(f"{TINY}/pages.parquet")
+    got = entry.queries()["op4_page_language"](spark, TINY).collect()
+    assert sorted(r.page_id for r in got) == sorted(r.page_id for r in pages.collect()) and all(r.declared for r in got)
+    known = [(i, t, x) for i, (t, x) in enumerate([("the cat and the dog were there with them", "en"), ("le chat et le chien sont avec nous ici", "fr")] * 30)]
+    docs = spark.createDataFrame([(d, t, x, "s", 0) for d, t, x in known], SCHEMA)
+    rows = [(d, f"https://h{d}.example.{x}/a", f"<html lang='{x}'><script>var the = 1</script><p>{t}</p></html>") for d, t, x in known] + [(90, "https://new.example.fr/", "<html lang='fr'>chat</html>"), (91, "https://new.example.en/", "<html lang='en'>cat</html>")]
+    report = {r.page_id: r for r in language_id.page_report(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    assert all(report[d].lang == x == report[d].declared == report[d].host_lang for d, _, x in known)
+    assert (report[90].host_lang, report[91].host_lang) == ("fr", "en") == (report[90].lang, report[91].lang)
+
+
 def test_pipeline_against_a_plain_version(spark):
     import corpus_pipeline
     from loomgrid.llm import secret_scan
