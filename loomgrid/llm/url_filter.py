@@ -35,8 +35,6 @@ BLOCK = "label:block"
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
 #: And the least number of pages behind a rule, for small tables.
 MIN_PAGES = 5
-#: Longest combination of tokens.
-MAX_TOKENS = 3
 
 
 def after_scheme(url: Column) -> Column:
@@ -97,8 +95,8 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
         return labelled.sparkSession.createDataFrame([], names)
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_PAGES / n)), minConfidence=1.0).fit(items).freqItemsets
     with_label = F.array_contains("items", BLOCK)
-    whole = sets.where(~with_label & (F.size("items") <= MAX_TOKENS)).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("n_all"))
-    block = sets.where(with_label & (F.size("items") > 1) & (F.size("items") <= MAX_TOKENS + 1)).select(F.array_sort(F.array_remove("items", BLOCK)).alias("antecedent"), F.col("freq").alias("n_block"))
+    whole = sets.where(~with_label).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("n_all"))
+    block = sets.where(with_label & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCK)).alias("antecedent"), F.col("freq").alias("n_block"))
     rules = block.join(whole, "antecedent").select("antecedent", (F.col("n_block") / n).alias("support"), (F.col("n_block") / F.col("n_all")).alias("confidence")).where(F.col("confidence") >= min_confidence)
     rules = rules.withColumn("rule_id", F.array_join("antecedent", " "))
     parts = rules.select("rule_id", "antecedent", "confidence", F.explode(_subsets("antecedent")).alias("part"))
@@ -108,11 +106,11 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
 
 
 def _subsets(column: str) -> Column:
-    """Ids of the proper non-empty subsets of up to three sorted tokens."""
+    """Ids of the proper non-empty subsets of sorted tokens; a URL has few."""
     c = F.col(column)
-    single = F.when(F.size(c) > 1, c).otherwise(F.array().cast("array<string>"))
-    pairs = F.when(F.size(c) > 2, F.array(F.concat_ws(" ", c[0], c[1]), F.concat_ws(" ", c[0], F.try_element_at(c, F.lit(3))), F.concat_ws(" ", c[1], F.try_element_at(c, F.lit(3))))).otherwise(F.array().cast("array<string>"))
-    return F.concat(single, pairs)
+    masks = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2), F.size(c)).cast("long") - 2)
+    ids = F.transform(masks, lambda m: F.array_join(F.filter(c, lambda _, i: F.getbit(m, i) == 1), " "))
+    return F.when(F.size(c) > 1, ids).otherwise(F.array().cast("array<string>"))
 
 
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:

@@ -238,6 +238,15 @@ def test_mined_rules_against_counting(spark):
     assert got == want and want
 
 
+def test_mined_rules_of_any_length(spark):
+    """Four tokens block together, fewer of them do not; a rule of five is dropped for that of four."""
+    import itertools
+
+    rows = [(list("abcd"), True)] * 10 + [(list("abcde"), True)] * 6 + [(list(s), False) for s in itertools.combinations("abcd", 3) for _ in range(20)]
+    got = {tuple(r.antecedent): r.confidence for r in url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.01, 0.6).collect()}
+    assert got == {tuple("abcd"): 1.0, ("e",): 1.0}
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held, train = docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0")
