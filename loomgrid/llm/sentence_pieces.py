@@ -292,12 +292,17 @@ class Lattices(ChunkTable):
         symbol = self.symbol[edges]
         if not (symbol >= v.n).any():
             return symbol.astype(np.int32), np.searchsorted(text, np.arange(n_texts + 1))
-        ids, of = [], []
-        for s, t in zip(symbol.tolist(), text.tolist(), strict=True):
-            more = [s] if s < v.n else v.byte_id[np.frombuffer(chr(s - v.n).encode(), np.uint8)].tolist()
-            ids += more
-            of += [t] * len(more)
-        return np.array(ids, np.int32), np.searchsorted(np.array(of), np.arange(n_texts + 1))
+        rare = np.flatnonzero(symbol >= v.n)  # unknown characters: their bytes
+        points = symbol[rare] - v.n
+        size = np.ones(len(symbol), np.int64)
+        size[rare] += (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        end = np.cumsum(size)
+        out = np.empty(int(end[-1]), np.int32)
+        out[end - size] = np.minimum(symbol, v.n)
+        ends = np.cumsum(size[rare])
+        to = np.arange(ends[-1]) + np.repeat(end[rare] - ends, size[rare])
+        out[to] = v.byte_id[np.frombuffer("".join(map(chr, points.tolist())).encode(), np.uint8)]
+        return out, np.searchsorted(np.repeat(text, size), np.arange(n_texts + 1))
 
 
 class Path:
