@@ -19,7 +19,9 @@ columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,9 +33,9 @@ from pyspark.sql import functions as F
 
 from . import huffman
 from . import textbytes as tb
-from .chunk_table import ChunkTable
+from .chunk_table import WordTable
 from .media import store
-from .workspace import new_path, release_shuffles, remove, tune, write_table
+from .workspace import new_path, remove, tune, write_table
 
 END_ID = 2
 MAGIC = b"HIDS\1\0\0\0"
@@ -42,23 +44,32 @@ PIECE_IDS = 2 << 20
 _PIECE = "part long, seq long, path string, n_docs long, n_ids long, ids array<int>, counts array<long>"
 
 
-#: A word is letters between ASCII signs; these bytes are the signs, all but the apostrophe (it begins endings like 's).
-_SIGNS = bytes(b for b in range(0x21, 0x7F) if not (chr(b).isalnum() or b == 0x27))
+def _own_letters() -> str:
+    """Letters up to U+024F that the normalizer maps to one letter each, whatever stands beside them."""
+    return "".join(c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c.lower().isalpha())
+
+
+#: The ASCII signs but the apostrophe (it begins endings like 's) and what special tokens begin with.
+_SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in "'<")
+_SIGNED = "([" + re.escape(_SIGNS) + "]*)"
+#: A word of letters between signs.
+_ASCII = re.compile((_SIGNED + "([A-Za-z]+)" + _SIGNED).encode())
+_WORD = re.compile(_SIGNED + "([" + _own_letters() + "]+)" + _SIGNED)
 #: Byte-level vocabularies show each byte as a character: printable Latin-1 ones as they are, the others from 256 on.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-#: So many words are kept with their ids.
-_WORDS = 400_000
+#: Runs of signs and words that are kept with their ids.
+_RUNS, _WORDS = 10_000, 500_000
 
 
 class WordEncoder:
     """White-space separated chunks to ids by the tokenizers library.
 
-    The tokenizer splits at every change between letters and signs, so most
-    chunks fall into signs, a word and signs, which are asked for once each;
-    words go through the library's normalizer (ASCII ones are left as they are
-    by it) straight to its model, as there is nothing to split in letters alone.
-    Any other chunk goes through the library whole.
+    The tokenizer splits at every change between letters and signs, so a word
+    between signs is up to three parts. The word goes straight to the library's
+    model, as there is nothing to normalize or split in such letters but their
+    case; runs of signs, of which there are few, are asked for once. Any other
+    chunk goes through the library whole.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -67,50 +78,53 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, list[int]] = {}
-
-    def _part(self, part: bytes) -> list[int]:
-        ids = self.known.get(part)
-        if ids is None:
-            if part.isalpha():  # ASCII letters alone
-                ids = [t.id for t in self.model.tokenize(part.decode())]
-            elif (word := part.decode()).isalpha() and (word := self.tokenizer.normalizer.normalize_str(word)).isalpha():
-                ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SHOWN))]
-            else:
-                ids = self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
-            if len(self.known) >= _WORDS:
-                self.known.clear()
-            self.known[part] = ids
-        return ids
+        self.runs: dict[str | bytes, list[int]] = {}
+
+    def _run(self, signs: str | bytes) -> list[int]:
+        if signs not in self.runs:
+            if len(self.runs) >= _RUNS:
+                self.runs.clear()
+            self.runs[signs] = self.whole(signs)
+        return self.runs[signs]
+
+    def whole(self, chunk: str | bytes) -> list[int]:
+        return self.tokenizer.encode(chunk if isinstance(chunk, str) else chunk.decode(), add_special_tokens=False).ids
 
     def __call__(self, chunks: list[bytes]) -> list[list[int]]:
-        out = []
+        out, tokenize = [], self.model.tokenize
         for chunk in chunks:
-            chunk = chunk.lower()  # A-Z only; the tokenizer lower-cases too
-            tail = chunk.lstrip(_SIGNS)
-            word = tail.rstrip(_SIGNS)
-            if word and len(word) < 256 and (word.isalpha() or (not word.isascii() and word.decode().isalpha())) and b"<" not in chunk:
-                ids = self._part(word)
-                if len(tail) < len(chunk):
-                    ids = self._part(chunk[: len(chunk) - len(tail)]) + ids
-                if len(word) < len(tail):
-                    ids = ids + self._part(tail[len(word) :])
-                out.append(ids)
+            if m := _ASCII.fullmatch(chunk):
+                head, word, tail = m.groups()
+                ids = [t.id for t in tokenize(word.lower().decode())]
+            elif m := _WORD.fullmatch(chunk.decode()):
+                head, word, tail = m.groups()
+                ids = [t.id for t in tokenize(word.lower().encode().decode("latin-1").translate(_SHOWN))]
             else:
-                out.append(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids)
+                out.append(self.whole(chunk))
+                continue
+            if head or tail:
+                ids = (self._run(head) if head else []) + ids + (self._run(tail) if tail else [])
+            out.append(ids)
         return out
 
 
-_TABLES: dict[str, ChunkTable] = {}
+_TABLES: dict[str, WordTable] = {}
 
 
-def word_table(tokenizer_path: str) -> ChunkTable:
+def word_table(tokenizer_path: str) -> WordTable:
     """A Python worker keeps its table from task to task."""
     if tokenizer_path not in _TABLES:
-        _TABLES[tokenizer_path] = ChunkTable(WordEncoder(tokenizer_path))
+        _TABLES[tokenizer_path] = WordTable(WordEncoder(tokenizer_path), most=_WORDS)
     return _TABLES[tokenizer_path]
 
 
+def texts_of(batch: pa.RecordBatch, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets by text) of the column ``text``, each text with the end id. The tokenizer lower-cases but for special tokens; done before, the table has fewer words."""
+    data, off = tb.column_bytes(batch.column("text"))
+    special = (data[:-1] == 0x3C) & (data[1:] == 0x7C)  # <|
+    return table.words(data if special.any() else tb.LOWER[data], off, (END_ID,))
+
+
 def _pack(array: np.ndarray) -> bytes:
     raw = zlib.compress(array.tobytes(), 1)
     return struct.pack("<I", len(raw)) + raw
@@ -157,9 +171,7 @@ def _pieces(folder: str, tokenizer_path: str):
             return row
 
         for batch in tb.slices(batches):
-            data, off = tb.column_bytes(batch.column("text"))
-            raw = data.tobytes()
-            ids, offsets = table.texts([raw[a:b].split() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], (END_ID,))
+            ids, offsets = texts_of(batch, table)
             docs = batch.column("doc_id")
             held.append((docs.fill_null(0).to_numpy(zero_copy_only=False), docs.is_null().to_numpy(zero_copy_only=False), np.diff(offsets).astype(np.int64), ids))
             if sum(len(x[3]) for x in held) >= PIECE_IDS:
@@ -221,7 +233,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str) -> Data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("k"))
     placed = rows.repartitionByRange("doc_id", "k").sortWithinPartitions("doc_id", "k").select("doc_id", "text")
     pieces, _ = write_table(placed.mapInArrow(_pieces(raw_folder, tokenizer_path), _PIECE), "pieces")
-    release_shuffles(spark)
     counts = pieces.select(F.explode(F.map_from_arrays("ids", "counts")).alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary
     total = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
     total[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
@@ -230,8 +241,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str) -> Data
     spread = pieces.select("part", "seq", "path", "n_docs", "n_ids").repartition(_tasks(spark), F.col("path"))
     manifest, _ = write_table(spread.mapInArrow(_files(raw_folder, folder, lengths), "part long, seq long, path string, n_docs long, n_ids long"), "manifest")
     remove(spark, raw_folder)
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # over files, not documents
-    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    return with_starts(spark, manifest)
+
+
+def with_starts(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """``start``: the ids of all files before. Files are summed by part, of which there is one for each task; the sums go over all parts, the files over their own part."""
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(earlier(Window.orderBy("part"))), F.lit(0))).drop("n")
+    own = F.coalesce(F.sum("n_ids").over(earlier(Window.partitionBy("part").orderBy("seq"))), F.lit(0))
+    return manifest.withColumn("own", own).join(parts, "part").withColumn("start", F.col("base") + F.col("own")).drop("base", "own")
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
