@@ -2,13 +2,15 @@
 
 ``format("loomgrid_archive")`` writes Arrow batches of (key, payload) into zip
 archives, one wave file (8-bit PCM, mono) a member, and reads them again. The
-writer rolls archives at a size, so an archive's directory is bounded; the
-committed archives are listed in a manifest, and what failed or repeated tasks
-have left is not read. The reader plans byte ranges over the listed archives
-from their sizes alone; a task reads its archive's directory, takes the members
-that begin in its range, streams them in Arrow batches bounded by bytes, and
-reads a member that fails its checksum or its read again by its own offset,
-without touching the others.
+writer rolls archives at a size, so an archive's directory is bounded; each job
+that commits lists its archives in a manifest of its own, so jobs may append to
+a path (overwriting drops the earlier manifests), and what failed or repeated
+tasks have left is not read. The reader plans byte ranges over the listed
+archives from their sizes alone, larger ones for more data, so that their number
+stays bounded; a task reads its archives' directories, takes the members that
+begin in its range, streams them in Arrow batches bounded by bytes, and reads a
+member that fails its checksum or its read again by its own offset, without
+touching the others.
 
 Paths may name any store that pyarrow.fs knows.
 
@@ -39,12 +41,14 @@ from .workspace import new_path, tune
 
 NAME = "loomgrid_archive"
 BLOCK = 64
-MANIFEST = "_archives.json"
+MANIFEST = "_archives-"
 #: Fixed values of the zip and wave formats.
 _LOCAL, _CENTRAL, _END = "<4sHHHHHIIIHH", "<4sHHHHHHIIIHHHHHII", "<4sHHHHIIH"
 WAVE_HEADER, RATE = 44, 8000
 #: An archive ends at so many bytes or members; a planned range and a batch have so many bytes.
 ARCHIVE_BYTES, ARCHIVE_MEMBERS, RANGE_BYTES, BATCH_BYTES = 32 << 20, 60_000, 8 << 20, 2 << 20
+#: About so many ranges are planned at most; beyond, they are longer than RANGE_BYTES.
+MOST_RANGES = 100_000
 TRIES, WAIT_S = 3, 0.2
 
 
@@ -102,8 +106,8 @@ class _Archive:
 class ArchiveWriter(DataSourceArrowWriter):
     """Rows (key, n_bytes, payload) to archives; a member is named key_number_bytes. Files of attempts that don't commit are not in the manifest."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, folder = store(self.path)
@@ -125,8 +129,14 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, folder = store(self.path)
         fs.create_dir(folder, recursive=True)
-        with fs.open_output_stream(f"{folder}/{MANIFEST}") as out:
+        earlier = manifests(fs, folder) if self.overwrite else []
+        old = [name for m in earlier for name, _ in listed(fs, m)]
+        name = f"{folder}/{MANIFEST}{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(f"{name}.part") as out:
             out.write(json.dumps(sorted(a for m in messages if m for a in m.archives)).encode())
+        fs.move(f"{name}.part", name)  # whole or not at all
+        for path in [*earlier, *(f"{folder}/{x}" for x in old)]:
+            fs.delete_file(path)
 
     def abort(self, messages: list) -> None:
         fs, folder = store(self.path)
@@ -134,14 +144,38 @@ class ArchiveWriter(DataSourceArrowWriter):
             fs.delete_file(f"{folder}/{name}")
 
 
-@dataclass
-class ByteRange(InputPartition):
+def manifests(fs: pafs.FileSystem, folder: str) -> list[str]:
+    """The manifests of the jobs that have committed to a folder."""
+    found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    return sorted(x.path for x in found if x.base_name.startswith(MANIFEST) and x.base_name.endswith(".json"))
+
+
+def listed(fs: pafs.FileSystem, manifest: str) -> list[tuple[str, int]]:
+    with fs.open_input_stream(manifest) as f:
+        return [tuple(x) for x in json.loads(f.read())]
+
+
+@dataclass(frozen=True)
+class Span:
+    """Bytes of one archive."""
+
     archive: str
     size: int
     start: int
     end: int
 
 
+@dataclass
+class ByteRange(InputPartition):
+    """Bytes of the archives, one after the other: of one, or of neighbours."""
+
+    spans: tuple[Span, ...]
+
+    @property
+    def archive(self) -> str:
+        return self.spans[0].archive
+
+
 @dataclass(frozen=True)
 class Member:
     name: str
@@ -184,20 +218,33 @@ class ArchiveReader(DataSourceReader):
         self.strict = str(options.get("onError", "fail")).lower() == "fail"
 
     def archives(self) -> list[tuple[str, int]]:
+        """What the manifests list; all archives of a folder without any."""
         fs, folder = store(self.path)
-        if fs.get_file_info(f"{folder}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{folder}/{MANIFEST}") as f:
-                return [tuple(x) for x in json.loads(f.read())]
+        if found := manifests(fs, folder):
+            return [x for m in found for x in listed(fs, m)]
         return sorted((x.base_name, x.size) for x in fs.get_file_info(pafs.FileSelector(folder)) if x.base_name.endswith(".zip"))
 
     def partitions(self) -> list[InputPartition]:
-        return [ByteRange(name, size, a, min(a + self.range_bytes, size)) for name, size in self.archives() for a in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0, 0)]
+        archives = self.archives()
+        size = max(self.range_bytes, -(-sum(n for _, n in archives) // MOST_RANGES))
+        out, held, room = [], [], size
+        for name, n in archives:
+            at = 0
+            while at < n:
+                take = min(room, n - at)
+                held.append(Span(name, n, at, at + take))
+                at, room = at + take, room - take
+                if not room:
+                    out.append(ByteRange(tuple(held)))
+                    held, room = [], size
+        return [*out, ByteRange(tuple(held))] if held or not out else out
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
         fs, folder = store(self.path)
-        where = f"{folder}/{partition.archive}"
+        for span in partition.spans:
+            yield from self._span(fs, f"{folder}/{span.archive}", span)
+
+    def _span(self, fs, where: str, partition: Span) -> Iterator[pa.RecordBatch]:
         file = fs.open_input_file(where)
         members = [m for m in directory(file, partition.size) if partition.start <= m.offset < partition.end]
         at = 0
@@ -256,7 +303,7 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options["path"], self.options)
 
     def writer(self, schema, overwrite: bool):
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], overwrite)
 
 
 def payloads(docs: DataFrame) -> DataFrame:
@@ -271,10 +318,10 @@ def payloads(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) key", "cast(text as string) text").mapInArrow(run, "key long, n_bytes long, payload binary")
 
 
-def write_archives(rows: DataFrame, path: str) -> None:
-    """Rows (key long, n_bytes long, payload binary) into archives below ``path``."""
+def write_archives(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Rows (key long, n_bytes long, payload binary) into archives below ``path``, beside those of earlier jobs or instead of them."""
     rows.sparkSession.dataSource.register(ArchiveSource)
-    rows.select("key", "n_bytes", "payload").write.format(NAME).mode("append").save(path)
+    rows.select("key", "n_bytes", "payload").write.format(NAME).mode(mode).save(path)
 
 
 def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, on_error: str = "fail") -> DataFrame:
