@@ -8,6 +8,7 @@ use two of them with different seeds (128 bits).
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -24,6 +25,14 @@ LOWER[0x41:0x5B] += 0x20
 LONG_WORD = 255
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker runs tasks of many operators, one after the other."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +52,7 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` has about ``most`` bytes in each; a longer row stands alone."""
+    release()
     for batch in batches:
         _, off = column_bytes(batch.column(batch.schema.get_field_index(column)))
         at = 0
@@ -50,6 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
