@@ -10,8 +10,12 @@ ANCHOR + PERIOD words or more always share an aligned anchor.
 0. A document whose whole text has a smaller doc_id elsewhere repeats as a whole.
    Such copies are known from narrow rows of text hashes and only marked; they
    take no part in the steps below.
-1. Anchors are shuffled by hash; a stream over each sorted partition keeps those
-   that occur at two places or more (constant memory, however often one occurs).
+1. Each task combines the anchors of a stretch of text: those that occur several
+   times in it are known to repeat, and one row stands for them. What is left is
+   shuffled by hash, so a passage that a third of all documents share is one row
+   for each stretch and not one for each document; the known ones are spread at
+   random. A stream over each sorted partition keeps the anchors that occur at
+   two places or more (constant memory, however often one occurs).
 2. Where documents have repeated anchors, they extend: each window around one
    is hashed to 96 bits with its place in corpus order as one integer, the
    first place of a group is found by a combining aggregation, and only the
@@ -40,12 +44,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .workspace import release_shuffles, small_side, tune, with_row_key, write_table
+from .workspace import small_side, tune, with_row_key, write_table
 
 WINDOW, ANCHOR, PERIOD = 20, 8, 13
 # A perfect difference set; every non-zero residue modulo 13 is a difference of two of them.
 COVER = (0, 1, 3, 9)
 _ANCHOR_HASH, _FIRST_HASH, _SECOND_HASH = 11, 12, 13
+#: Anchors of so many bytes of text are combined before they are shuffled.
+COMBINE_BYTES = 4 << 20
+#: Kinds of rows: the only anchor of its hash in a stretch, one for several, and each of those several.
+ONE, SEVERAL, KNOWN = 0, 1, 2
 
 
 def _words(part: pa.RecordBatch):
@@ -54,49 +62,75 @@ def _words(part: pa.RecordBatch):
     return data, starts, ends, first
 
 
+def _combined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """(key, kind, doc_id, k1, at) of the anchors (h, doc_id, k1, at) of one stretch of text."""
+    h, doc, k1, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, doc, k1, at = h[order], doc[order], k1[order], at[order]
+    new = np.r_[True, h[1:] != h[:-1]]
+    several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+    spread = tb.mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + k1.view(np.uint64) + at.astype(np.uint64)).view(np.int64)
+    head = np.flatnonzero(new & several)
+    kind = np.r_[np.where(several, KNOWN, ONE), np.full(len(head), SEVERAL)].astype(np.int8)
+    row = np.r_[np.arange(len(h)), head]
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[np.where(several, spread, h), h[head]]), pa.array(kind), pa.array(doc[row]), pa.array(k1[row]), pa.array(at[row].astype(np.int32))], names=["key", "kind", "doc_id", "k1", "at"])
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher, cover = tb.Hasher(_ANCHOR_HASH), np.isin(np.arange(PERIOD), COVER)
-    seen: set[tuple[int, int, int]] = set()
+    held, sent, size = [], set(), 0
     for part in tb.slices(batches):
         data, starts, ends, first = _words(part)
         wanted = np.diff(first) >= WINDOW
-        for i, row in enumerate(zip(*(part.column(n).to_pylist() for n in ("doc_id", "k1", "k2")), strict=True)):
-            if row in seen:  # an exact repetition of a row that this task has sent
+        doc, k1 = (part.column(n).to_numpy() for n in ("doc_id", "k1"))
+        for i in np.flatnonzero(wanted).tolist():
+            if (row := (doc[i], k1[i])) in sent:  # an exact repetition of a row within the stretch
                 wanted[i] = False
-            seen.add(row)
-        if len(seen) > 200_000:
-            seen.clear()
+            sent.add(row)
         rows, at = tb.window_rows(first, ANCHOR)
         place = at - first[rows]
         keep = cover[place % PERIOD] & wanted[rows]
         rows, at, place = rows[keep], at[keep], place[keep]
         found = hasher.windows(hasher.words(data, starts, ends), ANCHOR)
-        take = pa.array(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(found[at].view(np.int64)), *(part.column(n).take(take) for n in ("doc_id", "k1")), pa.array(place.astype(np.int32))], names=["h", "doc_id", "k1", "at"])
+        if len(rows):
+            held.append((found[at].view(np.int64), doc[rows], k1[rows], place))
+        size += len(data)
+        if size >= COMBINE_BYTES and held:
+            yield _combined(held)
+            held, sent, size = [], set(), 0
+    if held:
+        yield _combined(held)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h, those whose h another row has too. The last row of a batch waits for the next."""
+    """Of rows sorted by key, the known ones and those whose hash another row has too. The last row of a batch waits for the next."""
+    tb.release()
     held: pa.RecordBatch | None = None
-    before = None  # the h before the held row
+    before = None  # the hash before the held row
+    names = ["doc_id", "k1", "at"]
     for batch in batches:
+        known = batch.column("kind").to_numpy() == KNOWN
+        if known.any():
+            yield batch.select(names).take(pa.array(np.flatnonzero(known)))
+            batch = batch.take(pa.array(np.flatnonzero(~known)))
         if not batch.num_rows:
             continue
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        h = batch.column(0).to_numpy()
+        h = batch.column("key").to_numpy()
         same = np.zeros(len(h), bool)
         same[1:] = h[1:] == h[:-1]
         if before is not None:
             same[0] = h[0] == before
         twin = same.copy()
         twin[:-1] |= same[1:]
+        twin &= batch.column("kind").to_numpy() == ONE
         if len(h) > 1:
-            yield batch.select(["doc_id", "k1", "at"]).take(pa.array(np.flatnonzero(twin[:-1])))
+            yield batch.select(names).take(pa.array(np.flatnonzero(twin[:-1])))
             before = int(h[-2])
         held = batch.slice(len(h) - 1)
-    if held is not None and before is not None and int(held.column(0)[0].as_py()) == before:
-        yield held.select(["doc_id", "k1", "at"])
+    if held is not None and before is not None and held.column("kind")[0].as_py() == ONE and held.column("key")[0].as_py() == before:
+        yield held.select(names)
 
 
 def _candidates(anchors: np.ndarray, of: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,10 +185,10 @@ def copies(known: DataFrame) -> DataFrame:
 
 def repeated_anchors(known: DataFrame) -> DataFrame:
     """(doc_id, k1, anchors): positions of the anchors that occur elsewhere too."""
-    rows = known.mapInArrow(_anchors, "h long, doc_id long, k1 long, at int")
-    sorted_rows = rows.repartition("h").sortWithinPartitions("h")
+    rows = known.mapInArrow(_anchors, "key long, kind tinyint, doc_id long, k1 long, at int")
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key")
     repeated = sorted_rows.mapInArrow(_repeated, "doc_id long, k1 long, at int")
-    return repeated.groupBy(*_ROW).agg(F.collect_list("at").alias("anchors"))
+    return repeated.groupBy(*_ROW).agg(F.collect_set("at").alias("anchors"))  # a set: exact repetitions of a row find the same
 
 
 def in_order(anchors: DataFrame) -> tuple[DataFrame, int]:
@@ -191,18 +225,15 @@ def _covered(part: pa.RecordBatch, first: np.ndarray) -> np.ndarray:
 
 def _marked(docs: DataFrame) -> DataFrame:
     """The documents with what was found for them; small tables stay in the shared folder."""
-    spark = tune(docs.sparkSession)
+    tune(docs.sparkSession)
     keyed = with_row_key(docs)
     known = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     copied, _ = write_table(copies(known), "copies")
     ordered, bits = in_order(repeated_anchors(known.join(small_side(copied), list(_ROW), "left_anti")))
-    release_shuffles(spark)
     firsts, _ = write_table(first_windows(known, ordered, bits), "firsts")
-    release_shuffles(spark)
     none = F.lit(None).cast("array<int>")
     found = ordered.join(firsts, "nth", "left").select(*_ROW, "anchors", "firsts", F.lit(False).alias("copy"))
     found, _ = write_table(found.unionByName(copied.select(*_ROW, none.alias("anchors"), none.alias("firsts"), F.lit(True).alias("copy"))), "repeats")
-    release_shuffles(spark)
     return keyed.join(found, _same(keyed, found), "left").select(keyed["doc_id"], keyed["text"], "anchors", "firsts", F.coalesce("copy", F.lit(False)).alias("copy"))
 
 
