@@ -1,7 +1,9 @@
 """Connected components of an edge table, by minimum labels with pointer jumping.
 
 Labels are written to the shared folder after each round, so lineage stays
-short; no edge, label or component reaches the driver.
+short; no edge, label or component reaches the driver. A vertex with very many
+edges meets its label in an inner join that adaptive execution splits, and the
+least label of its neighbours comes from a combining aggregation.
 """
 
 from __future__ import annotations

@@ -19,9 +19,12 @@ take l = n / 8, so sets of linked documents share many of them.
    sharing the overlap of common prefixes, and prunes subtrees that cannot reach
    the required overlap with what remains of both sets. Once a probe has joined
    sets into one component, only sets outside the largest one probe on: the
-   links left out lie within a component. Blocks over ``BLOCK_SETS`` are dealt
-   into parts, and every pair of parts meets once.
-4. The links, as stars, give connected components.
+   links left out lie within a component.
+4. Blocks of more than ``BLOCK_SETS`` sets or ``BLOCK_ELEMENTS`` elements are
+   dealt into parts, each with the leader in it, and joined part by part first.
+   Near copies mostly end in the leader's component; only sets outside it, if
+   there are any, then meet all parts of their block.
+5. The links, as stars, give connected components.
 
 Pairs are never written out one by one, and no set, fingerprint or link reaches
 the driver; only the frequent shingles do, at most ``FREQUENT`` of them.
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .workspace import release_shuffles, same_row, tune, with_row_key, write_table
+from .workspace import rows_in, same_row, tune, with_row_key, write_table
 
 SHINGLE = 5
 # The threshold 3/4 as a fraction.
@@ -52,7 +55,10 @@ NUMERATOR, DENOMINATOR = 3, 4
 FREQUENT, LEAST_FREQUENT = 1_000_000, 32
 #: Counters of the frequency summary in each task.
 COUNTERS = 1 << 18
-BLOCK_SETS = 16_384
+#: A task joins at most two such parts at once.
+BLOCK_SETS, BLOCK_ELEMENTS = 128, 4 << 20
+#: Rows of one leader are spread over so many keys where they are joined.
+SALTS = 8
 _SEED, HIGH = 21, np.uint64(1 << 63)
 
 
@@ -182,6 +188,7 @@ def _prefixes(frequent: np.ndarray, rank: np.ndarray):
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (code, p, q): (leader, member, shared) for the sets of each code that several have; the leader is the first and a member too."""
+    tb.release()
     last, waiting, n = None, [], 0  # last: code, leader's p and q, whether it has been counted, last p and q
 
     def flush():
@@ -310,17 +317,23 @@ class Trie:
         return found[open_sets[found]]
 
 
-def block_links(sets: list[np.ndarray]) -> np.ndarray:
-    """The component of each set of a block, named by one of its members; every link of the block lies within one."""
+def block_links(sets: list[np.ndarray], known: np.ndarray | None = None, probing: np.ndarray | None = None) -> np.ndarray:
+    """The component of each set of a block, named by one of its members; every link of the block lies within one.
+
+    ``known``: labels of components that are known before. ``probing``: only
+    links with one of these sets are asked for, and all of them probe.
+    """
     trie = Trie(sets)
     n = len(sets)
     part = np.arange(n)
-    count = np.ones(n, np.int64)
-    todo = np.ones(n, bool)
+    if known is not None:
+        _, first, label = np.unique(known[trie.order], return_index=True, return_inverse=True)
+        part = first[label]
+    count = np.bincount(part, minlength=n)
+    todo = np.ones(n, bool) if probing is None else probing[trie.order]
     at = 0
     while True:
-        largest = int(count.argmax())
-        waiting = todo & (part != largest)
+        waiting = todo & (part != int(count.argmax())) if probing is None else todo
         if not waiting.any():
             break
         if not waiting[at]:
@@ -340,16 +353,24 @@ def block_links(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _join_blocks(frequent: np.ndarray, rank: np.ndarray):
+    """Rows (leader, i, j, root, probe, text) sorted by block to links (a, b): a set and the least one of its component in the block. Without a root all sets probe."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, {}
 
         def links():
             prints = list(members)
-            root = block_links([members[p] for p in prints]) if len(prints) > 1 else np.zeros(len(prints), np.int64)
+            if len(prints) < 2:
+                return []
+            sets, roots, probes = zip(*members.values(), strict=True)
+            if roots[0] is None:
+                component = block_links(list(sets))
+            else:
+                component = block_links(list(sets), np.unique(np.array(roots), return_inverse=True)[1], np.array(probes))
             least: dict[int, bytes] = {}
-            for p, r in zip(prints, root.tolist(), strict=True):
+            for p, r in zip(prints, component.tolist(), strict=True):
                 least[r] = min(p, least.get(r, p))
-            return [(least[r], p) for p, r in zip(prints, root.tolist(), strict=True) if least[r] != p]
+            return [(least[r], p) for p, r in zip(prints, component.tolist(), strict=True) if least[r] != p]
 
         def batch_of(pairs):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
@@ -359,12 +380,13 @@ def _join_blocks(frequent: np.ndarray, rank: np.ndarray):
             codes = _coded(found, offsets, frequent, rank)
             prints = fingerprints(found, offsets).astype(">u8").view(np.uint8).reshape(-1, 16)
             out = []
-            blocks = zip(part.column("leader").to_pylist(), part.column("i").to_pylist(), part.column("j").to_pylist(), strict=True)
-            for r, block in enumerate(blocks):
+            rows = zip(*(part.column(c).to_pylist() for c in ("leader", "i", "j", "root", "probe")), strict=True)
+            for r, (*block, root, probe) in enumerate(rows):
                 if block != key:
                     out += links()
                     key, members = block, {}
-                members[prints[r].tobytes()] = codes[offsets[r] : offsets[r + 1]]
+                p = prints[r].tobytes()
+                members[p] = (codes[offsets[r] : offsets[r + 1]], root, probe or (p in members and members[p][2]))
             yield batch_of(out)
         yield batch_of(links())
 
@@ -387,7 +409,7 @@ def surveyed(keyed: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
 
 
 def memberships(shared: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(leader, member) that links may need.
+    """(leader, member, n) that links may need.
 
     ``shared``: (leader, member, shared), the number of the member's prefix
     elements under that leader; ``sizes``: (print, n). A link shares at least
@@ -399,39 +421,85 @@ def memberships(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     known = all_of.join(sizes, all_of["member"] == sizes["print"]).withColumn("least", F.greatest(F.lit(1), F.floor(F.col("n") * NUMERATOR / (DENOMINATOR * SPARE))))
     own = Window.partitionBy("member")
     known = known.withColumn("total", F.sum("shared").over(own)).withColumn("lost", F.sum("shared").over(own.orderBy("shared", "leader").rowsBetween(Window.unboundedPreceding, 0)))
-    return known.where((F.col("total") >= F.col("least")) & (2 * F.col("lost") > F.col("least") - 1)).select("leader", "member")
+    return known.where((F.col("total") >= F.col("least")) & (2 * F.col("lost") > F.col("least") - 1)).select("leader", "member", "n")
+
+
+def by_leader(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+    """``rows`` (leader, member, ...) joined with a row for each leader, spread by member: a leader may have a third of all rows."""
+    salt = F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int")
+    each = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(each, ["leader", "salt"]).drop("salt")
+
+
+def parts_by_leader(rows: DataFrame, name: str) -> DataFrame:
+    """(leader, ``name``): the number of parts that rows (leader, member, n) are dealt into; none for a single row."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int")
+    return rows.groupBy("leader").agg(F.count(F.lit(1)).alias("sets"), parts.alias(name)).select("leader", name, "sets")
+
+
+def dealt_blocks(pairs: DataFrame) -> DataFrame:
+    """(leader, member, n) to (leader, member, n, parts, part); blocks of one go."""
+    sizes = parts_by_leader(pairs, "parts").where("sets > 1").drop("sets")
+    return by_leader(pairs, sizes).withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+
+
+def first_blocks(dealt: DataFrame) -> DataFrame:
+    """(leader, i, j, member, root, probe): each part on its own, with the leader in it where there are several."""
+    several = dealt.where("parts > 1").select("leader", "parts").distinct()
+    hubs = several.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("member"))
+    rows = dealt.select("leader", "part", "member").unionByName(hubs)
+    return rows.select("leader", F.col("part").alias("i"), F.col("part").alias("j"), "member", F.lit(None).cast("binary").alias("root"), F.lit(True).alias("probe"))
 
 
-def blocks_of(pairs: DataFrame) -> DataFrame:
-    """(leader, member) to (leader, i, j, member): blocks over BLOCK_SETS become all pairs of their parts; blocks of one go."""
-    sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leader", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("parts"))
-    dealt = pairs.join(sizes, "leader")
-    part = F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")
-    dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    alone = (F.col("parts") == 1) | (F.col("part") != F.col("other"))  # a part meets itself in each of its pairs
-    return dealt.where(alone).select("leader", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "member")
+def second_blocks(big: DataFrame, roots: DataFrame) -> DataFrame:
+    """The same for the sets of divided blocks that are not in their leader's component: parts of them with every part of their block."""
+    own = F.coalesce("root", "member")
+    named = big.join(roots, big["member"] == roots["v"], "left").select("leader", "member", "n", "parts", "part", own.alias("root"))
+    hubs = big.select("leader").distinct().join(roots, F.col("leader") == F.col("v"), "left").select("leader", F.coalesce("root", "leader").alias("hub"))
+    named, _ = write_table(by_leader(named, hubs).withColumn("out", F.col("root") != F.col("hub")).drop("hub"), "rooted")
+    others = named.where("out")
+    met = by_leader(named, parts_by_leader(others, "other_parts").drop("sets"))
+    other = F.pmod(F.xxhash64("member"), F.col("other_parts")).cast("int")
+    inner = met.select("leader", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)).alias("j"), "member", "root", F.lit(False).alias("probe"))
+    outer = met.where("out").select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), other.alias("j"), "member", "root", F.lit(True).alias("probe"))
+    return inner.unionByName(outer)
+
+
+def class_texts(keyed: DataFrame, each: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` with the text of one document of each class, a written table: the texts are read and shuffled just once."""
+    classes = each.groupBy("print").agg(F.min(F.struct(*_KEYS)).alias("one"))
+    placed = members.join(classes, members["member"] == classes["print"]).select(*members.columns, F.col("one.doc_id").alias("doc_id"), F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2"))
+    placed, _ = write_table(placed, "placed")
+    # One strategy at every size: a plan that broadcasts small tables only would hide what large ones cost.
+    return write_table(keyed.join(placed.hint("merge"), same_row(keyed, placed)).select(*members.columns, keyed["text"]), "block-texts")[0]
+
+
+def joined_blocks(rows: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(a, b): the links of blocks, whose sets are made anew from the texts."""
+    rows = rows.select("leader", "i", "j", "root", "probe", "text")
+    blocks = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    return write_table(blocks.mapInArrow(_join_blocks(frequent, rank), "a binary, b binary").distinct(), "links")[0]
 
 
 def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a row for each document with its set fingerprint, (v, root) of the fingerprints in links)."""
-    spark = tune(docs.sparkSession)
+    tune(docs.sparkSession)
     keyed = with_row_key(docs)
     each, frequent, rank = surveyed(keyed)
     rows = keyed.select("text").mapInArrow(_prefixes(frequent, rank), "code long, p long, q long")
     pairs = rows.repartition("code").sortWithinPartitions("code", "p", "q").mapInArrow(_leaders, "leader binary, member binary, shared long")
     sizes = each.groupBy("print").agg(F.max("n_shingles").alias("n"))
     pairs, _ = write_table(memberships(pairs, sizes), "leaders")
-    release_shuffles(spark)
-    classes = each.groupBy("print").agg(F.min(F.struct(*_KEYS)).alias("one"))
-    members = blocks_of(pairs)
-    placed = members.join(classes, members["member"] == classes["print"]).select("leader", "i", "j", F.col("one.doc_id").alias("doc_id"), F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2"))
-    placed, _ = write_table(placed, "placed")
-    # One strategy at every size: a plan that broadcasts small tables only would hide what large ones cost.
-    texts = keyed.join(placed.hint("merge"), same_row(keyed, placed)).select("leader", "i", "j", keyed["text"])
-    blocks = texts.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    links, _ = write_table(blocks.mapInArrow(_join_blocks(frequent, rank), "a binary, b binary").distinct(), "links")
-    release_shuffles(spark)
-    return each, components(links)
+    dealt, _ = write_table(dealt_blocks(pairs), "blocks")
+    texts = class_texts(keyed, each, first_blocks(dealt))
+    links = joined_blocks(texts, frequent, rank)
+    roots = components(links)
+    big = dealt.where("parts > 1")
+    if not big.isEmpty():
+        text_of = texts.select("member", "text").dropDuplicates(["member"])
+        more = joined_blocks(second_blocks(big, roots).join(text_of, "member"), frequent, rank)
+        roots = components(links.unionByName(more))
+    return each, roots
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -453,8 +521,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, its smallest doc_id, with all columns; documents without words all stay but for exact repetitions."""
-    kept = grouped(docs).select(F.col("first.doc_id").alias("__d"), F.col("first.k1").alias("__a"), F.col("first.k2").alias("__b")).distinct()
-    key = [F.col("doc_id").cast("long"), F.xxhash64("text"), F.hash("text")]
-    own = docs.withColumns({"__x": key[0], "__y": key[1], "__z": key[2]})
-    staying = own.join(kept.hint("merge"), F.col("__x").eqNullSafe(F.col("__d")) & (F.col("__y") == F.col("__a")) & (F.col("__z") == F.col("__b")), "left_semi")
-    return staying.dropDuplicates(["__x", "__y", "__z"]).select(*docs.columns)
+    kept = grouped(docs).select("first.doc_id", "first.k1", "first.k2").distinct()
+    return rows_in(docs, kept, "left_semi", merge=True, once=True)
