@@ -1,15 +1,22 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame functions only.
 
 Benchmark items become windows of ten words. A first pass over the documents
-counts the windows' terms. Each window is filed under its rarest term with that
-term's offset; a second pass stores the postings (document, position) of those
-rarest terms alone, each with the terms at the offsets around it. A posting and
-a window of the same term then intersect all ten offset-adjusted lists at once:
-the neighbours must be the window's other terms. Proximity matches ask for the
-same terms, as often, within the window's length plus a slop, in any order.
-
-No text is shuffled: terms and windows are broadcast when their counted number
-is within a bound, and joined by shuffle else; only matches are grouped.
+counts the windows' terms, and each window is filed under its rarest term, with
+its next rarest. The index holds postings (document, term, position) as written
+tables, and lists are intersected from the rarest on. First come the lists of
+the two rarest terms of every window, for all documents: a posting of a rarest
+term stays where a next rarest one stands near it (for exact matches just at its
+own offset). Where any stay, the document's postings of all other terms of the
+benchmark are stored too, and looked up around the places that stayed: a window
+matches where every term has a posting at the position its offset asks for.
+Proximity matches ask for the same terms, as often, within the window's length
+plus a slop, in any order.
+
+No text is shuffled but that of documents where a place stays, when there are
+too many of them for a broadcast. Terms are broadcast when their measured
+number and size are within bounds. Else a sieve of bits drops most unknown
+words where they are read, counts are combined before they meet the terms, and
+joins by term are salted, so that a very frequent term is spread.
 
 Defined results: null or empty texts have no words and no hits; an item without
 words has no window; a null item_id marks hits but is not counted or listed;
@@ -20,10 +27,10 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import same_row, small_side, with_row_key
+from .workspace import is_small, rows_in, same_row, small_side, with_row_key, write_table
 
 # The bytes between words once A-Z are lower-cased, and the window's length.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,6 +38,11 @@ WINDOW = 10
 #: Words that may stand between the terms of a proximity match.
 SLOP = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Where terms are joined by a shuffle, the rows of one term are spread over so many keys.
+SALTS = 32
+#: Bits of the sieve for a term, and its most longs (16 MB).
+SIEVE_BITS, SIEVE_LONGS = 16, 1 << 21
+_KEYS = ("doc_id", "k1", "k2")
 
 
 def lower_ascii(text: Column) -> Column:
@@ -42,88 +54,157 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows: (terms, items)."""
+def windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Written tables of the distinct windows (wid, terms) and of the items that have them (wid, item_id)."""
     split = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (size - 1)))
-    each = split.select("item_id", "w", F.explode(starts).alias("i")).select("item_id", F.slice("w", F.col("i"), size).alias("terms"))
-    return each.groupBy("terms").agg(F.collect_set("item_id").alias("items"))
+    each, _ = write_table(split.select("item_id", "w", F.explode(starts).alias("i")).select("item_id", F.slice("w", F.col("i"), size).alias("terms")).distinct(), "item-windows")
+    found, _ = write_table(each.select("terms").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
+    named, _ = write_table(each.where("item_id IS NOT NULL").join(found, "terms").select("wid", "item_id"), "window-items")
+    return found, named
+
+
+def sieve(terms: DataFrame, longs: int) -> DataFrame:
+    """One row with ``bits``: a hashed bit for each term."""
+    h = F.xxhash64("term")
+    filled = terms.select(F.pmod(h, F.lit(longs)).alias("i"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int").alias("bit")).groupBy("i").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("b"))
+    whole = terms.sparkSession.range(longs).withColumnRenamed("id", "i").join(filled, "i", "left").select(F.struct("i", F.coalesce("b", F.lit(0).cast("long")).alias("b")).alias("x"))
+    return whole.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]).alias("bits"))
+
+
+def sieved_words(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, at, term): the places of words that may be among ``terms``."""
+    longs = min(SIEVE_LONGS, max(1, 1 << (SIEVE_BITS * terms.count() // 64).bit_length()))
+    placed = F.transform(words(F.col("text")), lambda x, i: F.struct(i.alias("at"), x.alias("term")))
+
+    def maybe(x):
+        h = F.xxhash64(x["term"])
+        return F.getbit(F.get("bits", F.pmod(h, F.lit(longs)).cast("int")), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")) == 1
+
+    both = docs.crossJoin(F.broadcast(sieve(terms, longs)))  # with one row of bounded size
+    return both.select(*_KEYS, F.inline(F.filter(placed, maybe)))
+
+
+def by_term(rows: DataFrame, terms: DataFrame, how: str) -> DataFrame:
+    """``rows`` (doc_id, at, term, ...) joined with a table of terms: by a broadcast within the bounds, else by a salted shuffle."""
+    if is_small(terms):
+        return rows.join(F.broadcast(terms), "term", how)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int"))
+    return salted.join(terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"], how).drop("salt")
 
 
-def filed_windows(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(term, offset, terms, items): each window under its rarest term by the documents' counts; windows with an absent term are left out."""
-    found = windows(items, size)
-    vocabulary = found.select(F.explode("terms").alias("term")).distinct()
-    counts = docs.select(F.explode(words(F.col("text"))).alias("term")).join(small_side(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    each = found.select("terms", "items", F.posexplode("terms").alias("offset", "term")).join(counts, "term")
-    best = each.groupBy("terms").agg(F.min(F.struct("n", "offset", "term")).alias("best"), F.count(F.lit(1)).alias("known"), F.first("items").alias("items"))
-    return best.where(F.col("known") == F.size("terms")).select(F.col("best.term").alias("term"), F.col("best.offset").alias("offset"), "terms", "items")
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, at, term): the places, from 0, of the words among ``terms``, a written table; once for repeated rows."""
+    if is_small(terms):
+        placed = docs.select(*_KEYS, F.posexplode(words(F.col("text"))).alias("at", "term"))
+    else:
+        placed = sieved_words(docs, terms)
+    return by_term(placed, terms, "left_semi").select(*_KEYS, "at", "term").distinct()
 
 
-def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """(doc_id, k1, k2, term, at, before, around): positions of ``terms``, from 0, with the words up to ``reach`` before and after."""
-    split = docs.select("doc_id", "k1", "k2", words(F.col("text")).alias("w"))
-    hit = split.select("doc_id", "k1", "k2", "w", F.posexplode("w").alias("at", "term")).join(small_side(terms), "term", "left_semi")
-    before = F.least(F.col("at"), F.lit(reach))
-    return hit.select("doc_id", "k1", "k2", "term", "at", before.alias("before"), F.slice("w", F.col("at") - before + 1, before + 1 + reach).alias("around"))
+def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n): occurrences of ``terms`` in the documents; absent ones are left out."""
+    if is_small(terms):
+        found = docs.select(F.explode(words(F.col("text"))).alias("term")).join(F.broadcast(terms), "term", "left_semi")
+        return found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return sieved_words(docs, terms).groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term")
+
+
+def filed_windows(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, offset, wid, terms, next_term, next_offset): each window under its rarest term by the documents' counts, with its next rarest, if it has several; windows with an absent term are left out."""
+    counts, _ = write_table(term_counts(docs, terms), "term-counts")
+    each = found.select("wid", "terms", F.posexplode("terms").alias("offset", "term")).join(small_side(counts), "term")
+    ranked = each.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("r"), F.first("terms").alias("terms"))
+    first, more = F.col("r")[0], F.get(F.filter("r", lambda x: x["term"] != F.col("r")[0]["term"]), F.lit(0))
+    return ranked.where(F.size("r") == F.size("terms")).select(first["term"].alias("term"), first["offset"].alias("offset"), "wid", "terms", more["term"].alias("next_term"), more["offset"].alias("next_offset"))
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
-    """(doc_id, k1, k2, start, length, items): every occurrence of a window.
+    """``window_matches`` of the items' windows."""
+    return window_matches(docs, windows(items, size)[0], size, slop)
 
-    ``slop`` over 0 gives proximity matches: all terms of the window, as often as
-    there and in any order, within a stretch of its length + slop words that holds
-    the rarest; ``start`` and ``length`` name each such stretch.
-    """
-    filed = filed_windows(docs, items, size).cache()
-    index = postings(docs, filed.select("term").distinct(), size - 1 + slop)
-    both = index.join(small_side(filed), "term")
-    n = F.size("terms")
-    if not slop:
-        first = F.col("before") - F.col("offset") + 1
-        both = both.where((first >= 1) & (F.slice("around", F.greatest(first, F.lit(1)), n) == F.col("terms")))
-        return both.select("doc_id", "k1", "k2", (F.col("at") - F.col("offset")).alias("start"), n.alias("length"), "items")
-    both = both.where(F.size(F.array_except("terms", "around")) == 0)
-    firsts = F.sequence(F.greatest(F.lit(1), F.col("before") + 2 - n - slop), F.col("before") + 1)
-    both = both.withColumn("first", F.explode(firsts)).withColumn("near", F.slice("around", F.col("first"), n + slop))
-    often = lambda column, term: F.size(F.filter(column, lambda x: x == term))
-    both = both.where(F.size(F.array_except("terms", "near")) == 0).where(F.forall(F.array_distinct("terms"), lambda t: often("near", t) >= often("terms", t)))
-    return both.select("doc_id", "k1", "k2", (F.col("at") - F.col("before") + F.col("first") - 1).alias("start"), F.size("near").alias("length"), "items")
-
-
-def hits(found: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, n_hit, item_list) of the documents with matches; a document's matches are bounded by its length."""
-    covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("length") - 1))))
-    return found.groupBy("doc_id", "k1", "k2").agg(F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_list"))
-
-
-def _exact(keyed: DataFrame, items: DataFrame) -> DataFrame:
-    found = hits(matches(keyed, items))
-    counted = keyed.select("doc_id", "k1", "k2", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = counted.join(found, same_row(counted, found), "left")
-    listed = F.coalesce(found["item_list"], F.array().cast("array<string>"))
-    n_hit = F.coalesce(found["n_hit"], F.lit(0).cast("long"))
-    return out.select(counted["doc_id"], counted["k1"], counted["k2"], counted["n_words"], n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
+def window_matches(docs: DataFrame, found: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
+    """(doc_id, k1, k2, wid, start, length, exact): the matches of the windows (wid, terms) of at most ``size`` terms.
 
-def report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row for each document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    return _exact(with_row_key(docs), items).drop("k1", "k2")
+    Exact ones are every occurrence, from ``start`` and ``length`` long. With a
+    ``slop`` over 0 there are proximity matches too, with null in those columns:
+    all terms of a window, as often as there and in any order, within a stretch
+    of its length + slop words.
+    """
+    terms, _ = write_table(found.select(F.explode("terms").alias("term")).distinct(), "terms")
+    filed, _ = write_table(filed_windows(docs, found, terms), "filed-windows")
+    leading, _ = write_table(filed.select(F.explode(F.array("term", "next_term")).alias("term")).where("term IS NOT NULL").distinct(), "leading-terms")
+    index, _ = write_table(postings(docs, leading), "leading-postings")
+    reach = size - 1 + slop
+    beside = F.collect_list(F.struct("at", "term")).over(Window.partitionBy(*_KEYS).orderBy("at").rangeBetween(-reach, reach))  # at most 2 reach + 1
+    by_rarest = by_term(index.withColumn("beside", beside), filed.drop("terms"), "inner")
+    fits = F.exists("beside", lambda x: (x["term"] == F.col("next_term")) & (F.lit(slop > 0) | (x["at"] == F.col("at") - F.col("offset") + F.col("next_offset"))))
+    staying, _ = write_table(by_rarest.where(F.col("next_term").isNull() | fits).select(*_KEYS, "at", "term").distinct(), "staying-postings")
+    having, _ = write_table(staying.select(*_KEYS).distinct(), "documents-with-places")
+    others, _ = write_table(postings(rows_in(docs, having, "left_semi"), terms), "postings")
+
+    asked = staying.select(*_KEYS, "at", "term", F.explode(F.sequence(F.col("at") - reach, F.col("at") + reach)).alias("place")).where("place >= 0")
+    listed = others.select(*(F.col(c).alias(f"of_{c}") for c in _KEYS), F.col("at").alias("of_place"), F.col("term").alias("other"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("k1") == F.col("of_k1")) & (F.col("k2") == F.col("of_k2")) & (F.col("place") == F.col("of_place"))
+    around = asked.join(listed, same).groupBy(*_KEYS, "at", "term").agg(F.collect_list(F.struct("place", "other")).alias("near"))  # at most 2 reach + 1
+    both = by_term(around, filed.drop("next_term", "next_offset"), "inner")
+
+    n, first = F.size("terms"), F.col("at") - F.col("offset")
+    in_place = F.size(F.filter("near", lambda x: F.get("terms", x["place"] - first) == x["other"]))
+    exact = (first >= 0) & (in_place == n)
+    both = both.withColumn("exact", exact)
+    if slop:
+        often = lambda t, at: F.size(F.filter("near", lambda x: (x["other"] == t) & (x["place"] >= at) & (x["place"] < at + n + slop)))
+        wanted = lambda t: F.size(F.filter("terms", lambda x: x == t))
+        all_in = lambda at: F.forall(F.array_distinct("terms"), lambda t: often(t, at) >= wanted(t))
+        every = F.size(F.array_except("terms", F.transform("near", lambda x: x["other"]))) == 0
+        both = both.where(F.col("exact") | (every & F.exists(F.sequence(F.col("at") - n - slop + 1, F.col("at")), all_in)))
+    else:
+        both = both.where("exact")
+    return both.select(*_KEYS, "wid", F.when(F.col("exact"), first).alias("start"), F.when(F.col("exact"), n).alias("length"), "exact")
+
+
+def hit_words(found: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, n_hit): the words that exact matches cover."""
+    covered = found.where("exact").select(*_KEYS, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("place")).distinct()
+    return covered.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n_hit"))
+
+
+def matched_items(found: DataFrame, named: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, exact_items, near_items): sorted item ids; the second are all."""
+    windows_of = found.groupBy(*_KEYS, "wid").agg(F.max("exact").alias("exact"))
+    items_of = windows_of.join(small_side(named), "wid", "left").groupBy(*_KEYS, "item_id").agg(F.max("exact").alias("exact"))
+    return items_of.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item_id")))).alias("exact_items"), F.array_sort(F.collect_list("item_id")).alias("near_items"))
 
 
 def report_near(docs: DataFrame, items: DataFrame, slop: int = SLOP) -> DataFrame:
-    """The report, and from proximity matches n_near_items, near_items_sha256, near."""
+    """One row for each document: n_words, n_hit, n_items, items_sha256, contaminated; and of proximity matches, exact ones among them, n_near_items, near_items_sha256, near."""
     keyed = with_row_key(docs)
-    exact = _exact(keyed, items)
-    found = matches(keyed, items, slop=slop).groupBy("doc_id", "k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("near_list"))
-    listed = F.coalesce(found["near_list"], F.array().cast("array<string>"))
-    out = exact.join(small_side(found), same_row(exact, found), "left")
-    return out.select(*(exact[c] for c in exact.columns if c not in ("k1", "k2")), F.size(listed).cast("long").alias("n_near_items"), F.sha2(F.array_join(listed, ","), 256).alias("near_items_sha256"), found["near_list"].isNotNull().alias("near"))
+    found, named = windows(items)
+    found, _ = write_table(window_matches(keyed, found, slop=slop), "matches")
+    hits, _ = write_table(hit_words(found), "hits")
+    by_items, _ = write_table(matched_items(found, named), "matched-items")
+    out = keyed.select(*_KEYS, F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    for more in (hits, by_items):
+        both = out.join(small_side(more), same_row(out, more), "left")
+        out = both.select(*(out[c] for c in out.columns), *(more[c] for c in more.columns if c not in _KEYS))
+    none = F.array().cast("array<string>")
+    exact, near, n_hit = F.coalesce("exact_items", none), F.coalesce("near_items", none), F.coalesce("n_hit", F.lit(0).cast("long"))
+    digest = lambda listed: F.sha2(F.array_join(listed, ","), 256)
+    return out.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(exact).cast("long").alias("n_items"), digest(exact).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.size(near).cast("long").alias("n_near_items"), digest(near).alias("near_items_sha256"), F.col("near_items").isNotNull().alias("near"),
+    )
+
+
+def report(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same without proximity matches."""
+    return report_near(docs, items, slop=0).drop("n_near_items", "near_items_sha256", "near")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without hits, with all their columns."""
-    key = [F.col("doc_id").cast("long"), F.xxhash64("text"), F.hash("text")]
-    found = matches(with_row_key(docs), items).select("doc_id", "k1", "k2").distinct().select(F.col("doc_id").alias("__d"), F.col("k1").alias("__a"), F.col("k2").alias("__b"))
-    bad = small_side(found)
-    return docs.join(bad, key[0].eqNullSafe(F.col("__d")) & (key[1] == F.col("__a")) & (key[2] == F.col("__b")), "left_anti")
+    """The documents without exact hits, with all their columns."""
+    found, _ = windows(items)
+    bad, _ = write_table(window_matches(with_row_key(docs), found).select(*_KEYS).distinct(), "contaminated")
+    return rows_in(docs, bad, "left_anti")

@@ -87,20 +87,28 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n
 """
 
 _WORDS7 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+# Proximity: an anchor term of each window (its longest) has places in a document, and some stretch of the window's length + 2 words about one of them holds every term as often.
 OP7 = f"""
-WITH d AS (SELECT doc_id, {_WORDS7} AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS7} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS7} AS w FROM benchmark),
-bw AS (SELECT DISTINCT item, array_to_string(w[i:i + 9], ' ') AS k, least(10, len(w)) AS n
+bw AS (SELECT DISTINCT item, w[i:i + 9] AS ts, array_to_string(w[i:i + 9], ' ') AS k, least(10, len(w)) AS n
        FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 m AS (SELECT DISTINCT doc_id, i, bw.n, item FROM dw JOIN bw ON dw.k = bw.k AND dw.n = bw.n),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m WHERE item IS NOT NULL) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m WHERE item IS NOT NULL) GROUP BY doc_id),
+uw AS (SELECT DISTINCT k, ts, n, list_reduce(ts, lambda x, y: CASE WHEN length(y) > length(x) THEN y ELSE x END) AS anchor FROM bw),
+dp AS (SELECT r, doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p, w FROM d),
+c AS (SELECT doc_id, k, ts, n, w[greatest(1, p - n - 1):p + n + 1] AS near FROM dp JOIN uw ON t = anchor),
+nm AS (SELECT DISTINCT doc_id, k FROM c WHERE list_has_all(near, ts) AND len(list_filter(range(1, greatest(2, len(near) - n)),
+       lambda s: len(list_filter(ts, lambda t: len(list_filter(near[s:s + n + 1], lambda x: x = t)) < len(list_filter(ts, lambda x: x = t)))) = 0)) > 0),
+ni AS (SELECT doc_id, count(DISTINCT item) AS n_near, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM nm JOIN bw ON nm.k = bw.k GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+  sha256(coalesce(it.items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near_items, sha256(coalesce(ni.items, '')) AS near_items_sha256, ni.doc_id IS NOT NULL AS near
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id LEFT JOIN ni ON d.doc_id = ni.doc_id
 """
 
 _AFTER8 = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"

@@ -29,7 +29,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(_table(spark, sf_dir, "documents"))
 
 
-def op4_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages, where markup and address suffix speak, by the models of the documents."""
     return language_id.page_report(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
@@ -45,11 +45,6 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-
-
-def op7_benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of op7_benchmark_decontamination with those of proximity matches beside them."""
     return decontamination.report_near(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
@@ -69,4 +64,4 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
-    return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
+    return {f.__name__: f for f in [*sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0])), page_language]}
