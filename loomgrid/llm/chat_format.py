@@ -11,7 +11,8 @@ turns as (start, length) in code points.
 
 Turns are range-partitioned by (conversation, turn), so a conversation with a
 third of all rows is formatted by many tasks, in fragments of whole turns.
-Reading back, only the digests run through a conversation in order, one
+Reading back, fragments are parsed and unescaped where they lie; only the two
+running hashes, sequential by nature, pass through a conversation in order, one
 fragment in memory at a time.
 
 Defined results: rows are ordered by turn, null first, ties by role, then text;
@@ -175,6 +176,19 @@ def read_turns(formatted: DataFrame) -> DataFrame:
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_READ = "conv_id long, fragment long, n_turns long, turns binary, loss_chars long, loss binary, formatted_chars long"
+
+
+def _read_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parsed and unescaped fragments: what the digests of a conversation are taken of."""
+    for batch in batches:
+        rows = []
+        for text, starts, lengths in zip(*(batch.column(n).to_pylist() for n in ("formatted", "loss_starts", "loss_lengths")), strict=True):
+            turns = parse(text)
+            loss = "".join([unescape(text[a : a + n]) for a, n in zip(starts, lengths, strict=True)])
+            rows.append((len(turns), "".join([f"{role}\n{said}\n" for role, said in turns]).encode(), len(loss), loss.encode(), len(text)))
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("fragment"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=[x.split()[0] for x in _READ.split(", ")])
 
 
 def digest(formatted: DataFrame) -> DataFrame:
@@ -183,34 +197,30 @@ def digest(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         state = None  # conv_id, turns, hash of turns, loss characters, hash of loss, formatted characters
 
-        def row():
-            return (state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5])
-
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
+        def row():
+            return (state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5])
+
         for batch in batches:
             rows = []
-            columns = [batch.column(n).to_pylist() for n in ("conv_id", "formatted", "loss_starts", "loss_lengths")]
-            for conv, text, starts, lengths in zip(*columns, strict=True):
+            for conv, n, turns, chars, loss, size in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "n_turns", "turns", "loss_chars", "loss", "formatted_chars")), strict=True):
                 if state is None or state[0] != conv:
                     if state:
                         rows.append(row())
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said in parse(text):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{said}\n".encode())
-                for a, n in zip(starts, lengths, strict=True):
-                    said = unescape(text[a : a + n])
-                    state[3] += len(said)
-                    state[4].update(said.encode())
-                state[5] += len(text)
+                state[1] += n
+                state[2].update(turns)
+                state[3] += chars
+                state[4].update(loss)
+                state[5] += size
             yield batch_of(rows)
         if state:
             yield batch_of([row()])
 
-    ordered = formatted.select("conv_id", "fragment", "formatted", "loss_starts", "loss_lengths").repartition("conv_id").sortWithinPartitions("conv_id", "fragment")
-    return ordered.mapInArrow(run, DIGESTS)
+    read = formatted.select("conv_id", "fragment", "formatted", "loss_starts", "loss_lengths").mapInArrow(_read_fragments, _READ)
+    return read.repartition("conv_id").sortWithinPartitions("conv_id", "fragment").mapInArrow(run, DIGESTS)
 
 
 def with_example(turns: DataFrame) -> DataFrame:
