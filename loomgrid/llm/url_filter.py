@@ -19,7 +19,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import small_side
+from .workspace import small_side, write_table
 
 # The declared rules as (verdict, host, path).
 RULES = (
@@ -119,7 +119,7 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     counts = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     wanted = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token"))
     index = wanted.join(counts, "token").groupBy("rule_id").agg(F.min(F.struct("n", "token")).alias("rarest"), F.first("antecedent").alias("antecedent"), F.first("confidence").alias("confidence"))
-    index = index.select(F.col("rarest.token").alias("token"), "rule_id", "antecedent", "confidence")
+    index, _ = write_table(index.select(F.col("rarest.token").alias("token"), "rule_id", "antecedent", "confidence"), "rule-index")
     hits = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(small_side(index), "token")
     hits = hits.where(F.size(F.array_except("antecedent", "tokens")) == 0)
     return hits.groupBy("url").agg(F.max(F.struct("confidence", "rule_id")).alias("best")).select("url", F.col("best.rule_id").alias("mined_rule"), F.col("best.confidence").alias("confidence"))
@@ -133,7 +133,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float =
     """
     known = tokenised(pages)
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max((F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)).alias("blocked"))
-    mined = mine_rules(known.join(marks, "page_id").select("tokens", "blocked"), min_support, min_confidence).cache()
+    mined, _ = write_table(mine_rules(known.join(marks, "page_id").select("tokens", "blocked"), min_support, min_confidence), "mined-rules")
     found = match_rules(known, mined)
     rule, verdict = declared_rule(F.col("host"), F.col("path"), rules)
     out = known.join(found, "url", "left")
