@@ -40,6 +40,8 @@ from .workspace import tune
 
 SPACE_MARK = "▁"
 SAMPLES = 2
+#: Lattices of so many chunks are made at once.
+_TOGETHER = 8192
 _CHUNK = re.compile(rb" *[^ ]+| +")
 _MARK_BYTES = SPACE_MARK.encode()
 
@@ -182,15 +184,23 @@ class Lattices(ChunkTable):
         self.upto = np.zeros(1 << 17, np.float32)  # probability of this and the edges before it
 
     def _room(self, name: str, used: int, more: int) -> np.ndarray:
+        """The array with room for ``more`` behind ``used`` entries; what is not used yet takes no memory."""
         array = getattr(self, name)
         if used + more > len(array):
-            array = np.concatenate([array, np.zeros(max(len(array), used + more - len(array)), array.dtype)])
-            setattr(self, name, array)
+            larger = np.empty(2 * (used + more), array.dtype)
+            larger[:used] = array[:used]
+            setattr(self, name, larger)
+            return larger
         return array
 
     def _learn(self, fresh: list[bytes]) -> None:
         had = self.count
         super()._learn(fresh)
+        for at in range(0, len(fresh), _TOGETHER):
+            self._add(fresh[at : at + _TOGETHER], had + at)
+
+    def _add(self, fresh: list[bytes], had: int) -> None:
+        """Lattices of the chunks with the places from ``had`` on."""
         v = self.words
         raw = b"".join(fresh)
         chars = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
@@ -254,7 +264,7 @@ class Lattices(ChunkTable):
         upto[head + edges_of - 1] = 2.0
         logp[head[edges_of == 1]] = 0.0
 
-        self._room("first_node", had, len(fresh))[had : self.count] = self.n_nodes + np.cumsum(sizes) - sizes
+        self._room("first_node", had, len(fresh))[had : had + len(fresh)] = self.n_nodes + np.cumsum(sizes) - sizes
         self._room("first_edge", self.n_nodes, n + 1)[self.n_nodes : self.n_nodes + n] = self.n_edges + head
         self.first_edge[self.n_nodes + n] = self.n_edges + m
         span = slice(self.n_edges, self.n_edges + m)
