@@ -8,9 +8,7 @@ executor costs a retry of its tasks and nothing else.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,16 +135,3 @@ def rows_in(docs: DataFrame, keys: DataFrame, how: str, merge: bool = False, onc
         same &= F.col(n) == F.col(f"{n}_of")
     found = named.join(wanted, same, how)
     return (found.dropDuplicates(own) if once else found).select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now instead of at some later collection.
-
-    The listeners' queues hold the event of the last query, and with it its
-    plan, until another event comes; so a tiny query runs first.
-    """
-    gc.collect()
-    spark.range(1).count()
-    time.sleep(0.2)
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.2)
