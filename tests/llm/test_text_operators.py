@@ -275,7 +275,7 @@ def test_language_of_pages_uses_markup_and_suffix(spark):
     import __spark_entry__ as entry
 
     pages = spark.read.parquet(f"{TINY}/pages.parquet")
-    got = entry.queries()["op4_page_language"](spark, TINY).collect()
+    got = entry.queries()["page_language"](spark, TINY).collect()
     assert sorted(r.page_id for r in got) == sorted(r.page_id for r in pages.collect()) and all(r.declared for r in got)
     known = [(i, t, x) for i, (t, x) in enumerate([("the cat and the dog were there with them", "en"), ("le chat et le chien sont avec nous ici", "fr")] * 30)]
     docs = spark.createDataFrame([(d, t, x, "s", 0) for d, t, x in known], SCHEMA)
