@@ -100,11 +100,17 @@ def factor_hits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def result_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """JSON documents; broken ones are left out."""
+    """JSON documents; broken ones are left out, and named by ``broken_documents``."""
     reader = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def broken_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file) of the documents that can't be read, as a warning to show."""
+    raw = spark.read.text(path, wholetext=True).select(file_name().alias("file"), F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("d"))
+    return raw.where("d IS NULL OR d._broken IS NOT NULL").select("file")
+
+
 def sbml_reactions(spark: SparkSession, path: str, rule_attribute: str = "_gene_rule") -> DataFrame:
     """Reactions of an SBML file by the xml source; attributes have a leading underscore."""
     df = spark.read.format("xml").option("rowTag", "reaction").load(path)
@@ -159,12 +165,19 @@ def file_index(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("_ed
 
 
 def by_alias(tags: DataFrame, features: DataFrame) -> DataFrame:
-    """Locus tags to coding sequences under four spellings, the first that matches: as it is, BSU_ without the underscore's part, custom prefix dropped, underscores ignored."""
+    """Locus tags to coding sequences (strain, locus_tag, product, start, ...): the first one of each genome, in order of start, that has the tag in its product (``[locus_tag=...]``) or as its own.
+
+    ``BSU_x`` is found in a product as ``x`` and ``BSUx`` too, and as its own
+    tag ``CUSTOM_x``; own tags also match without underscores.
+    """
     from pyspark.sql import Window
 
-    t = F.col("tag")
-    forms = F.array(F.struct(F.lit(1).alias("priority"), t.alias("form")), F.struct(F.lit(2).alias("priority"), F.regexp_replace(t, "^BSU_", "BSU").alias("form")), F.struct(F.lit(3).alias("priority"), F.regexp_replace(t, "^CUSTOM_", "").alias("form")), F.struct(F.lit(4).alias("priority"), F.replace(t, F.lit("_"), F.lit("")).alias("form")))
-    wanted = tags.select("tag", F.explode(forms).alias("f")).select("tag", "f.*")
-    known = features.withColumn("form", F.explode(F.array_distinct(F.array(F.col("locus_tag"), F.replace("locus_tag", F.lit("_"), F.lit(""))))))
-    w = Window.partitionBy("tag").orderBy("priority", "locus_tag")
-    return wanted.join(known, "form").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "priority", "form")
+    form = lambda kind, *values: [F.struct(F.lit(kind).alias("kind"), v.alias("form")) for v in values]
+    t, rest = F.col("tag"), F.when(F.col("tag").startswith("BSU_"), F.regexp_replace("tag", "BSU_", ""))
+    asked = [*form("product", t, rest, F.concat(F.lit("BSU"), rest)), *form("own", t, F.concat(F.lit("CUSTOM_"), rest)), *form("plain", F.replace(t, F.lit("_"), F.lit("")))]
+    wanted = tags.select("tag", F.explode(F.array(*asked)).alias("f")).select("tag", "f.*").where("form IS NOT NULL").distinct()
+    own = F.coalesce(F.col("locus_tag"), F.lit(""))
+    offered = [*form("product", F.regexp_extract(F.coalesce("product", F.lit("")), r"\[locus_tag=([^\]]*)\]", 1)), *form("own", own), *form("plain", F.replace(own, F.lit("_"), F.lit("")))]
+    known = features.withColumn("__f", F.explode(F.array(*offered))).select(*features.columns, "__f.kind", "__f.form").where("form <> ''")
+    w = Window.partitionBy("tag", "strain").orderBy("start", "end", "locus_tag")
+    return wanted.join(known, ["kind", "form"]).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "kind", "form")

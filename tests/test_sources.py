@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from loomgrid.operators import models
 from loomgrid.sources import genbank, readers, sinks
@@ -122,3 +123,55 @@ def test_file_index_prefers_the_plain_name(spark, folder, tmp_path):
 def test_side_by_side(spark):
     df = spark.createDataFrame([("a", "f", "b", "g"), (None, None, "c", "h")], "c0 string, c1 string, c8 string, c9 string")
     assert rows(readers.side_by_side(df, ["c0", "c1"], ["c8", "c9"], ["gene", "role"])) == [("a", "f", "present"), ("b", "g", "absent"), ("c", "h", "absent")]
+
+
+def test_locus_tags_under_all_spellings(spark):
+    schema = "strain string, locus_tag string, product string, start int, end int"
+    f = spark.createDataFrame([("s", "CUSTOM_01", "p", 5, 6), ("s", "Z", "x [locus_tag=BSU02] y", 1, 2), ("s", "Y", "[locus_tag=03]", 7, 8), ("s", "BS_U_04", None, 9, 10), ("s", "late", "[locus_tag=BSU_01]", 50, 51), ("t", "BSU_01", None, 3, 4)], schema)
+    tags = spark.createDataFrame([("BSU_01",), ("BSU_02",), ("BSU_03",), ("BSU_04",), ("BSU_09",)], "tag string")
+    assert rows(readers.by_alias(tags, f).select("tag", "strain", "locus_tag")) == [("BSU_01", "s", "CUSTOM_01"), ("BSU_01", "t", "BSU_01"), ("BSU_02", "s", "Z"), ("BSU_03", "s", "Y"), ("BSU_04", "s", "BS_U_04")]
+
+
+def test_workbook_round_trip(spark, tmp_path):
+    import zipfile
+
+    from loomgrid.sources import workbook
+
+    one = spark.createDataFrame([("a & <b>", 1, 2.5, True), (None, None, None, None), ("  x ", -3, 1e20, False)], "Feature_Name string, n int, v double, yes boolean")
+    path = str(tmp_path / "book.xlsx")
+    workbook.write_workbook({"first one": one.orderBy(F.col("n").asc_nulls_last()), "empty": one.where("false"), "notes": one.limit(0)}, path)
+    assert rows(workbook.sheet_table(spark, path, "first one")) == [("  x ", "-3", "1e+20", "0"), ("a & <b>", "1", "2.5", "1")]
+    assert workbook.sheet_table(spark, path, "empty").columns == one.columns and workbook.sheet_table(spark, path, "empty").count() == 0
+    assert {r.sheet for r in workbook.read_cells(spark, str(tmp_path), exclude=("notes",)).collect()} == {"first one", "empty"}
+    with pytest.raises(ValueError):
+        workbook.sheet_table(spark, path, "missing")
+    head, main = '<?xml version="1.0"?>', "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    with zipfile.ZipFile(tmp_path / "other.xlsx", "w") as z:  # shared strings, cell references, absolute parts, two blocks side by side
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="g1" sheetId="1" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="/xl/worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>gene</t></si><si><r><t>ab</t></r><r><t>c</t></r></si></sst>')
+        z.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="I1" t="s"><v>0</v></c></row><row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3"><v>7.0</v></c><c r="I3" t="str"><v>z</v></c></row></sheetData></worksheet>')
+    cells = workbook.positional(workbook.read_cells(spark, str(tmp_path / "other.xlsx")), 10)
+    assert rows(readers.side_by_side(cells.where("row > 1"), ["c0", "c1"], ["c8", "c9"], ["gene", "role"])) == [("abc", "7", "present"), ("z", None, "absent")]
+
+
+def test_fasta_csv_and_broken_documents(spark, tmp_path, folder):
+    df = spark.createDataFrame([("s", "ACG")], "n string, q string")
+    sinks.write_fasta(df, str(tmp_path / "fa"), "n", "q")
+    assert rows(readers.fasta(spark, str(tmp_path / "fa")).select("id", "sequence")) == [("s", "ACG")]
+    sinks.write_csv(df, str(tmp_path / "csv"))
+    assert rows(spark.read.csv(str(tmp_path / "csv"), header=True)) == [("s", "ACG")]
+    folder("docs/a.json", '{"base_gene": "x", "n": 1}')
+    folder("docs/b.json", '{"base_gene": ')
+    assert rows(readers.broken_documents(spark, str(tmp_path / "docs"), "base_gene string, n int")) == [("b.json",)]
+    assert rows(readers.last_by_key(spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "k string, o int, v string"), ["k"], "o").select("k", "v")) == [("k", "b")]
+
+
+def test_models_are_kept_and_loaded(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector
+
+    from loomgrid.operators import learn
+
+    df = spark.createDataFrame([([float(i % 2), 1.0], float(i % 2)) for i in range(20)], "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
+    learn.save(learn.fit_pipeline(df, "gaussian_nb"), str(tmp_path / "model"))
+    assert learn.load(str(tmp_path / "model")).transform(df).where("prediction = label").count() == 20
