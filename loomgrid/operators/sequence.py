@@ -8,50 +8,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The lower triangle of BLOSUM62 for the twenty acids in this order. Other letters count as unknown, with UNKNOWN against any.
-ACIDS = "ARNDCQEGHILKMFPSTWYV"
+# BLOSUM62, rows and columns in this order.
+ACIDS = "ARNDCQEGHILKMFPSTWYVBZX*"
 BLOSUM62 = """
- 4
--1  5
--2  0  6
--2 -2  1  6
- 0 -3 -3 -3  9
--1  1  0  0 -3  5
--1  0  0  2 -4  2  5
- 0 -2  0 -1 -3 -2 -2  6
--2  0  1 -1 -3  0  0 -2  8
--1 -3 -3 -3 -1 -3 -3 -4 -3  4
--1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
--1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
--1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
--2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6
--1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7
- 1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4
- 0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
--3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
--2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
- 0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+ 4 -1 -2 -2  0 -1 -1  0 -2 -1 -1 -1 -1 -2 -1  1  0 -3 -2  0 -2 -1  0 -4
+-1  5  0 -2 -3  1  0 -2  0 -3 -2  2 -1 -3 -2 -1 -1 -3 -2 -3 -1  0 -1 -4
+-2  0  6  1 -3  0  0  0  1 -3 -3  0 -2 -3 -2  1  0 -4 -2 -3  3  0 -1 -4
+-2 -2  1  6 -3  0  2 -1 -1 -3 -4 -1 -3 -3 -1  0 -1 -4 -3 -3  4  1 -1 -4
+ 0 -3 -3 -3  9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1 -3 -3 -2 -4
+-1  1  0  0 -3  5  2 -2  0 -3 -2  1  0 -3 -1  0 -1 -2 -1 -2  0  3 -1 -4
+-1  0  0  2 -4  2  5 -2  0 -3 -3  1 -2 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+ 0 -2  0 -1 -3 -2 -2  6 -2 -4 -4 -2 -3 -3 -2  0 -2 -2 -3 -3 -1 -2 -1 -4
+-2  0  1 -1 -3  0  0 -2  8 -3 -3 -1 -2 -1 -2 -1 -2 -2  2 -3  0  0 -1 -4
+-1 -3 -3 -3 -1 -3 -3 -4 -3  4  2 -3  1  0 -3 -2 -1 -3 -1  3 -3 -3 -1 -4
+-1 -2 -3 -4 -1 -2 -3 -4 -3  2  4 -2  2  0 -3 -2 -1 -2 -1  1 -4 -3 -1 -4
+-1  2  0 -1 -3  1  1 -2 -1 -3 -2  5 -1 -3 -1  0 -1 -3 -2 -2  0  1 -1 -4
+-1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5  0 -2 -1 -1 -1 -1  1 -3 -1 -1 -4
+-2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6 -4 -2 -2  1  3 -1 -3 -3 -1 -4
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7 -1 -1 -4 -3 -2 -2 -1 -2 -4
+ 1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4  1 -3 -2 -2  0  0  0 -4
+ 0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5 -2 -2  0 -1 -1  0 -4
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11  2 -3 -4 -3 -2 -4
+-2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7 -1 -3 -2 -1 -4
+ 0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4 -3 -2 -1 -4
+-2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4  1 -1 -4
+-1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+ 0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2  0  0 -2 -1 -1 -1 -1 -1 -4
+-4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4  1
 """
-UNKNOWN = -1.0
-
-
-def _square(triangle: str, unknown: float) -> np.ndarray:
-    n = len(ACIDS)
-    out = np.full((n + 1, n + 1), unknown)
-    i, j = np.tril_indices(n)
-    out[i, j] = out[j, i] = np.array(triangle.split(), float)
-    return out
-
-
-_SCORES = _square(BLOSUM62, UNKNOWN)
+_SCORES = np.array(BLOSUM62.split(), float).reshape(len(ACIDS), len(ACIDS))
+#: Pairs of longer sequences than this product are compared by sliding, not aligned: an alignment holds a few numbers for each pair of letters.
+MOST_CELLS = 1 << 24
 
 
 def scores(a: str, b: str, match: float | None = None, mismatch: float = -1.0) -> np.ndarray:
-    """Score of each pair of letters: match and mismatch, or BLOSUM62."""
+    """Score of each pair of letters: match and mismatch, or BLOSUM62, which must know all letters."""
     if match is not None:
         x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
         return np.where(x[:, None] == y[None, :], match, mismatch)
-    x, y = ([ACIDS.find(c) for c in s.upper()] for s in (a, b))  # -1, the last row, for others
+    x, y = ([ACIDS.index(c) for c in s.upper()] for s in (a, b))
     return _SCORES[np.ix_(x, y)]
 
 
@@ -97,15 +92,19 @@ def align(a: str, b: str, match: float | None, mismatch: float, gap_open: float,
 
 
 def compare(a: str | None, b: str | None) -> tuple[float | None, float | None]:
-    """(identity %, coverage % of the shorter): match 2, mismatch -1, gaps -2 and -0.5, with fast ways for equal and nearly equal sequences."""
+    """(identity %, coverage % of the shorter) over the columns of two letters, stops left out: match 2, mismatch -1, gaps -2 and -0.5. Equal and nearly equal sequences have fast ways; very long ones slide."""
+    a, b = ((x or "").replace("*", "").strip() for x in (a, b))
     if not a or not b:
         return None, None
     if a == b:
         return 100.0, 100.0
     if len(a) == len(b) and (same := sum(x == y for x, y in zip(a, b, strict=True)) / len(a)) > 0.95:
         return 100 * same, 100.0
+    if len(a) * len(b) > MOST_CELLS:
+        return slide(a, b)
     _, same, columns, at_a, at_b = align(a, b, 2.0, -1.0, -2.0, -0.5)
-    return (100 * same / columns, 100 * min(1.0, (at_a if len(a) <= len(b) else at_b) / min(len(a), len(b)))) if columns else (0.0, 0.0)
+    both = at_a + at_b - columns
+    return (100 * same / both, 100 * both / min(len(a), len(b))) if both else (None, None)
 
 
 def slide(a: str, b: str) -> tuple[float, float]:
@@ -119,11 +118,12 @@ def slide(a: str, b: str) -> tuple[float, float]:
 
 
 def compare_acids(reference: str | None, query: str | None) -> tuple[float | None, float | None, float | None]:
-    """(identity % over columns, coverage % of reference, of query): BLOSUM62, gaps -10 and -0.5."""
+    """(identity % over columns, coverage % of reference, of query): BLOSUM62, gaps -10 and -0.5; with a letter that the matrix lacks, matches alone count 1."""
     if not reference or not query:
         return None, None, None
-    _, same, columns, at_a, at_b = align(reference, query, None, 0.0, -10.0, -0.5)
-    return (100 * same / columns, 100 * at_a / len(reference), 100 * at_b / len(query)) if columns else (0.0, 0.0, 0.0)
+    known = all(c in ACIDS for c in (reference + query).upper())
+    _, same, columns, at_a, at_b = align(reference, query, None, 0.0, -10.0, -0.5) if known else align(reference, query, 1.0, 0.0, 0.0, 0.0)
+    return (100 * same / columns, 100 * at_a / len(reference), 100 * at_b / len(query)) if columns else (None, None, None)
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("identity", "coverage")]))
