@@ -35,6 +35,25 @@ def safe_name(text: Column) -> Column:
     return F.regexp_replace(text, "[^A-Za-z0-9]", "_")
 
 
+def safe_known_name(text: Column) -> Column:
+    """The same where an underscore counts as a letter."""
+    return F.regexp_replace(text, "[^A-Za-z0-9_]", "_")
+
+
+def binned_name(kind: Column, length: Column, percent_of: Column) -> Column:
+    """``type_{k}kb_{p}pct`` of the size and position bins."""
+    return F.concat(safe_name(kind), F.lit("_"), (size_bin(length) / 1000).cast("int").cast("string"), F.lit("kb_"), position_bin(percent_of).cast("int").cast("string"), F.lit("pct"))
+
+
+def midpoint(start: Column, end: Column) -> Column:
+    return (start + end) / 2
+
+
+def relative_position(start: Column, end: Column, whole: Column) -> Column:
+    """Percent of the midpoint within a whole; null where that is 0."""
+    return F.try_divide(100 * midpoint(start, end), whole)
+
+
 def size_bin(length: Column, step: int = 10_000) -> Column:
     """Length rounded half to even to ``step``, at least one step."""
     return F.greatest(F.bround(length / step) * step, F.lit(float(step)))
@@ -98,9 +117,9 @@ def length_ratio(a: Column, b: Column) -> Column:
 
 
 def verdict_class(text: Column) -> Column:
-    """Free-text verdict by prefix."""
+    """Free-text verdict: ``yes...`` is a split gene, ``no...`` or ``not split`` anywhere is not ("not sure" is taken for a no), all else is unchecked."""
     low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    return F.when(low == "", "unchecked").when(low.startswith("not split"), "not_split_duplicate").when(low.startswith("yes"), "split").when(low.startswith("no"), "duplicate").otherwise("unchecked")
+    return F.when(low.startswith("yes"), "split").when(low.startswith("no") | low.contains("not split"), "not_split_duplicate").otherwise("unchecked")
 
 
 def ordinal_letters(n: Column, first: str = "a") -> Column:
@@ -136,8 +155,31 @@ def translate_dna(dna: Column) -> Column:
     return F.coalesce(F.array_join(codons, ""), F.lit(""))
 
 
-def volcano_label(fdr: Column, ratio: Column, cut: float = 0.05) -> Column:
-    return F.when(fdr.isNull() | (fdr >= cut), "n.s.").when(ratio > 1, "enriched").otherwise("depleted")
+def volcano_class(fdr: Column, log2_ratio: Column, cut: float = 0.05) -> Column:
+    """Side of a significant effect, by a factor of 2; null rates are not significant."""
+    low = F.coalesce(fdr < cut, F.lit(False))
+    return F.when(low & (log2_ratio > 1), "enriched").when(low & (log2_ratio < -1), "depleted").when(low, "small effect").otherwise("n.s.")
+
+
+def volcano_label(name: Column, fdr: Column, log2_ratio: Column, cut: float = 0.01, least: float = 2.5) -> Column:
+    """The name of strong effects, else null; hypothetical ones as ``hypo_`` and what follows their last underscore."""
+    short = F.when(name.rlike("(?i)^hypothetical"), F.concat(F.lit("hypo_"), F.regexp_replace(name, ".*_", ""))).otherwise(name)
+    return F.when((fdr < cut) & (F.abs(log2_ratio) > least), short)
+
+
+def log2_ratio(ratio: Column) -> Column:
+    """Base-2 logarithm; -infinity for 0, null below."""
+    return F.when(ratio == 0, float("-inf")).otherwise(F.log2(ratio))
+
+
+def neg_log10(p: Column) -> Column:
+    """-log10; infinity for 0."""
+    return F.when(p == 0, float("inf")).otherwise(-F.log10(p))
+
+
+def shortened(text: Column, most: int) -> Column:
+    """The first characters of a text."""
+    return F.substring(text, 1, most)
 
 
 def clipped(value: Column, low: float, high: float) -> tuple[Column, Column]:

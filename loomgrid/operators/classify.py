@@ -29,38 +29,70 @@ def variant_class(length_ratio: Column, identity: Column) -> Column:
 
 
 def present_status(is_variant: Column, cls: Column, copies: Column, spread: Column | None = None) -> Column:
-    """What becomes of a feature in the present block. ``spread``: identity spread of multi-copy features; without it that rule never fires."""
+    """What becomes of a feature in the present block: its validation speaks first, whether it is a variant only where there is none. ``spread``: identity spread of multi-copy features; without it that rule never fires."""
     wide = (copies > 1) & (spread > 10) if spread is not None else F.lit(False)
-    return F.when(~is_variant, "KEEP (not a variant)").when(cls.isNull(), "KEEP (not validated)").when(wide, "KEEP (multi-copy)").when(cls == "ARTEFACT", "REMOVE").otherwise("KEEP")
+    artefact = F.upper(cls).contains("ARTEFACT")
+    return F.when(artefact & wide, "KEEP (multi-copy)").when(artefact, "REMOVE").when(cls.isNotNull(), "KEEP").when(is_variant, "KEEP (not validated)").otherwise("KEEP (not a variant)")
 
 
-def absent_status(paired: Column, other_variant: Column, gene_found: Column) -> Column:
-    return F.when(paired, "REMOVE (paired artefact)").when(other_variant, "REMOVE (other variant present)").when(gene_found, "KEEP").otherwise("KEEP (gene missing)")
+def absent_status(paired: Column, gene_found: Column) -> Column:
+    """What becomes of a feature in the absent block; a gene that the group's genomes have in another variant stays absent."""
+    return F.when(paired, "REMOVE (paired artefact)").when(gene_found, "KEEP (other variant in genome)").otherwise("KEEP (gene missing)")
 
 
-def split_flag(gap: Column, same_strand: Column, ratio: Column, most: int = 5000) -> Column:
-    """Neighbouring pieces of one gene: near, on one strand; lengths say whether truncated."""
-    near = (gap < most) & same_strand
-    return F.when(near & (ratio < 0.5), "split_truncated").when(near & (ratio < 0.9), "split_unequal").when(near, "split").otherwise("separate")
+def split_flag(least_gap: Column, same_strand: Column, ratio: Column, most: int = 5000) -> Column:
+    """Copies of one gene in one genome, by the least gap between neighbours and whether all of them share a strand."""
+    near = least_gap < most
+    return F.when(near & same_strand & (ratio < 0.9), "split_unequal").when(near & same_strand, "split_similar").when(near, "close").otherwise("distant")
+
+
+def copy_verdicts(copies: DataFrame, keys: list[str], start: str, end: str, strand: str, length: str, most: int = 5000) -> DataFrame:
+    """(keys, n_copies, least_gap, same_strand, ratio, truncated, flag, is_split) of keys with several copies."""
+    from .assign import copy_gaps
+
+    gaps = copy_gaps(copies.dropDuplicates([*keys, start, end, strand]), keys, start, end, [end, strand])
+    ratio = F.try_divide(F.min(length), F.max(length))
+    rows = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_copies"), F.min("gap").alias("least_gap"), (F.min(strand) == F.max(strand)).alias("same_strand"), ratio.alias("r")).where("n_copies > 1")
+    flag = split_flag(F.col("least_gap"), F.col("same_strand"), F.col("r"), most)
+    return rows.select(*keys, "n_copies", "least_gap", "same_strand", F.bround("r", 3).alias("ratio"), (F.col("r") < 0.5).alias("truncated"), flag.alias("flag"), flag.startswith("split").alias("is_split"))
 
 
 def split_scope(inside: Column, outside: Column) -> Column:
     return F.when((inside > 0) & (outside == 0), "group_only").when((inside > 0) & (outside > 0), "both").when(outside > 0, "outside_only").otherwise("none")
 
 
-def reference_variant(candidates: DataFrame, preferred: str) -> DataFrame:
-    """(grp, base) to its reference: ``.0`` in the preferred strain, ``.0`` elsewhere, the lowest number in the preferred strain, the most frequent other, else the base itself.
+def split_uniqueness(outside_split: Column, outside_intact: Column) -> Column:
+    """Of a feature that is split in its group: strains outside with the split, or with copies that are none."""
+    return F.when(outside_split > 0, "also_outside").when(outside_intact > 0, "split_unique").otherwise("unique")
+
 
-    ``candidates``: (grp, base, strain, variant, number, own): own marks the group's variant, which cannot be its own reference.
+def reference_variant(candidates: DataFrame, preferred: str) -> DataFrame:
+    """(grp, base) to its reference and the strain that has it.
+
+    ``candidates``: (grp, base, strain, variant, number, own): a row for each
+    strain with a variant; own marks the group's variant. In order: 1 ``.0`` in
+    the preferred strain, 2 ``.0`` elsewhere (first strain by name), 3 the lowest
+    number in the preferred strain, and without any there, 5 the base gene
+    itself, in that strain. Where rule 3 names the own variant, 4 the most
+    frequent other one counts (the lowest number among equals), else the base
+    gene. A group whose own variant is the ``.0`` has no reference and is left out.
     """
     from pyspark.sql import Window
 
-    used = candidates.where(~F.col("own")).withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("grp", "base", "variant")))
-    home = F.col("strain") == preferred
-    rank = F.when((F.col("number") == 0) & home, 1).when(F.col("number") == 0, 2).when(home & F.col("number").isNotNull(), 3).otherwise(4)
-    w = Window.partitionBy("grp", "base").orderBy("rank", F.when(F.col("rank") == 3, F.col("number")).otherwise(-F.col("times")), "strain", "variant")
-    best = used.withColumn("rank", rank).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("grp", "base", "variant", "strain", "rank")
-    return candidates.select("grp", "base").distinct().join(best, ["grp", "base"], "left").select("grp", "base", F.coalesce("variant", "base").alias("reference"), "strain", F.coalesce("rank", F.lit(5)).alias("rank"))
+    times = F.count(F.lit(1)).over(Window.partitionBy("grp", "base", "variant"))
+    first = F.min("strain").over(Window.partitionBy("grp", "base", "variant"))
+    rows = candidates.withColumns({"__times": times, "__first": first})
+    home, zero = F.col("strain") == preferred, F.col("number") == 0
+    pick = lambda when, *order: F.min(F.when(when, F.struct(*order, "variant", F.col("__first").alias("first"), "own")))
+    one = rows.groupBy("grp", "base").agg(
+        F.max(F.coalesce(zero & home, F.lit(False))).alias("home_zero"), pick(zero, F.lit(0).alias("o")).alias("zero"),
+        pick(home & F.col("number").isNotNull(), F.col("number").alias("o")).alias("lowest"),
+        pick(~F.col("own"), (-F.col("__times")).alias("o"), "number").alias("other"),
+    )
+    rank = F.when(F.col("home_zero"), 1).when(F.col("zero").isNotNull(), 2).when(F.col("lowest").isNull(), 5).when(~F.col("lowest.own"), 3).when(F.col("other").isNotNull(), 4).otherwise(5)
+    by = lambda *values: F.coalesce(*(F.when(F.col("rank") == k, v) for k, v in enumerate(values, 1)))
+    one = one.withColumn("rank", rank).where("zero IS NULL OR NOT zero.own")
+    return one.select("grp", "base", by(*(F.col(c) for c in ("zero.variant", "zero.variant", "lowest.variant", "other.variant", "base"))).alias("reference"), by(F.lit(preferred), F.col("zero.first"), F.lit(preferred), F.col("other.first"), F.lit(preferred)).alias("strain"), "rank")
 
 
 def cluster_flag(n_entities: Column, cv_percent: Column) -> Column:

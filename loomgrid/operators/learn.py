@@ -27,7 +27,7 @@ def cross_validate(df: DataFrame, k: int = 3, seed: int = 42, names: list[str] |
     """(model, fold, accuracy, f1) for rows (features vector, label double, fold), with a most-frequent baseline."""
     rows = []
     score = lambda out, metric: float(MulticlassClassificationEvaluator(metricName=metric).evaluate(out))
-    df = df.select("features", F.col("label").cast("double").alias("label"), "fold").cache()
+    df = df.select("features", F.col("label").cast("double").alias("label"), "fold").persist()
     for fold in range(k):
         train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
         if train.isEmpty() or test.isEmpty():
@@ -39,6 +39,7 @@ def cross_validate(df: DataFrame, k: int = 3, seed: int = 42, names: list[str] |
         most = train.groupBy("label").count().orderBy(F.col("count").desc(), "label").first()["label"]
         out = test.withColumn("prediction", F.lit(most))
         rows.append(("most_frequent", fold, score(out, "accuracy"), score(out, "f1")))
+    df.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, fold int, accuracy double, f1 double")
 
 
@@ -70,6 +71,14 @@ def robust_candidates(a: DataFrame, a_value: str, b: DataFrame, b_value: str, ke
     return x.join(ranked(b, b_value, key, top).select(key, F.col("rank").alias("rank_b")), key)
 
 
+def class_patterns(candidates: DataFrame, long: DataFrame, label: str, feature: str, value: str, labels: list) -> DataFrame:
+    """Candidates (feature, rank_a, rank_b) with their mean rank and the mean of each class, as columns class_<label>; the best first."""
+    chosen = long.join(candidates.select(feature), feature, "left_semi")
+    means = chosen.groupBy(feature).pivot(label, labels).agg(F.avg(value))
+    named = means.select(feature, *(F.col(f"`{x}`").alias(f"class_{x}") for x in labels))
+    return candidates.withColumn("mean_rank", (F.col("rank_a") + F.col("rank_b")) / 2).join(named, feature).orderBy("mean_rank", feature)
+
+
 def cumulative_share(rankings: DataFrame, value: str, ks: list[int]) -> DataFrame:
     """(k, share) of the total within the first k ranks."""
     one = rankings.agg(F.sum(value).alias("t"), *(F.sum(F.when(F.col("rank") <= k, F.col(value))).alias(f"s{k}") for k in ks))
@@ -80,5 +89,9 @@ def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def fit_pipeline(df: DataFrame, name: str, seed: int = 42) -> PipelineModel:
     return Pipeline(stages=[models(seed)[name]]).fit(df)

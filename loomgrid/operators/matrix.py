@@ -91,3 +91,58 @@ def weighted_items(df: DataFrame, column: str, separator: str = ";") -> DataFram
     """One row for each item of a list column, weight 1 / items; empty items are dropped after the weight is set."""
     parts = F.split(column, separator)
     return df.withColumn("weight", 1.0 / F.size(parts)).withColumn("item", F.explode(parts)).withColumn("item", F.trim("item")).where("item <> ''")
+
+
+def valid_regions(df: DataFrame, start: str, end: str, length: str) -> DataFrame:
+    """Regions with all three values, that end behind their start and have a length."""
+    return df.where((F.col(start) < F.col(end)) & (F.col(length) > 0))
+
+
+def intact(df: DataFrame, column: str = "completeness") -> DataFrame:
+    """Rows whose completeness is intact, in whichever case."""
+    return df.where(F.lower(F.trim(column)) == "intact")
+
+
+def covered(hits: DataFrame, length: str, whole: str, least: float = 0.25) -> DataFrame:
+    """Hits over at least a share of the whole; ``coverage`` is added."""
+    return hits.withColumn("coverage", F.try_divide(length, whole)).where(F.col("coverage") >= least)
+
+
+def without_names(df: DataFrame, name: str, prefixes: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose name is not null, begins with none of the prefixes and is none of the names."""
+    bad = F.lit(False)
+    for p in prefixes:
+        bad |= F.col(name).startswith(p)
+    return df.where(F.col(name).isNotNull() & ~(bad | F.col(name).isin(*names) if names else bad))
+
+
+def listed(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows whose value is in a list."""
+    return df.where(F.col(column).isin(values))
+
+
+def items_by_group(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """(group, n, items): a row for each group with its items in order; ragged, so as an array."""
+    return rows.groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("items")).select(group, F.size("items").cast("long").alias("n"), "items")
+
+
+def item_columns(grouped: DataFrame, group: str, most: int) -> DataFrame:
+    """The same as columns item_1 to item_``most``, for sinks; null where a group has fewer."""
+    return grouped.select(group, *(F.get("items", F.lit(i)).alias(f"item_{i + 1}") for i in range(most)))
+
+
+def transposed(wide: DataFrame, key: str, values: list, name: str = "column") -> DataFrame:
+    """A wide table with rows and columns exchanged: ``values`` are the keys that become columns."""
+    names = [c for c in wide.columns if c != key]
+    return wide.unpivot([key], names, name, "__value").groupBy(name).pivot(key, values).agg(F.first("__value"))
+
+
+def ordered_matrix(cells: DataFrame, leaves: DataFrame, value: str) -> DataFrame:
+    """Cells (a, b, value) with the leaf positions (item, leaf) of both ends, ``row`` and ``at``, and values rounded half to even to 3 digits, in that order."""
+    a, b = leaves.select(F.col("item").alias("a"), F.col("leaf").alias("row")), leaves.select(F.col("item").alias("b"), F.col("leaf").alias("at"))
+    return cells.join(a, "a").join(b, "b").select("a", "b", "row", "at", F.bround(value, 3).alias(value)).orderBy("row", "at")
+
+
+def gene_matrix(genes: DataFrame, strains: DataFrame, hits: DataFrame, missing: str = "None") -> DataFrame:
+    """(gene, strain, id): the name of the hit in every cell, ``missing`` without one. The matrix is the product by definition."""
+    return genes.crossJoin(strains).join(hits.select("gene", "strain", "id"), ["gene", "strain"], "left").withColumn("id", F.coalesce("id", F.lit(missing)))

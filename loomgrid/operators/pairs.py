@@ -17,6 +17,29 @@ def reciprocal_mean(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     return both.select("lo", "hi", F.coalesce((F.col("ab") + F.col("ba")) / 2, "ab", "ba").alias("value"), F.abs(F.col("ab") - F.col("ba")).alias("difference"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join on all keys where null meets null; the keys come from the left."""
+    same = None
+    for k in keys:
+        one = left[k].eqNullSafe(right[k])
+        same = one if same is None else same & one
+    return left.join(right, same, how).select(*(left[c] for c in left.columns), *(right[c] for c in right.columns if c not in keys))
+
+
+def difference_stats(means: DataFrame) -> DataFrame:
+    """(n, mean, most, median) of the differences between both directions, of pairs that have both."""
+    d = F.col("difference")
+    return means.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.max(d).alias("most"), F.median(d).alias("median"))
+
+
+def derived_flags(pairs: DataFrame, similar: float = 99.5, kin: float = 0.5) -> DataFrame:
+    """Pairs (g_lo, g_hi, similarity, phenotype) with same_group, above_threshold, observed_kin and the outcome's name."""
+    p = F.col("phenotype")
+    # The names of the four outcomes.
+    named = F.when(p == 1.0, "Merging").when(p == 0.5, "Contact").when(p == 0.25, "Thick boundary").when(p == 0.0, "Lysis").otherwise("Unknown")
+    return pairs.withColumns({"same_group": F.col("g_lo") == F.col("g_hi"), "above_threshold": F.col("similarity") >= similar, "observed_kin": p >= kin, "outcome": named})
+
+
 def shared_counts(presence: DataFrame, entity: str, feature: str) -> DataFrame:
     """(lo, hi, both): entities that share a feature, with the number of those. Rows of ``presence`` are distinct."""
     a = presence.select(F.col(entity).alias("lo"), F.col(feature).alias("f"))

@@ -82,20 +82,72 @@ def range_text(low: Column, high: Column, have: Column, size: Column) -> Column:
     return F.format_string("%s copies in %d/%d group strains", F.when(low == high, low.cast("string")).otherwise(F.concat_ws("-", low.cast("string"), high.cast("string"))), have, size)
 
 
-def annotate(features: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(grp, feature, category, note) from the first reviewed entry of the group that shares a base name.
+def first_by_base(features: DataFrame, entries: DataFrame) -> DataFrame:
+    """(grp, feature, hit): the first entry of the group, in order of ``row``, that shares a base name; both have ``bases`` arrays."""
+    rest = [c for c in entries.columns if c not in ("grp", "bases", "row")]
+    f = features.select("grp", "feature", F.explode("bases").alias("base"))
+    v = entries.select("grp", "row", F.struct(*rest).alias("entry_of"), F.explode("bases").alias("base"))
+    return f.join(v, ["grp", "base"]).groupBy("grp", "feature").agg(F.min_by("entry_of", "row").alias("hit"))
+
+
+def annotate(features: DataFrame, verdicts: DataFrame, paralogs: DataFrame | None = None, copies: DataFrame | None = None) -> DataFrame:
+    """(grp, feature, category, note): none, split, not_split_duplicate, unchecked, or duplicate for paralogs that nobody has reviewed.
 
     ``features``: (grp, feature, bases array); ``verdicts``: (grp, entry, bases
-    array, verdict text, row). Verdicts are keyed by group and entry.
+    array, verdict text, row, and maybe uniqueness); ``paralogs``: (grp, entry,
+    bases array, row), without it the reviewed entries alone; ``copies``: (grp,
+    feature, text) on copy numbers. The first entry that shares a base name counts.
     """
-    from ..functions.text import verdict_class
-
-    f = features.select("grp", "feature", F.explode("bases").alias("base"))
-    v = verdicts.select("grp", "entry", "verdict", "row", F.explode("bases").alias("base"))
-    hit = f.join(v, ["grp", "base"]).groupBy("grp", "feature").agg(F.min_by(F.struct("entry", "verdict"), "row").alias("hit"))
-    out = features.select("grp", "feature").join(hit, ["grp", "feature"], "left")
-    category = F.when(F.col("hit").isNull(), "none").otherwise(verdict_class(F.col("hit.verdict")))
-    return out.select("grp", "feature", category.alias("category"), F.when(F.col("hit").isNotNull(), F.concat_ws(": ", F.col("hit.entry"), F.substring(F.col("hit.verdict"), 1, 80))).alias("note"))
+    from ..functions.text import shortened, verdict_class
+
+    if "uniqueness" not in verdicts.columns:
+        verdicts = verdicts.withColumn("uniqueness", F.lit(None).cast("string"))
+    known = first_by_base(features, verdicts.select("grp", "bases", "row", "entry", "verdict", "uniqueness"))
+    found = known.select("grp", "feature") if paralogs is None else first_by_base(features, paralogs.select("grp", "bases", "row", "entry")).select("grp", "feature")
+    out = features.select("grp", "feature").join(known, ["grp", "feature"], "left").join(found.withColumn("paralog", F.lit(True)), ["grp", "feature"], "left")
+    if copies is not None:
+        out = out.join(copies.select("grp", "feature", F.col("text").alias("copy_text")), ["grp", "feature"], "left")
+    text = F.coalesce(F.col("copy_text") if copies is not None else F.lit(None).cast("string"), F.lit("multi-copy (details unavailable)"))
+    category = F.when(F.col("paralog").isNull(), "none").when(F.col("hit").isNull(), "duplicate").otherwise(verdict_class(F.col("hit.verdict")))
+    unique = F.upper(F.coalesce("hit.uniqueness", F.lit("")))
+    scope = F.when(unique.contains("UNIQUE"), ", split unique to group").when(unique.contains("ALSO OUTSIDE"), ", split also in other strains").when(unique != "", F.concat(F.lit(", "), shortened(F.col("hit.uniqueness"), 50))).otherwise("")
+    note = F.when(F.col("category") == "none", "no").when(F.col("category") == "split", F.concat(F.lit("split gene (1 functional copy)"), scope)).when(F.col("category") == "not_split_duplicate", F.concat(F.lit("yes, "), text, F.lit(" ("), shortened(F.col("hit.verdict"), 50), F.lit(")"))).when(F.col("category") == "unchecked", F.concat(F.lit("likely split, needs check ("), text, F.lit(")"))).otherwise(F.concat(F.lit("yes, "), text))
+    return out.withColumn("category", category).select("grp", "feature", "category", note.alias("note"))
+
+
+def copy_pairs(reference: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:
+    """Every reference copy with every copy of the group's strain, task by task; columns but the keys get ``ref_`` and ``own_``, n_ref_copies and n_own_copies count both sides. A task is one gene in two genomes."""
+    side = lambda df, name: df.select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in keys), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias(f"n_{name}_copies"))
+    return side(reference, "ref").join(side(own, "own"), keys)
+
+
+def multi_copy(pairs: DataFrame) -> DataFrame:
+    """Results where either side has several copies."""
+    return pairs.where("n_ref_copies > 1 OR n_own_copies > 1")
+
+
+def multi_variant(variants: DataFrame, base: str = "base", variant: str = "variant") -> DataFrame:
+    """Rows of the base genes that have several variants."""
+    several = variants.groupBy(base).agg(F.count_distinct(variant).alias("__n")).where("__n > 1").select(base)
+    return variants.join(several, base, "left_semi")
+
+
+def eligible_genes(summary: DataFrame, rate: str = "rejection_rate", most: float = 0.0) -> DataFrame:
+    """Genes whose rejection rate is at most a threshold."""
+    return summary.where(F.col(rate) <= most)
+
+
+def by_name_or_first(wanted: DataFrame, features: DataFrame) -> DataFrame:
+    """(name, feature): each wanted name to the feature of that name, else to a feature of several names whose first one and number are the same (``a.2`` finds ``a, b.2``); the first by name."""
+    split = lambda c: (F.regexp_extract(c, r"^(.+)\.(\d+)$", 1), F.regexp_extract(c, r"^(.+)\.(\d+)$", 2))
+    stem, number = split(F.col("feature"))
+    first = F.regexp_replace(F.substring_index(stem, ",", 1), r"\s+", "")
+    several = features.where(F.col("feature").contains(",")).select("feature", first.alias("stem"), number.alias("number"))
+    named = wanted.select("name").distinct()
+    own, own_number = split(F.col("name"))
+    exact = named.join(features.select("feature").distinct(), F.col("name") == F.col("feature")).select("name", "feature")
+    rest = named.join(exact.select("name"), "name", "left_anti").withColumns({"stem": F.regexp_replace(own, r"\s+", ""), "number": own_number}).where("number <> ''")
+    return exact.unionByName(rest.join(several, ["stem", "number"]).groupBy("name").agg(F.min("feature").alias("feature")))
 
 
 def result_rows(documents: DataFrame, comparisons: str = "comparisons", pairwise: str = "pairwise") -> tuple[DataFrame, DataFrame]:

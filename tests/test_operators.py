@@ -85,7 +85,7 @@ def test_text_functions(spark):
     assert get(text.translate_dna(text.reverse_complement(lit("TTACAT")))) == "M*"
     assert [get(text.ordinal_letters(lit(n))) for n in (1, 26, 27, 52, 53)] == ["a", "z", "aa", "az", "ba"]
     assert get(text.decode_gene_name(lit("protein [gene%3DabcD] 50%"))) == "abcD"
-    assert [get(text.verdict_class(lit(t))) for t in ("Yes, split", "no", "not split here", "", "not sure")] == ["split", "duplicate", "not_split_duplicate", "unchecked", "duplicate"]
+    assert [get(text.verdict_class(lit(t))) for t in ("Yes, split", "no", "not split here", "", "not sure", "checked: not split", "maybe")] == ["split", *["not_split_duplicate"] * 2, "unchecked", *["not_split_duplicate"] * 2, "unchecked"]
     assert get(text.length_ratio(lit(0), lit(0))) is None
     assert [get(c) for c in text.two_numbers(lit("1,234..5 678"))] == [1234, 5678]
 
@@ -189,6 +189,19 @@ def test_alignment():
     assert sequence.compare_acids("HEAGAWGHEE", "HEAGAWGHEE")[0] == 100.0
 
 
+def test_alignment_counts_pairs_of_letters_and_all_letters_of_the_matrix():
+    assert sequence.scores("B*Z", "D*E")[[0, 1, 2], [0, 1, 2]].tolist() == [4, 1, 4] and sequence.scores("*", "A")[0, 0] == -4
+    assert sequence.compare("MK*V", "MKV*") == (100.0, 100.0) and sequence.compare("*", "M") == (None, None)
+    assert sequence.compare("AAACCCTTT", "AAATTT") == (100.0, 100.0)  # six pairs of letters; gaps are no pairs
+    assert sequence.compare_acids("MKUV", "MKUV") == (100.0, 100.0, 100.0)  # U is not in the matrix: matches alone count
+    wide = sequence.MOST_CELLS
+    sequence.MOST_CELLS = 10
+    try:
+        assert sequence.compare("CCC", "AACCCA") == (100.0, 50.0)
+    finally:
+        sequence.MOST_CELLS = wide
+
+
 def test_gene_rules():
     assert models.rule_alternatives("(a and b) or (c and (d or e))") == [["a", "b"], ["c", "d"], ["c", "e"]]
     assert models.rule_alternatives("") is None and models.rule_alternatives("a or (a and b)") == [["a"]]
@@ -203,6 +216,53 @@ def test_summary_and_density(spark):
     assert total == pytest.approx(1, abs=1e-3) and summary.peaks(curve).count() == 2
 
 
+def test_regions_items_and_layouts(spark):
+    df = spark.createDataFrame([(1, 5, 4.0, " Intact", "x"), (5, 5, 1.0, "intact", "PHAGE_y"), (None, 3, 1.0, "incomplete", None), (1, 2, 0.0, None, "q")], "a int, b int, n double, c string, name string")
+    assert rows(matrix.valid_regions(df, "a", "b", "n").select("a", "b")) == [(1, 5)] and matrix.intact(df, "c").count() == 2
+    assert rows(matrix.without_names(df, "name", ("PHAGE_",), ("q",)).select("name")) == [("x",)] and rows(matrix.without_names(df, "name", ("PHAGE_",)).select("name")) == [("q",), ("x",)]
+    grouped = matrix.items_by_group(spark.createDataFrame([("g", "b"), ("g", "a"), ("h", "c")], "g string, i string"), "g", "i")
+    assert rows(matrix.item_columns(grouped, "g", 2)) == [("g", "a", "b"), ("h", "c", None)]
+    wide = spark.createDataFrame([("r1", 1, 2), ("r2", 3, 4)], "k string, x int, y int")
+    assert rows(matrix.transposed(wide, "k", ["r1", "r2"])) == [("x", 1, 3), ("y", 2, 4)]
+    cells = spark.createDataFrame([("p", "q", 1.00050001), ("q", "p", 2.0)], "a string, b string, v double")
+    assert [tuple(r) for r in matrix.ordered_matrix(cells, spark.createDataFrame([("q", 1), ("p", 2)], "item string, leaf int"), "v").collect()] == [("q", "p", 1, 2, 2.0), ("p", "q", 2, 1, 1.001)]
+    assert [matrix.gene_matrix(wide.select(F.col("k").alias("gene")), spark.createDataFrame([("s",)], "strain string"), spark.createDataFrame([("r1", "s", "h")], "gene string, strain string, id string")).orderBy("gene").collect()[i].id for i in (0, 1)] == ["h", "None"]
+
+
+def test_effects_and_flags(spark):
+    one = spark.createDataFrame([(0.0, 1.0), (4.0, 0.01)], "r double, p double")
+    assert [tuple(r) for r in one.select(text.log2_ratio(F.col("r")), text.neg_log10(F.col("p"))).collect()] == [(-math.inf, 0.0), (2.0, 2.0)]
+    name = spark.createDataFrame([("hypothetical protein_12", 0.001, 3.0), ("abc", 0.001, -3.0), ("abc", 0.5, 3.0)], "n string, f double, l double")
+    assert [r[0] for r in name.select(text.volcano_label(F.col("n"), F.col("f"), F.col("l"))).collect()] == ["hypo_12", "abc", None]
+    pairs_ = spark.createDataFrame([("g", "g", 99.5, 0.5), ("g", "h", 99.4, 0.25)], "g_lo string, g_hi string, similarity double, phenotype double")
+    assert [tuple(r)[4:] for r in pairs.derived_flags(pairs_).collect()] == [(True, True, True, "Contact"), (False, False, False, "Thick boundary")]
+
+
+def test_case_control_in_blocks(spark, monkeypatch):
+    """Any block sizes give what loops give."""
+    import random
+
+    rng = random.Random(6)
+    has = {e: {f for f in range(9) if rng.random() < 0.5} for e in range(14)}
+    lab = [(a, b, rng.random() < 0.5) for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.9]
+    want = set()
+    for e in range(14):
+        ends = [(b if a == e else a, d) for a, b, d in lab if e in (a, b)]
+        m, d = [p for p, x in ends if not x], [p for p, x in ends if x]
+        if len(m) < 3 or len(d) < 5:
+            continue
+        for f in range(9):
+            pm, pd_ = (round(100.0 * sum(f in has[p] for p in x) / len(x), 1) for x in (m, d))
+            own = f in has[e]
+            want |= {(e, f, k) for k, fits in enumerate((own and pm >= 80 and pd_ <= 40, not own and pm <= 20 and pd_ >= 60, own and pd_ <= 30, not own and pd_ >= 70), 1) if fits and any(f in x for x in has.values())}
+    presence = spark.createDataFrame([(e, f) for e, fs in has.items() for f in fs], "e int, f int")
+    for focal, features, partners in ((512, 4096, 2048), (2, 3, 4)):
+        for name, value in (("FOCAL_BLOCK", focal), ("FEATURE_BLOCK", features)):
+            monkeypatch.setattr(enrich, name, value)
+        got = enrich.case_control(presence, spark.createDataFrame(lab, "lo int, hi int, disc boolean"), "e", "f", 3, 5)
+        assert {(r.entity, r.feature, r.category) for r in got.collect()} == want and want
+
+
 def test_folds_and_power(spark):
     df = spark.createDataFrame([(i, i % 2) for i in range(9)], "k int, label int")
     assert learn.stratified_folds(df, "label", "k").groupBy("label", "fold").count().agg(F.max("count") - F.min("count")).first()[0] <= 1

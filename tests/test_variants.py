@@ -33,6 +33,10 @@ def test_statuses_and_totals(spark):
     df = spark.createDataFrame([(True, "ARTEFACT", 1), (True, "VARIANT", 1), (True, None, 1), (False, None, 2)], "is_variant boolean, cls string, copies int")
     got = [r[0] for r in df.select(classify.present_status(F.col("is_variant"), F.col("cls"), F.col("copies"))).collect()]
     assert got == ["REMOVE", "KEEP", "KEEP (not validated)", "KEEP (not a variant)"]
+    judged = spark.createDataFrame([(False, "ARTEFACT", 1, 0.0), (True, "ARTEFACT", 2, 11.0), (True, "VARIANT", 2, 50.0)], "v boolean, cls string, copies int, spread double")
+    assert [r[0] for r in judged.select(classify.present_status(*(F.col(c) for c in judged.columns))).collect()] == ["REMOVE", "KEEP (multi-copy)", "KEEP"]
+    two = spark.createDataFrame([(True, True), (False, True), (False, False)], "paired boolean, found boolean")
+    assert [r[0] for r in two.select(classify.absent_status(F.col("paired"), F.col("found"))).collect()] == ["REMOVE (paired artefact)", "KEEP (other variant in genome)", "KEEP (gene missing)"]
     status = spark.createDataFrame([("g", "present", "REMOVE"), ("g", "present", "KEEP"), ("h", "absent", "KEEP (gene missing)")], "grp string, section string, status string")
     assert rows(variants.removal_totals(status)) == [("absent", 1, 0, 1, 0), ("present", 2, 1, 1, 1)]
 
@@ -41,7 +45,10 @@ def test_reference_variant_ranks(spark):
     schema = "grp string, base string, strain string, variant string, number int, own boolean"
     c = spark.createDataFrame([("g", "x", "ref", "x.2", 2, False), ("g", "x", "o", "x.0", 0, False), ("g", "y", "ref", "y.3", 3, False), ("g", "y", "ref", "y.1", 1, False), ("g", "z", "o", "z.4", 4, True), ("g", "w", "o", "w.5", 5, False), ("g", "w", "p", "w.7", 7, False), ("g", "w", "q", "w.7", 7, False)], schema)
     got = {r.base: (r.reference, r["rank"]) for r in classify.reference_variant(c, "ref").collect()}
-    assert got == {"x": ("x.0", 2), "y": ("y.1", 3), "z": ("z", 5), "w": ("w.7", 4)}
+    assert got == {"x": ("x.0", 2), "y": ("y.1", 3), "z": ("z", 5), "w": ("w", 5)}  # none in the preferred strain: the base gene there
+    own = [("g", "a", "ref", "a.1", 1, True), ("g", "a", "o", "a.4", 4, False), ("g", "a", "p", "a.4", 4, False), ("g", "a", "p", "a.3", 3, False), ("g", "b", "ref", "b.2", 2, True), ("g", "c", "ref", "c.0", 0, True)]
+    got = {r.base: (r.reference, r.strain, r["rank"]) for r in classify.reference_variant(spark.createDataFrame(own, schema), "ref").collect()}
+    assert got == {"a": ("a.4", "o", 4), "b": ("b", "ref", 5)}  # and an own .0 has no reference
 
 
 def test_annotation_takes_the_first_entry_of_its_group(spark):
@@ -50,6 +57,33 @@ def test_annotation_takes_the_first_entry_of_its_group(spark):
     assert rows(variants.annotate(f, v).select("grp", "feature", "category")) == [("g", "a, b.1", "not_split_duplicate"), ("g", "c", "none"), ("h", "a", "none")]
 
 
+def test_unreviewed_paralogs_are_duplicates(spark):
+    f = spark.createDataFrame([("g", x, [x]) for x in "abcde"], "grp string, feature string, bases array<string>")
+    v = spark.createDataFrame([("g", "a", ["a"], "Yes", "SPLIT UNIQUE to group", 1), ("g", "b", ["b"], "no", "", 2), ("g", "c", ["c"], None, None, 3)], "grp string, entry string, bases array<string>, verdict string, uniqueness string, row int")
+    p = spark.createDataFrame([("g", x, [x], i) for i, x in enumerate("abcd")], "grp string, entry string, bases array<string>, row int")
+    c = spark.createDataFrame([("g", "d", "2 copies in 1/3 group strains")], "grp string, feature string, text string")
+    got = [tuple(r)[1:] for r in variants.annotate(f, v, p, c).orderBy("feature").collect()]
+    assert got == [("a", "split", "split gene (1 functional copy), split unique to group"), ("b", "not_split_duplicate", "yes, multi-copy (details unavailable) (no)"), ("c", "unchecked", "likely split, needs check (multi-copy (details unavailable))"), ("d", "duplicate", "yes, 2 copies in 1/3 group strains"), ("e", "none", "no")]
+
+
+def test_copies_on_one_strand_are_split(spark):
+    c = [("s", "f", 1, 100, 1, 33), ("s", "f", 5099, 5200, 1, 31), ("s", "f", 90_000, 90_100, 1, 33), ("t", "f", 1, 100, 1, 33), ("t", "f", 150, 300, -1, 10), ("u", "f", 1, 100, 1, 5), ("u", "f", 6000, 6100, 1, 5), ("v", "f", 1, 9, 1, 3), ("w", "f", 1, 100, 1, 3), ("w", "f", 200, 300, 1, 9), ("w", "f", 200, 300, 1, 9)]
+    got = classify.copy_verdicts(spark.createDataFrame(c, "strain string, feature string, a int, b int, strand int, n int"), ["strain", "feature"], "a", "b", "strand", "n")
+    assert rows(got.select("strain", "n_copies", "least_gap", "same_strand", "ratio", "truncated", "flag")) == [("s", 3, 4999, True, 0.939, False, "split_similar"), ("t", 2, 50, False, 0.303, True, "close"), ("u", 2, 5900, True, 1.0, False, "distant"), ("w", 2, 100, True, 0.333, True, "split_unequal")]
+    u = spark.createDataFrame([(1, 0), (0, 2), (0, 0)], "s int, i int")
+    assert [r[0] for r in u.select(classify.split_uniqueness(F.col("s"), F.col("i"))).collect()] == ["also_outside", "split_unique", "unique"]
+
+
+def test_copy_products_and_name_fallback(spark):
+    ref = spark.createDataFrame([("t", 1), ("t", 2), ("u", 3)], "task string, n int")
+    own = spark.createDataFrame([("t", 7), ("u", 8), ("x", 9)], "task string, n int")
+    got = variants.copy_pairs(ref, own, ["task"])
+    assert rows(got) == [("t", 1, 2, 7, 1), ("t", 2, 2, 7, 1), ("u", 3, 1, 8, 1)] and rows(variants.multi_copy(got).select("task").distinct()) == [("t",)]
+    f = spark.createDataFrame([("tagF, rodC.1",), ("tagF, rodC.2",), ("abc.1",)], "feature string")
+    names = spark.createDataFrame([("tagF.1",), ("tagF, rodC.2",), ("abc.1",), ("abc.2",), ("none",)], "name string")
+    assert rows(variants.by_name_or_first(names, f)) == [("abc.1", "abc.1"), ("tagF, rodC.2", "tagF, rodC.2"), ("tagF.1", "tagF, rodC.1")]
+
+
 def test_copy_counts_and_text(spark):
     copies = spark.createDataFrame([("f", "a", 2), ("f", "b", 3), ("f", "z", 1)], "feature string, strain string, n int")
     members = spark.createDataFrame([("g", "a"), ("g", "b"), ("g", "c")], "grp string, strain string")
