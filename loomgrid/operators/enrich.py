@@ -8,6 +8,7 @@ N - d + b have it at neither end.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def with_fisher(rows: DataFrame) -> DataFrame:
 
 def adjusted(rows: DataFrame, p: str, key: str, name: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg. Ranks come from the distinct values of p, so only those pass through one task; null p stays null. ``rows`` is read twice and kept."""
-    rows = rows.cache()
+    rows = rows.persist()
     values = rows.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     up = values.withColumn("__rank", F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)))
     total = values.agg(F.sum("__n").alias("__all"))
@@ -69,10 +70,10 @@ def adjusted(rows: DataFrame, p: str, key: str, name: str = "fdr") -> DataFrame:
     return rows.join(down.select("__p", name), rows[p] == F.col("__p"), "left").drop("__p")
 
 
-def stringent(rows: DataFrame, fdr: float = 0.05, least: int = 5) -> DataFrame:
+def stringent(rows: DataFrame, fdr: float = 0.05, least: int = 5, high: float = 2.0, low: float = 0.5) -> DataFrame:
     """Large, significant effects with enough pairs; infinite and NaN ratios are left out."""
     finite = (F.col("odds") > 0) & (F.col("odds") < float("inf")) & ~F.isnan("odds")
-    return rows.where((F.col("fdr") < fdr) & ((F.col("odds") > 2) | (F.col("odds") < 0.5)) & (F.col("a") >= least) & finite)
+    return rows.where((F.col("fdr") < fdr) & ((F.col("odds") > high) | (F.col("odds") < low)) & (F.col("a") >= least) & finite)
 
 
 def partner_summary(labelled: DataFrame) -> DataFrame:
@@ -80,10 +81,81 @@ def partner_summary(labelled: DataFrame) -> DataFrame:
     return P.endpoints(labelled, "disc").groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("disc")).alias("n_merge"), F.count_if("disc").alias("n_discriminate"))
 
 
+def partner_lists(labelled: DataFrame) -> DataFrame:
+    """The partner summary with both lists of partners, comma-joined in order of name."""
+    ends = P.endpoints(labelled, "disc")
+    names = lambda when: F.array_join(F.array_sort(F.collect_list(F.when(when, F.col("partner").cast("string")))), ", ")
+    return ends.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("disc")).alias("n_merge"), F.count_if("disc").alias("n_discriminate"), names(~F.col("disc")).alias("merge_partners"), names(F.col("disc")).alias("disc_partners"))
+
+
+def enrichment(presence: DataFrame, labelled: DataFrame, entity: str, feature: str, cls: str, kind: str) -> DataFrame:
+    """(class, feature, a, b, c, d, p, odds, low, high, fdr, pct_a, pct_b) of all features of all classes, rates adjusted over all of them; percentages of discriminating and other pairs with the feature."""
+    named = presence.select(F.struct(F.col(cls).alias("class"), F.col(feature).alias("feature")).alias("feature"), F.col(entity).alias(entity))
+    rows = with_fisher(tables(pair_counts(named, labelled, entity, "feature"), kind))
+    rows = adjusted(rows, "p", "feature")
+    return rows.select("feature.class", "feature.feature", *(c for c in rows.columns if c != "feature"), (100.0 * F.col("a") / (F.col("a") + F.col("c"))).alias("pct_a"), (100.0 * F.col("b") / (F.col("b") + F.col("d"))).alias("pct_b"))
+
+
 def focal_entities(labelled: DataFrame, merge: int = 3, discriminate: int = 5) -> DataFrame:
     return partner_summary(labelled).where((F.col("n_merge") >= merge) & (F.col("n_discriminate") >= discriminate))
 
 
+#: A task counts the partners of so many focal entities with so many features, some partners at a time.
+FOCAL_BLOCK, FEATURE_BLOCK, PARTNERS = 512, 4096, 2048
+
+
+def _blocks(df: DataFrame, column: str, size: int) -> int:
+    return max(1, -(-df.agg(F.count_distinct(column)).first()[0] // size))
+
+
+def _fitting_cells(ends: DataFrame, own: DataFrame, n_focal: int, n_features: int) -> DataFrame:
+    """(entity, feature, has, m, d, n_merge, n_discriminate) of the cells that may fit a category.
+
+    m and d are products of the label matrix (focal entity by partner) with the
+    presence matrix, block by block: no row is made for a focal entity, a
+    partner and a feature, and cells that fit nothing are never written out.
+    """
+    kinds = {c: own.schema[c].dataType.simpleString() for c in ("entity", "feature")}
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = ends.withColumn("i", block("entity", n_focal)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))))
+    right = own.withColumn("j", block("feature", n_features)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_focal - 1))))
+
+    def cells(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["entity", "feature", "has", "m", "d", "n_merge", "n_discriminate"]
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=names)
+        focal, row = np.unique(a["entity"].to_numpy(), return_inverse=True)
+        features, column = np.unique(b["feature"].to_numpy(), return_inverse=True)
+        partners, partner = np.unique(a["partner"].to_numpy(), return_inverse=True)
+        disc, who = a["disc"].to_numpy(bool), b["entity"].to_numpy()
+        at = np.minimum(np.searchsorted(partners, who), len(partners) - 1)
+        known = partners[at] == who
+        m, d = np.zeros((len(focal), len(features)), np.float32), np.zeros((len(focal), len(features)), np.float32)
+        for low in range(0, len(partners), PARTNERS):
+            size = min(PARTNERS, len(partners) - low)
+            mine, theirs = (partner >= low) & (partner < low + size), known & (at >= low) & (at < low + size)
+            have = np.zeros((size, len(features)), np.float32)
+            have[at[theirs] - low, column[theirs]] = 1
+            for out, label in ((m, ~disc), (d, disc)):
+                links = np.zeros((len(focal), size), np.float32)
+                np.add.at(links, (row[mine & label], partner[mine & label] - low), 1)
+                out += links @ have
+        has = np.zeros(m.shape, bool)
+        place = np.minimum(np.searchsorted(focal, who), len(focal) - 1)
+        own_rows = focal[place] == who
+        has[place[own_rows], column[own_rows]] = True
+        first = np.unique(row, return_index=True)[1]
+        n_m, n_d = (a[c].to_numpy()[first] for c in ("n_merge", "n_discriminate"))
+        pm, pd_ = 100 * m / n_m[:, None], 100 * d / n_d[:, None]
+        slack = 0.1  # the exact rules, on rounded percentages, follow
+        fits = np.where(has, (pd_ <= 40 + slack) & ((pm >= 80 - slack) | (pd_ <= 30 + slack)), ((pm <= 20 + slack) & (pd_ >= 60 - slack)) | (pd_ >= 70 - slack))
+        x, y = np.nonzero(fits)
+        return pd.DataFrame({"entity": focal[x], "feature": features[y], "has": has[x, y], "m": m[x, y].astype(np.int64), "d": d[x, y].astype(np.int64), "n_merge": n_m[x], "n_discriminate": n_d[x]})
+
+    schema = f"entity {kinds['entity']}, feature {kinds['feature']}, has boolean, m long, d long, n_merge long, n_discriminate long"
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(cells, schema)
+
+
 def case_control(presence: DataFrame, labelled: DataFrame, entity: str, feature: str, merge: int = 3, discriminate: int = 5) -> DataFrame:
     """(entity, feature, category, pct_merge, pct_discriminate) of focal entities.
 
@@ -95,9 +167,8 @@ def case_control(presence: DataFrame, labelled: DataFrame, entity: str, feature:
     """
     focal = focal_entities(labelled, merge, discriminate)
     own = presence.select(F.col(entity).alias("entity"), F.col(feature).alias("feature"))
-    partners = P.endpoints(labelled, "disc").join(focal.select("entity"), "entity")
-    held = partners.join(own.select(F.col("entity").alias("partner"), "feature"), "partner").groupBy("entity", "feature").agg(F.count_if(~F.col("disc")).alias("m"), F.count_if("disc").alias("d"))
-    cells = held.join(own.withColumn("has", F.lit(True)), ["entity", "feature"], "full").join(focal, "entity").fillna(0, ["m", "d"]).fillna(False, ["has"])
+    ends = P.endpoints(labelled, "disc").join(focal, "entity")
+    cells = _fitting_cells(ends, own, _blocks(focal, "entity", FOCAL_BLOCK), _blocks(own, "feature", FEATURE_BLOCK))
     cells = cells.withColumns({"pct_merge": F.bround(100.0 * F.col("m") / F.col("n_merge"), 1), "pct_discriminate": F.bround(100.0 * F.col("d") / F.col("n_discriminate"), 1)})
     has, pm, pd_ = F.col("has"), F.col("pct_merge"), F.col("pct_discriminate")
     rules = [has & (pm >= 80) & (pd_ <= 40), ~has & (pm <= 20) & (pd_ >= 60), has & (pd_ <= 30), ~has & (pd_ >= 70)]
