@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import features, graphs, labels, similarity  # noqa: F401
+from . import features, genes, graphs, labels, similarity  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

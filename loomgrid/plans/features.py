@@ -11,7 +11,7 @@ from . import tables as T
 from .registry import query
 
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-_CELLS = "cells AS (SELECT DISTINCT s_nationkey AS nation, split_part(p_type, ' ', 1) AS kind FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_partkey % 7 = l_suppkey % 7)"
+_CELLS = "cells AS (SELECT DISTINCT s_nationkey AS nation, split_part(p_type, ' ', 1) AS kind FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey)"
 
 
 def _cells(spark, sf_dir):
@@ -112,6 +112,40 @@ def enrichment_fisher_fdr(spark, sf_dir):
     return E.adjusted(E.with_fisher(mismatch_enrichment_counts(spark, sf_dir)), "p", "feature")
 
 
+_LAW = """, sp AS (SELECT feature, a, a + b AS m, c + d AS n, a + c AS k FROM m), x AS (SELECT feature, a, m, n, k, unnest(range(CAST(greatest(0, k - n) AS BIGINT), CAST(least(k, m) + 1 AS BIGINT))) AS x FROM sp),
+w AS (SELECT feature, x = a AS own, -(lgamma(x + 1.0) + lgamma(m - x + 1.0) + lgamma(k - x + 1.0) + lgamma(n - k + x + 1.0)) AS lw FROM x),
+t1 AS (SELECT feature, max(lw) AS top, max(CASE WHEN own THEN lw END) AS mine FROM w GROUP BY 1), pv AS (SELECT w.feature, least(1.0, sum(CASE WHEN lw <= mine + 1e-7 THEN exp(lw - top) ELSE 0 END) / sum(exp(lw - top))) AS p FROM w JOIN t1 ON t1.feature = w.feature GROUP BY 1),
+rk AS (SELECT *, count(*) OVER (ORDER BY round(p, 9) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, count(*) OVER () AS all_n FROM pv), fd AS (SELECT feature, p, least(1.0, min(round(p, 9) * all_n / hi) OVER (ORDER BY round(p, 9) DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS fdr FROM rk)"""
+_SHARED = "WITH " + T.COUNTS + ", t AS (SELECT feature, both_d AS a, both_k AS b, one_d + none_d AS c, one_k + none_k AS d FROM cnt), m AS (SELECT * FROM t WHERE" + _DEGENERATE + ")"
+
+
+@query(_MISMATCH + _LAW + " SELECT feature, round(p, 6) AS p, round(fdr, 6) AS fdr FROM fd")
+def mismatch_fisher_p(spark, sf_dir):
+    rows = E.with_fisher(mismatch_enrichment_counts(spark, sf_dir)).withColumn("tied", F.round("p", 9))
+    return E.adjusted(rows, "tied", "feature").select("feature", F.round("p", 6).alias("p"), F.round("fdr", 6).alias("fdr"))
+
+
+@query(_SHARED + _LAW + " SELECT p_type AS class, m.feature, a, b, c, d, round(p, 6) AS p, round(100.0 * a / (a + c), 6) AS pct_a, round(100.0 * b / (b + d), 6) AS pct_b FROM fd JOIN m ON m.feature = fd.feature JOIN part ON p_partkey = m.feature")
+def shared_enrichment_by_class(spark, sf_dir):
+    """The enrichment of shared presence, class by class, with rates over all classes."""
+    named = T.presence(spark, sf_dir).join(_types(spark, sf_dir), "feature")
+    rows = E.enrichment(named, T.labelled(spark, sf_dir), "entity", "feature", "kind", "shared")
+    return rows.select("class", "feature", "a", "b", "c", "d", F.round("p", 6).alias("p"), F.round("pct_a", 6).alias("pct_a"), F.round("pct_b", 6).alias("pct_b"))
+
+
+@query(_MISMATCH + ", o AS (SELECT feature, a, CASE WHEN b * c = 0 THEN NULL ELSE a * d / (b * c) END AS odds, (feature * 7919 % 1000) / 1000.0::DOUBLE AS fdr FROM m) SELECT feature, round(odds, 9) AS odds FROM o WHERE fdr < 0.05 AND a >= 5 AND odds > 0 AND (odds > 1.1 OR odds < 0.9)")
+def stringent_effects(spark, sf_dir):
+    """Odds of the margins here lie about 1, so the limits are near it."""
+    rows = mismatch_enrichment_counts(spark, sf_dir).select("feature", "a", F.coalesce(F.try_divide(F.col("a") * F.col("d"), F.col("b") * F.col("c")), F.lit(float("inf"))).alias("odds"), (F.col("feature") * 7919 % 1000 / 1000.0).alias("fdr"))
+    return E.stringent(rows, high=1.1, low=0.9).select("feature", F.round("odds", 9).alias("odds"))
+
+
+@query("WITH " + T.ENDS + " SELECT entity, count(*) AS n, count(*) FILTER (WHERE NOT disc) AS n_merge, count(*) FILTER (WHERE disc) AS n_discriminate, coalesce(string_agg(CAST(partner AS VARCHAR), ', ' ORDER BY CAST(partner AS VARCHAR)) FILTER (WHERE NOT disc), '') AS merge_partners, coalesce(string_agg(CAST(partner AS VARCHAR), ', ' ORDER BY CAST(partner AS VARCHAR)) FILTER (WHERE disc), '') AS disc_partners FROM ends GROUP BY 1")
+def partner_lists(spark, sf_dir):
+    return E.partner_lists(T.labelled(spark, sf_dir))
+
+
+
 @query("""WITH v AS (SELECT p_partkey AS k, (p_partkey * 7919 % 1000 + 1) / 1001.0::DOUBLE AS p FROM part), r AS (SELECT *, p * count(*) OVER () / rank_hi AS q FROM (SELECT *, count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank_hi FROM v))
 SELECT k, p, round(least(1.0, min(q) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS fdr FROM r""")
 def bh_adjust(spark, sf_dir):

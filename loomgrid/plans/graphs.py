@@ -63,13 +63,22 @@ def relabel(spark, sf_dir):
     return G.relabel(s, out, cliques)
 
 
-@query("SELECT 'x' AS label, CAST(0 AS BIGINT) AS n WHERE false")
+@query()
 def relabel_violations(spark, sf_dir):
     """Empty: after regrouping no violating pair shares a group."""
     s, bad, out, cliques = _exclusion(spark, sf_dir)
     return G.remaining_violations(G.relabel(s, out, cliques), bad)
 
 
+@query("WITH s AS (SELECT s_suppkey AS k, n_regionkey AS grp FROM supplier JOIN nation ON n_nationkey = s_nationkey), p AS (SELECT a.grp, (a.k * 7 + b.k * 13) % 4 AS c FROM s a JOIN s b ON a.grp = b.grp AND a.k < b.k) SELECT grp, count(*) AS before, CAST(0 AS BIGINT) AS after FROM p WHERE c >= 2 GROUP BY 1")
+def violations_before_and_after(spark, sf_dir):
+    """Violating pairs of each group, and those left within its new groups."""
+    s, bad, out, cliques = _exclusion(spark, sf_dir)
+    labels = G.relabel(s, out, cliques).select("entity", "label")
+    a, b = labels.toDF("lo", "la"), labels.toDF("hi", "lb")
+    return bad.join(a, "lo").join(b, "hi").groupBy("grp").agg(F.count(F.lit(1)).alias("before"), F.count_if(F.col("la") == F.col("lb")).alias("after"))
+
+
 def _distances(spark, sf_dir):
     return T.jaccard(spark, sf_dir).select("lo", "hi", (1 - F.col("jaccard")).alias("distance"))
 
@@ -79,6 +88,16 @@ def linkage_cut(spark, sf_dir):
     return K.clusters(_distances(spark, sf_dir), "distance", [3, 5, 8, 10, 15, 20])
 
 
+@query()
+def leaf_matrix(spark, sf_dir):
+    """Similarities in the order of the tree's leaves."""
+    from ..operators import matrix as M
+    from ..operators import pairs as P
+
+    leaves = K.clusters(_distances(spark, sf_dir), "distance", [3]).select("item", "leaf")
+    return M.ordered_matrix(P.symmetric(T.jaccard(spark, sf_dir).withColumn("value", 100 * F.col("jaccard")).select("lo", "hi", "value"), "value"), leaves, "value")
+
+
 @query()
 def cluster_blocks(spark, sf_dir):
     return K.blocks(linkage_cut(spark, sf_dir))
@@ -123,7 +142,15 @@ def model_scores(spark, sf_dir):
 @query()
 def robust_candidates(spark, sf_dir):
     forest = L.forest_importances(_vectors(spark, sf_dir))
-    return L.robust_candidates(forest, "importance", _power(spark, sf_dir), "power", "feature", 20)
+    return L.robust_candidates(forest, "importance", _power(spark, sf_dir), "power", "feature")
+
+
+@query()
+def robust_patterns(spark, sf_dir):
+    """The candidates with the mean of each class."""
+    long = T.table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("feature", "value"))
+    labels = sorted(r.label for r in long.select("label").distinct().collect())
+    return L.class_patterns(robust_candidates(spark, sf_dir), long, "label", "feature", "value", labels)
 
 
 @query("WITH " + _POWER + ", r AS (SELECT power, row_number() OVER (ORDER BY round(power, 12) DESC, feature) AS k FROM pw) SELECT k.k, round(sum(power) FILTER (WHERE r.k <= k.k) / sum(power), 6) AS share FROM r, (VALUES (10), (50)) k(k) GROUP BY 1")
@@ -140,7 +167,7 @@ def pooled_classes(spark, sf_dir):
     return pool_small(s, "grp").groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH g AS (SELECT DISTINCT s_nationkey AS strain, p_brand AS gene FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 5 = 0 AND l_quantity > 45),
+@query("""WITH g AS (SELECT DISTINCT s_nationkey AS strain, p_brand AS gene FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
 k AS (SELECT n_nationkey AS strain, gene FROM nation LEFT JOIN g ON strain = n_nationkey),
 r(reaction, fits) AS (SELECT 'free', NULL), s AS (SELECT strain, bool_or(gene = 'Brand#11') AS a, bool_or(gene = 'Brand#22') AS b, bool_or(gene = 'Brand#33') AS c FROM k GROUP BY 1)
 SELECT strain, 'free' AS reaction FROM s UNION ALL SELECT strain, 'both' FROM s WHERE a AND b UNION ALL SELECT strain, 'either' FROM s WHERE a OR (b AND c)""")

@@ -96,7 +96,7 @@ def ordered_pair_concat(spark, sf_dir):
     return rows.join(c, rows["conv_id"].eqNullSafe(c["c_custkey"]), "left").select("conv_id", "roles", "n", F.coalesce("c_mktsegment", F.lit("none")).alias("segment"))
 
 
-@query("SELECT p_partkey, p_brand || CASE WHEN rn <= 26 THEN chr(CAST(96 + rn AS INTEGER)) ELSE chr(CAST(96 + (rn - 1) // 26 AS INTEGER)) || chr(CAST(97 + (rn - 1) % 26 AS INTEGER)) END AS label FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) WHERE rn <= 700")
+@query("SELECT p_partkey, p_brand || CASE WHEN rn <= 26 THEN '' WHEN rn <= 702 THEN chr(CAST(96 + (rn - 1) // 26 AS INTEGER)) ELSE chr(CAST(97 + (rn - 703) // 676 AS INTEGER)) || chr(CAST(97 + (rn - 703) // 26 % 26 AS INTEGER)) END || chr(CAST(97 + (rn - 1) % 26 AS INTEGER)) AS label FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part)")
 def family_ids(spark, sf_dir):
     rows = T.table(spark, sf_dir, "part").withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
     return rows.select("p_partkey", F.concat("p_brand", X.ordinal_letters(F.col("rn"))).alias("label"))
@@ -127,7 +127,7 @@ def phenotype_parse(spark, sf_dir):
     return T.table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"), (value >= 3).alias("kin"))
 
 
-_VARIANTS = """v AS (SELECT p_brand AS base, p_partkey AS k, p_name || '.' || p_size AS name FROM part WHERE p_size <= 3),
+_VARIANTS = """v AS (SELECT p_brand AS base, p_partkey AS k, p_name || '.' || p_size AS name FROM part),
 vp AS (SELECT a.base, a.k AS k_1, b.k AS k_2, 100.0 * (1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))::DOUBLE) AS identity, 100.0 * least(length(a.name), length(b.name)) / greatest(length(a.name), length(b.name))::DOUBLE AS coverage FROM v a JOIN v b ON a.base = b.base AND a.k < b.k)"""
 
 

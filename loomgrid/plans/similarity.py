@@ -21,6 +21,37 @@ def pair_reciprocal_average(spark, sf_dir):
     return out.select("lo", "hi", F.round("value", 9).alias("value"), F.round("difference", 9).alias("difference"))
 
 
+@query("WITH " + T.JACCARD + ", d AS (SELECT abs(100.0 * n_both / n_lo - 100.0 * n_both / n_hi) AS d FROM jac) SELECT count(*) AS n, round(avg(d), 9) AS mean, round(max(d), 9) AS most, round(median(d), 9) AS median FROM d")
+def direction_stats(spark, sf_dir):
+    both = P.reciprocal_mean(P.containment(T.presence(spark, sf_dir), "entity", "feature"), "query", "reference", "value")
+    return P.difference_stats(both).select("n", *(F.round(c, 9).alias(c) for c in ("mean", "most", "median")))
+
+
+@query("WITH " + T.GROUPED + " SELECT g_lo = g_hi AS same_group, 100 * jaccard >= 15 AS above_threshold, phenotype >= 0.5 AS observed_kin, CASE phenotype WHEN 1.0 THEN 'Merging' WHEN 0.5 THEN 'Contact' WHEN 0.25 THEN 'Thick boundary' ELSE 'Lysis' END AS outcome, count(*) AS n FROM grp GROUP BY 1, 2, 3, 4")
+def pair_flags(spark, sf_dir):
+    pairs = T.grouped_pairs(spark, sf_dir).withColumn("similarity", 100 * F.col("jaccard"))
+    return P.derived_flags(pairs, 15.0).groupBy("same_group", "above_threshold", "observed_kin", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CELL = "l_returnflag AS a, l_linestatus AS b, l_linenumber AS c, nullif(l_discount, 0) AS d, nullif(l_tax, 0) AS e, CASE WHEN l_quantity > 25 THEN 'many' END AS f"
+
+
+@query(f"WITH x AS (SELECT {_CELL}, count(*) AS n FROM lineitem GROUP BY ALL), y AS (SELECT {_CELL}, max(l_extendedprice) AS most FROM lineitem WHERE l_suppkey < 20 GROUP BY ALL) SELECT x.*, most FROM x LEFT JOIN y ON x.a IS NOT DISTINCT FROM y.a AND x.b IS NOT DISTINCT FROM y.b AND x.c IS NOT DISTINCT FROM y.c AND x.d IS NOT DISTINCT FROM y.d AND x.e IS NOT DISTINCT FROM y.e AND x.f IS NOT DISTINCT FROM y.f")
+def six_key_join(spark, sf_dir):
+    """Nulls meet nulls on all six keys; the right side is that of some suppliers."""
+    keys = list("abcdef")
+    line = T.table(spark, sf_dir, "lineitem").selectExpr("l_returnflag a", "l_linestatus b", "l_linenumber c", "nullif(l_discount, 0) d", "nullif(l_tax, 0) e", "CASE WHEN l_quantity > 25 THEN 'many' END f", "l_extendedprice", "l_suppkey")
+    x = line.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return P.null_safe_join(x, line.where("l_suppkey < 20").groupBy(*keys).agg(F.max("l_extendedprice").alias("most")), keys)
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem a WHERE l_quantity < 25 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_suppkey = a.l_suppkey AND b.l_partkey = a.l_partkey AND b.l_quantity >= 25)) GROUP BY 1")
+def two_key_anti(spark, sf_dir):
+    line, keys = T.table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey"]
+    rest = line.where("l_quantity < 25").select(*keys).distinct().join(line.where("l_quantity >= 25").select(*keys), keys, "left_anti")
+    return rest.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("WITH " + T.JACCARD + " SELECT lo, hi, n_both AS both_n, n_lo, n_hi, jaccard FROM jac")
 def pair_jaccard(spark, sf_dir):
     return T.jaccard(spark, sf_dir).withColumnRenamed("both", "both_n")

@@ -96,6 +96,6 @@ cnt AS (SELECT i.feature, CAST(coalesce(b.d, 0) AS BIGINT) AS both_d, CAST(coale
   FROM inc i LEFT JOIN bth b ON b.feature = i.feature CROSS JOIN tot t)"""
 )
 GROUPED = JACCARD + ", grp AS (SELECT jac.*, a.s_nationkey AS g_lo, b.s_nationkey AS g_hi FROM jac JOIN supplier a ON a.s_suppkey = lo JOIN supplier b ON b.s_suppkey = hi)"
-COSINE = """v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 200),
+COSINE = """v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 nrm AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id), u AS (SELECT vec_id, i, x / n AS x FROM v JOIN nrm USING (vec_id)),
 cos AS (SELECT a.vec_id AS lo, b.vec_id AS hi, round(sum(a.x * b.x), 6) AS value FROM u a JOIN u b ON a.i = b.i AND a.vec_id < b.vec_id GROUP BY 1, 2)"""
