@@ -120,7 +120,7 @@ class Frequent:
     def add(self, tokens: np.ndarray) -> None:
         self.waiting.append(tokens)
         self.n += len(tokens)
-        if self.n >= 8 * self.most:
+        if self.n >= 4 * self.most:
             self.merge()
 
     def merge(self) -> None:
@@ -177,7 +177,7 @@ def _prefixes(frequent: np.ndarray, rank: np.ndarray):
                 if key in seen:
                     take[i] = 0
                 seen[key] = None
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 seen.clear()
             rows = np.repeat(np.arange(len(n)), take)
             at = np.arange(len(rows)) - np.repeat(np.cumsum(take) - take, take) + offsets[:-1][rows]
@@ -219,7 +219,7 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs, shared = np.unique(np.concatenate([one, two]), axis=0, return_counts=True)
             waiting.append(np.column_stack([pairs, shared]))
             n += len(pairs)
-            if n > 400_000:
+            if n > 200_000:
                 yield flush()
                 waiting, n = [], 0
     if waiting:
