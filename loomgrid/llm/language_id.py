@@ -15,7 +15,8 @@ verdict is taken out of the counts that judge it, so its text speaks once. Texts
 are never shuffled: scoring leaves narrow rows, and these meet their host's
 counts through a salted join, so that a host with a third of all rows is spread.
 
-Defined results: null or empty texts have no text evidence and are rejected;
+Defined results: null or empty texts have no text evidence and are rejected, and
+so are texts that look like no language on their own, whatever their host's are;
 a null or empty source counts as one host without a suffix; rows without a
 known language label don't train; without any label every document is ``und``
 and rejected; ties go to the alphabetically first language; repeated rows get
@@ -183,7 +184,7 @@ def decide(docs: DataFrame, langs: list[str], logp: np.ndarray, markup: str = "t
     out = out.withColumn("mass", F.aggregate("post", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))
     name_of = lambda at: F.element_at(F.array(*(F.lit(x) for x in names)), at.cast("int"))
     out = out.withColumn("lang", name_of(F.array_position("post", F.col("top")))).withColumn("confidence", F.round(1 / F.col("mass"), 6))
-    kept = (F.col("lang") != UNKNOWN) & (F.col("n_grams") > 0) & (F.col("confidence") >= LEAST)
+    kept = (F.col("lang") != UNKNOWN) & (F.col("guess") < n - 1) & (F.col("confidence") >= LEAST)
     return out.select("doc_id", "k1", "k2", "lang", "confidence", name_of(F.col("guess") + 1).alias("text_lang"), "declared", name_of(F.array_position("prior", F.array_max("prior"))).alias("host_lang"), kept.alias("kept"))
 
 
