@@ -18,10 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-import os
-import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,8 +30,8 @@ from pyspark.sql import functions as F
 
 from . import huffman
 from . import textbytes as tb
-from .chunk_table import WordTable
 from .media import store
+from .tokenizing import WordEncoder, encoder  # noqa: F401
 from .workspace import new_path, remove, tune, write_table
 
 END_ID = 2
@@ -44,87 +41,6 @@ PIECE_IDS = 2 << 20
 _PIECE = "part long, seq long, path string, n_docs long, n_ids long, ids array<int>, counts array<long>"
 
 
-def _own_letters() -> str:
-    """Letters up to U+024F that the normalizer maps to one letter each, whatever stands beside them."""
-    return "".join(c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c.lower().isalpha())
-
-
-#: The ASCII signs but the apostrophe (it begins endings like 's) and what special tokens begin with.
-_SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in "'<")
-_SIGNED = "([" + re.escape(_SIGNS) + "]*)"
-#: A word of letters between signs.
-_ASCII = re.compile((_SIGNED + "([A-Za-z]+)" + _SIGNED).encode())
-_WORD = re.compile(_SIGNED + "([" + _own_letters() + "]+)" + _SIGNED)
-#: Byte-level vocabularies show each byte as a character: printable Latin-1 ones as they are, the others from 256 on.
-_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-#: Runs of signs and words that are kept with their ids.
-_RUNS, _WORDS = 10_000, 500_000
-
-
-class WordEncoder:
-    """White-space separated chunks to ids by the tokenizers library.
-
-    The tokenizer splits at every change between letters and signs, so a word
-    between signs is up to three parts. The word goes straight to the library's
-    model, as there is nothing to normalize or split in such letters but their
-    case; runs of signs, of which there are few, are asked for once. Any other
-    chunk goes through the library whole.
-    """
-
-    def __init__(self, tokenizer_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.model = self.tokenizer.model
-        self.runs: dict[str | bytes, list[int]] = {}
-
-    def _run(self, signs: str | bytes) -> list[int]:
-        if signs not in self.runs:
-            if len(self.runs) >= _RUNS:
-                self.runs.clear()
-            self.runs[signs] = self.whole(signs)
-        return self.runs[signs]
-
-    def whole(self, chunk: str | bytes) -> list[int]:
-        return self.tokenizer.encode(chunk if isinstance(chunk, str) else chunk.decode(), add_special_tokens=False).ids
-
-    def __call__(self, chunks: list[bytes]) -> list[list[int]]:
-        out, tokenize = [], self.model.tokenize
-        for chunk in chunks:
-            if m := _ASCII.fullmatch(chunk):
-                head, word, tail = m.groups()
-                ids = [t.id for t in tokenize(word.lower().decode())]
-            elif m := _WORD.fullmatch(chunk.decode()):
-                head, word, tail = m.groups()
-                ids = [t.id for t in tokenize(word.lower().encode().decode("latin-1").translate(_SHOWN))]
-            else:
-                out.append(self.whole(chunk))
-                continue
-            if head or tail:
-                ids = (self._run(head) if head else []) + ids + (self._run(tail) if tail else [])
-            out.append(ids)
-        return out
-
-
-_TABLES: dict[str, WordTable] = {}
-
-
-def word_table(tokenizer_path: str) -> WordTable:
-    """A Python worker keeps its table from task to task."""
-    if tokenizer_path not in _TABLES:
-        _TABLES[tokenizer_path] = WordTable(WordEncoder(tokenizer_path), most=_WORDS)
-    return _TABLES[tokenizer_path]
-
-
-def texts_of(batch: pa.RecordBatch, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets by text) of the column ``text``, each text with the end id. The tokenizer lower-cases but for special tokens; done before, the table has fewer words."""
-    data, off = tb.column_bytes(batch.column("text"))
-    special = (data[:-1] == 0x3C) & (data[1:] == 0x7C)  # <|
-    return table.words(data if special.any() else tb.LOWER[data], off, (END_ID,))
-
-
 def _pack(array: np.ndarray) -> bytes:
     raw = zlib.compress(array.tobytes(), 1)
     return struct.pack("<I", len(raw)) + raw
@@ -155,7 +71,7 @@ def _pieces(folder: str, tokenizer_path: str):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        table = word_table(tokenizer_path)
+        encode = encoder(tokenizer_path)
         held: list[tuple] = []
 
         def flush():
@@ -171,7 +87,7 @@ def _pieces(folder: str, tokenizer_path: str):
             return row
 
         for batch in tb.slices(batches):
-            ids, offsets = texts_of(batch, table)
+            ids, offsets = encode.column(batch.column("text"), (END_ID,))
             docs = batch.column("doc_id")
             held.append((docs.fill_null(0).to_numpy(zero_copy_only=False), docs.is_null().to_numpy(zero_copy_only=False), np.diff(offsets).astype(np.int64), ids))
             if sum(len(x[3]) for x in held) >= PIECE_IDS:
