@@ -157,5 +157,37 @@ FROM e GROUP BY conv_id
 """
 
 
+OP12 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2, CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(l[:a], '') AS prefix, array_to_string(l[a + 1:b], '') AS middle, array_to_string(l[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+# CRC-32 of each distinct word, byte by byte by its polynomial.
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS7} AS w FROM documents),
+f AS (SELECT r, unnest(w) AS x FROM d),
+b AS (SELECT unnest({_WORDS7}) AS x FROM benchmark),
+v AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM f UNION SELECT x FROM b)),
+k AS (SELECT x, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(4 * length(h)), lambda i: (CAST('0x' || substr(h, CAST(2 * (i // 8) + 1 AS BIGINT), 2) AS BIGINT) >> (i % 8)) & 1)),
+    lambda c, y: CASE WHEN xor(c & 1, y) = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END), 4294967295) % 10000 AS bucket FROM v),
+fs AS (SELECT bucket, count(*)::DOUBLE AS s FROM f JOIN k USING (x) GROUP BY 1),
+bt AS (SELECT bucket, count(*)::DOUBLE AS t FROM b JOIN k USING (x) GROUP BY 1),
+n AS (SELECT (SELECT count(*)::DOUBLE FROM f) AS s, (SELECT count(*)::DOUBLE FROM b) AS t),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(bt.t, 0) + 1) * (n.s + 10000) / ((coalesce(fs.s, 0) + 1) * (n.t + 10000)))) AS BIGINT) AS gain FROM fs FULL JOIN bt USING (bucket), n),
+m AS (SELECT r, count(*) AS n_features, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM f JOIN k USING (x) JOIN g USING (bucket) GROUP BY r),
+z AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (r)),
+s AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM z),
+e AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) FILTER (WHERE n_words >= 20) OVER () AS eligible FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 10 * eligible // 100 THEN place END AS rank FROM e
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_media_columns": OP1, "op2_secret_scan": OP2, "op3_substring_dedup": OP3, "op5_ngram_jaccard_join": OP5, "op7_benchmark_decontamination": OP7, "op8_url_filters": OP8, "op9_chat_format": OP9}
+    return {"op1_media_columns": OP1, "op2_secret_scan": OP2, "op3_substring_dedup": OP3, "op5_ngram_jaccard_join": OP5, "op7_benchmark_decontamination": OP7, "op8_url_filters": OP8, "op9_chat_format": OP9, "op12_fill_in_middle": OP12, "op13_importance_resampling": OP13}
