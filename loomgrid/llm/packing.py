@@ -1,15 +1,20 @@
 """Best-fit packing: documents as token ids into sequences of a fixed capacity.
 
 1. Texts are encoded; only documents above the capacity are cut, into pieces of
-   the capacity and a shorter last one. The pieces are written, each with the
-   task that made it and its rank among the pieces of equal length there.
+   the capacity and a shorter last one. Each task writes its pieces into one file
+   (Arrow, zstd) of the shared folder and reports their counts by length.
 2. The histogram of lengths has one number for each length up to the capacity,
    whatever the size of the corpus. Best fit runs over these counts, longest
    first: all pieces of a length that go into sequences with the same room left
-   are one step, and the plan is a table of runs of ranks within a length.
-3. Ranks of a task start where those of earlier tasks end. Runs are cut at these
-   borders, and pieces take their slots by joining on (task, length) and rank.
-4. Pieces meet in their sequence, which holds at most ``capacity`` ids.
+   are one step, and the plan is a table of runs of ranks within a length, whose
+   size depends on the capacity alone.
+3. Ranks of a file start where those of earlier files end; the pieces are read
+   with their ranks and take their slots by joining with the plan on length and
+   rank. So the ids are shuffled once:
+4. pieces meet in their sequence, which holds at most ``capacity`` ids.
+
+A file counts when the manifest names it, so files of failed or repeated tasks
+are never read.
 
 Defined results: a null or empty text is the end id alone; repeated rows and
 rows without a doc_id are packed like any other; an empty table gives no
@@ -20,21 +25,24 @@ takes which slot is open.
 from __future__ import annotations
 
 import bisect
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .media import store
 from .tokenizing import encoder, id_bytes
-from .workspace import small_side, tune, write_table
+from .workspace import new_path, tune, write_table
 
 CAPACITY, END_ID = 4096, 1
-PIECES = "part long, rank long, doc_id long, piece int, start long, length long, ids binary"
+MANIFEST = "path string, lengths array<long>, counts array<long>"
+PIECES = "rank long, doc_id long, piece int, start long, length long, ids binary"
 SEQUENCES = "sequence_id long, ids array<int>, segments array<struct<doc_id: long, piece: int, start: long, length: long, offset: long>>"
 REPORT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 _RUNS = ["length", "first", "last", "sequence", "per", "offset"]
@@ -89,47 +97,73 @@ def plan(counts: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     return runs
 
 
-def _pieces(tokenizer_path: str, capacity: int, end_id: int, wide: int):
-    """Texts to rows of PIECES; a row is a piece of at most ``capacity`` ids."""
+def _occurrence(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each one."""
+    order = np.argsort(values, kind="stable")
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - np.searchsorted(values[order], values[order])
+    return out
+
+
+def _write_pieces(folder: str, tokenizer_path: str, capacity: int, end_id: int, wide: int):
+    """Texts to a file of pieces for each task, and its row of the manifest."""
+
+    def pieces(batch: pa.RecordBatch, encode) -> tuple[pa.RecordBatch, np.ndarray]:
+        ids, offsets = encode.column(batch.column("text"), (end_id,))
+        size = np.diff(offsets)
+        n = -(-size // capacity)
+        row = np.repeat(np.arange(len(size)), n)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        start = piece * capacity
+        length = np.minimum(size[row] - start, capacity)
+        edge = wide * np.r_[0, np.cumsum(length)]
+        raw = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids.astype(f"<u{wide}")))])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), raw], names=["doc_id", "piece", "start", "length", "ids"]), length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, encode = TaskContext.get().partitionId(), encoder(tokenizer_path)
-        seen = np.zeros(capacity + 1, np.int64)
-        for batch in tb.slices(batches):
-            ids, offsets = encode.column(batch.column("text"), (end_id,))
-            size = np.diff(offsets)
-            n = -(-size // capacity)
-            row = np.repeat(np.arange(len(size)), n)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            start = piece * capacity
-            length = np.minimum(size[row] - start, capacity)
-            order = np.argsort(length, kind="stable")
-            head = np.searchsorted(length[order], length)  # where a length begins among the sorted ones
-            rank = np.empty(len(row), np.int64)
-            rank[order] = np.arange(len(row))
-            rank += seen[length] - head
-            seen += np.bincount(length, minlength=capacity + 1)
-            edge = wide * np.r_[0, np.cumsum(length)]
-            raw = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids.astype(f"<u{wide}")))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), part, np.int64)), pa.array(rank), batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), raw], names=["part", "rank", "doc_id", "piece", "start", "length", "ids"])
+        encode, counts, out = encoder(tokenizer_path), np.zeros(capacity + 1, np.int64), None
+        fs, base = store(folder)
+        path = f"{uuid.uuid4().hex}.arrow"
+        fs.create_dir(base, recursive=True)
+        with fs.open_output_stream(f"{base}/{path}") as sink:
+            for batch in tb.slices(batches):
+                made, length = pieces(batch, encode)
+                counts += np.bincount(length, minlength=capacity + 1)
+                out = out or pa.ipc.new_stream(sink, made.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                out.write_batch(made)
+            if out:
+                out.close()
+        if out:
+            seen = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([seen], pa.list_(pa.int64())), pa.array([counts[seen]], pa.list_(pa.int64()))], names=["path", "lengths", "counts"])
+
+    return run
+
+
+def _read_pieces(folder: str, capacity: int):
+    """Files with the first rank of each of their lengths to rows of PIECES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = store(folder)
+        for batch in batches:
+            for path, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                seen = np.zeros(capacity + 1, np.int64)
+                for x in first:
+                    seen[x["length"]] = x["base"]
+                with fs.open_input_stream(f"{base}/{path}") as source, pa.ipc.open_stream(source) as pieces:
+                    for part in pieces:
+                        length = part.column("length").to_numpy()
+                        yield pa.RecordBatch.from_arrays([pa.array(seen[length] + _occurrence(length)), *part.columns], names=["rank", *part.schema.names])
+                        seen += np.bincount(length, minlength=capacity + 1)
 
     return run
 
 
-def _slots(pieces: DataFrame, capacity: int) -> DataFrame:
-    """The plan cut at the borders of tasks: ranks ``low`` to ``high`` - 1 of (part, length) go into ``sequence`` on, as in plan() from rank ``zero`` on."""
-    spark = pieces.sparkSession
-    own, _ = write_table(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    found = own.groupBy("length").agg(F.sum("n").alias("n")).toPandas()  # a row for each length up to the capacity
-    counts = np.zeros(capacity + 1, np.int64)
-    counts[found["length"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    runs = spark.createDataFrame(pd.DataFrame(plan(counts), columns=_RUNS), ", ".join(f"{c} long" for c in _RUNS))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
-    own = own.select("part", "length", "n", before.alias("base"))
-    cut = own.join(runs, "length").where((F.col("first") < F.col("base") + F.col("n")) & (F.col("last") > F.col("base")))
-    return cut.select("part", "length", (F.greatest("first", "base") - F.col("base")).alias("low"), (F.least("last", F.col("base") + F.col("n")) - F.col("base")).alias("high"), (F.col("first") - F.col("base")).alias("zero"), "sequence", "per", F.col("offset").alias("at"))
+def _plan_table(spark: SparkSession, counts: DataFrame, capacity: int) -> DataFrame:
+    found = counts.groupBy("length").agg(F.sum("n").alias("n")).toPandas()  # a row for each length up to the capacity
+    histogram = np.zeros(capacity + 1, np.int64)
+    histogram[found["length"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return spark.createDataFrame(pd.DataFrame(plan(histogram), columns=_RUNS), ", ".join(f"{c} long" for c in _RUNS))
 
 
 def _gather(wide: int):
@@ -165,14 +199,18 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Documents (doc_id, text) to sequences: sequence_id (0, 1, 2 ...), ids (at most ``capacity``) and the segments that stand in them without gaps."""
-    tune(docs.sparkSession)
-    wide = id_bytes(tokenizer_path, end_id)
+    spark = tune(docs.sparkSession)
+    wide, folder = id_bytes(tokenizer_path, end_id), new_path(spark, "pieces")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces, _ = write_table(rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id, wide), PIECES), "pieces")
-    slots, _ = write_table(_slots(pieces, capacity), "slots")
-    placed = pieces.join(small_side(slots), ["part", "length"]).where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    placed = placed.selectExpr("sequence + (rank - zero) div per AS sequence_id", "at + (rank - zero) % per * length AS offset", "doc_id", "piece", "start", "length", "ids")
-    return placed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(_gather(wide), SEQUENCES)
+    files, _ = write_table(rows.mapInArrow(_write_pieces(folder, tokenizer_path, capacity, end_id, wide), MANIFEST), "manifest")
+    counts = files.select("path", F.explode(F.arrays_zip("lengths", "counts")).alias("x")).select("path", F.col("x.lengths").alias("length"), F.col("x.counts").alias("n"))
+    base = F.sum("n").over(Window.partitionBy("length").orderBy("path")) - F.col("n")
+    placed, _ = write_table(counts.withColumn("base", base).groupBy("path").agg(F.collect_list(F.struct("length", "base")).alias("first")), "bases")  # a row for each file
+    spread = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    slots = spread.mapInArrow(_read_pieces(folder, capacity), PIECES).join(F.broadcast(_plan_table(spark, counts, capacity)), "length")  # the capacity bounds the plan
+    slots = slots.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
+    slots = slots.selectExpr("sequence + (rank - first) div per AS sequence_id", "offset + (rank - first) % per * length AS offset", "doc_id", "piece", "start", "length", "ids")
+    return slots.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(_gather(wide), SEQUENCES)
 
 
 def pieces_of(sequences: DataFrame) -> DataFrame:

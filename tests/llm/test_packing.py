@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from loomgrid.llm import packing, tokenizing, workspace
+from loomgrid.llm import packing, tokenizing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -82,11 +82,8 @@ def test_whole_table(spark):
     held_against(rows, packing.pieces_of(packing.pack(docs, PATH)).collect(), packing.CAPACITY)
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_odd_rows(spark, monkeypatch, broadcast):
-    """Nulls, empty and very long texts, ties, repeated rows, clashing columns, several tasks; joined by broadcast and by shuffle."""
-    if not broadcast:
-        monkeypatch.setattr(workspace, "BROADCAST_ROWS", 0)
+def test_odd_rows(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns, several tasks."""
     rng = random.Random(5)
     words = ["alpha", "Beta", "x1", "don't", "\U0001f600", "ß", "#!"]
     rows = [(i, " ".join(rng.choices(words, k=rng.randrange(40)))) for i in range(300)]
