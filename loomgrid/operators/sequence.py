@@ -1,4 +1,4 @@
-"""Local alignment of sequence pairs in numpy, as pandas UDFs."""
+"""Local alignment of sequence pairs, in batches by pandas UDFs (:mod:`..functions.alignment`)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.alignment import Result, Scoring, align_pairs
+
 # BLOSUM62, rows and columns in this order.
 ACIDS = "ARNDCQEGHILKMFPSTWYVBZX*"
 BLOSUM62 = """
@@ -37,8 +39,10 @@ BLOSUM62 = """
 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4  1
 """
 _SCORES = np.array(BLOSUM62.split(), float).reshape(len(ACIDS), len(ACIDS))
-#: Pairs of longer sequences than this product are compared by sliding, not aligned: an alignment holds a few numbers for each pair of letters.
-MOST_CELLS = 1 << 24
+#: Where set, pairs of longer sequences than this product slide (see slide()) instead of being aligned; alignment itself has no limit.
+MOST_CELLS: int | None = None
+_PLAIN, _MATCHES = Scoring(-2.0, -0.5, 2.0, -1.0), Scoring(0.0, 0.0, 1.0, 0.0)
+_ACID_SCORES = Scoring(-10.0, -0.5, letters=ACIDS, matrix=_SCORES)
 
 
 def scores(a: str, b: str, match: float | None = None, mismatch: float = -1.0) -> np.ndarray:
@@ -50,61 +54,37 @@ def scores(a: str, b: str, match: float | None = None, mismatch: float = -1.0) -
     return _SCORES[np.ix_(x, y)]
 
 
-def align(a: str, b: str, match: float | None, mismatch: float, gap_open: float, gap_extend: float) -> tuple[float, int, int, int, int]:
-    """(score, identical, columns, letters of a, letters of b) of a best local alignment with affine gaps.
-
-    Rows are computed at once but for the gap along the row, which is a running
-    maximum. Among equal alignments, a diagonal step comes before a gap in ``a``
-    and that before one in ``b``.
-    """
-    n, m = len(a), len(b)
-    if not n or not m:
-        return 0.0, 0, 0, 0, 0
-    s = scores(a, b, match, mismatch)
-    h, up, left = np.zeros((n + 1, m + 1)), np.full((n + 1, m + 1), -np.inf), np.full((n + 1, m + 1), -np.inf)
-    j = np.arange(1, m + 1)
-    for i in range(1, n + 1):
-        up[i, 1:] = np.maximum(h[i - 1, 1:] + gap_open, up[i - 1, 1:] + gap_extend)
-        base = np.maximum(0, np.maximum(h[i - 1, :-1] + s[i - 1], up[i, 1:]))
-        run = np.maximum.accumulate(np.r_[0.0, base[:-1]] + gap_open - gap_extend * j)
-        left[i, 1:] = run + gap_extend * (j - 0)
-        h[i, 1:] = np.maximum(base, left[i, 1:])
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    top, same, columns, at_a, at_b, state = float(h[i, j]), 0, 0, 0, 0, "h"
-    while i and j:
-        if state == "h":
-            if h[i, j] <= 0:
-                break
-            if np.isclose(h[i, j], h[i - 1, j - 1] + s[i - 1, j - 1]):
-                same, columns, at_a, at_b = same + (a[i - 1] == b[j - 1]), columns + 1, at_a + 1, at_b + 1
-                i, j = i - 1, j - 1
-            else:
-                state = "up" if np.isclose(h[i, j], up[i, j]) else "left"
-        elif state == "up":
-            columns, at_a = columns + 1, at_a + 1
-            state = "h" if np.isclose(up[i, j], h[i - 1, j] + gap_open) else "up"
-            i -= 1
-        else:
-            columns, at_b = columns + 1, at_b + 1
-            state = "h" if np.isclose(left[i, j], h[i, j - 1] + gap_open) else "left"
-            j -= 1
-    return top, same, columns, at_a, at_b
+def align(a: str, b: str, match: float | None, mismatch: float, gap_open: float, gap_extend: float) -> Result:
+    """(score, identical, columns, letters of a, letters of b) of a best local alignment with affine gaps; by BLOSUM62 where ``match`` is None."""
+    scoring = Scoring(gap_open, gap_extend, letters=ACIDS, matrix=_SCORES) if match is None else Scoring(gap_open, gap_extend, match, mismatch)
+    return align_pairs([a], [b], scoring)[0]
+
+
+def compare_pairs(a: list[str | None], b: list[str | None]) -> list[tuple[float | None, float | None]]:
+    """(identity %, coverage % of the shorter) of each pair over the columns of two letters, stops left out: match 2, mismatch -1, gaps -2 and -0.5. Equal and nearly equal sequences have fast ways; all others are aligned in batches, equal pairs once."""
+    out: list[tuple[float | None, float | None]] = []
+    todo: dict[tuple[str, str], list[int]] = {}
+    for i, pair in enumerate(zip(a, b, strict=True)):
+        x, y = ((t or "").replace("*", "").strip() for t in pair)
+        found: tuple[float | None, float | None] = (None, None)
+        if x and x == y:
+            found = 100.0, 100.0
+        elif x and len(x) == len(y) and (same := sum(p == q for p, q in zip(x, y, strict=True)) / len(x)) > 0.95:
+            found = 100 * same, 100.0
+        elif x and y and MOST_CELLS is not None and len(x) * len(y) > MOST_CELLS:
+            found = slide(x, y)
+        elif x and y:
+            todo.setdefault((x, y), []).append(i)
+        out.append(found)
+    for ((x, y), rows), (_, same, columns, at_a, at_b) in zip(todo.items(), align_pairs([x for x, _ in todo], [y for _, y in todo], _PLAIN), strict=True):
+        both = at_a + at_b - columns
+        for i in rows:
+            out[i] = (100 * same / both, 100 * both / min(len(x), len(y))) if both else (None, None)
+    return out
 
 
 def compare(a: str | None, b: str | None) -> tuple[float | None, float | None]:
-    """(identity %, coverage % of the shorter) over the columns of two letters, stops left out: match 2, mismatch -1, gaps -2 and -0.5. Equal and nearly equal sequences have fast ways; very long ones slide."""
-    a, b = ((x or "").replace("*", "").strip() for x in (a, b))
-    if not a or not b:
-        return None, None
-    if a == b:
-        return 100.0, 100.0
-    if len(a) == len(b) and (same := sum(x == y for x, y in zip(a, b, strict=True)) / len(a)) > 0.95:
-        return 100 * same, 100.0
-    if len(a) * len(b) > MOST_CELLS:
-        return slide(a, b)
-    _, same, columns, at_a, at_b = align(a, b, 2.0, -1.0, -2.0, -0.5)
-    both = at_a + at_b - columns
-    return (100 * same / both, 100 * both / min(len(a), len(b))) if both else (None, None)
+    return compare_pairs([a], [b])[0]
 
 
 def slide(a: str, b: str) -> tuple[float, float]:
@@ -117,36 +97,60 @@ def slide(a: str, b: str) -> tuple[float, float]:
     return 100 * best / len(p), 100 * len(p) / len(q)
 
 
+def compare_acid_pairs(reference: list[str | None], query: list[str | None]) -> list[tuple[float | None, float | None, float | None]]:
+    """(identity % over columns, coverage % of reference, of query) of each pair: BLOSUM62, gaps -10 and -0.5; with a letter that the matrix lacks, matches alone count 1."""
+    out: list[tuple[float | None, float | None, float | None]] = [(None, None, None)] * len(reference)
+    todo: dict[tuple[str, str], list[int]] = {}
+    for i, (x, y) in enumerate(zip(reference, query, strict=True)):
+        if x and y:
+            todo.setdefault((x, y), []).append(i)
+    acids = set(ACIDS)
+    known = {pair for pair in todo if set((pair[0] + pair[1]).upper()) <= acids}
+    for pairs, scoring in (([p for p in todo if p in known], _ACID_SCORES), ([p for p in todo if p not in known], _MATCHES)):
+        for (x, y), (_, same, columns, at_a, at_b) in zip(pairs, align_pairs([x for x, _ in pairs], [y for _, y in pairs], scoring), strict=True):
+            for i in todo[x, y] if columns else ():
+                out[i] = 100 * same / columns, 100 * at_a / len(x), 100 * at_b / len(y)
+    return out
+
+
 def compare_acids(reference: str | None, query: str | None) -> tuple[float | None, float | None, float | None]:
-    """(identity % over columns, coverage % of reference, of query): BLOSUM62, gaps -10 and -0.5; with a letter that the matrix lacks, matches alone count 1."""
-    if not reference or not query:
-        return None, None, None
-    known = all(c in ACIDS for c in (reference + query).upper())
-    _, same, columns, at_a, at_b = align(reference, query, None, 0.0, -10.0, -0.5) if known else align(reference, query, 1.0, 0.0, 0.0, 0.0)
-    return (100 * same / columns, 100 * at_a / len(reference), 100 * at_b / len(query)) if columns else (None, None, None)
+    return compare_acid_pairs([reference], [query])[0]
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("identity", "coverage")]))
 def _compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([compare(x, y) for x, y in zip(a, b, strict=True)], columns=["identity", "coverage"], dtype=float)
+    return pd.DataFrame(compare_pairs(a.tolist(), b.tolist()), columns=["identity", "coverage"], dtype=float)
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("identity", "reference_coverage", "query_coverage")]))
 def _compare_acids(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([compare_acids(x, y) for x, y in zip(a, b, strict=True)], columns=["identity", "reference_coverage", "query_coverage"], dtype=float)
+    return pd.DataFrame(compare_acid_pairs(a.tolist(), b.tolist()), columns=["identity", "reference_coverage", "query_coverage"], dtype=float)
+
+
+def _distinct_pairs(df: DataFrame, a: str, b: str, compared: Column, keep: Column) -> DataFrame:
+    """Left join of ``df`` with the comparison of its distinct pairs of texts: copies of a pair are compared once, wherever they stand."""
+    x, y, t = (f"__{n}" for n in ("x", "y", "t"))
+    pairs = df.where(keep).select(F.col(a).alias(x), F.col(b).alias(y)).distinct()
+    return df.join(pairs.withColumn(t, compared), (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)), "left")
 
 
 def with_alignment(df: DataFrame, a: str, b: str) -> DataFrame:
-    """identity and coverage; equal sequences skip the aligner."""
-    out = df.withColumn("__t", _compare(F.when(F.col(a) != F.col(b), F.col(a)), F.when(F.col(a) != F.col(b), F.col(b))))
+    """identity and coverage; equal sequences skip the aligner, and each distinct pair is aligned once."""
     same = F.col(a) == F.col(b)
-    return out.withColumns({"identity": F.when(same, 100.0).otherwise(F.col("__t.identity")), "coverage": F.when(same, 100.0).otherwise(F.col("__t.coverage"))}).drop("__t")
+    out = _distinct_pairs(df, a, b, _compare("__x", "__y"), ~same)
+    return out.withColumns({"identity": F.when(same, 100.0).otherwise(F.col("__t.identity")), "coverage": F.when(same, 100.0).otherwise(F.col("__t.coverage"))}).drop("__x", "__y", "__t")
 
 
 def acid_alignment(reference: str, query: str) -> Column:
     return _compare_acids(F.col(reference), F.col(query))
 
 
+def with_acid_alignment(df: DataFrame, reference: str, query: str) -> DataFrame:
+    """identity, reference_coverage and query_coverage by the substitution matrix, in two decimals; each distinct pair is aligned once."""
+    out = _distinct_pairs(df, reference, query, _compare_acids("__x", "__y"), F.lit(True))
+    return out.withColumns({c: F.round(f"__t.{c}", 2) for c in ("identity", "reference_coverage", "query_coverage")}).drop("__x", "__y", "__t")
+
+
 def variant_pairs(variants: DataFrame, group: str, name: str) -> DataFrame:
     """Pairs i < j of the variants of a group (its copies in a gene, a bounded set)."""
     a, b = variants.select(group, *(F.col(c).alias(f"{c}_1") for c in variants.columns if c != group)), variants.select(group, *(F.col(c).alias(f"{c}_2") for c in variants.columns if c != group))

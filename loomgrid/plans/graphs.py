@@ -186,3 +186,13 @@ def sequence_alignment(spark, sf_dir):
 
     p = B._variant_pairs(spark, sf_dir).select("base", "k_1", "k_2", "name_1", "name_2")
     return with_alignment(p, "name_1", "name_2").select("base", "k_1", "k_2", F.round("identity", 6).alias("identity"), F.round("coverage", 6).alias("coverage"))
+
+
+@query()
+def acid_alignment_to_reference(spark, sf_dir):
+    """Every part's name, as the letters that the substitution matrix knows, against that of the first part of its brand and type."""
+    from ..operators.sequence import with_acid_alignment
+
+    own = T.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.regexp_replace(F.upper("p_name"), "[^ARNDCQEGHILKMFPSTWYVBZX]", "").alias("query"))
+    first = own.groupBy("p_brand", "p_type").agg(F.min_by("query", "p_partkey").alias("reference"))
+    return with_acid_alignment(own.join(first, ["p_brand", "p_type"]), "reference", "query").select("p_partkey", "identity", "reference_coverage", "query_coverage")
