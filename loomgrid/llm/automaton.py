@@ -166,9 +166,10 @@ class Automaton:
 
         The bytes are cut into lanes that advance together. Each lane but the
         first guesses that it begins in the start state; lanes whose guess
-        turns out wrong are run again until all agree with their predecessor.
+        turns out wrong are run again until all agree with their predecessor;
+        a few of them one after the other, each as far as its states differ.
         """
-        n, k = len(data), self.table.shape[1]
+        n, k, few = len(data), self.table.shape[1], 8
         lanes = max(1, -(-n // lane))
         cls = np.zeros(lanes * lane, np.int32)
         cls[:n] = self.classes[data]
@@ -177,6 +178,9 @@ class Automaton:
         out = np.empty((lane, lanes), np.int32)
         begin, todo = np.zeros(lanes, np.int32), np.arange(lanes)
         while len(todo):
+            if len(todo) <= few < lanes:
+                self._follow(out, begin, todo.tolist(), cls.reshape(lanes, lane), k)
+                break
             whole = len(todo) == lanes
             state = begin[todo]
             for t in range(lane):
@@ -188,12 +192,44 @@ class Automaton:
             right = np.zeros(lanes, np.int32)
             right[1:] = out[-1, :-1]
             todo = np.flatnonzero(right != begin)
-            begin = right
+            if len(todo) > few or lanes <= few:
+                begin = right
         return (out.T.ravel()[:n]) // k
 
-
-def compile_rules(patterns: list[str], search: bool) -> Automaton:
-    """One automaton for all patterns; ``search``: matches may start at any byte."""
+    def _follow(self, out: np.ndarray, begin: np.ndarray, todo: list[int], steps: np.ndarray, k: int) -> None:
+        """Correct ``out`` from the wrong lanes on, byte by byte; ``begin`` has the states that the lanes were run from."""
+        rows, lanes, done = self.rows, len(begin), -1
+        for first in todo:
+            if first <= done:
+                continue
+            at, state = first, int(out[-1, first - 1]) // k
+            while True:
+                begin[at] = state * k
+                for t, c in enumerate(steps[at].tolist()):
+                    state = rows[state][c]
+                    out[t, at] = state * k
+                done, at = at, at + 1
+                if at == lanes or begin[at] == state * k:
+                    break
+
+
+def _backwards(nfa: _Parser, root: int, accept: dict[int, int]) -> tuple[int, dict[int, int]]:
+    """Turn all edges round; the new root leads to the former ends, and the beginnings of the patterns accept."""
+    edges, eps = [[] for _ in range(nfa.n + 1)], [[] for _ in range(nfa.n + 1)]
+    for a in range(nfa.n):
+        for s, b in nfa.edges[a]:
+            edges[b].append((s, a))
+        for b in nfa.eps[a]:
+            if a != root:
+                eps[b].append(a)
+    eps[nfa.n] = list(accept)
+    begins = {start: 1 << bit for bit, start in enumerate(nfa.eps[root])}
+    nfa.edges, nfa.eps, nfa.n = edges, eps, nfa.n + 1
+    return nfa.n - 1, begins
+
+
+def compile_rules(patterns: list[str], search: bool, backwards: bool = False) -> Automaton:
+    """One automaton for all patterns; ``search``: matches may start at any byte; ``backwards``: for bytes that come last first."""
     nfa = _Parser("")
     root = nfa.node()
     accept: dict[int, int] = {}
@@ -203,6 +239,8 @@ def compile_rules(patterns: list[str], search: bool) -> Automaton:
         nfa.eps[root].append(start)
         end = nfa.build(nfa.alternatives(False), start)
         accept[end] = accept.get(end, 0) | 1 << bit
+    if backwards:
+        root, accept = _backwards(nfa, root, accept)
     if search:
         nfa.edges[root].append((set(range(256)), root))
 

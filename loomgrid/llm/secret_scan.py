@@ -3,8 +3,10 @@
 All rules are compiled together by subset construction and minimisation into
 transition arrays (:mod:`.automaton`). One pass over the bytes of a slice of
 documents gives a state for each byte; where no state accepts there is no
-secret, and only around accepting states the spans are taken out, leftmost and
-non-overlapping for each kind.
+secret. Only the stretches around accepting states are looked at again: the same
+construction over the reversed rules says in one pass from their ends where a
+match begins, and matches are followed from there, leftmost and non-overlapping
+for each kind, so that the time grows with the text alone.
 
 Defined results: null text counts as empty and has no spans; an empty table
 gives an empty result; repeated rows and rows without a doc_id are scanned like
@@ -61,6 +63,7 @@ class Scanner:
         self.rules = rules
         self.search = compile_search(rules)
         self.one = [compile_one(r.pattern) for r in rules]
+        self.begins = [compile_begins(r.pattern) for r in rules]
         self.prefix = [compile_one(r.prefix) if r.prefix else None for r in rules]
 
     def regions(self, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -79,22 +82,21 @@ class Scanner:
         heads = np.flatnonzero(np.r_[True, starts[1:] != starts[:-1]])
         yield from zip(starts[heads].tolist(), ends[heads].tolist(), np.bitwise_or.reduceat(bits, heads).tolist(), strict=True)
 
-    def spans(self, data: bytes, start: int, end: int, bits: int) -> list[tuple[int, int, int]]:
+    def spans(self, data: np.ndarray, raw: bytes, start: int, end: int, bits: int) -> list[tuple[int, int, int]]:
         """(start, rule, end) of the matches within a stretch: leftmost, non-overlapping, too short ones dropped."""
         out = []
         for k, rule in enumerate(self.rules):
             if not bits >> k & 1:
                 continue
             at, one = start, self.one[k]
-            while at < end:
-                to = one.longest(data, at, end)
-                if to < 0:
-                    at += 1
+            back = self.begins[k]
+            for begin in (end - 1 - np.flatnonzero(back.accepts[back.states(data[start:end][::-1])])[::-1]).tolist():
+                if begin < at:
                     continue
-                body = self.prefix[k].longest(data, at, to) if self.prefix[k] else at
-                if to - body >= rule.least:
-                    out.append((at, k, to))
-                at = to
+                at = one.longest(raw, begin, end)
+                body = self.prefix[k].longest(raw, begin, at) if self.prefix[k] else begin
+                if at - body >= rule.least:
+                    out.append((begin, k, at))
         return sorted(out)
 
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
@@ -107,7 +109,7 @@ class Scanner:
         for start, end, bits in self.regions(apart):
             row = int(np.searchsorted(moved, start, "right")) - 1
             base = int(moved[row])
-            out.setdefault(row, []).extend((a - base, k, b - base) for a, k, b in self.spans(raw, start, end, bits))
+            out.setdefault(row, []).extend((a - base, k, b - base) for a, k, b in self.spans(apart, raw, start, end, bits))
         return out
 
 
@@ -128,6 +130,14 @@ def compile_one(pattern: str):
     return compile_rules([pattern], search=False)
 
 
+@lru_cache(maxsize=64)
+def compile_begins(pattern: str):
+    """Over bytes from the last to the first: accepts where a match begins."""
+    from .automaton import compile_rules
+
+    return compile_rules([pattern], search=True, backwards=True)
+
+
 @lru_cache(maxsize=4)
 def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
     return Scanner(rules)

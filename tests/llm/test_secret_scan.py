@@ -52,3 +52,50 @@ def test_empty_table(spark):
 def test_rules_over_line_feeds_are_refused():
     with pytest.raises(ValueError):
         s.compile_search((s.Rule("x", r"a\x0Ab", 1),))
+
+
+JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+
+
+def test_further_kinds_as_regex_search():
+    rng = random.Random(9)
+    parts = ["eyJ", ".", "a", "eyJa.eyJb.c", "-", " ", "ghp_", "AbC0" * 12, "gho_x", "-----BEGIN ", "RSA PRIVATE KEY-----", "PRIVATE KEY-----", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    data, off = tb.column_bytes(pa.array(texts))
+    got = s.scanner().documents(data, off)
+    for i, t in enumerate(texts):
+        want = [(m.start(), 3, m.end()) for m in re.finditer("-----BEGIN [A-Z ]*PRIVATE KEY-----", t)]
+        want += [(m.start(), 4, m.end()) for m in re.finditer("gh[pousr]_[A-Za-z0-9]+", t) if len(m[0]) >= 40]
+        want += [(m.start(), 5, m.end()) for m in JWT.finditer(t)]
+        assert [x for x in s._in_chars(sorted(got.get(i, [])), t.encode()) if x[1] > 2] == sorted(want), t
+
+
+def test_time_grows_with_the_text_alone():
+    import time
+
+    texts = ["eyJ" * 350_000 + ".aeyJa.eyJb.c", "eyJ" + "a" * 1_000_000 + ".eyJa.b", "token " * 170_000 + "token=abcdef", "token=" * 170_000, "gho_" * 250_000]
+    for text in texts:
+        began = time.process_time()
+        data, off = tb.column_bytes(pa.array([text]))
+        got = s.scanner().documents(data, off)
+        assert time.process_time() - began < 8, text[:10]
+        want = brute(text) + [(m.start(), 4, m.end()) for m in re.finditer("gh[pousr]_[A-Za-z0-9]+", text) if len(m[0]) >= 40]
+        assert sorted(got.get(0, [])) == sorted(want + ([(len(text) - 11, 5, len(text))] if text.endswith(".c") else [(0, 5, len(text))] if text.endswith("a.b") else []))
+
+
+def test_lanes_that_remember():
+    """States that every lane hands on to the next one."""
+    from loomgrid.llm.automaton import compile_rules
+
+    import numpy as np
+
+    rng = random.Random(5)
+    for pattern in ("a[bc]*d", "(?:aa)+b", "x[^y]*y"):
+        found = compile_rules([pattern], search=True)
+        for _ in range(20):
+            data = np.frombuffer("".join(rng.choices("abcdxy", weights=[1, 30, 30, 0.2, 0.2, 0.2], k=rng.randrange(4000))).encode(), np.uint8)
+            state, want = 0, []
+            for b in data.tolist():
+                state = found.rows[state][found.byte_class[b]]
+                want.append(state)
+            assert found.states(data, 16).tolist() == want
