@@ -113,7 +113,7 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id L
 
 _AFTER8 = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
 OP8 = rf"""
-WITH u AS (SELECT page_id, url, coalesce({_AFTER8}, '') AS a FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, url, coalesce({_AFTER8}, '') AS a FROM pages),
 p AS (SELECT page_id, url, translate(regexp_extract(a, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 k AS (SELECT *, string_split(host, '.') AS l FROM p),
 t AS (SELECT page_id, unnest(CASE WHEN host = '' THEN [] ELSE list_distinct(list_concat(['host:' || host],
@@ -125,12 +125,11 @@ t AS (SELECT page_id, unnest(CASE WHEN host = '' THEN [] ELSE list_distinct(list
 m AS (SELECT doc_id, bool_or(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
 tl AS (SELECT page_id, tok, bad FROM t JOIN m ON doc_id = page_id),
 n AS (SELECT count(DISTINCT page_id) AS n FROM tl),
-least_n AS (SELECT ceil(least(1.0::DOUBLE, greatest(0.002::DOUBLE, 5.0::DOUBLE / n)) * n) AS c FROM n),
-s AS (SELECT page_id, bad, [tok] AS ts FROM tl
-  UNION ALL SELECT a.page_id, a.bad, [a.tok, b.tok] FROM tl a JOIN tl b ON a.page_id = b.page_id AND a.tok < b.tok
-  UNION ALL SELECT a.page_id, a.bad, [a.tok, b.tok, c.tok] FROM tl a JOIN tl b ON a.page_id = b.page_id AND a.tok < b.tok JOIN tl c ON a.page_id = c.page_id AND b.tok < c.tok),
-r AS (SELECT ts, count(*) FILTER (WHERE bad) / count(*) AS conf FROM s GROUP BY ts HAVING count(*) FILTER (WHERE bad) >= (SELECT c FROM least_n)),
-rules AS (SELECT ts, conf, array_to_string(ts, ' ') AS id FROM r WHERE conf >= 0.6 AND NOT EXISTS (SELECT 1 FROM r o WHERE o.conf >= 0.6 AND o.conf >= r.conf AND len(o.ts) < len(r.ts) AND list_has_all(r.ts, o.ts))),
+least_n AS (SELECT greatest(1, ceil(0.002::DOUBLE * n)) AS c FROM n),
+s AS (SELECT page_id, bad, [tok] AS ts, tok AS last FROM tl UNION ALL SELECT s.page_id, s.bad, list_append(ts, tok), tok FROM s JOIN tl ON tl.page_id = s.page_id AND tok > last),
+r AS (SELECT ts, count(*) FILTER (WHERE bad) / count(*) AS conf FROM s GROUP BY ts HAVING count(*) FILTER (WHERE bad) >= (SELECT c FROM least_n) AND count(*) FILTER (WHERE bad) / count(*) >= 0.6),
+beaten AS (SELECT DISTINCT r.ts FROM (SELECT ts, conf, unnest(ts) AS tok FROM r) r JOIN r o ON o.ts[1] = tok AND o.conf >= r.conf AND len(o.ts) < len(r.ts) AND list_has_all(r.ts, o.ts)),
+rules AS (SELECT ts, conf, array_to_string(ts, ' ') AS id FROM r ANTI JOIN beaten ON beaten.ts = r.ts),
 pt AS (SELECT page_id, list(tok) AS toks FROM t GROUP BY 1),
 b AS (SELECT page_id, max_by(id, (conf, id)) AS mined_rule FROM pt JOIN rules ON list_has_all(toks, ts) GROUP BY 1),
 v AS (SELECT p.*, mined_rule, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'

@@ -229,7 +229,7 @@ def test_mined_rules_against_counting(spark):
     rows = [(sorted(rng.sample("abcdef", rng.randint(1, 4))), rng.random() < 0.5) for _ in range(80)]
     got = {tuple(r.antecedent): (round(r.support, 9), round(r.confidence, 9)) for r in url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.01, 0.55).collect()}
     n, rules = len(rows), {}
-    for size in (1, 2, 3):
+    for size in range(1, 7):
         for s in itertools.combinations("abcdef", size):
             have = [b for t, b in rows if set(s) <= set(t)]
             if sum(have) >= max(0.01, url_filter.MIN_PAGES / n) * n and sum(have) / len(have) >= 0.55:
