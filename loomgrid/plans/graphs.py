@@ -105,8 +105,10 @@ def cluster_blocks(spark, sf_dir):
 
 @query()
 def newick_tree(spark, sf_dir):
-    items, matrix = K.distance_matrix(_distances(spark, sf_dir), "distance")
-    return spark.createDataFrame([(K.newick(K.linkage(matrix), items),)], "tree string")
+    from ..operators.stored import stored
+
+    pairs = stored(_distances(spark, sf_dir), "distances")
+    return spark.createDataFrame([(K.tree_text(K.merge_table(pairs, "distance"), K.items_of(pairs)),)], "tree string")
 
 
 _POWER = "v AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS feature, unnest(embedding)::DOUBLE AS value FROM embeddings), m AS (SELECT label, feature, avg(value) AS mean FROM v GROUP BY 1, 2), pw AS (SELECT feature, var_pop(mean) AS power FROM m GROUP BY 1)"
