@@ -165,6 +165,118 @@ def dip(values: np.ndarray) -> float:
     return max(best, gap) / (2 * n)
 
 
+def _corners(x: np.ndarray, rank: np.ndarray, sign: int) -> np.ndarray:
+    """Places of the corners of the convex minorant (sign 1) or concave majorant (-1) of points sorted by rank."""
+    left = np.arange(len(x))
+    while len(left) > 64:  # points on the wrong side of their neighbours' chord can't be corners
+        dx, dy = np.diff(x[left]), np.diff(rank[left])
+        stay = np.r_[True, sign * (dy[:-1] * dx[1:] - dy[1:] * dx[:-1]) < 0, True]
+        if stay.all():
+            break
+        left = left[stay]
+    out: list[int] = []
+    px, pr = x[left].tolist(), rank[left].tolist()
+    for k in range(len(left)):
+        while len(out) > 1 and sign * ((pr[out[-1]] - pr[out[-2]]) * (px[k] - px[out[-1]]) - (pr[k] - pr[out[-1]]) * (px[out[-1]] - px[out[-2]])) >= 0:
+            out.pop()
+        out.append(k)
+    return left[out]
+
+
+class Hulls:
+    """Corners of both hulls of the points with ranks low to high, from any part of the points: ((x, rank), (x, rank))."""
+
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+    def __call__(self, x: np.ndarray, rank: np.ndarray):
+        a, b = np.searchsorted(rank, [self.low, self.high + 1])
+        x, rank = x[a:b], rank[a:b]
+        return tuple((x[k], rank[k]) for k in (_corners(x, rank, s) for s in (1, -1)))
+
+    @staticmethod
+    def merge(parts: list):
+        out = []
+        for side, sign in ((0, 1), (1, -1)):
+            x, rank = (np.concatenate([p[side][c] for p in parts]) for c in (0, 1))
+            order = np.argsort(rank)
+            x, rank = x[order], rank[order]
+            k = _corners(x, rank, sign)
+            out.append((x[k], rank[k]))
+        return tuple(out)
+
+
+class Within:
+    """Greatest distance between the points and the hulls' edges that lie up to ``low`` (convex) or from ``high`` on (concave)."""
+
+    def __init__(self, convex, concave, low: int, high: int):
+        self.edges = [(x[:-1][on], x[1:][on], r[:-1][on], r[1:][on], sign) for (x, r), sign, on in ((convex, 1, convex[1][1:] <= low), (concave, -1, concave[1][:-1] >= high))]
+
+    def __call__(self, x: np.ndarray, rank: np.ndarray) -> float:
+        most = 1.0
+        for x0, x1, r0, r1, sign in self.edges:
+            if not len(r0):
+                continue
+            a, b = np.searchsorted(rank, [r0[0], r1[-1] + 1])
+            p, r = x[a:b], rank[a:b]
+            for edge in (np.searchsorted(r1, r), np.searchsorted(r0, r, "right") - 1):  # a corner is on two edges
+                e = np.clip(edge, 0, len(r0) - 1)
+                wide = x1[e] > x0[e]
+                line = np.where(wide, r0[e] + (r1[e] - r0[e]) * ((p - x0[e]) / np.where(wide, x1[e] - x0[e], 1.0)), r1[e])
+                if len(r):
+                    most = max(most, float(np.max(sign * (r - line) + 1)))
+        return most
+
+    @staticmethod
+    def merge(parts: list[float]) -> float:
+        return max(parts)
+
+
+def dip_of_parts(n: int, over) -> float:
+    """dip() of n values, not all equal, that lie in parts: ``over(job)`` lists what ``job(x, rank)`` gives for each part, sorted by rank (from 0); any division will do."""
+
+    def at(points, x, rank):
+        i = np.maximum(1, np.searchsorted(points[1], rank))
+        (x0, x1), (r0, r1) = ((c[i - 1], c[i]) for c in points)
+        return r0 + (r1 - r0) * np.where(x1 > x0, (x - x0) / np.where(x1 > x0, x1 - x0, 1.0), 0.0)
+
+    low, high, best = 0, n - 1, 1.0
+    while True:
+        convex, concave = Hulls.merge(over(Hulls(low, high)))
+        gap, new_low, new_high = 0.0, low, high
+        below, above = at(concave, *convex) - convex[1], concave[1] - at(convex, *concave)
+        if (k := int(below.argmax()), below.max())[1] > gap:
+            gap, new_low = float(below[k]), int(convex[1][k])
+            new_high = int(concave[1][np.searchsorted(concave[1], new_low)])
+        if (k := int(above.argmax()), above.max())[1] > gap:
+            gap, new_high = float(above[k]), int(concave[1][k])
+            new_low = int(convex[1][np.searchsorted(convex[1], new_high, "right") - 1])
+        if gap <= best or new_low >= new_high:
+            break
+        best = max(best, Within.merge(over(Within(convex, concave, new_low, new_high))))
+        low, high = new_low, new_high
+    return max(best, gap) / (2 * n)
+
+
+def uniform_dip(n: int, seed: list[int], size: int = 1 << 20) -> float:
+    """The dip of n uniform numbers, made in sorted blocks of about ``size`` that are made again for each pass."""
+    if n < 2:
+        return dip(np.zeros(n))
+    k = max(1, n // size)
+    counts = np.random.default_rng(seed).multinomial(n, np.full(k, 1 / k))
+    first = np.concatenate([[0], np.cumsum(counts)])
+
+    def over(job) -> list:
+        out = []
+        for i in np.flatnonzero(counts).tolist():
+            x = (i + np.sort(np.random.default_rng([*seed, i]).random(counts[i]))) / k
+            now = job(x, np.arange(first[i], first[i + 1]))
+            out = [now if not out else job.merge([out[0], now])]
+        return out
+
+    return dip_of_parts(n, over)
+
+
 def dip_p(values: np.ndarray, draws: int = 200, seed: int = 1) -> tuple[float, float]:
     """(dip, share of uniform samples of that size with a dip as large), with a fixed seed."""
     own, rng = dip(values), np.random.default_rng(seed)

@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
+from .quantiles import quantiles
+from .stored import numbered, stored
+
+
+#: More values than this are not gathered for a quantile but counted by their bits; both are exact.
+GATHERED = 1_000_000
+
 
 def describe(df: DataFrame, value: str) -> DataFrame:
     """n, min, q1, median, mean, q3, max, sd, iqr; quantiles are exact with linear interpolation."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.agg(F.count(value).alias("n"), F.min(value).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), F.avg(value).alias("mean"), q(0.75).alias("q3"), F.max(value).alias("max"), F.stddev_samp(value).alias("sd")).withColumn("iqr", F.col("q3") - F.col("q1"))
+    plain = [F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_samp(value).alias("sd")]
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    values = stored(df.select(value), "values")
+    if values.count() <= GATHERED:
+        one = values.agg(*plain, *(F.percentile(value, F.lit(p)).alias(n) for n, p in shares.items()))
+    else:
+        found = quantiles(values, value, list(shares.values())).agg(*(F.max(F.when(F.col("share") == p, F.col("value"))).alias(n) for n, p in shares.items()))
+        one = values.agg(*plain).join(F.broadcast(found))  # one row each
+    return one.select("n", "min", "q1", "median", "mean", "q3", "max", "sd").withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def gaps(df: DataFrame, value: str, windows: list[tuple[float, float]]) -> DataFrame:
@@ -73,29 +90,105 @@ def density_minimum(curve: DataFrame, low: float, high: float) -> DataFrame:
     return curve.agg(F.min_by("x", F.when(F.col("x").between(low, high), F.col("y"))).alias("x"), F.min(F.when(F.col("x").between(low, high), F.col("y"))).alias("y"), F.max("y").alias("top")).select("x", "y", (100 * F.col("y") / F.col("top")).alias("percent_of_max"))
 
 
-def bootstrap_peaks(df: DataFrame, value: str, found: list[float], width: float, times: int = 1000, tolerance: float = 0.02, grid: int = 512, seed: int = 1) -> DataFrame:
-    """(peak, rate): share of resamples with a peak within the tolerance.
+def _blocks(df: DataFrame, value: str, size: int) -> DataFrame:
+    """(block, values): the values in arrays of at most ``size``, written; block numbers are unique."""
 
-    ``df`` is a bounded sample: it goes to every task. Replicate b draws with
-    seed (seed, b), so results don't depend on partitions.
+    def run(frames):
+        held = np.zeros(0)
+        for frame in frames:
+            held = np.concatenate([held, frame["x"].to_numpy(float)])
+            while len(held) >= size:
+                yield pd.DataFrame({"values": [held[:size]]})
+                held = held[size:]
+        if len(held):
+            yield pd.DataFrame({"values": [held]})
+
+    rows = df.select(F.col(value).cast("double").alias("x")).dropna().mapInPandas(run, "values array<double>")
+    return stored(rows.select(F.monotonically_increasing_id().alias("block"), "values"), "blocks")
+
+
+def bootstrap_peaks(df: DataFrame, value: str, found: list[float], width: float, times: int = 1000, tolerance: float = 0.02, grid: int = 512, seed: int = 1, size: int = 1 << 15) -> DataFrame:
+    """(peak, rate): share of resamples with a density peak within the tolerance.
+
+    Resampling has two levels: how many of its draws a replicate takes from each
+    block of ``size`` values is multinomial and follows from the replicate's seed
+    and the sizes of the blocks, which is all that the driver learns; the draws
+    within a block follow from (seed, replicate, block). A block gives the sum of
+    its kernels on the grid for every replicate, as a product of matrices; these
+    sums are added. So values stay where they are, and a replicate is a resample
+    of all of them.
+    """
+    blocks = _blocks(df, value, size)
+    spread = blocks.select("block", F.size("values").alias("n"), F.array_min("values").alias("low"), F.array_max("values").alias("high")).orderBy("block").toPandas()  # a row for each block
+    if not len(spread):
+        return df.sparkSession.createDataFrame([(p, None) for p in found], "peak double, rate double")
+    sizes, place = spread["n"].to_numpy(np.int64), {b: i for i, b in enumerate(spread["block"])}
+    points = np.linspace(spread["low"].min() - 3 * width, spread["high"].max() + 3 * width, grid)
+    at_once = 128
+
+    def sums(frames):
+        share = sizes / sizes.sum()
+        draws = np.array([np.random.default_rng([seed, b]).multinomial(sizes.sum(), share) for b in range(times)])
+        for frame in frames:
+            for block, x in zip(frame["block"], frame["values"], strict=True):
+                i, m = place[block], len(x)
+                x = np.asarray(x, float)
+                for first in range(0, times, at_once):
+                    which = range(first, min(first + at_once, times))
+                    taken = np.empty((m, len(which)))
+                    for k, b in enumerate(which):
+                        taken[:, k] = np.bincount(np.random.default_rng([seed, b, i]).integers(0, m, draws[b, i]), minlength=m)
+                    total = np.zeros((grid, len(which)))
+                    for a in range(0, m, 2048):
+                        total += np.exp(-0.5 * ((points[:, None] - x[None, a : a + 2048]) / width) ** 2) @ taken[a : a + 2048]
+                    yield pd.DataFrame({"b": list(which), "y": list(total.T)})
+
+    def hits(frame: pd.DataFrame) -> pd.DataFrame:
+        y = np.sum(np.stack(frame["y"].tolist()), axis=0)
+        at = points[1:-1][(y[1:-1] > y[:-2]) & (y[1:-1] > y[2:]) & (y[1:-1] > 0.03 * y.max())]
+        return pd.DataFrame({"peak": found, "hit": [float(len(at) > 0 and np.abs(at - p).min() <= tolerance) for p in found]})
+
+    spread_out = blocks.repartition(max(1, min(len(sizes), 10_000)), "block")
+    return spread_out.mapInPandas(sums, "b int, y array<double>").groupBy("b").applyInPandas(hits, "peak double, hit double").groupBy("peak").agg(F.avg("hit").alias("rate"))
+
+
+def dip_test(df: DataFrame, value: str, draws: int = 200, seed: int = 1, size: int = 1 << 20) -> DataFrame:
+    """(n, dip, p): Hartigan's dip of a column, and the share of uniform samples of that size with a dip as large.
+
+    Values are numbered in order by range. Any part of them gives the corners of
+    its own convex minorant and concave majorant; the hull of all corners is that
+    of all values, and corners are all that the driver sees. Uniform samples are
+    made in sorted blocks of ``size`` from their seeds, one task for each draw.
     """
     spark = df.sparkSession
-    x = np.sort(df.select(F.col(value).cast("double")).dropna().toPandas()[value].to_numpy())
-    points = np.linspace(x.min() - 3 * width, x.max() + 3 * width, grid) if len(x) else np.zeros(grid)
+    ranked = stored(numbered(df.select(F.col(value).cast("double").alias("x")).dropna(), [F.col("x")], "rank"), "ranked")
+    n, least, most = ranked.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    if n < 2 or least == most:
+        own = exact.dip(np.full(n, 0.0))
+    else:
+        own = exact.dip_of_parts(n, lambda job: _over_parts(ranked, job))
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"dip": [exact.uniform_dip(n, [seed, int(b)], size) for b in frame["id"]]})
+
+    at_least = spark.range(0, draws, 1, max(1, min(draws, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, "dip double").agg(F.avg(F.when(F.col("dip") >= own, 1.0).otherwise(0.0)).alias("p"))
+    return at_least.select(F.lit(int(n)).cast("long").alias("n"), F.lit(float(own)).alias("dip"), "p")
+
+
+def _over_parts(ranked: DataFrame, job) -> list:
+    """``job`` over the batches of (x, rank), sorted by rank each; its results are merged within a task, then listed."""
 
     def run(frames):
+        held = None
         for frame in frames:
-            rows = []
-            for b in frame["id"]:
-                own = np.random.default_rng([seed, int(b)]).choice(x, len(x))
-                y = np.zeros(grid)
-                for a in range(0, len(own), 4096):
-                    y += np.exp(-0.5 * ((points[:, None] - own[None, a : a + 4096]) / width) ** 2).sum(axis=1)
-                at = points[1:-1][(y[1:-1] > y[:-2]) & (y[1:-1] > y[2:]) & (y[1:-1] > 0.03 * y.max())]
-                rows += [(p, float(len(at) > 0 and np.abs(at - p).min() <= tolerance)) for p in found]
-            yield pd.DataFrame(rows, columns=["peak", "hit"])
+            frame = frame.sort_values("rank")
+            now = job(frame["x"].to_numpy(float), frame["rank"].to_numpy(np.int64))
+            held = now if held is None else job.merge([held, now])
+        if held is not None:
+            yield pd.DataFrame({"result": [pickle.dumps(held)]})
 
-    return spark.range(times).mapInPandas(run, "peak double, hit double").groupBy("peak").agg(F.avg("hit").alias("rate"))
+    return [pickle.loads(bytes(r.result)) for r in ranked.select("x", "rank").mapInPandas(run, "result binary").collect()]
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -109,5 +202,12 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def accumulation(df: DataFrame, step: str, value: str) -> DataFrame:
     """Mean and box statistics of repeated values by step."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(step).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(value).alias("max"))
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    rows = stored(df.select(step, value), "values")
+    plain = [F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")]
+    if rows.count() <= GATHERED:
+        out = rows.groupBy(step).agg(*plain, *(F.percentile(value, F.lit(p)).alias(n) for n, p in shares.items()))
+    else:
+        found = quantiles(rows, value, list(shares.values()), [step]).groupBy(step).agg(*(F.max(F.when(F.col("share") == p, F.col("value"))).alias(n) for n, p in shares.items()))
+        out = rows.groupBy(step).agg(*plain).join(found, step, "left")
+    return out.select(step, "mean", "min", "q1", "median", "q3", "max")

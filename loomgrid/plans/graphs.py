@@ -138,7 +138,7 @@ def _vectors(spark, sf_dir):
 
 @query()
 def model_scores(spark, sf_dir):
-    return L.summary(L.cross_validate(_vectors(spark, sf_dir), names=["gaussian_nb", "random_forest"]))
+    return L.summary(L.cross_validate(_vectors(spark, sf_dir), names=["gaussian_nb", "random_forest", "kernel_svm"]))
 
 
 @query()

@@ -122,15 +122,12 @@ def density_peaks(spark, sf_dir):
 def bootstrap_peaks(spark, sf_dir):
     values = T.cosine(spark, sf_dir)
     found = [r.x for r in S.peaks(_curve(spark, sf_dir)).collect()]
-    return S.bootstrap_peaks(values, "value", found, GRID[3], times=100, grid=256)
+    return S.bootstrap_peaks(values, "value", found, GRID[3], grid=256)
 
 
 @query()
 def dip_test(spark, sf_dir):
-    from ..functions.exact import dip_p
-
-    own, p = dip_p(T.cosine(spark, sf_dir).select("value").toPandas()["value"].to_numpy(), draws=50)
-    return spark.createDataFrame([(float(own), p)], "dip double, p double")
+    return S.dip_test(T.cosine(spark, sf_dir), "value").select("dip", "p")
 
 
 @query("WITH " + T.JACCARD + " SELECT count(*) AS n, round(corr(jaccard, phenotype), 9) AS r FROM jac")
