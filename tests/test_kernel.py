@@ -32,7 +32,16 @@ def test_kernel_machine_against_an_exact_one(spark):
     got = model.transform(frame(z, w)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     linear = learn.models()["linear_svm"].fit(frame(x, y)).transform(frame(z, w)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     assert want > 0.9 and abs(got - want) <= 0.02 and linear < 0.7
-    features = model.stages[0]
+    features = model.features
     k = features.transform(frame(x[:40], y[:40])).select("kernel").collect()
     inner = np.array([r.kernel.toArray() for r in k])
     assert np.abs(inner @ inner.T - np.exp(-gamma * ((x[:40, None] - x[None, :40]) ** 2).sum(-1))).max() < 0.01
+
+
+def test_three_classes(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.4, (80, 2)) for c in ((0, 0), (2, 0), (0, 2))])
+    rows = spark.createDataFrame([(v.tolist(), float(10 + i // 80)) for i, v in enumerate(x)], "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
+    out = kernel.KernelMachine(landmarks=40, iterations=25).fit(rows).transform(rows)
+    assert out.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.95
+    assert kernel.minimised(lambda v: (((v - 3) ** 2 * [1, 50]).sum(), 2 * (v - 3) * [1, 50]), np.zeros(2), 50).round(3).tolist() == [3, 3]
