@@ -23,7 +23,8 @@ _EDGES = "RECURSIVE " + B._VARIANTS + ", ed AS (SELECT base || '#' || k_1 AS a,
 
 @query("WITH " + _EDGES + " SELECT vertex, representative FROM comp")
 def merge_components(spark, sf_dir):
-    return G.components(_merge_edges(spark, sf_dir), "a", "b")
+    items = B._variants(spark, sf_dir).select("base", F.concat_ws("#", "base", "k").alias("vertex"), "name")
+    return G.linked_components(items, "base", "vertex", lambda p: B._identity(F.col("name_1"), F.col("name_2")) >= 40)
 
 
 @query("WITH " + _EDGES + " SELECT representative, string_agg(DISTINCT source, '+' ORDER BY source) AS sources, count(*) AS n_edges FROM ed JOIN comp ON vertex = a GROUP BY 1")
@@ -144,7 +145,7 @@ def model_scores(spark, sf_dir):
 @query()
 def robust_candidates(spark, sf_dir):
     forest = L.forest_importances(_vectors(spark, sf_dir))
-    return L.robust_candidates(forest, "importance", _power(spark, sf_dir), "power", "feature")
+    return L.robust_candidates(forest, "importance", _power(spark, sf_dir), "power", "feature", top=20)
 
 
 @query()

@@ -34,12 +34,12 @@ def assign_crosstab(spark, sf_dir):
     return M.crosstab(rows, "region", "status", ["F", "O", "P"])
 
 
-_RBH = """f AS (SELECT l_partkey AS q, l_suppkey AS s, l_extendedprice AS v, l_orderkey * 10 + l_linenumber AS r FROM lineitem WHERE l_quantity >= 10),
+_RBH = """f AS (SELECT l_partkey AS q, l_suppkey AS s, l_extendedprice AS v, l_orderkey * 10 + l_linenumber AS r FROM lineitem),
 fw AS (SELECT q, s, v FROM f QUALIFY row_number() OVER (PARTITION BY q ORDER BY v DESC, r) = 1), bw AS (SELECT s, q AS back FROM f QUALIFY row_number() OVER (PARTITION BY s ORDER BY v DESC, r) = 1)"""
 
 
 def _reciprocal(spark, sf_dir):
-    f = T.table(spark, sf_dir, "lineitem").where("l_quantity >= 10").select(F.col("l_partkey").alias("query"), F.col("l_suppkey").alias("subject"), F.col("l_extendedprice").alias("identity"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"))
+    f = T.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("query"), F.col("l_suppkey").alias("subject"), F.col("l_extendedprice").alias("identity"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"))
     return A.reciprocal_best(f, f.select(F.col("subject").alias("query"), F.col("query").alias("subject"), "identity", "row"))
 
 
@@ -131,13 +131,20 @@ _VARIANTS = """v AS (SELECT p_brand AS base, p_partkey AS k, p_name || '.' || p_
 vp AS (SELECT a.base, a.k AS k_1, b.k AS k_2, 100.0 * (1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))::DOUBLE) AS identity, 100.0 * least(length(a.name), length(b.name)) / greatest(length(a.name), length(b.name))::DOUBLE AS coverage FROM v a JOIN v b ON a.base = b.base AND a.k < b.k)"""
 
 
+def _variants(spark, sf_dir):
+    return T.table(spark, sf_dir, "part").select(F.col("p_brand").alias("base"), F.col("p_partkey").alias("k"), F.concat("p_name", F.lit("."), F.col("p_size").cast("string")).alias("name"))
+
+
+def _identity(x, y):
+    return 100.0 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
+
+
 def _variant_pairs(spark, sf_dir):
     from ..operators.sequence import variant_pairs
 
-    v = T.table(spark, sf_dir, "part").select(F.col("p_brand").alias("base"), F.col("p_partkey").alias("k"), F.concat("p_name", F.lit("."), F.col("p_size").cast("string")).alias("name"))
-    p = variant_pairs(v, "base", "k")
+    p = variant_pairs(_variants(spark, sf_dir), "base", "k")
     a, b = F.length("name_1"), F.length("name_2")
-    return p.withColumns({"identity": 100.0 * (1 - F.levenshtein("name_1", "name_2") / F.greatest(a, b)), "coverage": 100.0 * F.least(a, b) / F.greatest(a, b)})
+    return p.withColumns({"identity": _identity(F.col("name_1"), F.col("name_2")), "coverage": 100.0 * F.least(a, b) / F.greatest(a, b)})
 
 
 @query("WITH " + _VARIANTS + " SELECT base, count(*) AS n, round(avg(identity), 6) AS mean, round(stddev_pop(identity), 6) AS sd, round(min(identity), 6) AS least, round(max(identity), 6) AS most, count(*) FILTER (WHERE identity >= 80 AND coverage >= 50) AS n_merge FROM vp GROUP BY 1")
@@ -147,9 +154,9 @@ def variant_pair_compare(spark, sf_dir):
 
 
 @query("""SELECT tier, count(*) AS n, round(min(score), 6) AS least FROM (SELECT CASE WHEN i >= 98 AND c BETWEEN 20 AND 55 THEN 'VERY_HIGH' WHEN i >= 95 AND c BETWEEN 25 AND 60 THEN 'HIGH' WHEN i >= 90 AND c BETWEEN 30 AND 50 AND r <= 0.6 THEN 'MEDIUM' END AS tier, least(1.0, 0.5 * i / 100 + 0.3 * c / 100 + 0.2 * r) AS score
-FROM (SELECT 100 - l_discount * 100 AS i, l_quantity * 2 AS c, l_tax * 10 AS r FROM lineitem WHERE l_linenumber > 1)) WHERE tier IS NOT NULL GROUP BY 1""")
+FROM (SELECT 100 - l_discount * 100 AS i, l_quantity * 2 AS c, l_tax * 10 AS r FROM lineitem)) WHERE tier IS NOT NULL GROUP BY 1""")
 def artifact_tiers(spark, sf_dir):
-    rows = T.table(spark, sf_dir, "lineitem").where("l_linenumber > 1").select((100 - F.col("l_discount") * 100).alias("i"), (F.col("l_quantity") * 2).alias("c"), (F.col("l_tax") * 10).alias("r"))
+    rows = T.table(spark, sf_dir, "lineitem").select((100 - F.col("l_discount") * 100).alias("i"), (F.col("l_quantity") * 2).alias("c"), (F.col("l_tax") * 10).alias("r"))
     score = C.artifact_confidence(F.col("i") / 100, F.col("c") / 100, F.col("r"))
     return rows.select(C.artifact_tier(F.col("i"), F.col("c"), F.col("r")).alias("tier"), score.alias("score")).where("tier IS NOT NULL").groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 6).alias("least"))
 
