@@ -65,3 +65,19 @@ def in_listed_order(order: list[str], name: Column) -> list[Column]:
 def natural_order(name: Column) -> list[Column]:
     """Sort keys: the first number in a name, then the name."""
     return [F.regexp_extract(name, r"(\d+)", 1).try_cast("int").asc_nulls_last(), name]
+
+
+def names_within(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """``texts`` with ``name``, the longest of the names that stands anywhere in the text, and ``ambiguous``: several different ones of that length stand there; then the least is given. Null without any.
+
+    The pieces of a text as long as some name are joined with the names, so the
+    work grows with the texts and the number of lengths, not with texts times names.
+    """
+    own = names.select(F.col(name).cast("string").alias("__name")).where("__name <> ''").distinct()
+    lengths = sorted(r.n for r in own.select(F.length("__name").alias("n")).distinct().collect())  # lengths of names
+    asked = texts.select(F.col(text).alias("__text")).distinct()
+    pieces = F.explode(F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: F.when(F.length("__text") >= n, F.transform(F.sequence(F.lit(1), F.length("__text") - n + 1), lambda i: F.substring("__text", i, n))).otherwise(F.array().cast("array<string>"))))))
+    found = asked.select("__text", pieces.alias("__name")).join(own, "__name")
+    longest = found.groupBy("__text").agg(F.max(F.struct(F.length("__name").alias("n"))).alias("most"), F.collect_set("__name").alias("all"))
+    best = longest.withColumn("all", F.array_sort(F.filter("all", lambda x: F.length(x) == F.col("most.n")))).select("__text", F.col("all")[0].alias(name), (F.size("all") > 1).alias("ambiguous"))
+    return texts.join(best, F.col(text) == F.col("__text"), "left").drop("__text").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))

@@ -191,6 +191,57 @@ def _over_parts(ranked: DataFrame, job) -> list:
     return [pickle.loads(bytes(r.result)) for r in ranked.select("x", "rank").mapInPandas(run, "result binary").collect()]
 
 
+def loess(df: DataFrame, x: str, y: str, span: float = 0.75, degree: int = 2, points: int = 80) -> DataFrame:
+    """(i, x, y): local regression on an even grid over the range of ``x``, by tricube weights over the share ``span`` of nearest points.
+
+    The nearest points of a place are neighbours in the order of x, so its
+    bandwidth is the least, over all runs of that many neighbours, of the
+    distance to the farther end: numbered rows are joined with those so many
+    ranks on, and one pass takes the least for the whole grid. A second pass
+    sums the moments of the weighted regressions; only sums meet. Where the
+    nearest points all lie at the place itself, the curve is their mean.
+    """
+    rows = stored(numbered(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(), [F.col("x"), F.col("y")], "rank"), "ranked")
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    if not n:
+        return df.sparkSession.createDataFrame([], "i int, x double, y double")
+    grid = np.linspace(low, high, points)
+    q = max(1, min(n, int(n * span + 1e-5)))
+
+    def distances(frames):
+        least = np.full(points, np.inf)
+        for frame in frames:
+            for a in range(0, len(frame), 4096):
+                left, right = (frame[c].to_numpy(float)[None, a : a + 4096] for c in ("x", "right"))
+                least = np.minimum(least, np.maximum(grid[:, None] - left, right - grid[:, None]).min(axis=1))
+        yield pd.DataFrame({"i": np.arange(points), "h": least})
+
+    ends = rows.select("x", "rank").join(rows.select((F.col("rank") - (q - 1)).alias("rank"), F.col("x").alias("right")), "rank").select("x", "right")
+    found = ends.mapInPandas(distances, "i int, h double").groupBy("i").agg(F.min("h").alias("h")).orderBy("i").toPandas()  # a row for each point of the grid
+    width = np.maximum(found["h"].to_numpy(float), 0.0)
+    names = [f"m{k}" for k in range(2 * degree + 1)] + [f"b{k}" for k in range(degree + 1)]
+
+    def moments(frames):
+        total = np.zeros((points, len(names)))
+        for frame in frames:
+            for a in range(0, len(frame), 4096):
+                d = frame["x"].to_numpy(float)[None, a : a + 4096] - grid[:, None]
+                u = np.where(width[:, None] > 0, d / np.where(width[:, None] > 0, width[:, None], 1.0), np.where(d == 0, 0.0, 2.0))
+                w, v = np.where(np.abs(u) < 1, (1 - np.abs(u) ** 3) ** 3, 0.0), frame["y"].to_numpy(float)[None, a : a + 4096]
+                total += np.stack([(w * u**k).sum(axis=1) for k in range(2 * degree + 1)] + [(w * v * u**k).sum(axis=1) for k in range(degree + 1)], axis=1)
+        yield pd.DataFrame({"i": np.arange(points), **{c: total[:, k] for k, c in enumerate(names)}})
+
+    sums = rows.mapInPandas(moments, "i int, " + ", ".join(f"{c} double" for c in names)).groupBy("i").agg(*(F.sum(c).alias(c) for c in names))
+
+    def solve(frames):
+        for frame in frames:
+            t = frame[names].to_numpy(float)
+            fits = [np.linalg.lstsq(np.array([[r[j + k] for k in range(degree + 1)] for j in range(degree + 1)]), r[2 * degree + 1 :], rcond=1e-12)[0][0] for r in t]
+            yield pd.DataFrame({"i": frame["i"], "x": grid[frame["i"]], "y": np.array(fits, float)})
+
+    return sums.mapInPandas(solve, "i int, x double, y double")
+
+
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, r, p, low, high)."""
     from ..functions.exact import pearson_test

@@ -179,7 +179,7 @@ def model_drafts(spark, sf_dir):
     g = line.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("s_nationkey").alias("strain")).agg(F.collect_set("p_brand").alias("genes"))
     genes = T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("strain")).join(g, "strain", "left").select("strain", F.coalesce("genes", F.array().cast("array<string>")).alias("genes"))
     rules = spark.createDataFrame([("free", None), ("both", "Brand#11 and Brand#22"), ("either", "Brand#11 or (Brand#22 and Brand#33)")], "reaction string, rule string")
-    return Mo.drafts(Mo.with_alternatives(rules), genes)
+    return Mo.drafts_by_rule(rules, genes)
 
 
 @query()

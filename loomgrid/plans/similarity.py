@@ -182,3 +182,18 @@ SELECT a, count(*) AS n, round(sum(value), 6) AS total FROM s GROUP BY a""")
 def symmetric_matrix_rows(spark, sf_dir):
     pairs = T.jaccard(spark, sf_dir).withColumn("value", 100 * F.col("jaccard"))
     return P.symmetric(pairs, "value").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+_LOESS = "WITH " + T.JACCARD + """, d AS (SELECT jaccard AS x, CASE (lo * 7 + hi * 13) % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 ELSE 0.0 END::DOUBLE AS y FROM jac), o AS (SELECT count(*) AS n, min(x) AS a, max(x) AS b FROM d),
+g AS (SELECT i, a + i * (b - a) / 19 AS p, CAST(floor(n * 0.75 + 1e-5) AS BIGINT) AS q FROM o, range(20) t(i)),
+r AS (SELECT i, p, q, y, x - p AS u, row_number() OVER (PARTITION BY i ORDER BY abs(x - p)) AS k FROM g, d), h AS (SELECT i, abs(u) AS h FROM r WHERE k = q),
+w AS (SELECT i, p, y, u / h AS u, pow(1 - pow(abs(u / h), 3), 3) AS w FROM r JOIN h USING (i) WHERE abs(u) < h),
+m AS (SELECT i, p, sum(w) AS m0, sum(w * u) AS m1, sum(w * u * u) AS m2, sum(w * u * u * u) AS m3, sum(w * u * u * u * u) AS m4, sum(w * y) AS b0, sum(w * u * y) AS b1, sum(w * u * u * y) AS b2 FROM w GROUP BY 1, 2)
+SELECT CAST(i AS INTEGER) AS i, round(p, 9) AS x, round((b0 * (m2 * m4 - m3 * m3) - m1 * (b1 * m4 - m3 * b2) + m2 * (b1 * m3 - m2 * b2)) / (m0 * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m3 * m2) + m2 * (m1 * m3 - m2 * m2)), 6) AS y FROM m"""
+
+
+@query(_LOESS)
+def loess_curve(spark, sf_dir):
+    """The outcome of pairs over their similarity, smoothed."""
+    pairs = T.jaccard(spark, sf_dir).select("jaccard", T.phenotype().alias("phenotype"))
+    return S.loess(pairs, "jaccard", "phenotype", points=20).select("i", F.round("x", 9).alias("x"), F.round("y", 6).alias("y"))
