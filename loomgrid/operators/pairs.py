@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def canonical(df: DataFrame, a: str, b: str) -> DataFrame:
     """Columns ``lo`` and ``hi`` instead of ``a`` and ``b``, without self pairs."""
@@ -58,6 +60,35 @@ def jaccard(presence: DataFrame, entity: str, feature: str, complete: bool = Fal
     return out.withColumn("jaccard", F.col("both") / (F.col("n_lo") + F.col("n_hi") - F.col("both")))
 
 
+def jaccard_at_least(presence: DataFrame, entity: str, feature: str, least: float) -> DataFrame:
+    """(lo, hi, both, n_lo, n_hi, jaccard) of the pairs at or above ``least``, without making all pairs that share anything.
+
+    Features are ordered by how many entities have them, the rarest first. Two
+    sets that are similar enough share a feature among the first n - least * n + 1
+    of each, so only these beginnings are joined; a pair whose sizes differ too
+    much, or that has too little left behind the place where it meets, is dropped
+    there. The rest is counted on the whole sets.
+    """
+    if not 0 < least <= 1:
+        raise ValueError(f"a similarity above 0 and up to 1 is needed, not {least}")
+    slack = 1e-9
+    rows = presence.select(F.col(entity).alias("e"), F.col(feature).alias("f"))
+    spread = rows.groupBy("f").agg(F.count(F.lit(1)).alias("df"))
+    ordered = F.array_sort(F.collect_list(F.struct("df", "f")))
+    sets = stored(rows.join(spread, "f").groupBy("e").agg(ordered.alias("x")).select("e", F.col("x.f").alias("f"), F.size("x").cast("long").alias("n")), "sets")
+    head = F.col("n") - F.ceil(least * F.col("n") - slack) + 1
+    begins = sets.select("e", "n", F.posexplode(F.slice("f", F.lit(1), head.cast("int"))).alias("at", "f"))
+    a, b = (begins.select("f", *(F.col(c).alias(f"{c}_{side}") for c in ("e", "n", "at"))) for side in ("lo", "hi"))
+    near = F.least("n_lo", "n_hi") >= least * F.greatest("n_lo", "n_hi") - slack
+    needed = F.col("n_lo") + F.col("n_hi")
+    left = F.least("at_lo", "at_hi") + F.least(F.col("n_lo") - F.col("at_lo"), F.col("n_hi") - F.col("at_hi"))  # shared before, and from here on, at most
+    met = a.join(b, "f").where((F.col("e_lo") < F.col("e_hi")) & near & (left >= least / (1 + least) * needed - slack)).select("e_lo", "e_hi").distinct()
+    whole = lambda side: sets.select(F.col("e").alias(f"e_{side}"), F.col("f").alias(f"f_{side}"), F.col("n").alias(f"n_{side}"))
+    counted = met.join(whole("lo"), "e_lo").join(whole("hi"), "e_hi").withColumn("both", F.size(F.array_intersect("f_lo", "f_hi")).cast("long"))
+    out = counted.select(F.col("e_lo").alias("lo"), F.col("e_hi").alias("hi"), "both", "n_lo", "n_hi", (F.col("both") / (needed - F.col("both"))).alias("jaccard"))
+    return out.where(F.col("jaccard") >= least)
+
+
 def containment(presence: DataFrame, entity: str, feature: str) -> DataFrame:
     """Directed (query, reference, value): percent of the query's features that the reference has."""
     pairs = jaccard(presence, entity, feature)

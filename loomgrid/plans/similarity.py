@@ -57,6 +57,15 @@ def pair_jaccard(spark, sf_dir):
     return T.jaccard(spark, sf_dir).withColumnRenamed("both", "both_n")
 
 
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS e, l_suppkey AS f FROM lineitem), n AS (SELECT e, count(*) AS n FROM p GROUP BY 1),
+b AS (SELECT x.e AS lo, y.e AS hi, count(*) AS both_n FROM p x JOIN p y ON x.f = y.f AND x.e < y.e GROUP BY 1, 2)
+SELECT lo, hi, both_n, a.n AS n_lo, c.n AS n_hi FROM b JOIN n a ON a.e = lo JOIN n c ON c.e = hi WHERE both_n / (a.n + c.n - both_n) >= 0.75""")
+def similar_orders(spark, sf_dir):
+    """Orders that were filled by nearly the same suppliers."""
+    p = T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    return P.jaccard_at_least(p, "l_orderkey", "l_suppkey", 0.75).select("lo", "hi", F.col("both").alias("both_n"), "n_lo", "n_hi")
+
+
 @query("WITH " + T.JACCARD + " SELECT lo, hi, jaccard FROM jac WHERE jaccard = (SELECT max(jaccard) FROM jac)")
 def max_pair_ties(spark, sf_dir):
     return P.largest_pairs(T.jaccard(spark, sf_dir), "jaccard").select("lo", "hi", "jaccard")
