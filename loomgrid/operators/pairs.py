@@ -19,6 +19,14 @@ def reciprocal_mean(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     return both.select("lo", "hi", F.coalesce((F.col("ab") + F.col("ba")) / 2, "ab", "ba").alias("value"), F.abs(F.col("ab") - F.col("ba")).alias("difference"))
 
 
+def running_mean(df: DataFrame, a: str, b: str, value: str, order: str) -> DataFrame:
+    """(lo, hi, value, n): each further value of an unordered pair is averaged with what the pair had, in the order of ``order``; so the last one weighs a half. For up to two values it is the plain mean."""
+    both = canonical(df.where(F.col(value).isNotNull()), a, b)
+    values = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda r: r["v"])
+    rest = lambda x: F.aggregate(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), x[0], lambda s, v: (s + v) / 2)
+    return both.groupBy("lo", "hi").agg(values.alias("__v")).select("lo", "hi", rest(F.col("__v")).alias("value"), F.size("__v").cast("long").alias("n"))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """A join on all keys where null meets null; the keys come from the left."""
     same = None

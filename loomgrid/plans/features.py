@@ -160,11 +160,10 @@ def top_k(spark, sf_dir):
 
 @query(_MISMATCH + " SELECT kind, feature, a FROM (SELECT p_type AS kind, feature, a, row_number() OVER (PARTITION BY p_type ORDER BY a DESC, feature) AS rn FROM m JOIN part ON p_partkey = feature) WHERE rn <= 5")
 def top_k_per_class(spark, sf_dir):
-    from pyspark.sql import Window
+    from ..operators.relate import looked_up, top_per_class
 
-    rows = mismatch_enrichment_counts(spark, sf_dir).join(_types(spark, sf_dir), "feature")
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("a").desc(), "feature"))
-    return rows.withColumn("rn", rank).where("rn <= 5").select("kind", "feature", "a")
+    rows = looked_up(mismatch_enrichment_counts(spark, sf_dir), _types(spark, sf_dir), {"feature": "feature"}, {"kind": "kind"})
+    return top_per_class(rows, "kind", [F.col("a").desc(), F.col("feature")], 5).select("kind", "feature", "a")
 
 
 _FOCAL = T.ENDS + ", foc AS (SELECT entity, count(*) AS n, count(*) FILTER (WHERE NOT disc) AS n_merge, count(*) FILTER (WHERE disc) AS n_discriminate FROM ends GROUP BY 1 HAVING count(*) FILTER (WHERE NOT disc) >= 3 AND count(*) FILTER (WHERE disc) >= 5)"

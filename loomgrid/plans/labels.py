@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import assign as A
 from ..operators import classify as C
 from ..operators import matrix as M
+from ..operators import relate as R
 from . import tables as T
 from .registry import query
 
@@ -30,7 +31,8 @@ SELECT region, count(*) FILTER (WHERE status = 'F') AS F, count(*) FILTER (WHERE
 def assign_crosstab(spark, sf_dir):
     best = A.assign(_scored(spark, sf_dir), "q", "t", "score", float("-inf")).select("q", F.col("target").cast("long").alias("t"))
     o, s, n = (T.table(spark, sf_dir, x) for x in ("orders", "supplier", "nation"))
-    rows = best.join(o.select("o_orderkey", F.col("o_orderstatus").alias("status")), F.col("q") == F.col("o_orderkey")).join(s.select("s_suppkey", "s_nationkey"), F.col("t") == F.col("s_suppkey")).join(n.select("n_nationkey", F.col("n_regionkey").alias("region")), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = R.looked_up(best, o, {"q": "o_orderkey"}, {"status": "o_orderstatus"})
+    rows = R.looked_up(R.looked_up(rows, s, {"t": "s_suppkey"}, {"nation": "s_nationkey"}), n, {"nation": "n_nationkey"}, {"region": "n_regionkey"})
     return M.crosstab(rows, "region", "status", ["F", "O", "P"])
 
 
@@ -69,37 +71,34 @@ def name_and_bin(spark, sf_dir):
     p = T.table(spark, sf_dir, "part")
     name = F.concat(X.safe_name(F.col("p_type")), F.lit("_"), (X.size_bin(F.col("p_retailprice") * 50) / 1000).cast("int").cast("string"), F.lit("kb_"), X.position_bin(F.col("p_size") * 2).cast("int").cast("string"), F.lit("pct"))
     rows = p.select("p_partkey", name.alias("name"))
-    groups = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("group_id", F.dense_rank().over(Window.orderBy("name")))
-    return rows.join(groups, "name").select("p_partkey", "name", "n", F.col("group_id").cast("long").alias("group_id"))
+    return R.with_group_ids(rows, "name").select("p_partkey", "name", "n", "group_id")
 
 
 @query("SELECT c_custkey, c_name, 'unpositioned_' || row_number() OVER (ORDER BY c_custkey) AS label FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def unpositioned_anti(spark, sf_dir):
     c, o = T.table(spark, sf_dir, "customer"), T.table(spark, sf_dir, "orders")
     left = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
-    return left.withColumn("label", F.concat(F.lit("unpositioned_"), F.row_number().over(Window.orderBy("c_custkey")).cast("string")))
+    return R.labelled_rows(left, ["c_custkey"], "unpositioned_")
 
 
 @query("""SELECT p_type AS cluster, count(DISTINCT l_suppkey) AS n_strains, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS sd, min(l_extendedprice) AS least, max(l_extendedprice) AS most, round(100 * stddev_samp(l_extendedprice) / avg(l_extendedprice), 4) AS cv,
 CASE WHEN count(DISTINCT l_suppkey) < 2 THEN 'singleton' WHEN 100 * stddev_samp(l_extendedprice) / avg(l_extendedprice) > 30 THEN 'variable' ELSE 'consistent' END AS flag FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
 def cluster_validation(spark, sf_dir):
-    v = F.col("l_extendedprice")
-    rows = T.table(spark, sf_dir, "lineitem").join(T.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("cluster")).agg(F.count_distinct("l_suppkey").alias("n_strains"), F.count(F.lit(1)).alias("n"), F.avg(v).alias("m"), F.stddev_samp(v).alias("s"), F.min(v).alias("least"), F.max(v).alias("most"))
-    cv = F.try_divide(100 * F.col("s"), F.col("m"))
-    return rows.select("cluster", "n_strains", "n", F.round("m", 4).alias("mean"), F.round("s", 4).alias("sd"), "least", "most", F.round(cv, 4).alias("cv"), C.cluster_flag(F.col("n_strains"), cv).alias("flag"))
+    line = T.table(spark, sf_dir, "lineitem").join(T.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = R.cluster_summary(line.withColumnRenamed("p_type", "cluster"), "cluster", "l_suppkey", "l_extendedprice")
+    return rows.select("cluster", F.col("n_members").alias("n_strains"), "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "least", "most", F.round("cv", 4).alias("cv"), C.cluster_flag(F.col("n_members"), F.col("cv")).alias("flag"))
 
 
 @query("SELECT a.conv_id, roles, n, coalesce(o.c_mktsegment, 'none') AS segment FROM (SELECT conv_id, string_agg(coalesce(role, 'NA'), '/' ORDER BY turn) AS roles, count(*) AS n FROM conversations GROUP BY 1) a LEFT JOIN customer o ON o.c_custkey IS NOT DISTINCT FROM a.conv_id")
 def ordered_pair_concat(spark, sf_dir):
-    rows = T.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.expr("listagg(coalesce(role, 'NA'), '/') WITHIN GROUP (ORDER BY turn)").alias("roles"), F.count(F.lit(1)).alias("n"))
-    c = T.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return rows.join(c, rows["conv_id"].eqNullSafe(c["c_custkey"]), "left").select("conv_id", "roles", "n", F.coalesce("c_mktsegment", F.lit("none")).alias("segment"))
+    rows = R.joined_texts(T.table(spark, sf_dir, "conversations"), ["conv_id"], "role", "turn")
+    out = R.looked_up(rows, T.table(spark, sf_dir, "customer"), {"conv_id": "c_custkey"}, {"segment": "c_mktsegment"}, {"segment": "none"})
+    return out.select("conv_id", F.col("texts").alias("roles"), "n", "segment")
 
 
 @query("SELECT p_partkey, p_brand || CASE WHEN rn <= 26 THEN '' WHEN rn <= 702 THEN chr(CAST(96 + (rn - 1) // 26 AS INTEGER)) ELSE chr(CAST(97 + (rn - 703) // 676 AS INTEGER)) || chr(CAST(97 + (rn - 703) // 26 % 26 AS INTEGER)) END || chr(CAST(97 + (rn - 1) % 26 AS INTEGER)) AS label FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part)")
 def family_ids(spark, sf_dir):
-    rows = T.table(spark, sf_dir, "part").withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
-    return rows.select("p_partkey", F.concat("p_brand", X.ordinal_letters(F.col("rn"))).alias("label"))
+    return R.lettered(T.table(spark, sf_dir, "part"), "p_brand", "p_partkey", "label").select("p_partkey", "label")
 
 
 @query("SELECT event_id, lower(regexp_replace(split_part(event_type || '(12),x', ',', 1), '\\([0-9]+\\)$', '')) AS main, TRY_CAST(regexp_replace(props, '[^0-9]', '', 'g') AS DOUBLE) AS digits FROM events")
@@ -116,9 +115,8 @@ def url_regex_extract(spark, sf_dir):
 
 @query("SELECT s_suppkey, coalesce(new, n_name) AS name FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN (VALUES ('CHINA', 'CN'), ('FRANCE', 'FR'), ('BRAZIL', 'BR')) k(old, new) ON old = n_name")
 def alias_rename(spark, sf_dir):
-    key = spark.createDataFrame([("CHINA", "CN"), ("FRANCE", "FR"), ("BRAZIL", "BR")], "old string, new string")
-    s = T.table(spark, sf_dir, "supplier").join(T.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.join(F.broadcast(key), F.col("n_name") == F.col("old"), "left").select("s_suppkey", F.coalesce("new", "n_name").alias("name"))
+    s = R.looked_up(T.table(spark, sf_dir, "supplier"), T.table(spark, sf_dir, "nation"), {"s_nationkey": "n_nationkey"}, {"name": "n_name"})
+    return R.recoded(s, "name", {"CHINA": "CN", "FRANCE": "FR", "BRAZIL": "BR"}).select("s_suppkey", "name")
 
 
 @query("SELECT o_orderkey, TRY_CAST(replace(regexp_split_to_array(trim(replace(o_orderpriority, '-', ',5 ')), '\\s+')[1], ',', '.') AS DOUBLE) AS value, TRY_CAST(replace(regexp_split_to_array(trim(replace(o_orderpriority, '-', ',5 ')), '\\s+')[1], ',', '.') AS DOUBLE) >= 3 AS kin FROM orders")
@@ -150,7 +148,8 @@ def _variant_pairs(spark, sf_dir):
 @query("WITH " + _VARIANTS + " SELECT base, count(*) AS n, round(avg(identity), 6) AS mean, round(stddev_pop(identity), 6) AS sd, round(min(identity), 6) AS least, round(max(identity), 6) AS most, count(*) FILTER (WHERE identity >= 80 AND coverage >= 50) AS n_merge FROM vp GROUP BY 1")
 def variant_pair_compare(spark, sf_dir):
     i = F.col("identity")
-    return _variant_pairs(spark, sf_dir).groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(i), 6).alias("mean"), F.round(F.stddev_pop(i), 6).alias("sd"), F.round(F.min(i), 6).alias("least"), F.round(F.max(i), 6).alias("most"), F.count_if(C.conservative_merge(i, F.col("coverage"))).alias("n_merge"))
+    out = R.comparison_summary(_variant_pairs(spark, sf_dir), ["base"], "identity", F.count_if(C.conservative_merge(i, F.col("coverage"))).alias("n_merge"))
+    return out.select("base", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "least", "most")), "n_merge")
 
 
 @query("""SELECT tier, count(*) AS n, round(min(score), 6) AS least FROM (SELECT CASE WHEN i >= 98 AND c BETWEEN 20 AND 55 THEN 'VERY_HIGH' WHEN i >= 95 AND c BETWEEN 25 AND 60 THEN 'HIGH' WHEN i >= 90 AND c BETWEEN 30 AND 50 AND r <= 0.6 THEN 'MEDIUM' END AS tier, least(1.0, 0.5 * i / 100 + 0.3 * c / 100 + 0.2 * r) AS score
@@ -210,8 +209,8 @@ def accumulation_means(spark, sf_dir):
 
 @query("SELECT event_type, min(least(event_id, user_id)) AS first, max(greatest(event_id, user_id)) AS last, max(greatest(event_id, user_id)) - min(least(event_id, user_id)) AS size, round(avg((event_id + user_id) / 2), 6) AS mid, count(*) FILTER (WHERE lower(props) LIKE '%7%') AS flagged FROM events GROUP BY 1")
 def region_extent(spark, sf_dir):
-    lo, hi = F.least("event_id", "user_id"), F.greatest("event_id", "user_id")
-    return T.table(spark, sf_dir, "events").groupBy("event_type").agg(F.min(lo).alias("first"), F.max(hi).alias("last"), (F.max(hi) - F.min(lo)).alias("size"), F.round(F.avg((F.col("event_id") + F.col("user_id")) / 2), 6).alias("mid"), F.count_if(F.lower("props").contains("7")).alias("flagged"))
+    out = R.extent(T.table(spark, sf_dir, "events"), ["event_type"], "event_id", "user_id", F.count_if(F.lower("props").contains("7")).alias("flagged"))
+    return out.select("event_type", "first", "last", "size", F.round("middle", 6).alias("mid"), "flagged")
 
 
 @query("SELECT c_custkey, printf('%.2f [%.2f-%.2f]', c_acctbal, c_acctbal - 10, c_acctbal + 10) AS interval_text, greatest(-500.0::DOUBLE, least(500.0::DOUBLE, c_acctbal)) AS inside, greatest(-500.0::DOUBLE, least(500.0::DOUBLE, c_acctbal)) <> c_acctbal AS was_clipped FROM customer")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pairs as P
+from ..operators import relate as R
 from ..operators import summary as S
 from . import tables as T
 from .registry import query
@@ -21,6 +22,13 @@ def pair_reciprocal_average(spark, sf_dir):
     return out.select("lo", "hi", F.round("value", 9).alias("value"), F.round("difference", 9).alias("difference"))
 
 
+@query("""SELECT least(l_suppkey, l_linenumber) AS lo, greatest(l_suppkey, l_linenumber) AS hi, count(*) AS n,
+  round(list_reduce(list(l_quantity::DOUBLE ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity), lambda s, v: (s + v) / 2), 6) AS value FROM lineitem WHERE l_suppkey <> l_linenumber GROUP BY 1, 2""")
+def running_pair_mean(spark, sf_dir):
+    line = T.table(spark, sf_dir, "lineitem").withColumn("place", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")).withColumn("number", F.col("l_linenumber").cast("long"))
+    return P.running_mean(line, "l_suppkey", "number", "l_quantity", "place").select("lo", "hi", "n", F.round("value", 6).alias("value"))
+
+
 @query("WITH " + T.JACCARD + ", d AS (SELECT abs(100.0 * n_both / n_lo - 100.0 * n_both / n_hi) AS d FROM jac) SELECT count(*) AS n, round(avg(d), 9) AS mean, round(max(d), 9) AS most, round(median(d), 9) AS median FROM d")
 def direction_stats(spark, sf_dir):
     both = P.reciprocal_mean(P.containment(T.presence(spark, sf_dir), "entity", "feature"), "query", "reference", "value")
@@ -153,18 +161,16 @@ def pearson_test(spark, sf_dir):
 @query("WITH " + T.GROUPED + """ SELECT g_lo AS grp, count(*) AS n, min(phenotype) AS least, round(avg(phenotype), 9) AS mean_phenotype, round(avg(jaccard), 9) AS mean_similarity,
   bool_and(phenotype >= 0.5) AS all_kin, bool_and(phenotype >= 0.25) AS all_mild FROM grp WHERE g_lo = g_hi GROUP BY 1""")
 def within_group_concordance(spark, sf_dir):
-    own = T.grouped_pairs(spark, sf_dir).where("g_lo = g_hi")
-    p = F.col("phenotype")
-    return own.groupBy(F.col("g_lo").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.min(p).alias("least"), F.round(F.avg(p), 9).alias("mean_phenotype"), F.round(F.avg("jaccard"), 9).alias("mean_similarity"), F.bool_and(p >= 0.5).alias("all_kin"), F.bool_and(p >= 0.25).alias("all_mild"))
+    out = R.group_concordance(T.grouped_pairs(spark, sf_dir), ("g_lo", "g_hi"), "phenotype", "jaccard")
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_phenotype", "mean_similarity")})
 
 
 @query("WITH " + T.GROUPED + """ SELECT 'within' AS class, count(*) AS n, min(jaccard) AS least, max(jaccard) AS most FROM grp WHERE g_lo = g_hi
 UNION ALL SELECT 'kin', count(*), min(jaccard), max(jaccard) FROM grp WHERE phenotype >= 0.5 UNION ALL SELECT 'discriminating', count(*), min(jaccard), max(jaccard) FROM grp WHERE phenotype < 0.5""")
 def threshold_by_class(spark, sf_dir):
     """Overlapping classes in one pass."""
-    masks = [("within", F.col("g_lo") == F.col("g_hi")), ("kin", F.col("phenotype") >= 0.5), ("discriminating", F.col("phenotype") < 0.5)]
-    one = T.grouped_pairs(spark, sf_dir).agg(*(f.alias(f"{k}{i}") for i, (_, m) in enumerate(masks) for k, f in (("n", F.count_if(m)), ("l", F.min(F.when(m, F.col("jaccard")))), ("m", F.max(F.when(m, F.col("jaccard")))))))
-    return one.select(F.inline(F.array(*(F.struct(F.lit(name).alias("class"), F.col(f"n{i}").alias("n"), F.col(f"l{i}").alias("least"), F.col(f"m{i}").alias("most")) for i, (name, _) in enumerate(masks)))))
+    classes = [("within", F.col("g_lo") == F.col("g_hi")), ("kin", F.col("phenotype") >= 0.5), ("discriminating", F.col("phenotype") < 0.5)]
+    return R.extremes_by_class(T.grouped_pairs(spark, sf_dir), "jaccard", classes)
 
 
 @query("WITH " + T.JACCARD + """, q AS (SELECT quantile_disc(jaccard, 0.9) AS strong, quantile_disc(jaccard, 0.75) AS moderate, quantile_disc(jaccard, 0.5) AS borderline FROM jac)
@@ -173,17 +179,14 @@ SELECT stratum, count(*) AS n, max(jaccard) AS most FROM (SELECT jaccard, CASE W
 def nonconforming_strata(spark, sf_dir):
     pairs = T.jaccard(spark, sf_dir).withColumn("phenotype", T.phenotype())
     cuts = pairs.agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY jaccard)").alias(n) for p, n in ((0.9, "strong"), (0.75, "moderate"), (0.5, "borderline"))))
-    j, p = F.col("jaccard"), F.col("phenotype")
-    stratum = F.when((j >= F.col("strong")) & (p == 0), "strong").when((j >= F.col("moderate")) & (p <= 0.25), "moderate").when((j >= F.col("borderline")) & (j < F.col("moderate")) & (p <= 0.25), "borderline")
-    return pairs.join(F.broadcast(cuts)).withColumn("stratum", stratum).where("stratum IS NOT NULL").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.max("jaccard").alias("most"))  # cuts: one row
+    out = R.strata(pairs.join(F.broadcast(cuts)), "jaccard", "phenotype", F.col("strong"), F.col("moderate"), F.col("borderline"))
+    return out.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.max("jaccard").alias("most"))  # cuts: one row
 
 
 @query("WITH " + T.GROUPED + ", c AS (SELECT g_lo = g_hi AS within_group, phenotype, count(*) AS n FROM grp GROUP BY 1, 2) SELECT within_group, phenotype, n, round(n / sum(n) OVER (PARTITION BY within_group), 6) AS share FROM c")
 def phenotype_proportions(spark, sf_dir):
-    from pyspark.sql import Window
-
-    counts = T.grouped_pairs(spark, sf_dir).groupBy((F.col("g_lo") == F.col("g_hi")).alias("within_group"), "phenotype").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("within_group")), 6))
+    rows = T.grouped_pairs(spark, sf_dir).select((F.col("g_lo") == F.col("g_hi")).alias("within_group"), "phenotype")
+    return R.shares_within(rows, ["within_group"], "phenotype").withColumn("share", F.round("share", 6))
 
 
 @query("WITH " + T.JACCARD + """, s AS (SELECT lo AS a, hi AS b, 100 * jaccard AS value FROM jac UNION ALL SELECT hi, lo, 100 * jaccard FROM jac UNION ALL SELECT entity, entity, 100.0 FROM sizes)
