@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 
 
-def _root(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one where that is unset and all runs on one machine, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -37,7 +37,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: its lineage ends there, so a lost executor costs a retry of its tasks. The files go when the driver ends."""
     spark = df.sparkSession
-    path = f"{_root(spark)}/loomgrid/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/loomgrid/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

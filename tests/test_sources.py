@@ -175,3 +175,20 @@ def test_models_are_kept_and_loaded(spark, tmp_path):
     df = spark.createDataFrame([([float(i % 2), 1.0], float(i % 2)) for i in range(20)], "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
     learn.save(learn.fit_pipeline(df, "gaussian_nb"), str(tmp_path / "model"))
     assert learn.load(str(tmp_path / "model")).transform(df).where("prediction = label").count() == 20
+
+
+def test_workbook_with_fills_and_odd_characters(spark, tmp_path):
+    from loomgrid.sources import workbook
+
+    path = str(tmp_path / "styled.xlsx")
+    odd = ["\x01 bell\x07", "line\r\nend", "_x0001_ as text", "a\tb", "\U0001f600 <&>", None]
+    df = spark.createDataFrame([(i, odd[i % 6], i % 4 == 0) for i in range(5000)], "n long, text string, ok boolean").orderBy("n").repartitionByRange(6, "n").sortWithinPartitions("n")
+    styles = workbook.Styles({"n": "FFC000", "text": "C6EFCE"}, [("text", F.col("n") % 3 == 0, "FF0000"), ("text", F.col("ok"), "00FF00"), ("ok", F.col("text").isNull(), "0000FF")])
+    workbook.write_workbook({"one": df, "plain": df.limit(2), "none": df.where("false")}, path, {"one": styles})
+    cells = {r.row: r.cells for r in workbook.read_cells(spark, path, "one").collect()}
+    assert len(cells) == 5001 and all(cells[i + 2] == [str(i), odd[i % 6], str(int(i % 4 == 0))] for i in range(5000))
+    fills = {r.row: r.cells for r in workbook.read_cells(spark, path, "one", fills=True).collect()}
+    assert fills[1] == ["FFC000", "C6EFCE", None]
+    assert all(fills[i + 2] == [None, "FF0000" if i % 3 == 0 else "00FF00" if i % 4 == 0 else None, "0000FF" if i % 6 == 5 else None] for i in range(5000))
+    assert {tuple(r.cells) for r in workbook.read_cells(spark, path, "plain", fills=True).collect()} == {(None, None, None)}
+    assert workbook.read_cells(spark, path, "none").count() == 1
