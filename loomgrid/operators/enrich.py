@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pairs as P
+from .stored import numbered, stored
 
 
 def pair_counts(presence: DataFrame, labelled: DataFrame, entity: str, feature: str) -> DataFrame:
@@ -60,13 +61,13 @@ def with_fisher(rows: DataFrame) -> DataFrame:
 
 
 def adjusted(rows: DataFrame, p: str, key: str, name: str = "fdr") -> DataFrame:
-    """Benjamini-Hochberg. Ranks come from the distinct values of p, so only those pass through one task; null p stays null. ``rows`` is read twice and kept."""
-    rows = rows.persist()
+    """Benjamini-Hochberg. Ranks come from the distinct values of p, which are counted and taken the least of by range; null p stays null. ``rows`` is written once, as it is read twice."""
+    rows = stored(rows, "p-values")
     values = rows.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    up = values.withColumn("__rank", F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)))
+    up = numbered(values, [F.col("__p")], "__at", sums={"__before": "__n"})
     total = values.agg(F.sum("__n").alias("__all"))
-    scaled = up.join(F.broadcast(total)).withColumn("__q", F.col("__p") * F.col("__all") / F.col("__rank"))  # with one row
-    down = scaled.withColumn(name, F.least(F.lit(1.0), F.min("__q").over(Window.orderBy(F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, 0))))
+    scaled = up.join(F.broadcast(total)).select("__p", (F.col("__p") * F.col("__all") / (F.col("__before") + F.col("__n"))).alias("__q"))  # with one row
+    down = numbered(scaled, [F.col("__p").desc()], "__at", mins={"__above": "__q"}).withColumn(name, F.least(F.lit(1.0), "__q", "__above"))
     return rows.join(down.select("__p", name), rows[p] == F.col("__p"), "left").drop("__p")
 
 
@@ -102,10 +103,13 @@ def focal_entities(labelled: DataFrame, merge: int = 3, discriminate: int = 5) -
 
 #: A task counts the partners of so many focal entities with so many features, some partners at a time.
 FOCAL_BLOCK, FEATURE_BLOCK, PARTNERS = 512, 4096, 2048
+#: And about so many labels, or entities that have the features, of a block; more make more blocks.
+BLOCK_ROWS = 4 << 20
 
 
 def _blocks(df: DataFrame, column: str, size: int) -> int:
-    return max(1, -(-df.agg(F.count_distinct(column)).first()[0] // size))
+    distinct, rows = df.agg(F.count_distinct(column), F.count(F.lit(1))).first()
+    return max(1, -(-distinct // size), -(-rows // BLOCK_ROWS))
 
 
 def _fitting_cells(ends: DataFrame, own: DataFrame, n_focal: int, n_features: int) -> DataFrame:
@@ -167,8 +171,8 @@ def case_control(presence: DataFrame, labelled: DataFrame, entity: str, feature:
     """
     focal = focal_entities(labelled, merge, discriminate)
     own = presence.select(F.col(entity).alias("entity"), F.col(feature).alias("feature"))
-    ends = P.endpoints(labelled, "disc").join(focal, "entity")
-    cells = _fitting_cells(ends, own, _blocks(focal, "entity", FOCAL_BLOCK), _blocks(own, "feature", FEATURE_BLOCK))
+    ends = stored(P.endpoints(labelled, "disc").join(focal, "entity"), "labels")
+    cells = _fitting_cells(ends, own, _blocks(ends, "entity", FOCAL_BLOCK), _blocks(own, "feature", FEATURE_BLOCK))
     cells = cells.withColumns({"pct_merge": F.bround(100.0 * F.col("m") / F.col("n_merge"), 1), "pct_discriminate": F.bround(100.0 * F.col("d") / F.col("n_discriminate"), 1)})
     has, pm, pd_ = F.col("has"), F.col("pct_merge"), F.col("pct_discriminate")
     rules = [has & (pm >= 80) & (pd_ <= 40), ~has & (pm <= 20) & (pd_ >= 60), has & (pd_ <= 30), ~has & (pd_ >= 70)]

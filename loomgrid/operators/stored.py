@@ -43,19 +43,20 @@ def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, keys: Sequence[Column], name: str = "number", sums: dict[str, str] | None = None) -> DataFrame:
-    """``df`` with the number (0, 1, 2 ...) of each row in the order of ``keys``, and for ``sums`` (new column to column) the sum over all rows before.
+def numbered(df: DataFrame, keys: Sequence[Column], name: str = "number", sums: dict[str, str] | None = None, mins: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with the number (0, 1, 2 ...) of each row in the order of ``keys``, and for ``sums`` and ``mins`` (new column to column) the sum and the least over all rows before (0 and null for the first).
 
     Rows are sorted by range; only one row for each partition meets in one
     place. Ties are numbered in any order, so keys should be unique.
     """
-    sums = sums or {}
+    sums, mins = sums or {}, mins or {}
     row, part, place = "__row", "__part", "__place"
     ordered = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(row, F.monotonically_increasing_id()), "ordered")
     ordered = ordered.withColumns({part: F.shiftright(row, 33), place: F.col(row).bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = ordered.groupBy(part).agg(F.count(F.lit(1)).alias("__n"), *(F.sum(c).alias(f"__{new}") for new, c in sums.items()))
+    sizes = ordered.groupBy(part).agg(F.count(F.lit(1)).alias("__n"), *(f(c).alias(f"__{new}") for f, all_ in ((F.sum, sums), (F.min, mins)) for new, c in all_.items()))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
-    bases = sizes.select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), *(F.coalesce(F.sum(f"__{new}").over(before), F.lit(0)).alias(f"__base_{new}") for new in sums))
+    bases = sizes.select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), *(F.coalesce(F.sum(f"__{new}").over(before), F.lit(0)).alias(f"__base_{new}") for new in sums), *(F.min(f"__{new}").over(before).alias(f"__base_{new}") for new in mins))
     inner = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     out = ordered.join(F.broadcast(bases), part)  # one row for each partition
-    return out.select(*df.columns, (F.col("__base") + F.col(place)).alias(name), *((F.col(f"__base_{new}") + F.coalesce(F.sum(c).over(inner), F.lit(0))).alias(new) for new, c in sums.items()))
+    summed = [(F.col(f"__base_{new}") + F.coalesce(F.sum(c).over(inner), F.lit(0))).alias(new) for new, c in sums.items()]
+    return out.select(*df.columns, (F.col("__base") + F.col(place)).alias(name), *summed, *(F.least(f"__base_{new}", F.min(c).over(inner)).alias(new) for new, c in mins.items()))
