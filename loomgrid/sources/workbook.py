@@ -15,7 +15,6 @@ folder; the driver strings these files together.
 from __future__ import annotations
 
 import fnmatch
-import io
 import re
 import uuid
 import zipfile
@@ -131,14 +130,17 @@ class WorkbookReader(DataSourceReader):
 
     def _open(self, path: str) -> zipfile.ZipFile:
         fs, _ = store(self.path)
-        return zipfile.ZipFile(io.BytesIO(fs.open_input_stream(path).read()))
+        return zipfile.ZipFile(fs.open_input_file(path))  # reads its directory, then the parts that are asked for
 
     def partitions(self) -> list[InputPartition]:
         fs, path = store(self.path)
         base, pattern = path.rsplit("/", 1) if re.search(r"[*?\[]", path) else (path, "*.xlsx")
         info = fs.get_file_info(base)
         files = [info] if info.type == pafs.FileType.File else [f for f in fs.get_file_info(pafs.FileSelector(base)) if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, pattern)]
-        found = [Sheet(f.path, name, part) for f in sorted(files, key=lambda f: f.path) for name, part in sheet_parts(self._open(f.path)) if self.sheet in (None, name)]
+        found = []
+        for f in sorted(files, key=lambda f: f.path):
+            with self._open(f.path) as book:
+                found += [Sheet(f.path, name, part) for name, part in sheet_parts(book) if self.sheet in (None, name)]
         return found or [Sheet("", "", "")]
 
     def read(self, partition: Sheet):
