@@ -257,9 +257,9 @@ class ArchiveReader(DataSourceReader):
             first = group[0].offset
             last = members[to].offset if to < len(members) else group[-1].offset + 30 + 65536 + group[-1].packed
             try:
-                chunk = file.read_at(min(last, partition.size) - first, first)
+                chunk = memoryview(file.read_at(min(last, partition.size) - first, first))
             except OSError:
-                chunk = b""
+                chunk = memoryview(b"")
             media = [self._member(fs, where, m, chunk[m.offset - first :]) for m in group]
             yield pa.RecordBatch.from_arrays(
                 [
