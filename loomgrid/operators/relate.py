@@ -99,10 +99,10 @@ def with_group_ids(df: DataFrame, name: str) -> DataFrame:
     return df.join(groups.withColumn("group_id", F.col("group_id") + 1), name)
 
 
-def lettered(df: DataFrame, group: str, order: str, new: str) -> DataFrame:
-    """``new``: the group with the letters of the row's place in it (a, b ... z, aa). A group's rows are sorted in one task."""
+def lettered(df: DataFrame, group: str, order: str, new: str, most: int | None = None) -> DataFrame:
+    """``new``: the group with the letters of the row's place in it (a, b ... z, aa), of at most ``most`` where that is given. A group's rows are sorted in one task."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("__place", place).withColumn(new, F.concat(F.col(group), ordinal_letters(F.col("__place")))).drop("__place")
+    return df.withColumn("__place", place).withColumn(new, F.concat(F.col(group), ordinal_letters(F.col("__place"), most=most))).drop("__place")
 
 
 def labelled_rows(df: DataFrame, order: list[str], prefix: str, new: str = "label") -> DataFrame:

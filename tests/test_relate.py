@@ -38,3 +38,14 @@ def test_summaries(spark):
 def test_running_mean_of_repeated_pairs(spark):
     df = spark.createDataFrame([(1, 2, 10.0, 1), (2, 1, 20.0, 2), (1, 2, 40.0, 3), (3, 3, 1.0, 1), (4, 3, 7.0, 1), (4, 3, None, 2)], "a int, b int, v double, t int").repartition(3)
     assert rows(pairs.running_mean(df, "a", "b", "v", "t")) == [(1, 2, 27.5, 3), (3, 4, 7.0, 1)]
+
+
+def test_letters_of_bounded_names_run_on(spark):
+    df = spark.range(1, 130_000).select(F.lit("g").alias("g"), F.col("id").alias("k"))
+    got = {r.k: r.name for r in relate.lettered(df, "g", "k", "name", most=3).where("k < 30 OR k % 53 = 0 OR k IN (702, 703, 18278, 18279, 107511)").collect()}
+
+    def plain(n):  # the rule of the SQL of family_ids
+        rest = chr(97 + (n - 1) % 26)
+        return "g" + (rest if n <= 26 else chr(96 + (n - 1) // 26) + rest if n <= 702 else chr(97 + (n - 703) // 676) + chr(97 + (n - 703) // 26 % 26) + rest)
+
+    assert got == {n: plain(n) for n in got} and len(got) > 2000 and got[18278] == "gzzz" and got[18279] == "g{aa"
