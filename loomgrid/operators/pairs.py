@@ -126,8 +126,9 @@ def largest_pairs(pairs: DataFrame, value: str) -> DataFrame:
     return pairs.join(F.broadcast(top), F.col(value) == F.col("top")).drop("top")  # with one row
 
 
-def class_counts(values: DataFrame, value: str, classes: list[tuple[str, Column]]) -> DataFrame:
-    """(class, n, percent) for named, maybe overlapping conditions, in one pass."""
-    counts = values.agg(F.count(value).alias("total"), *(F.count_if(c).alias(f"c{i}") for i, (_, c) in enumerate(classes)))
+def class_counts(values: DataFrame, value: str, classes: list[tuple[str, Column]], count: str | None = None) -> DataFrame:
+    """(class, n, percent) for named, maybe overlapping conditions, in one pass. ``count``: how many equal values a row stands for."""
+    number = lambda c: F.count_if(c) if count is None else F.coalesce(F.sum(F.when(c, F.col(count))), F.lit(0)).cast("long")
+    counts = values.agg(number(F.col(value).isNotNull()).alias("total"), *(number(c).alias(f"c{i}") for i, (_, c) in enumerate(classes)))
     rows = F.explode(F.array(*(F.struct(F.lit(name).alias("class"), F.col(f"c{i}").alias("n")) for i, (name, _) in enumerate(classes))))
     return counts.select("total", rows.alias("r")).select("r.*", F.round(F.try_divide(F.col("r.n") * 100.0, F.col("total")), 6).alias("percent"))

@@ -6,7 +6,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact
@@ -31,21 +31,27 @@ def describe(df: DataFrame, value: str) -> DataFrame:
     return one.select("n", "min", "q1", "median", "mean", "q3", "max", "sd").withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def gaps(df: DataFrame, value: str, windows: list[tuple[float, float]]) -> DataFrame:
-    """(lo, hi, observed, expected, ratio): values in [lo, hi] against an even spread over the range, in one pass."""
-    one = df.agg(F.count(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"), *(F.count_if(F.col(value).between(a, b)).alias(f"w{i}") for i, (a, b) in enumerate(windows)))
+def _number(value: str, count: str | None, when: Column | None = None) -> Column:
+    """How many values there are (and fulfil ``when``): rows, or the sum of ``count`` where a row stands for so many equal values."""
+    known = F.col(value).isNotNull() if when is None else when
+    return F.count_if(known) if count is None else F.coalesce(F.sum(F.when(known, F.col(count))), F.lit(0)).cast("long")
+
+
+def gaps(df: DataFrame, value: str, windows: list[tuple[float, float]], count: str | None = None) -> DataFrame:
+    """(lo, hi, observed, expected, ratio): values in [lo, hi] against an even spread over the range, in one pass. ``count``: how many equal values a row stands for."""
+    one = df.agg(_number(value, count).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"), *(_number(value, count, F.col(value).between(a, b)).alias(f"w{i}") for i, (a, b) in enumerate(windows)))
     rows = F.explode(F.array(*(F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi"), F.col(f"w{i}").alias("observed")) for i, (a, b) in enumerate(windows))))
     out = one.select("total", "least", "most", rows.alias("r")).select("r.*", "total", "least", "most")
     expected = F.bround(F.col("total") * (F.col("hi") - F.col("lo")) / (F.col("most") - F.col("least")))
     return out.withColumn("expected", expected).withColumn("ratio", F.round(F.col("observed") / F.greatest("expected", F.lit(1.0)), 6)).select("lo", "hi", "observed", "expected", "ratio", "total")
 
 
-def gap_chi_square(df: DataFrame, value: str, lo: float, hi: float) -> DataFrame:
-    """(statistic, p) of the gap window against an even spread; null unless both expected counts exceed 5."""
+def gap_chi_square(df: DataFrame, value: str, lo: float, hi: float, count: str | None = None) -> DataFrame:
+    """(statistic, p) of the gap window against an even spread; null unless both expected counts exceed 5. ``count``: how many equal values a row stands for."""
     from ..functions.exact import chi_square_p
 
     p_of = F.pandas_udf(lambda s: s.map(lambda x: None if x is None or x != x else chi_square_p(x)), "double")
-    one = df.agg(F.count(value).alias("n"), F.count_if(F.col(value).between(lo, hi)).alias("inside"), ((F.lit(hi) - lo) / (F.max(value) - F.min(value))).alias("share"))
+    one = df.agg(_number(value, count).alias("n"), _number(value, count, F.col(value).between(lo, hi)).alias("inside"), ((F.lit(hi) - lo) / (F.max(value) - F.min(value))).alias("share"))
     e_in, e_out = F.col("n") * F.col("share"), F.col("n") * (1 - F.col("share"))
     stat = F.when((e_in > 5) & (e_out > 5), F.pow(F.col("inside") - e_in, 2) / e_in + F.pow(F.col("n") - F.col("inside") - e_out, 2) / e_out)
     return one.select("n", "inside", stat.alias("statistic")).withColumn("p", p_of("statistic"))
@@ -58,21 +64,30 @@ def bandwidth(df: DataFrame, value: str) -> float:
     return 0.9 * spread * d["n"] ** -0.2
 
 
-def density(df: DataFrame, value: str, low: float, high: float, n: int = 512, width: float | None = None) -> DataFrame:
-    """(i, x, y): Gaussian kernel density on an even grid. Each partition sums its values on the grid; the sums are added."""
+def _counted(df: DataFrame, value: str, count: str | None) -> DataFrame:
+    """(x, n): values and how many each row stands for, without nulls and NaN."""
+    n = F.lit(1) if count is None else F.col(count)
+    rows = df.select(F.col(value).cast("double").alias("x"), n.cast("long").alias("n"))
+    return rows.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.col("n") > 0))
+
+
+def density(df: DataFrame, value: str, low: float, high: float, n: int = 512, width: float | None = None, count: str | None = None) -> DataFrame:
+    """(i, x, y): Gaussian kernel density on an even grid. Each partition sums its values on the grid; the sums are added. ``count``: how many equal values a row stands for; ``width`` must be given then."""
+    if count and not width:
+        raise ValueError("the rule for the width takes values one by one")
     width = width or bandwidth(df, value)
     grid = np.linspace(low, high, n)
 
     def run(frames):
-        total, count = np.zeros(n), 0
+        total, number = np.zeros(n), 0
         for frame in frames:
-            x = frame[value].dropna().to_numpy(float)
+            x, times = frame["x"].to_numpy(float), frame["n"].to_numpy(np.int64)
             for a in range(0, len(x), 2048):
-                total += np.exp(-0.5 * ((grid[:, None] - x[None, a : a + 2048]) / width) ** 2).sum(axis=1)
-            count += len(x)
-        yield pd.DataFrame({"i": np.arange(n), "s": total, "n": count})
+                total += np.exp(-0.5 * ((grid[:, None] - x[None, a : a + 2048]) / width) ** 2) @ times[a : a + 2048].astype(float)
+            number += int(times.sum())
+        yield pd.DataFrame({"i": np.arange(n), "s": total, "n": number})
 
-    sums = df.select(F.col(value).cast("double").alias(value)).mapInPandas(run, "i int, s double, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    sums = _counted(df, value, count).mapInPandas(run, "i int, s double, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     step = (high - low) / (n - 1)
     return sums.select("i", (F.lit(low) + F.col("i") * step).alias("x"), (F.col("s") / (F.col("n") * width * float(np.sqrt(2 * np.pi)))).alias("y"))
 
@@ -90,54 +105,59 @@ def density_minimum(curve: DataFrame, low: float, high: float) -> DataFrame:
     return curve.agg(F.min_by("x", F.when(F.col("x").between(low, high), F.col("y"))).alias("x"), F.min(F.when(F.col("x").between(low, high), F.col("y"))).alias("y"), F.max("y").alias("top")).select("x", "y", (100 * F.col("y") / F.col("top")).alias("percent_of_max"))
 
 
-def _blocks(df: DataFrame, value: str, size: int) -> DataFrame:
-    """(block, values): the values in arrays of at most ``size``, written; block numbers are unique."""
+def _blocks(df: DataFrame, value: str, size: int, count: str | None) -> DataFrame:
+    """(block, values, times): the values in arrays of at most ``size``, with how often each is there, written; block numbers are unique."""
 
     def run(frames):
-        held = np.zeros(0)
+        held, times = np.zeros(0), np.zeros(0, np.int64)
         for frame in frames:
-            held = np.concatenate([held, frame["x"].to_numpy(float)])
+            held, times = np.concatenate([held, frame["x"].to_numpy(float)]), np.concatenate([times, frame["n"].to_numpy(np.int64)])
             while len(held) >= size:
-                yield pd.DataFrame({"values": [held[:size]]})
-                held = held[size:]
+                yield pd.DataFrame({"values": [held[:size]], "times": [times[:size]]})
+                held, times = held[size:], times[size:]
         if len(held):
-            yield pd.DataFrame({"values": [held]})
+            yield pd.DataFrame({"values": [held], "times": [times]})
 
-    rows = df.select(F.col(value).cast("double").alias("x")).dropna().mapInPandas(run, "values array<double>")
-    return stored(rows.select(F.monotonically_increasing_id().alias("block"), "values"), "blocks")
+    rows = _counted(df, value, count).mapInPandas(run, "values array<double>, times array<long>")
+    return stored(rows.select(F.monotonically_increasing_id().alias("block"), "values", "times"), "blocks")
 
 
-def bootstrap_peaks(df: DataFrame, value: str, found: list[float], width: float, times: int = 1000, tolerance: float = 0.02, grid: int = 512, seed: int = 1, size: int = 1 << 15) -> DataFrame:
-    """(peak, rate): share of resamples with a density peak within the tolerance.
+def bootstrap_peaks(df: DataFrame, value: str, found: list[float], width: float, times: int = 1000, tolerance: float = 0.02, grid: int = 512, seed: int = 1, size: int = 1 << 15, count: str | None = None) -> DataFrame:
+    """(peak, rate): share of resamples with a density peak within the tolerance. ``count``: how many equal values a row stands for.
 
     Resampling has two levels: how many of its draws a replicate takes from each
-    block of ``size`` values is multinomial and follows from the replicate's seed
-    and the sizes of the blocks, which is all that the driver learns; the draws
-    within a block follow from (seed, replicate, block). A block gives the sum of
-    its kernels on the grid for every replicate, as a product of matrices; these
-    sums are added. So values stay where they are, and a replicate is a resample
-    of all of them.
+    block of ``size`` rows is multinomial and follows from the replicate's seed
+    and the numbers of values in the blocks, which is all that the driver learns;
+    the draws within a block follow from (seed, replicate, block). A block gives
+    the sum of its kernels on the grid for every replicate, as a product of
+    matrices; these sums are added. So values stay where they are, and a
+    replicate is a resample of all of them.
     """
-    blocks = _blocks(df, value, size)
-    spread = blocks.select("block", F.size("values").alias("n"), F.array_min("values").alias("low"), F.array_max("values").alias("high")).orderBy("block").toPandas()  # a row for each block
+    blocks = _blocks(df, value, size, count)
+    spread = blocks.select("block", F.aggregate("times", F.lit(0).cast("long"), lambda a, b: a + b).alias("n"), F.array_min("values").alias("low"), F.array_max("values").alias("high")).orderBy("block").toPandas()  # a row for each block
     if not len(spread):
         return df.sparkSession.createDataFrame([(p, None) for p in found], "peak double, rate double")
     sizes, place = spread["n"].to_numpy(np.int64), {b: i for i, b in enumerate(spread["block"])}
     points = np.linspace(spread["low"].min() - 3 * width, spread["high"].max() + 3 * width, grid)
     at_once = 128
 
+    def drawn(rng, n: int, often: np.ndarray, plain: bool) -> np.ndarray:
+        """How often each value of a block is taken in n draws."""
+        return np.bincount(rng.integers(0, len(often), n), minlength=len(often)) if plain else rng.multinomial(n, often / often.sum())
+
     def sums(frames):
         share = sizes / sizes.sum()
         draws = np.array([np.random.default_rng([seed, b]).multinomial(sizes.sum(), share) for b in range(times)])
         for frame in frames:
-            for block, x in zip(frame["block"], frame["values"], strict=True):
+            for block, x, often in zip(frame["block"], frame["values"], frame["times"], strict=True):
                 i, m = place[block], len(x)
-                x = np.asarray(x, float)
+                x, often = np.asarray(x, float), np.asarray(often, np.int64)
+                plain = bool((often == 1).all())
                 for first in range(0, times, at_once):
                     which = range(first, min(first + at_once, times))
                     taken = np.empty((m, len(which)))
                     for k, b in enumerate(which):
-                        taken[:, k] = np.bincount(np.random.default_rng([seed, b, i]).integers(0, m, draws[b, i]), minlength=m)
+                        taken[:, k] = drawn(np.random.default_rng([seed, b, i]), draws[b, i], often, plain)
                     total = np.zeros((grid, len(which)))
                     for a in range(0, m, 2048):
                         total += np.exp(-0.5 * ((points[:, None] - x[None, a : a + 2048]) / width) ** 2) @ taken[a : a + 2048]
@@ -152,27 +172,34 @@ def bootstrap_peaks(df: DataFrame, value: str, found: list[float], width: float,
     return spread_out.mapInPandas(sums, "b int, y array<double>").groupBy("b").applyInPandas(hits, "peak double, hit double").groupBy("peak").agg(F.avg("hit").alias("rate"))
 
 
-def dip_test(df: DataFrame, value: str, draws: int = 200, seed: int = 1, size: int = 1 << 20) -> DataFrame:
-    """(n, dip, p): Hartigan's dip of a column, and the share of uniform samples of that size with a dip as large.
+def dip_test(df: DataFrame, value: str, draws: int = 200, seed: int = 1, size: int = 1 << 20, count: str | None = None) -> DataFrame:
+    """(n, dip, p): Hartigan's dip of a column, and the share of uniform samples of that size with a dip as large. ``count``: how many equal values a row stands for.
 
-    Values are numbered in order by range. Any part of them gives the corners of
+    Equal values are counted first; of their ranks only the first and the last can be
+    a corner or lie farthest from a hull, so these two stand for all. Values are
+    numbered in order by range. Any part of them gives the corners of
     its own convex minorant and concave majorant; the hull of all corners is that
     of all values, and corners are all that the driver sees. Uniform samples are
-    made in sorted blocks of ``size`` from their seeds, one task for each draw.
+    drawn from their seeds, one task for each draw: the numbers of their values in
+    cells bound the dip, and a sample that the bounds leave open is made whole, in
+    sorted blocks of ``size``.
     """
     spark = df.sparkSession
-    ranked = stored(numbered(df.select(F.col(value).cast("double").alias("x")).dropna(), [F.col("x")], "rank"), "ranked")
-    n, least, most = ranked.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    values = _counted(df, value, count).groupBy("x").agg(F.sum("n").alias("n"))
+    placed = numbered(values, [F.col("x")], "at", sums={"before": "n"})
+    ranked = stored(placed.select("x", F.explode(F.array_distinct(F.array("before", F.col("before") + F.col("n") - 1))).alias("rank")), "ranked")
+    last, least, most = ranked.agg(F.max("rank"), F.min("x"), F.max("x")).first()
+    n = 0 if last is None else last + 1
     if n < 2 or least == most:
-        own = exact.dip(np.full(n, 0.0))
+        own = 1 / (2 * n) if n else float("nan")
     else:
         own = exact.dip_of_parts(n, lambda job: _over_parts(ranked, job))
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame({"dip": [exact.uniform_dip(n, [seed, int(b)], size) for b in frame["id"]]})
+            yield pd.DataFrame({"large": [float(exact.uniform_dip_reaches(own, n, [seed, int(b)], size)) for b in frame["id"]]})
 
-    at_least = spark.range(0, draws, 1, max(1, min(draws, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, "dip double").agg(F.avg(F.when(F.col("dip") >= own, 1.0).otherwise(0.0)).alias("p"))
+    at_least = spark.range(0, draws, 1, max(1, min(draws, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, "large double").agg(F.avg("large").alias("p"))
     return at_least.select(F.lit(int(n)).cast("long").alias("n"), F.lit(float(own)).alias("dip"), "p")
 
 

@@ -79,3 +79,29 @@ def test_quantiles_equal_the_sorted_values(spark, monkeypatch):
     assert summary.describe(df, "x").first() == want and summary.describe(df.where("false"), "x").first().n == 0
     again = {r.g: tuple(r)[1:] for r in summary.accumulation(df.where("x IS NOT NULL"), "g", "x").collect()}
     assert set(again) == set(by_step) and all(again[g] == pytest.approx(by_step[g]) for g in again)
+
+
+def test_rows_that_stand_for_many_equal_values(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(np.r_[rng.normal(0, 0.3, 3000), rng.normal(2, 0.3, 2000)], 1)
+    each, number = np.unique(x, return_counts=True)
+    many = spark.createDataFrame([(float(v), 1) for v in x], "x double, n long").repartition(3)
+    few = spark.createDataFrame([(float(v), int(k)) for v, k in zip(each, number, strict=True)], "x double, n long").repartition(3)
+    assert summary.gaps(few, "x", [(0.0, 0.5), (0.9, 1.1)], "n").collect() == summary.gaps(many, "x", [(0.0, 0.5), (0.9, 1.1)]).collect()
+    assert summary.gap_chi_square(few, "x", 0.9, 1.1, "n").collect() == summary.gap_chi_square(many, "x", 0.9, 1.1).collect()
+    a, b = ([r.y for r in summary.density(d, "x", -1, 3, 40, 0.2, c).orderBy("i").collect()] for d, c in ((few, "n"), (many, None)))
+    assert a == pytest.approx(b, rel=1e-12)
+    few_dip, many_dip = summary.dip_test(few, "x", draws=10, count="n").first(), summary.dip_test(many, "x", draws=10).first()
+    assert few_dip == many_dip and few_dip.n == 5000 and few_dip.dip == pytest.approx(exact.dip(x), abs=1e-12)
+    a, b = ({r.peak: r.rate for r in summary.bootstrap_peaks(d, "x", [0.0, 2.0], 0.05, times=200, tolerance=0.05, grid=200, size=9, count=c).collect()} for d, c in ((few, "n"), (many, None)))
+    assert all(abs(a[p] - b[p]) < 0.2 for p in a)
+
+
+def test_bounds_of_uniform_dips_decide_as_whole_samples(monkeypatch):
+    monkeypatch.setattr(exact, "CELLS", 256)
+    monkeypatch.setattr(exact, "CELL_VALUES", 4)
+    n = 4000
+    for b in range(12):
+        whole = exact._uniform_dip(n, [3, b], np.random.default_rng([3, b]).multinomial(n, np.full(256, 1 / 256)))
+        for own in (0.3 * whole, 0.999 * whole, whole, 1.001 * whole, 4 * whole):
+            assert exact.uniform_dip_reaches(own, n, [3, b]) == (whole >= own)
