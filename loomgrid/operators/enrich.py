@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +26,9 @@ def pair_counts(presence: DataFrame, labelled: DataFrame, entity: str, feature:
     ``labelled``: (lo, hi, disc boolean). Suffix d: discriminating pairs, k: the others.
     """
     degree = P.endpoints(labelled, "disc").groupBy("entity").agg(F.count_if("disc").alias("deg_d"), F.count_if(~F.col("disc")).alias("deg_k"))
-    own = presence.select(F.col(entity).alias("entity"), F.col(feature).alias("feature"))
+    own = stored(presence.select(F.col(entity).alias("entity"), F.col(feature).alias("feature")), "presence")
     ends = own.join(degree, "entity").groupBy("feature").agg(F.sum("deg_d").alias("d"), F.sum("deg_k").alias("k"))
-    lo = own.select("feature", F.col("entity").alias("lo"))
-    hi = own.select("feature", F.col("entity").alias("hi"))
-    both = lo.join(hi, "feature").where("lo < hi").join(labelled, ["lo", "hi"]).groupBy("feature").agg(F.count_if("disc").alias("both_d"), F.count_if(~F.col("disc")).alias("both_k"))
+    both = _labels_in_lists(P.common_lists(own, "entity", "feature"), labelled, -(-own.count() // BLOCK_LISTS)).groupBy("feature").agg(F.sum("d").alias("both_d"), F.sum("k").alias("both_k"))
     totals = labelled.agg(F.count_if("disc").alias("n_d"), F.count_if(~F.col("disc")).alias("n_k"))
     out = ends.join(both, "feature", "left").fillna(0, ["both_d", "both_k"]).join(F.broadcast(totals))  # with one row
     return out.select(
@@ -38,6 +38,49 @@ def pair_counts(presence: DataFrame, labelled: DataFrame, entity: str, feature:
     )
 
 
+#: About so many lists of partners, with the labels of their pairs, are looked up in one task.
+BLOCK_LISTS = 500_000
+
+
+def _labels_in_lists(lists: DataFrame, labelled: DataFrame, n: int) -> DataFrame:
+    """(feature, d, k): of each list (lo, feature, his) how many of its pairs are labelled so.
+
+    Lists and labels are dealt into ``n`` blocks by ``lo`` and meet there, so no row for a pair and a feature is shuffled.
+    """
+    block = F.pmod(F.xxhash64("lo"), F.lit(max(1, n))).cast("int").alias("block")
+
+    def found(a: pa.Table, b: pa.Table) -> pa.Table:
+        his, sizes = a["his"].combine_chunks(), pc.list_value_length(a["his"]).to_numpy()
+        listed, lo, hi = (x.to_numpy(zero_copy_only=False) for x in (his.flatten(), b["lo"].combine_chunks(), b["hi"].combine_chunks()))
+        if not len(lo) or not len(listed):
+            return pa.table({"feature": a["feature"].slice(0, 0), "d": pa.array([], pa.int64()), "k": pa.array([], pa.int64())})
+        firsts, first = np.unique(lo, return_inverse=True)
+        seconds, second = np.unique(hi, return_inverse=True)
+        key = first.astype(np.int64) * len(seconds) + second
+        order = np.argsort(key)
+        key, disc = key[order], b["disc"].to_numpy()[order].astype(bool)
+        own = a["lo"].to_numpy()
+        row = np.minimum(np.searchsorted(firsts, own), len(firsts) - 1)
+        counts = np.zeros((2, len(sizes)), np.int64)
+        starts = np.r_[0, np.cumsum(sizes)]
+        for low in range(0, len(sizes), 1 << 16):  # lists at a time
+            high = min(low + (1 << 16), len(sizes))
+            of = np.repeat(np.arange(low, high), sizes[low:high])
+            part = listed[starts[low] : starts[high]]
+            column = np.minimum(np.searchsorted(seconds, part), len(seconds) - 1)
+            asked = row[of].astype(np.int64) * len(seconds) + column
+            place = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+            known = (key[place] == asked) & (seconds[column] == part) & (firsts[row[of]] == own[of])
+            for side, label in enumerate((disc, ~disc)):
+                counts[side, low:high] += np.bincount(of[known & label[place]] - low, minlength=high - low)
+        some = np.flatnonzero(counts.sum(axis=0))
+        return pa.table({"feature": a["feature"].take(pa.array(some)), "d": counts[0, some], "k": counts[1, some]})
+
+    left, right = lists.select(block, "lo", "feature", "his"), labelled.select(block, "lo", "hi", "disc")
+    schema = T.StructType([T.StructField("feature", lists.schema["feature"].dataType), T.StructField("d", T.LongType()), T.StructField("k", T.LongType())])
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(found, schema)
+
+
 def tables(counts: DataFrame, kind: str) -> DataFrame:
     """2x2 tables (feature, a, b, c, d): ``shared`` counts pairs with the feature at both ends, ``mismatch`` at one; degenerate ones are left out."""
     if kind == "shared":

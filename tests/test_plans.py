@@ -90,3 +90,25 @@ def test_labels_and_variant_pairs_take_all_parts(spark, tmp_path):
     assert {(r.vertex, r.representative) for r in found["merge_components"](spark, sf).collect()} == {("B#1", "B#1"), ("B#2", "B#1"), ("B#3", "B#1")}
     assert [(r.representative, r.n_edges) for r in found["merge_provenance"](spark, sf).collect()] == [("B#1", 3)]
     assert {(r.k_1, r.k_2) for r in found["sequence_alignment"](spark, sf).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_counts_of_pairs_shuffle_no_row_for_a_pair_and_a_feature(spark):
+    """Partners travel in lists and are opened where they are counted: one exchange by feature, one by entity."""
+    import random
+
+    from loomgrid.operators import enrich, pairs
+
+    rng = random.Random(2)
+    has = {e: {f for f in range(30) if rng.random() < 0.3} for e in range(25)}
+    presence = spark.createDataFrame([(e, f"f{f}") for e, fs in has.items() for f in fs], "e long, f string")
+    shared = pairs.shared_counts(presence, "e", "f")
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+    want = {(a, b): len(has[a] & has[b]) for a in has for b in has if a < b and has[a] & has[b]}
+    assert {(r.lo, r.hi): r.both for r in shared.collect()} == want
+    labels = {p: rng.random() < 0.4 for p in want if rng.random() < 0.6}
+    labelled = spark.createDataFrame([(a, b, d) for (a, b), d in labels.items()], "lo long, hi long, disc boolean")
+    got = {r.feature: (r.both_d, r.both_k) for r in enrich.pair_counts(presence, labelled, "e", "f").collect()}
+    for f in range(30):
+        both = [d for (a, b), d in labels.items() if f in has[a] and f in has[b]]
+        assert got[f"f{f}"] == (sum(both), len(both) - sum(both))
