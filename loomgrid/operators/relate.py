@@ -74,9 +74,15 @@ def extremes_by_class(df: DataFrame, value: str, classes: list[tuple[str, Column
     return one.select(F.inline(F.array(*(F.struct(F.lit(name).alias("class"), F.col(f"n{i}").alias("n"), F.col(f"l{i}").alias("least"), F.col(f"m{i}").alias("most")) for i, (name, _) in enumerate(classes)))))
 
 
-def comparison_summary(pairs: DataFrame, keys: list[str], value: str, *more: Column) -> DataFrame:
-    """(keys, n, mean, sd, least, most, *more) of compared pairs; sd is that of the whole population."""
+def comparison_summary(pairs: DataFrame, keys: list[str], value: str, *more: Column, count: str | None = None) -> DataFrame:
+    """(keys, n, mean, sd, least, most, *more) of compared pairs; sd is that of the whole population. ``count``: how many equal pairs a row stands for; such rows are few for each of ``keys``."""
     v = F.col(value)
+    if count:
+        n, all_ = F.col(count), Window.partitionBy(*keys)
+        known = F.sum(F.when(v.isNotNull(), n)).over(all_)
+        rows = pairs.withColumns({"__known": known, "__mean": F.sum(v * n).over(all_) / known})
+        spread = F.sqrt(F.sum(n * (v - F.col("__mean")) ** 2) / F.first("__known"))
+        return rows.groupBy(*keys).agg(F.sum(n).alias("n"), F.first("__mean").alias("mean"), spread.alias("sd"), F.min(v).alias("least"), F.max(v).alias("most"), *more)
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("least"), F.max(v).alias("most"), *more)
 
 
