@@ -102,11 +102,9 @@ def multi_variant_genes(spark, sf_dir):
 s AS (SELECT grp, (SELECT count(*) FROM g x WHERE x.grp = p.grp AND x.p_size <= 25) AS n_ref_copies, (SELECT count(*) FROM g x WHERE x.grp = p.grp AND x.p_size > 25) AS n_own_copies, min(identity) AS least, max(identity) AS most, count(*) AS n_pairs FROM p GROUP BY grp)
 SELECT s.grp, w.ref_k, w.own_k, round(least, 6) AS identity, round(most - least, 6) AS identity_spread, n_pairs, n_ref_copies, n_own_copies FROM s JOIN (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY grp ORDER BY identity, ref_k, own_k) = 1) w ON w.grp = s.grp WHERE n_ref_copies > 1 OR n_own_copies > 1""")
 def copy_products(spark, sf_dir):
-    """All copies of one genome with all of another, task by task, and the most divergent pair."""
+    """The most divergent pair of all copies of one genome with all of another, task by task."""
     g = _genes(spark, sf_dir).select("grp", "k", "p_size", F.col("p_retailprice").alias("v"))
-    pairs = V.copy_pairs(g.where("p_size <= 25").drop("p_size"), g.where("p_size > 25").drop("p_size"), ["grp"])
-    pairs = V.multi_copy(pairs).withColumns({"identity": 100 - F.abs(F.col("ref_v") - F.col("own_v")) / 10, "copy": F.struct("ref_k", "own_k")})
-    worst = V.most_divergent(pairs, ["grp"])
+    worst = V.extreme_copies(g.where("p_size <= 25"), g.where("p_size > 25"), ["grp"], "k", "v", lambda a, b: 100 - F.abs(a - b) / 10)
     return worst.select("grp", "ref_k", "own_k", F.round("identity", 6).alias("identity"), F.round("identity_spread", 6).alias("identity_spread"), "n_pairs", "n_ref_copies", "n_own_copies")
 
 
