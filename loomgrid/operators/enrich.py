@@ -128,7 +128,7 @@ def partner_summary(labelled: DataFrame) -> DataFrame:
 def partner_lists(labelled: DataFrame) -> DataFrame:
     """The partner summary with both lists of partners, comma-joined in order of name."""
     ends = P.endpoints(labelled, "disc")
-    names = lambda when: F.array_join(F.array_sort(F.collect_list(F.when(when, F.col("partner").cast("string")))), ", ")
+    names = lambda when: F.array_join(F.array_sort(F.collect_list(F.when(when, F.col("partner"))).cast("array<string>")), ", ")
     return ends.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("disc")).alias("n_merge"), F.count_if("disc").alias("n_discriminate"), names(~F.col("disc")).alias("merge_partners"), names(F.col("disc")).alias("disc_partners"))
 
 

@@ -58,12 +58,20 @@ def common_lists(presence: DataFrame, entity: str, feature: str) -> DataFrame:
     return each.where(F.col("at") < F.size("all") - 1).select("lo", "feature", F.slice("all", F.col("at") + 2, F.size("all")).alias("his"))
 
 
+#: About so many partners are counted in one task.
+PARTNERS_IN_TASK = 4_000_000
+
+
 def shared_counts(presence: DataFrame, entity: str, feature: str) -> DataFrame:
     """(lo, hi, both): entities that share a feature, with the number of those. Rows of ``presence`` are distinct.
 
     Lists of partners are dealt by ``lo`` and opened only there, where they are counted, so that no row for a pair and a feature is shuffled.
+    Tasks are as many as the partners need, so that a task's pairs are counted in memory.
     """
-    lists = common_lists(presence, entity, feature).select("lo", "his").repartition("lo")
+    k = F.col("k")
+    partners = presence.groupBy(F.col(feature).alias("feature")).agg(F.count(entity).alias("k")).where("feature IS NOT NULL").agg(F.sum(k * (k - 1) / 2)).first()[0] or 0
+    tasks = max(int(presence.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(partners) // PARTNERS_IN_TASK))
+    lists = common_lists(presence, entity, feature).select("lo", "his").repartition(tasks, "lo")
     return lists.select("lo", F.explode("his").alias("hi")).groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("both"))
 
 

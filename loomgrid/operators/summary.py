@@ -18,8 +18,16 @@ from .stored import numbered, stored
 GATHERED = 1_000_000
 
 
-def describe(df: DataFrame, value: str) -> DataFrame:
-    """n, min, q1, median, mean, q3, max, sd, iqr; quantiles are exact with linear interpolation."""
+def describe(df: DataFrame, value: str, count: str | None = None) -> DataFrame:
+    """n, min, q1, median, mean, q3, max, sd, iqr; quantiles are exact with linear interpolation. ``count``: how many equal values a row stands for; such rows are few."""
+    if count is not None:
+        v, n = F.col(value), F.col(count)
+        known = stored(df.where(v.isNotNull()).select(value, count), "values")
+        mean = known.agg(F.sum(n).alias("__n"), (F.sum(v * n) / F.sum(n)).alias("mean"))
+        spread = F.sqrt(F.sum(n * (v - F.col("mean")) ** 2) / F.nullif(F.sum(n) - 1, F.lit(0)))
+        parts = [F.percentile(value, F.lit(p), n).alias(name) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+        one = known.join(F.broadcast(mean)).agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.min(v).alias("min"), *parts[:2], F.first("mean").alias("mean"), parts[2], F.max(v).alias("max"), spread.alias("sd"))  # mean: one row
+        return one.withColumn("iqr", F.col("q3") - F.col("q1"))
     plain = [F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_samp(value).alias("sd")]
     shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     values = stored(df.select(value), "values")
@@ -289,3 +297,12 @@ def accumulation(df: DataFrame, step: str, value: str) -> DataFrame:
         found = quantiles(rows, value, list(shares.values()), [step]).groupBy(step).agg(*(F.max(F.when(F.col("share") == p, F.col("value"))).alias(n) for n, p in shares.items()))
         out = rows.groupBy(step).agg(*plain).join(found, step, "left")
     return out.select(step, "mean", "min", "q1", "median", "q3", "max")
+
+
+def discrete_cuts(df: DataFrame, value: str, count: str, shares: dict[str, float]) -> DataFrame:
+    """One row with, for each name, the least value up to which at least that share of the values lies. ``count``: how many equal values a row stands for; such rows are few."""
+    known = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(count).alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy(value))  # over one row for each value
+    total = F.sum("__n").over(Window.partitionBy())
+    ranked = known.withColumns({"__upto": upto, "__all": total})
+    return ranked.agg(*(F.min(F.when(F.col("__upto") >= F.col("__all") * F.lit(p), F.col(value))).alias(name) for name, p in shares.items()))
