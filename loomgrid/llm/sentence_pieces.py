@@ -42,6 +42,8 @@ SPACE_MARK = "▁"
 SAMPLES = 2
 #: Lattices of so many chunks are made at once.
 _TOGETHER = 8192
+#: So many chunks keep their lattices (some 700 bytes each), and so many bytes of text are sampled at once (some 300 bytes for each): neither changes a result.
+KEPT_CHUNKS, SLICE_BYTES = 90_000, 1 << 18
 _CHUNK = re.compile(rb" *[^ ]+| +")
 _MARK_BYTES = SPACE_MARK.encode()
 
@@ -164,7 +166,7 @@ def uniform(key: np.ndarray, sample: int, purpose: int, chunk: np.ndarray | int,
 class Lattices(ChunkTable):
     """A table of chunks that also holds the lattice of each: nodes by character, edges by node, longer pieces first."""
 
-    def __init__(self, words: Vocabulary, most: int = 180_000):
+    def __init__(self, words: Vocabulary, most: int = KEPT_CHUNKS):
         self.words = words
         super().__init__(words.encode_chunks, most)
 
@@ -427,7 +429,7 @@ def log_inclusion(logp: np.ndarray, threshold: np.ndarray) -> np.ndarray:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], table: Lattices):
-    for part in tb.slices(batches, most=1 << 20):
+    for part in tb.slices(batches, most=SLICE_BYTES):
         data, off = tb.column_bytes(part.column("text"))
         raw = data.tobytes()
         chunks = [chunks_of_text(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]

@@ -29,7 +29,8 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def release() -> None:
-    """Give freed memory back to the system: a Python worker runs tasks of many operators, one after the other."""
+    """Give freed memory and kept powers back to the system: a Python worker runs tasks of many operators, one after the other."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     if _TRIM:
         _TRIM(0)
