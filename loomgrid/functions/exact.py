@@ -6,62 +6,119 @@ import math
 
 import numpy as np
 
+#: Logarithm of the share of the greatest weight below which weights beyond a window are nothing.
+_NOTHING = -40.0
 
-_LOG_FACTORIALS = np.zeros(1)
 
+def _window(a: int, b: int, c: int, d: int, wider: int) -> tuple[int, np.ndarray, bool, bool]:
+    """(first, log weights, left end, right end): the hypergeometric law of a 2x2 table about its mode and the table itself, and whether the support ends there.
 
-def log_factorials(n: int) -> np.ndarray:
-    """log k! for k up to n at least."""
-    global _LOG_FACTORIALS
-    if len(_LOG_FACTORIALS) <= n:
-        _LOG_FACTORIALS = np.r_[0.0, np.cumsum(np.log(np.arange(1, 2 * n + 2, dtype=float)))]
-    return _LOG_FACTORIALS
-
-
-def _log_weights(a: int, b: int, c: int, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Support and log weights of the hypergeometric law of a 2x2 table with these margins."""
+    Weights come from the ratios of neighbours and are 0 at the table, so they are as exact for
+    large tables as for small ones. ``wider`` stretches the window.
+    """
     m, n, k = a + b, c + d, a + c
-    x = np.arange(max(0, k - n), min(k, m) + 1)
-    lf = log_factorials(m + n)
-    w = -(lf[x] + lf[m - x] + lf[k - x] + lf[n - k + x])
-    return x, w - w.max()
+    low, high = max(0, k - n), min(k, m)
+    mode = min(high, max(low, (m + 1) * (k + 1) // (m + n + 2)))
+    sd = math.sqrt(m * n / (m + n) * (k / (m + n)) * ((m + n - k) / max(1, m + n - 1)))
+    own = 1 / math.sqrt(1 / (a + 1) + 1 / (b + 1) + 1 / (c + 1) + 1 / (d + 1))
+    reach = (int(14 * max(sd, own)) + 30) * wider
+    first, last = max(low, min(a, mode) - reach), min(high, max(a, mode) + reach)
+    x = np.arange(first, last, dtype=float)
+    w = np.r_[0.0, np.cumsum(np.log((m - x) / (x + 1)) + np.log((k - x) / (n - k + x + 1)))]
+    return first, w - w[a - first], first == low, last == high
 
 
-def _law(w: np.ndarray, x: np.ndarray, log_odds: float) -> np.ndarray:
-    v = w + x * log_odds
-    v = np.exp(v - v.max())
-    return v / v.sum()
+def _p_two_sided(w: np.ndarray) -> float:
+    p = np.exp(w - w.max())
+    return min(1.0, float(p[w <= 1e-7].sum() / p.sum()))
 
 
-def _solve(f, low: float = -60.0, high: float = 60.0) -> float:
-    """Root of an increasing function by bisection."""
+def _root(f, start: float, low: float = -60.0, high: float = 60.0) -> float:
+    """Root of an increasing function, which gives its slope too, by Newton's steps within a bracket that every step narrows."""
+    t = min(max(start, low), high)
     for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if f(mid) < 0 else (low, mid)
-        if high - low < 1e-10:
-            break
-    return (low + high) / 2
+        value, slope = f(t)
+        low, high = (t, high) if value < 0 else (low, t)
+        step = t - value / slope if slope > 0 else math.nan
+        after = step if low < step < high else (low + high) / 2
+        if abs(after - t) < 1e-12 or high - low < 1e-11:
+            return after
+        t = after
+    return t
+
+
+def fisher_p(a: int, b: int, c: int, d: int) -> float:
+    """The two-sided p of fisher() alone."""
+    if min(a + b, c + d, a + c, b + d) <= 0:
+        return math.nan
+    wider = 1
+    while True:
+        _, w, left, right = _window(a, b, c, d, wider)
+        if (left or w[0] < _NOTHING) and (right or w[-1] < _NOTHING):
+            return _p_two_sided(w)
+        wider *= 2
 
 
 def fisher(a: int, b: int, c: int, d: int, level: float = 0.95) -> tuple[float, float, float, float]:
     """(p two-sided, conditional odds ratio, its interval) of the table ((a, b), (c, d)); NaN for an empty margin."""
     if min(a + b, c + d, a + c, b + d) <= 0:
         return (math.nan,) * 4
-    x, w = _log_weights(a, b, c, d)
-    p = _law(w, x, 0.0)
-    own = p[a - x[0]]
-    p_value = min(1.0, float(p[p <= own * (1 + 1e-7)].sum()))
-    alpha = (1 - level) / 2
-    if a == x[0]:
-        odds, low = 0.0, 0.0
-    elif a == x[-1]:
-        odds, low = math.inf, None
-    else:
-        odds, low = math.exp(_solve(lambda t: float((_law(w, x, t) * x).sum()) - a)), None
-    if low is None:
-        low = math.exp(_solve(lambda t: float(_law(w, x, t)[a - x[0] :].sum()) - alpha))
-    high = math.inf if a == x[-1] else math.exp(_solve(lambda t: alpha - float(_law(w, x, t)[: a - x[0] + 1].sum())))
-    return p_value, odds, low, high
+    wider = 1
+    while (found := _fisher_within(a, b, c, d, level, wider)) is None:
+        wider *= 2
+    return found
+
+
+def _fisher_within(a: int, b: int, c: int, d: int, level: float, wider: int) -> tuple[float, float, float, float] | None:
+    """fisher() over a window of the support; None if that leaves out weights that matter."""
+    first, w, left, right = _window(a, b, c, d, wider)
+    if not ((left or w[0] < _NOTHING) and (right or w[-1] < _NOTHING)):
+        return None
+    at = a - first
+    x = np.arange(len(w)) - float(at)
+    log_alpha = math.log((1 - level) / 2)
+    least, most = left and at == 0, right and at == len(w) - 1
+    cut = False
+
+    def law(t: float) -> np.ndarray:
+        nonlocal cut
+        v = w + x * t
+        v -= v.max()
+        cut = not ((left or v[0] < _NOTHING) and (right or v[-1] < _NOTHING))
+        v = np.exp(v)
+        return v / v.sum()
+
+    def mean(t: float) -> tuple[float, float]:
+        p = law(t)
+        e = float(p @ x)
+        return e, float(p @ (x * x)) - e * e
+
+    def tail(t: float, part: slice, sign: int) -> tuple[float, float]:
+        """Log of the probability of ``part`` against that of the interval's end, increasing in t."""
+        p = law(t)
+        some = float(p[part].sum())
+        if some <= 0:
+            return -sign * math.inf, 0.0
+        return sign * (math.log(some) - log_alpha), sign * (float(p[part] @ x[part]) / some - float(p @ x))
+
+    guess = math.log((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)))
+    off = 1.96 * math.sqrt(sum(1 / (v + 0.5) for v in (a, b, c, d)))
+    odds, low, high = 0.0, 0.0, math.inf
+    if most:
+        odds = math.inf
+    elif not least:
+        odds = math.exp(_root(mean, guess))
+        if cut:
+            return None
+    if not least:
+        low = math.exp(_root(lambda t: tail(t, slice(at, None), 1), guess - off))
+        if cut:
+            return None
+    if not most:
+        high = math.exp(_root(lambda t: tail(t, slice(0, at + 1), -1), guess + off))
+        if cut:
+            return None
+    return _p_two_sided(w), odds, low, high
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
