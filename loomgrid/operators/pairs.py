@@ -134,6 +134,12 @@ def containment(presence: DataFrame, entity: str, feature: str) -> DataFrame:
     return jaccard(presence, entity, feature).select(F.explode(F.array(way("lo", "hi"), way("hi", "lo"))).alias("x")).select("x.*")
 
 
+def reciprocal_containment(presence: DataFrame, entity: str, feature: str) -> DataFrame:
+    """The reciprocal_mean() of containment(), made with each pair: (lo, hi, value, difference). Nothing is shuffled after the pairs."""
+    ab, ba = (100 * F.col("both") / F.col(n) for n in ("n_lo", "n_hi"))
+    return jaccard(presence, entity, feature).select("lo", "hi", ((ab + ba) / 2).alias("value"), F.abs(ab - ba).alias("difference"))
+
+
 def endpoints(pairs: DataFrame, *keep: str) -> DataFrame:
     """Each pair from both ends: (entity, partner, *keep), by one explode."""
     both = F.array(F.struct(F.col("lo").alias("entity"), F.col("hi").alias("partner")), F.struct(F.col("hi").alias("entity"), F.col("lo").alias("partner")))
