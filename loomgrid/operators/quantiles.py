@@ -31,8 +31,8 @@ def _value(x: pd.Series) -> pd.Series:
     return pd.Series(_ordered(x.to_numpy(np.int64)).view(np.float64))
 
 
-def quantiles(df: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str] = (), discrete: bool = False) -> DataFrame:
-    """(groups ..., share, value): exact quantiles of a numeric column, by linear interpolation or (``discrete``) the least value with that share of values up to it.
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str] = (), discrete: bool = False, count: str | None = None) -> DataFrame:
+    """(groups ..., share, value): exact quantiles of a numeric column, by linear interpolation or (``discrete``) the least value with that share of values up to it. ``count``: how many equal values a row stands for.
 
     All groups and shares are selected together: each pass counts the next bits
     of the values that share the bits decided so far, so no more than the counts
@@ -43,18 +43,18 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], groups: Sequen
     named = {g: f"__g{i}" for i, g in enumerate(groups)} or {}
     own = [*named.values()] or ["__g"]
     columns = [F.col(g).alias(n) for g, n in named.items()] or [F.lit(0).alias("__g")]
-    keyed = stored(df.where(F.col(value).isNotNull()).select(*columns, F.col(value).cast("double").alias("x")).select(*own, _key("x").alias("key")), "keys")
+    keyed = stored(df.where(F.col(value).isNotNull()).select(*columns, F.col(value).cast("double").alias("x"), (F.lit(1) if count is None else F.col(count)).cast("long").alias("times")).select(*own, "times", _key("x").alias("key")), "keys")
     position = F.when(F.lit(discrete), F.greatest(F.lit(0.0), F.ceil(F.col("share") * F.col("n")) - 1)).otherwise((F.col("n") - 1) * F.col("share"))
-    targets = keyed.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).select("*", F.explode(F.array(*(F.lit(float(s)) for s in shares))).alias("share")).withColumn("position", position)
+    targets = keyed.groupBy(*own).agg(F.sum("times").alias("n")).select("*", F.explode(F.array(*(F.lit(float(s)) for s in shares))).alias("share")).withColumn("position", position)
     ends = F.array_distinct(F.array(F.floor("position"), F.ceil("position")))
     targets = stored(targets.select(*own, "share", "position", F.explode(ends).alias("rank")).withColumns({"left": F.col("rank"), "prefix": F.lit(0).cast("long")}), "targets")
     for shift in range(64 - DIGIT, -1, -DIGIT):
         first = shift == 64 - DIGIT
         digit = F.shiftright("key", shift)
-        rows = keyed.select(*own, digit.alias("digit"), (F.lit(0).cast("long") if first else F.shiftright("key", shift + DIGIT)).alias("prefix"))
+        rows = keyed.select(*own, "times", digit.alias("digit"), (F.lit(0).cast("long") if first else F.shiftright("key", shift + DIGIT)).alias("prefix"))
         if not first:
             rows = rows.join(targets.select(*own, "prefix").distinct(), [*own, "prefix"], "left_semi")
-        counts = rows.groupBy(*own, "prefix", "digit").agg(F.count(F.lit(1)).alias("n"))
+        counts = rows.groupBy(*own, "prefix", "digit").agg(F.sum("times").alias("n"))
         before = F.sum("n").over(Window.partitionBy(*own, "prefix").orderBy("digit")) - F.col("n")
         found = targets.join(counts.withColumn("before", before), [*own, "prefix"]).where((F.col("left") >= F.col("before")) & (F.col("left") < F.col("before") + F.col("n")))
         targets = stored(found.select(*own, "share", "position", "rank", (F.col("left") - F.col("before")).alias("left"), F.col("digit").alias("prefix")), "targets")

@@ -19,14 +19,21 @@ GATHERED = 1_000_000
 
 
 def describe(df: DataFrame, value: str, count: str | None = None) -> DataFrame:
-    """n, min, q1, median, mean, q3, max, sd, iqr; quantiles are exact with linear interpolation. ``count``: how many equal values a row stands for; such rows are few."""
+    """n, min, q1, median, mean, q3, max, sd, iqr; quantiles are exact with linear interpolation. ``count``: how many equal values a row stands for."""
     if count is not None:
         v, n = F.col(value), F.col(count)
         known = stored(df.where(v.isNotNull()).select(value, count), "values")
         mean = known.agg(F.sum(n).alias("__n"), (F.sum(v * n) / F.sum(n)).alias("mean"))
         spread = F.sqrt(F.sum(n * (v - F.col("mean")) ** 2) / F.nullif(F.sum(n) - 1, F.lit(0)))
-        parts = [F.percentile(value, F.lit(p), n).alias(name) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
-        one = known.join(F.broadcast(mean)).agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.min(v).alias("min"), *parts[:2], F.first("mean").alias("mean"), parts[2], F.max(v).alias("max"), spread.alias("sd"))  # mean: one row
+        plain = [F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.min(v).alias("min"), F.first("mean").alias("mean"), F.max(v).alias("max"), spread.alias("sd")]
+        shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+        both = known.join(F.broadcast(mean))  # mean: one row
+        if known.count() <= GATHERED:
+            one = both.agg(*plain, *(F.percentile(value, F.lit(p), n).alias(name) for name, p in shares.items()))
+        else:
+            found = quantiles(known, value, list(shares.values()), count=count).agg(*(F.max(F.when(F.col("share") == p, F.col("value"))).alias(name) for name, p in shares.items()))
+            one = both.agg(*plain).join(F.broadcast(found))  # one row each
+        one = one.select("n", "min", "q1", "median", "mean", "q3", "max", "sd")
         return one.withColumn("iqr", F.col("q3") - F.col("q1"))
     plain = [F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_samp(value).alias("sd")]
     shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -226,18 +233,20 @@ def _over_parts(ranked: DataFrame, job) -> list:
     return [pickle.loads(bytes(r.result)) for r in ranked.select("x", "rank").mapInPandas(run, "result binary").collect()]
 
 
-def loess(df: DataFrame, x: str, y: str, span: float = 0.75, degree: int = 2, points: int = 80) -> DataFrame:
-    """(i, x, y): local regression on an even grid over the range of ``x``, by tricube weights over the share ``span`` of nearest points.
+def loess(df: DataFrame, x: str, y: str, span: float = 0.75, degree: int = 2, points: int = 80, count: str | None = None) -> DataFrame:
+    """(i, x, y): local regression on an even grid over the range of ``x``, by tricube weights over the share ``span`` of nearest points. ``count``: how many equal points a row stands for.
 
-    The nearest points of a place are neighbours in the order of x, so its
-    bandwidth is the least, over all runs of that many neighbours, of the
-    distance to the farther end: numbered rows are joined with those so many
-    ranks on, and one pass takes the least for the whole grid. A second pass
-    sums the moments of the weighted regressions; only sums meet. Where the
-    nearest points all lie at the place itself, the curve is their mean.
+    Equal points are counted first. The nearest points of a place are neighbours in
+    the order of x, so its bandwidth is the least, over all runs of that many
+    neighbours, of the distance to the farther end: values of x, with the ranks they
+    take, meet those that take the rank so many on from their first, by blocks of
+    ranks, and one pass takes the least for the whole grid. A second pass sums the
+    moments of the weighted regressions; only sums meet. Where the nearest points
+    all lie at the place itself, the curve is their mean.
     """
-    rows = stored(numbered(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(), [F.col("x"), F.col("y")], "rank"), "ranked")
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    own = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.lit(1) if count is None else F.col(count)).cast("long").alias("n")).dropna()
+    rows = stored(own.groupBy("x", "y").agg(F.sum("n").alias("n")), "points")
+    n, low, high, different = rows.agg(F.sum("n"), F.min("x"), F.max("x"), F.count(F.lit(1))).first()
     if not n:
         return df.sparkSession.createDataFrame([], "i int, x double, y double")
     grid = np.linspace(low, high, points)
@@ -251,7 +260,12 @@ def loess(df: DataFrame, x: str, y: str, span: float = 0.75, degree: int = 2, po
                 least = np.minimum(least, np.maximum(grid[:, None] - left, right - grid[:, None]).min(axis=1))
         yield pd.DataFrame({"i": np.arange(points), "h": least})
 
-    ends = rows.select("x", "rank").join(rows.select((F.col("rank") - (q - 1)).alias("rank"), F.col("x").alias("right")), "rank").select("x", "right")
+    block = lambda rank: F.floor(rank / F.lit(max(1, n // different))).cast("long")
+    taken = stored(numbered(rows.groupBy("x").agg(F.sum("n").alias("n")), [F.col("x")], "number", sums={"before": "n"}), "ranks")
+    last = F.col("before") + F.col("n") - 1
+    right = taken.select(F.col("x").alias("right"), F.col("before").alias("from"), last.alias("to"), F.explode(F.sequence(block(F.col("before")), block(last))).alias("block"))
+    left = taken.select("x", (F.col("before") + (q - 1)).alias("rank")).withColumn("block", block(F.col("rank")))
+    ends = left.join(right, "block").where(F.col("rank").between(F.col("from"), F.col("to"))).select("x", "right")
     found = ends.mapInPandas(distances, "i int, h double").groupBy("i").agg(F.min("h").alias("h")).orderBy("i").toPandas()  # a row for each point of the grid
     width = np.maximum(found["h"].to_numpy(float), 0.0)
     names = [f"m{k}" for k in range(2 * degree + 1)] + [f"b{k}" for k in range(degree + 1)]
@@ -262,7 +276,7 @@ def loess(df: DataFrame, x: str, y: str, span: float = 0.75, degree: int = 2, po
             for a in range(0, len(frame), 4096):
                 d = frame["x"].to_numpy(float)[None, a : a + 4096] - grid[:, None]
                 u = np.where(width[:, None] > 0, d / np.where(width[:, None] > 0, width[:, None], 1.0), np.where(d == 0, 0.0, 2.0))
-                w, v = np.where(np.abs(u) < 1, (1 - np.abs(u) ** 3) ** 3, 0.0), frame["y"].to_numpy(float)[None, a : a + 4096]
+                w, v = np.where(np.abs(u) < 1, (1 - np.abs(u) ** 3) ** 3, 0.0) * frame["n"].to_numpy(float)[None, a : a + 4096], frame["y"].to_numpy(float)[None, a : a + 4096]
                 total += np.stack([(w * u**k).sum(axis=1) for k in range(2 * degree + 1)] + [(w * v * u**k).sum(axis=1) for k in range(degree + 1)], axis=1)
         yield pd.DataFrame({"i": np.arange(points), **{c: total[:, k] for k, c in enumerate(names)}})
 
