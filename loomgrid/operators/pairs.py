@@ -37,10 +37,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def difference_stats(means: DataFrame) -> DataFrame:
-    """(n, mean, most, median) of the differences between both directions, of pairs that have both."""
+    """(n, mean, most, median) of the differences between both directions, of pairs that have both. Equal differences are counted where they are made."""
     from .summary import describe
 
-    return describe(means, "difference").select("n", "mean", F.col("max").alias("most"), "median")
+    counts = means.where("difference IS NOT NULL").groupBy("difference").agg(F.count(F.lit(1)).alias("times"))
+    return describe(counts, "difference", "times").select("n", "mean", F.col("max").alias("most"), "median")
 
 
 def derived_flags(pairs: DataFrame, similar: float = 99.5, kin: float = 0.5) -> DataFrame:
