@@ -159,22 +159,94 @@ FOCAL_BLOCK, FEATURE_BLOCK, PARTNERS = 512, 4096, 2048
 BLOCK_ROWS = 4 << 20
 
 
-def _blocks(df: DataFrame, column: str, size: int) -> int:
-    distinct, rows = df.agg(F.count_distinct(column), F.count(F.lit(1))).first()
-    return max(1, -(-distinct // size), -(-rows // BLOCK_ROWS))
+#: A feature that a focal entity lacks is in a category only where this share of its discriminating partners has it (60 %, rounded to a decimal).
+LEAST_SHARE = 0.599
 
 
-def _fitting_cells(ends: DataFrame, own: DataFrame, n_focal: int, n_features: int) -> DataFrame:
-    """(entity, feature, has, m, d, n_merge, n_discriminate) of the cells that may fit a category.
+def _lacking_cells(labelled: DataFrame, own: DataFrame, focal: DataFrame) -> DataFrame | None:
+    """(entity, feature, has, m, d, n_merge, n_discriminate) of the cells that may fit a category where the entity lacks the feature; None without any.
+
+    So many entities must have the feature that most of the discriminating partners can be among
+    them. Entities and features are put into classes by powers of two of these numbers, and only
+    blocks of classes that can fit meet.
+    """
+    having = stored(own.groupBy("feature").agg(F.count(F.lit(1)).alias("k")), "having")
+    least, most = focal.agg(F.min("n_discriminate")).first()[0], having.agg(F.max("k")).first()[0]
+    if least is None or most is None or most < LEAST_SHARE * least:
+        return None
+    log2 = lambda c: (F.length(F.bin(F.col(c))) - 1).cast("int")
+    some = focal.where(F.col("n_discriminate") * LEAST_SHARE <= most).withColumn("of", log2("n_discriminate"))
+    often = having.where(F.col("k") >= LEAST_SHARE * least).withColumn("of", log2("k"))
+    left = P.endpoints(labelled, "disc").join(some, "entity")
+    right = own.join(often, "feature")
+    n_focal = {r.of: max(1, -(-r.n // FOCAL_BLOCK), -(-r.rows // BLOCK_ROWS)) for r in some.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_merge") + F.col("n_discriminate")).alias("rows")).collect()}  # a row for each power of two
+    n_features = {r.of: max(1, -(-r.n // FEATURE_BLOCK), -(-r.rows // BLOCK_ROWS)) for r in often.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("rows")).collect()}
+
+    def dealt(df: DataFrame, key: str, mine: dict, theirs: dict, meets, own_name: str, other: str) -> DataFrame:
+        start = lambda sizes: dict(zip(sorted(sizes), np.r_[0, np.cumsum([sizes[c] for c in sorted(sizes)])].tolist(), strict=False))
+        at, there = start(mine), start(theirs)
+        block, others = F.lit(None).cast("int"), F.array().cast("array<int>")
+        for c in mine:
+            block = F.when(F.col("of") == c, F.pmod(F.xxhash64(key), F.lit(mine[c])).cast("int") + at[c]).otherwise(block)
+            met = [F.sequence(F.lit(there[o]), F.lit(there[o] + theirs[o] - 1)) for o in theirs if meets(c, o)]
+            if met:
+                others = F.when(F.col("of") == c, F.concat(*met)).otherwise(others)
+        return df.withColumn(own_name, block).withColumn(other, F.explode(others)).drop("of", "k")
+
+    return _fitting_cells(dealt(left, "entity", n_focal, n_features, lambda e, f: f >= e - 1, "i", "j"), dealt(right, "feature", n_features, n_focal, lambda f, e: f >= e - 1, "j", "i"))
+
+
+def _having_cells(labelled: DataFrame, own: DataFrame, merge: int, discriminate: int) -> DataFrame:
+    """The same of the cells where the focal entity has the feature: its labels meet the lists of those that share the feature, block by block."""
+    kinds = {c: own.schema[c].dataType for c in ("entity", "feature")}
+    n = max(1, -(-5 * own.count() // BLOCK_LISTS), -(-2 * labelled.count() // BLOCK_ROWS))  # lists are whole here, and nothing is copied for a block
+    block = F.pmod(F.xxhash64("entity"), F.lit(n)).cast("int").alias("block")
+    lists = own.groupBy("feature").agg(F.collect_set("entity").alias("all")).select("feature", "all", F.explode("all").alias("entity")).select(block, "entity", "feature", "all")
+    ends = P.endpoints(labelled, "disc").select(block, "entity", "partner", "disc")
+    schema = T.StructType([T.StructField("entity", kinds["entity"]), T.StructField("feature", kinds["feature"]), T.StructField("has", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("m", "d", "n_merge", "n_discriminate"))])
+
+    def found(a: pa.Table, b: pa.Table) -> pa.Table:
+        none = pa.table({"entity": a["entity"].slice(0, 0), "feature": a["feature"].slice(0, 0), "has": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("m", "d", "n_merge", "n_discriminate")}})
+        if not len(a) or not len(b):
+            return none
+        sizes, listed = pc.list_value_length(a["all"]).to_numpy(), a["all"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        firsts, first = np.unique(b["entity"].combine_chunks().to_numpy(zero_copy_only=False), return_inverse=True)
+        seconds, second = np.unique(b["partner"].combine_chunks().to_numpy(zero_copy_only=False), return_inverse=True)
+        disc = b["disc"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        totals = np.bincount(first[~disc], minlength=len(firsts)), np.bincount(first[disc], minlength=len(firsts))
+        key, place = np.unique(first.astype(np.int64) * len(seconds) + second, return_inverse=True)
+        labels = np.bincount(place[~disc], minlength=len(key)), np.bincount(place[disc], minlength=len(key))
+        who = a["entity"].combine_chunks().to_numpy(zero_copy_only=False)
+        row = np.minimum(np.searchsorted(firsts, who), len(firsts) - 1)
+        focal = (firsts[row] == who) & (totals[0][row] >= merge) & (totals[1][row] >= discriminate)
+        counts, starts = np.zeros((2, len(sizes)), np.int64), np.r_[0, np.cumsum(sizes)]
+        for low in range(0, len(sizes), 1 << 16):  # lists at a time
+            high = min(low + (1 << 16), len(sizes))
+            of = np.repeat(np.arange(low, high), sizes[low:high])
+            part = listed[starts[low] : starts[high]]
+            column = np.minimum(np.searchsorted(seconds, part), len(seconds) - 1)
+            asked = row[of].astype(np.int64) * len(seconds) + column
+            at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+            known = (key[at] == asked) & (seconds[column] == part) & focal[of]
+            for side in range(2):
+                counts[side, low:high] = np.bincount(of[known] - low, weights=labels[side][at[known]], minlength=high - low)
+        n_m, n_d = (np.maximum(t[row], 1) for t in totals)
+        pm, pd_ = 100 * counts[0] / n_m, 100 * counts[1] / n_d
+        some = np.flatnonzero(focal & (pd_ <= 40.1) & ((pm >= 79.9) | (pd_ <= 30.1)))  # the exact rules, on rounded percentages, follow
+        take = pa.array(some)
+        return pa.table({"entity": a["entity"].take(take), "feature": a["feature"].take(take), "has": np.ones(len(some), bool), "m": counts[0, some], "d": counts[1, some], "n_merge": totals[0][row[some]].astype(np.int64), "n_discriminate": totals[1][row[some]].astype(np.int64)})
+
+    return lists.groupBy("block").cogroup(ends.groupBy("block")).applyInArrow(found, schema)
+
+
+def _fitting_cells(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(entity, feature, has, m, d, n_merge, n_discriminate) of the cells that may fit a category where the entity lacks the feature.
 
     m and d are products of the label matrix (focal entity by partner) with the
-    presence matrix, block by block: no row is made for a focal entity, a
+    presence matrix, for blocks (i, j) of both: no row is made for a focal entity, a
     partner and a feature, and cells that fit nothing are never written out.
     """
-    kinds = {c: own.schema[c].dataType.simpleString() for c in ("entity", "feature")}
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = ends.withColumn("i", block("entity", n_focal)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))))
-    right = own.withColumn("j", block("feature", n_features)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_focal - 1))))
+    kinds = {c: right.schema[c].dataType.simpleString() for c in ("entity", "feature")}
 
     def cells(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         names = ["entity", "feature", "has", "m", "d", "n_merge", "n_discriminate"]
@@ -204,7 +276,7 @@ def _fitting_cells(ends: DataFrame, own: DataFrame, n_focal: int, n_features: in
         n_m, n_d = (a[c].to_numpy()[first] for c in ("n_merge", "n_discriminate"))
         pm, pd_ = 100 * m / n_m[:, None], 100 * d / n_d[:, None]
         slack = 0.1  # the exact rules, on rounded percentages, follow
-        fits = np.where(has, (pd_ <= 40 + slack) & ((pm >= 80 - slack) | (pd_ <= 30 + slack)), ((pm <= 20 + slack) & (pd_ >= 60 - slack)) | (pd_ >= 70 - slack))
+        fits = ~has & (((pm <= 20 + slack) & (pd_ >= 60 - slack)) | (pd_ >= 70 - slack))
         x, y = np.nonzero(fits)
         return pd.DataFrame({"entity": focal[x], "feature": features[y], "has": has[x, y], "m": m[x, y].astype(np.int64), "d": d[x, y].astype(np.int64), "n_merge": n_m[x], "n_discriminate": n_d[x]})
 
@@ -221,10 +293,11 @@ def case_control(presence: DataFrame, labelled: DataFrame, entity: str, feature:
     merging <= 20, discriminating >= 60; 3 has it, discriminating <= 30;
     4 lacks it, discriminating >= 70. A row may be in two categories.
     """
-    focal = focal_entities(labelled, merge, discriminate)
-    own = presence.select(F.col(entity).alias("entity"), F.col(feature).alias("feature"))
-    ends = stored(P.endpoints(labelled, "disc").join(focal, "entity"), "labels")
-    cells = _fitting_cells(ends, own, _blocks(ends, "entity", FOCAL_BLOCK), _blocks(own, "feature", FEATURE_BLOCK))
+    focal = stored(focal_entities(labelled, merge, discriminate).drop("n"), "focal")
+    own = stored(presence.select(F.col(entity).alias("entity"), F.col(feature).alias("feature")).dropna().distinct(), "presence")
+    cells = _having_cells(labelled, own, merge, discriminate)
+    if (lacking := _lacking_cells(labelled, own, focal)) is not None:
+        cells = cells.unionByName(lacking)
     cells = cells.withColumns({"pct_merge": F.bround(100.0 * F.col("m") / F.col("n_merge"), 1), "pct_discriminate": F.bround(100.0 * F.col("d") / F.col("n_discriminate"), 1)})
     has, pm, pd_ = F.col("has"), F.col("pct_merge"), F.col("pct_discriminate")
     rules = [has & (pm >= 80) & (pd_ <= 40), ~has & (pm <= 20) & (pd_ >= 60), has & (pd_ <= 30), ~has & (pd_ >= 70)]
